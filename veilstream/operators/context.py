@@ -92,12 +92,13 @@ def asof_context(left: DataFrame, right: DataFrame, plan: SlicePlan) -> DataFram
 
 
 def dedupe_readings(df: DataFrame, plan: SlicePlan,
-                    keys: Sequence[str] = ("app", "vehicle_id", "section")) -> DataFrame:
+                    keys: Sequence[str] = ("app", "vehicle_id", "section"),
+                    time: str = "generate_ms", order: Sequence[str] = ORDER) -> DataFrame:
     """Drop a row whose generate time equals that of the row before it in the same section."""
-    line = Timeline(keys, ORDER, plan)
-    marked = line.last_rows(df, 2, ["generate_ms"], lambda rows, w, _: rows.withColumn(
-        "_before", F.lag("generate_ms").over(w)))
-    return marked.where(~F.col("generate_ms").eqNullSafe(F.col("_before"))).drop("_before")
+    line = Timeline(keys, order, plan)
+    marked = line.last_rows(df, 2, [time], lambda rows, w, _: rows.withColumn(
+        "_before", F.lag(time).over(w)))
+    return marked.where(~F.col(time).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def reassemble(speed: DataFrame, location: DataFrame, image: DataFrame, plan: SlicePlan,

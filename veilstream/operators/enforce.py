@@ -66,8 +66,9 @@ def enforce(active: DataFrame, specs: Sequence[PetSpec], section: str, plan: Sli
     """Transform rows of one section by the PET named in ``pet_label``.
 
     Window PETs see the whole history of their section (which is what warming them up from the
-    history store gives) and emit nothing while their frame is not full. Step PETs start anew at every
-    switch, so they run per (keys, ``since_event_id``).
+    history store gives) and emit nothing while their frame is not full. Rows without a label count
+    as history but are withheld. Step PETs start anew at every switch, so they run per (keys,
+    ``since_event_id``).
     """
     built = [(s.label, *build_pet(s, section)) for s in distinct_specs(specs)]
     out = processed_column(section)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilstream.operators.context import (ORDER, fan_out, reassemble, running_context, union_all)
 from veilstream.operators.enforce import (KEYS, active_pet, apply_pet, distinct_specs, enforce,
-                                          processed_column, select_active_variant, withhold)
+                                          processed_column, select_active_variant)
 from veilstream.operators.pets import SECTION_VALUE
 from veilstream.operators.policy import (Rule, decisions, detect_switches, for_defined_sections,
                                          rule_lookup, winning_rule)
@@ -48,14 +48,14 @@ def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -
     apps = sorted({r.app for r in rules})
     active = evaluate(for_apps(readings, apps), [r for r in rules if r.section == "speed"], plan)
     specs = distinct_specs(r.spec for r in rules if r.section == "speed")
-    return enforce(withhold(active), specs, "speed", plan)
+    return enforce(active, specs, "speed", plan)
 
 
 def enforce_decided(readings: DataFrame, decided: DataFrame, specs, section: str,
                     plan: SlicePlan) -> DataFrame:
     """Enforcement under decisions that come as a table of their own."""
     active = active_pet(readings, decided, plan)
-    return enforce(withhold(active), specs, section, plan)
+    return enforce(active, specs, section, plan)
 
 
 def filter_outputs(readings: DataFrame, decided: DataFrame, specs, section: str,
@@ -80,7 +80,7 @@ def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) ->
     sections = sorted({r.section for r in rules})
     labelled = fan_out(labelled, sections)
     decided = evaluate(labelled, rules, plan)
-    own = withhold(decided.where(F.col("source") == F.col("section")))
+    own = decided.where(F.col("source") == F.col("section"))
     parts = []
     for section in sections:
         value = SECTION_VALUE[section]
