@@ -7,14 +7,14 @@ is evaluated; windows are built only for labels that occur in the policy.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.functions.petspec import PetSpec
-from veilstream.operators.context import ORDER
+from veilstream.operators.context import ORDER, union_all
 from veilstream.operators.pets import SECTION_VALUE, build_pet
 from veilstream.operators.pets.speed import run_steps
 from veilstream.operators.timeline import SlicePlan, Timeline
@@ -63,47 +63,54 @@ def processed_column(section: str) -> str:
 
 def enforce(active: DataFrame, specs: Sequence[PetSpec], section: str, plan: SlicePlan,
             keys: Sequence[str] = KEYS) -> DataFrame:
-    """Transform rows of one section by the PET named in ``pet_label``.
+    """Transform rows of one section by the PET named in ``pet_label``."""
+    return enforce_sections(active, {section: specs}, plan, keys)
+
+
+def enforce_sections(active: DataFrame, specs: Mapping[str, Sequence[PetSpec]], plan: SlicePlan,
+                     keys: Sequence[str] = KEYS) -> DataFrame:
+    """Transform the rows of each section by the PET named in ``pet_label``, in one pass.
 
     Window PETs see the whole history of their section (which is what warming them up from the
     history store gives) and emit nothing while their frame is not full. Rows without a label count
     as history but are withheld. Step PETs start anew at every switch, so they run per (keys,
     ``since_event_id``).
     """
-    built = [(s.label, *build_pet(s, section)) for s in distinct_specs(specs)]
-    out = processed_column(section)
+    built = [(section, s.label, *build_pet(s, section))
+             for section, own in specs.items() for s in distinct_specs(own)]
     rows = active
-    windows = [(i, label, pet) for i, (label, kind, pet) in enumerate(built) if kind == "window"]
+    windows = [(i, pet) for i, (_, _, kind, pet) in enumerate(built) if kind == "window"]
     if windows:
         line = Timeline(keys, ORDER, plan)
-        columns = tuple(dict.fromkeys(c for _, _, pet in windows for c in pet.columns))
+        columns = [c for c in dict.fromkeys(c for _, pet in windows for c in pet.columns)
+                   if c not in keys]
 
         def compute(df, ordered, whole):
-            for i, _, pet in windows:
+            for i, pet in windows:
                 df = pet.compute(df, ordered, whole, f"_out{i}", f"_ready{i}")
             return df
 
-        columns = tuple(c for c in columns if c not in keys)
-        rows = line.last_rows(rows, max(pet.size for _, _, pet in windows), columns, compute)
-    value, ready = None, None
-    for i, (label, kind, pet) in enumerate(built):
+        rows = line.last_rows(rows, max(pet.size for _, pet in windows), columns, compute)
+    values: dict[str, list] = {section: [] for section in specs}
+    ready, steps = F.when(F.lit(False), F.lit(False)), []
+    for i, (section, label, kind, pet) in enumerate(built):
+        here = (F.col("section") == section) & (F.col("pet_label") == label)
         if kind == "step":
+            steps.append((here, section, pet))
             continue
-        column = pet if kind == "column" else F.col(f"_out{i}")
-        is_ready = F.lit(True) if kind == "column" else F.col(f"_ready{i}")
-        here = F.col("pet_label") == label
-        value = F.when(here, column) if value is None else value.when(here, column)
-        ready = F.when(here, is_ready) if ready is None else ready.when(here, is_ready)
-    steps = [(label, pet) for label, kind, pet in built if kind == "step"]
+        values[section].append((here, pet if kind == "column" else F.col(f"_out{i}")))
+        ready = ready.when(here, F.lit(True) if kind == "column" else F.col(f"_ready{i}"))
+    outputs = {processed_column(section): reduce(
+        lambda chain, branch: chain.when(*branch), branches, F)
+        for section, branches in values.items() if branches}
     parts = []
-    if value is not None:
-        parts.append(rows.where(F.coalesce(ready, F.lit(False)))
-                     .withColumn(out, value).select(*active.columns, out))
-    for label, pet in steps:
-        mine = active.where(F.col("pet_label") == label)
-        parts.append(run_steps(mine, pet.make, F.col("scalar"), out, plan,
-                               [*keys, "since_event_id"], pet.seed))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    if outputs:
+        parts.append(rows.where(F.coalesce(ready, F.lit(False))).withColumns(outputs)
+                     .select(*active.columns, *outputs))
+    for here, section, pet in steps:
+        parts.append(run_steps(active.where(here), pet.make, F.col("scalar"),
+                               processed_column(section), plan, [*keys, "since_event_id"], pet.seed))
+    return union_all(parts)
 
 
 def apply_pet(df: DataFrame, spec: PetSpec, section: str, plan: SlicePlan,

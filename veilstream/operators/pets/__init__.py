@@ -21,11 +21,16 @@ SECTION_VALUE = {"speed": "scalar", "location": "location", "image": "image"}
 
 @dataclass(frozen=True)
 class WindowPet:
-    """``size`` rows of history; ``compute(rows, ordered, whole, out, ready)`` adds two columns."""
+    """``size`` rows of history; ``compute(rows, ordered, whole, out, ready)`` adds two columns.
+
+    ``of_recent(recent) -> (value, ready)`` is the same over an array of the last rows (structs of
+    ``generate_ms, scalar, x, y``, the current one last), which is what streams have.
+    """
 
     size: int
     columns: tuple[str, ...]
     compute: Callable[[DataFrame, WindowSpec, WindowSpec, str, str], DataFrame]
+    of_recent: Callable[[Column], tuple[Column, Column]] | None = None
 
 
 @dataclass(frozen=True)

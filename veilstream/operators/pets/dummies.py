@@ -123,9 +123,26 @@ def set_entropy(sets: np.ndarray, places: int, gamma: float) -> np.ndarray:
     return -(np.where(p > 0, p, 0.0) * logs).sum(axis=-1)
 
 
-def _draw_intervals(rng, a: float, b: float, wanted: int, intervals: int) -> list[int]:
-    """``wanted`` distinct intervals, in the order in which they first come up."""
-    seen: dict[int, None] = {}
+def _draw_sets(rng, a: float, b: float, trials: int, wanted: int, intervals: int) -> np.ndarray:
+    """``trials`` rows of ``wanted`` distinct intervals each, in the order in which they come up."""
+    width = 2 * wanted + 2
+    drawn = np.minimum((rng.beta(a, b, size=(trials, width)) * intervals).astype(np.int64),
+                       intervals - 1)
+    repeats = np.zeros(drawn.shape, dtype=bool)
+    for j in range(1, width):
+        repeats[:, j] = (drawn[:, :j] == drawn[:, j:j + 1]).any(axis=1)
+    enough = (~repeats).sum(axis=1) >= wanted
+    first = np.argsort(repeats, axis=1, kind="stable")[:, :wanted]
+    sets = np.take_along_axis(drawn, first, axis=1)
+    for trial in np.flatnonzero(~enough):
+        seen = list(dict.fromkeys(drawn[trial].tolist()))
+        sets[trial] = _draw_rest(rng, a, b, seen, wanted, intervals)
+    return sets
+
+
+def _draw_rest(rng, a: float, b: float, known: list[int], wanted: int, intervals: int) -> list[int]:
+    """Go on drawing until there are ``wanted`` distinct intervals."""
+    seen: dict[int, None] = dict.fromkeys(known)
     rounds = 0
     while len(seen) < wanted:
         if rounds == REJECTION_ROUNDS and intervals <= ENUMERABLE:
@@ -153,15 +170,14 @@ def best_set(places: int, k: int, m: int, gamma: float):
 
     @F.pandas_udf("ranks array<long>, entropy double, trial int")
     def choose(real_rank: pd.Series, seed: pd.Series) -> pd.DataFrame:
-        real = real_rank.to_numpy(dtype=np.int64)
+        real, seeds = real_rank.to_numpy(dtype=np.int64), seed.tolist()
         a, b = beta_shape(real / width, gamma)
         sets = np.empty((len(real), m, k), dtype=np.int64)
         for row in range(len(real)):
-            rng = np.random.default_rng(int(seed.iloc[row]))
-            for trial in range(m):
-                drawn = np.array(_draw_intervals(rng, a[row], b[row], k - 1, width), dtype=np.int64)
-                sets[row, trial, 0] = real[row]
-                sets[row, trial, 1:] = np.where(drawn >= real[row], drawn + 1, drawn)
+            rng = np.random.default_rng(seeds[row])
+            drawn = _draw_sets(rng, a[row], b[row], m, k - 1, width)
+            sets[row, :, 0] = real[row]
+            sets[row, :, 1:] = np.where(drawn >= real[row], drawn + 1, drawn)
         score = set_entropy(sets, places, gamma) if len(real) else np.empty((0, m))
         best = score.argmax(axis=1) if len(real) else np.empty(0, dtype=int)
         pick = np.arange(len(real))

@@ -36,9 +36,26 @@ def predict_positions(rows, ordered, whole, size: int):
             .drop("_origin", "_t", "_x", "_y"))
 
 
-def prediction_error() -> Column:
-    dx = F.col("location.x") - F.col("predicted_x")
-    dy = F.col("location.y") - F.col("predicted_y")
+def fit_of_recent(recent: Column, value: str) -> Column:
+    """The same straight-line fit over an array of the last rows, evaluated at the last one."""
+    n, start = F.size(recent), recent[0]["generate_ms"]
+
+    def seconds(r: Column) -> Column:
+        return (r["generate_ms"] - start) / 1000.0
+
+    def total(term) -> Column:
+        return F.aggregate(recent, F.lit(0.0), lambda acc, r: acc + term(r))
+
+    mean_t, mean_v = total(seconds) / n, total(lambda r: r[value]) / n
+    spread = total(lambda r: (seconds(r) - mean_t) * (seconds(r) - mean_t))
+    joint = total(lambda r: (seconds(r) - mean_t) * (r[value] - mean_v))
+    slope = F.coalesce(F.try_divide(joint, spread), F.lit(0.0))
+    return mean_v + slope * (seconds(F.element_at(recent, -1)) - mean_t)
+
+
+def prediction_error(px: Column | None = None, py: Column | None = None) -> Column:
+    dx = F.col("location.x") - (F.col("predicted_x") if px is None else px)
+    dy = F.col("location.y") - (F.col("predicted_y") if py is None else py)
     return F.sqrt(dx * dx + dy * dy)
 
 
@@ -74,4 +91,10 @@ def adaptive_geo(section: str, params: tuple):
             ready: F.col("n_points") == size,
         }).drop("_error", "predicted_x", "predicted_y", "n_points")
 
-    return WindowPet(size, ("location", "vehicle_id"), compute)
+    def of_recent(recent):
+        error = prediction_error(fit_of_recent(recent, "x"), fit_of_recent(recent, "y"))
+        level = privacy_level(error, t1, t2, epsilon, alpha, beta)
+        moved = displaced(level, error, seed, F.col("vehicle_id"), F.col("event_id"))
+        return moved, F.size(recent) == size
+
+    return WindowPet(size, ("location", "vehicle_id"), compute, of_recent)

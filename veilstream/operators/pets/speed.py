@@ -1,6 +1,6 @@
 """Speed anonymiser: noise inside a corridor around the previous *output*.
 
-The recursion on its own output is not a window function. It runs per key in Arrow batches; a key
+The recursion on its own output is not a window function. It runs over sorted Arrow batches; a key
 that holds too many rows for one task is cut into time slices that run side by side:
 
 1. every slice starts from a guess and reports the value it ends with;
@@ -96,24 +96,32 @@ def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
               order: Sequence[str] = ("generate_ms", "event_id")) -> DataFrame:
     """Run a step function over each key in time order, adding its output as column ``out``.
 
-    ``plan`` should come from ``plan_slices`` with a ``target_rows`` that fits one Arrow group.
+    Rows are sorted inside their partition and streamed through Python batch by batch: no key has to
+    fit into memory, and many small keys share one batch.
     """
     work = df.withColumns({"_value": value,
                            "_draw": row_seed(seed, F.col("vehicle_id"), F.col("generate_ms"))})
     result = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     if not plan.sliced:
-        return work.groupBy(*keys).applyInPandas(
-            _runner(make, df.columns, out, order), result)
+        return _in_time_order(work, keys, order).mapInPandas(
+            _runner(make, keys, df.columns, out, order), result)
     rows = cut_lineage(plan.assign(work))
-    cold = (rows.where(~F.col("_hot")).groupBy(*keys)
-            .applyInPandas(_runner(make, df.columns, out, order), result))
+    cold = _in_time_order(rows.where(~F.col("_hot")), keys, order).mapInPandas(
+        _runner(make, keys, df.columns, out, order), result)
     hot = rows.where("_hot")
+    sliced = [*keys, "_slice"]
     starts = _settle_starts(hot, make, keys, order)
-    done = (_with_starts(hot, starts, keys).groupBy(*keys, "_slice")
-            .applyInPandas(_runner(make, df.columns, out, order), result))
+    done = _in_time_order(_with_starts(hot, starts, keys), sliced, order).mapInPandas(
+        _runner(make, sliced, df.columns, out, order), result)
     return cold.unionByName(done)
 
 
+def _in_time_order(rows: DataFrame, keys, order) -> DataFrame:
+    """All rows of a key in one partition, one key after the other (seed rows first)."""
+    return rows.repartition(*keys).sortWithinPartitions(
+        *keys, *[F.asc_nulls_first(c) for c in order])
+
+
 def _with_starts(rows: DataFrame, starts: DataFrame, keys) -> DataFrame:
     seeds = starts.select(*keys, "_slice", F.col("start_value").alias("_value"),
                           F.col("start_ms").alias("_start_ms"), F.lit(True).alias("_seed"))
@@ -122,6 +130,7 @@ def _with_starts(rows: DataFrame, starts: DataFrame, keys) -> DataFrame:
 
 def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
     """Start state of every slice such that it equals the end state of the slice before."""
+    sliced = [*keys, "_slice"]
     slices = Window.partitionBy(*keys).orderBy("_slice")
     spans = hot.groupBy(*keys, "_slice").agg(F.max(order[0]).alias("end_ms"))
     starts = cut_lineage(spans.select(
@@ -131,15 +140,15 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
                              T.StructField("end_value", T.DoubleType())])
     todo, ends = starts, None
     while True:
-        rerun = hot.join(todo.select(*keys, "_slice"), [*keys, "_slice"], "left_semi")
-        fresh = (_with_starts(rerun, todo, keys).groupBy(*keys, "_slice")
-                 .applyInPandas(_runner(make, [*keys, "_slice"], None, order), end_type))
+        rerun = hot.join(todo.select(*keys, "_slice"), sliced, "left_semi")
+        fresh = _in_time_order(_with_starts(rerun, todo, keys), sliced, order).mapInPandas(
+            _runner(make, sliced, sliced, None, order), end_type)
         if ends is not None:
-            kept = ends.join(todo.select(*keys, "_slice"), [*keys, "_slice"], "left_anti")
+            kept = ends.join(todo.select(*keys, "_slice"), sliced, "left_anti")
             fresh = kept.unionByName(fresh)
         ends = cut_lineage(fresh)
         wanted = ends.select(*keys, "_slice", F.lag("end_value").over(slices).alias("wanted"))
-        compared = cut_lineage(starts.join(wanted, [*keys, "_slice"]))
+        compared = cut_lineage(starts.join(wanted, sliced))
         starts = compared.select(*keys, "_slice", "start_ms", F.col("wanted").alias("start_value"))
         todo = (compared.where(~F.col("start_value").eqNullSafe(F.col("wanted")))
                 .select(*keys, "_slice", "start_ms", F.col("wanted").alias("start_value")))
@@ -147,34 +156,45 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
             return starts
 
 
-def _runner(make, columns, out, order):
-    """A grouped function over one key (or slice): all outputs, or only the end value if ``out`` is
-    None. A seed row gives the state to start from."""
-    columns = list(columns)
-    order = list(order)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, step = make()
-        if "_seed" in group:
-            seeded = group["_seed"].notna()
-            start = group[seeded]
-            group = group[~seeded]
-            if len(start) and not pd.isna(start["_start_ms"].iloc[0]):
-                value = start["_value"].iloc[0]
-                state = (None if pd.isna(value) else float(value), int(start["_start_ms"].iloc[0]))
-        group = group.sort_values(order, kind="stable")
-        outputs = []
-        for value, ms, draw in zip(group["_value"].tolist(), group[order[0]].tolist(),
-                                   group["_draw"].tolist()):
-            state, result = step(state, value, int(ms), int(draw))
-            outputs.append(result)
-        if out is None:
-            ends = group[columns].head(1).copy()
-            ends["end_value"] = outputs[-1]
-            return ends
-        result = group[columns].copy()
-        result[out] = outputs
-        return result
+def _runner(make, keys, columns, out, order):
+    """A function over sorted batches. It yields all rows with their output, or, if ``out`` is None,
+    the end value of every key. A seed row gives the state to start from."""
+    keys, columns, time = list(keys), list(columns), order[0]
+
+    def run(batches):
+        key, state, step = None, None, None
+        for batch in batches:
+            identities = list(zip(*(batch[k].tolist() for k in keys)))
+            seeds = batch["_seed"].notna().tolist() if "_seed" in batch else [False] * len(batch)
+            starts = batch["_start_ms"].tolist() if "_seed" in batch else seeds
+            outputs, ended = [], []
+            for identity, seed_row, start, value, ms, draw in zip(
+                    identities, seeds, starts, batch["_value"].tolist(), batch[time].tolist(),
+                    batch["_draw"].tolist()):
+                if identity != key:
+                    if out is None and key is not None:
+                        ended.append((*key, state[0]))
+                    key = identity
+                    state, step = make()
+                if seed_row:
+                    if start == start and start is not None:
+                        state = (None if value != value else value, int(start))
+                    outputs.append(None)
+                    continue
+                state, result = step(state, value, int(ms), int(draw))
+                outputs.append(result)
+            if out is None:
+                yield pd.DataFrame(ended, columns=[*keys, "end_value"])
+            else:
+                done = batch[columns].assign(**{out: outputs})
+                if any(seeds):
+                    done = done[batch["_seed"].isna()]
+                    for name in columns:
+                        if done[name].dtype == float and name in order:
+                            done[name] = done[name].astype("int64")
+                yield done
+        if out is None and key is not None:
+            yield pd.DataFrame([(*key, state[0])], columns=[*keys, "end_value"])
 
     return run
 

@@ -29,7 +29,11 @@ def sliding_mean(section: str, params: tuple):
         return rows.withColumns({out: F.avg("scalar").over(frame),
                                  ready: F.count(F.lit(1)).over(frame) == size})
 
-    return WindowPet(size, ("scalar",), compute)
+    def of_recent(recent):
+        total = F.aggregate(recent, F.lit(0.0), lambda acc, r: acc + r["scalar"])
+        return total / F.size(recent), F.size(recent) == size
+
+    return WindowPet(size, ("scalar",), compute, of_recent)
 
 
 def sliding_median(section: str, params: tuple):
@@ -42,7 +46,15 @@ def sliding_median(section: str, params: tuple):
         held = f"_held_{out}"
         rows = rows.withColumns({held: F.collect_list("scalar").over(frame),
                                  ready: F.count(F.lit(1)).over(frame) == size})
-        middle = F.floor((F.size(held) + 1) / 2).cast("int")
-        return rows.withColumn(out, F.try_element_at(F.sort_array(held), middle)).drop(held)
+        return rows.withColumn(out, lower_middle(F.col(held))).drop(held)
+
+    def of_recent(recent):
+        return lower_middle(F.transform(recent, lambda r: r["scalar"])), F.size(recent) == size
+
+    return WindowPet(size, ("scalar",), compute, of_recent)
+
 
-    return WindowPet(size, ("scalar",), compute)
+def lower_middle(values: Column) -> Column:
+    """Median of an array, the lower of the two middle values for even sizes."""
+    middle = F.floor((F.size(values) + 1) / 2).cast("int")
+    return F.try_element_at(F.sort_array(values), middle)

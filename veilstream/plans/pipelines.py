@@ -5,15 +5,15 @@ All applications run in one plan: ``app`` is a column, not a copy of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.operators.context import (ORDER, fan_out, reassemble, running_context, union_all)
+from veilstream.operators.context import ORDER, fan_out, reassemble, union_all
 from veilstream.operators.enforce import (KEYS, active_pet, apply_pet, distinct_specs, enforce,
-                                          processed_column, select_active_variant)
-from veilstream.operators.pets import SECTION_VALUE
+                                          enforce_sections, processed_column, select_active_variant)
+from veilstream.operators.pets import REGISTRY, SECTION_VALUE
 from veilstream.operators.policy import (Rule, decisions, detect_switches, for_defined_sections,
                                          rule_lookup, winning_rule)
 from veilstream.operators.timeline import SlicePlan, Timeline
@@ -30,17 +30,22 @@ def with_active_rule(switched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return switched.withColumn("pet_label", rule_lookup(rules, labels))
 
 
-def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
-    """Winner, switch flag, PET label and the record that caused the PET in force.
+def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,
+             scalars: Mapping[str, Column] | None = None, x: Column | None = None,
+             y: Column | None = None) -> DataFrame:
+    """Winner, switch flag and PET label in force.
 
-    One exchange on (app, vehicle, section): the projections before it are narrow, and the windows
-    after it share its partitioning and sort order.
+    One exchange: the projections before the window are narrow, and every window after it has the
+    same keys and order. The record that caused the PET in force is added only for policies with
+    PETs that start anew at a switch.
     """
     scoped = for_defined_sections(readings, rules)
-    switched = detect_switches(winning_rule(scoped, rules), plan)
-    line = Timeline(KEYS, ORDER, plan)
-    since = line.last_known(switched, {"since_event_id": F.when(F.col("is_switch"), F.col("event_id"))})
-    return with_active_rule(since, rules)
+    switched = detect_switches(winning_rule(scoped, rules, scalars, x, y), plan)
+    if any(REGISTRY[r.spec.name].kind == "step" for r in rules if r.spec.name in REGISTRY):
+        line = Timeline(KEYS, ORDER, plan)
+        cause = F.when(F.col("is_switch"), F.col("event_id"))
+        switched = line.last_known(switched, {"since_event_id": cause})
+    return with_active_rule(switched, rules)
 
 
 def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
@@ -75,24 +80,22 @@ def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) ->
     section; ``reassemble_policies`` zips them back into contexts.
     """
     apps = sorted({r.app for r in rules})
-    context = running_context(readings, plan)
-    labelled = fan_out(context.withColumnRenamed("section", "source"), apps, name="app")
     sections = sorted({r.section for r in rules})
+    line = Timeline(["vehicle_id"], ORDER, plan)
+    context = line.last_known(readings, {
+        "now_speed": F.when(F.col("section") == "speed", F.col("scalar")),
+        "now_location": F.when(F.col("section") == "location", F.col("location"))})
+    labelled = fan_out(context.withColumnRenamed("section", "source"), apps, name="app")
     labelled = fan_out(labelled, sections)
-    decided = evaluate(labelled, rules, plan)
-    own = decided.where(F.col("source") == F.col("section"))
-    parts = []
-    for section in sections:
-        value = SECTION_VALUE[section]
-        columns = ["app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label",
-                   "since_event_id"]
-        source = {"speed": F.col("speed.v"), "image": F.col("image.data"),
-                  "location": F.struct("location.x", "location.y")}[section]
-        rows = own.where(F.col("section") == section).withColumn("_raw", source)
-        rows = rows.select(*columns, F.col("_raw").alias(value))
-        specs = distinct_specs(r.spec for r in rules if r.section == section)
-        parts.append(enforce(rows, specs, section, plan))
-    return union_all(parts)
+    # Values (images above all) travel only on the copy that may publish them.
+    labelled = labelled.withColumns({
+        c: F.when(F.col("source") == F.col("section"), F.col(c)) for c in SECTION_VALUE.values()})
+    decided = evaluate(labelled, rules, plan, {"speed": F.col("now_speed")},
+                       F.col("now_location.x"), F.col("now_location.y"))
+    own = decided.where(F.col("source") == F.col("section")).drop(
+        "source", "now_speed", "now_location", "winner", "previous", "current", "is_switch")
+    specs = {s: distinct_specs(r.spec for r in rules if r.section == s) for s in sections}
+    return enforce_sections(own, specs, plan)
 
 
 def reassemble_policies(enforced: DataFrame, plan: SlicePlan, ratio: int = 10) -> DataFrame:

@@ -4,5 +4,5 @@
 def registered():
     """``(queries, oracles)`` by name."""
     from workload import fixtures
-    from workload import decide, transform, enforce, context, ingest, measure  # noqa: F401
+    from workload import context, decide, enforce, ingest, measure, streamed, transform  # noqa: F401
     return fixtures.QUERIES, fixtures.ORACLES
