@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.functions.petspec import PetSpec
@@ -80,16 +80,18 @@ def enforce_sections(active: DataFrame, specs: Mapping[str, Sequence[PetSpec]],
              for section, own in specs.items() for s in distinct_specs(own)]
     rows = active
     windows = [(i, pet) for i, (_, _, kind, pet) in enumerate(built) if kind == "window"]
+    framed: dict[int, tuple[Column, Column]] = {}
     if windows:
-        line = Timeline(keys, ORDER, plan)
         columns = [c for c in dict.fromkeys(c for _, pet in windows for c in pet.columns)
                    if c not in keys]
 
         def compute(df, ordered, whole):
             for i, pet in windows:
-                df = pet.compute(df, ordered, whole, f"_out{i}", f"_ready{i}")
+                df, value, ready = pet.compute(df, ordered, whole, f"_{i}_")
+                framed[i] = value, ready
             return df
 
+        line = Timeline(keys, ORDER, plan)
         rows = line.last_rows(rows, max(pet.size for _, pet in windows), columns, compute)
     values: dict[str, list] = {section: [] for section in specs}
     ready, steps = F.when(F.lit(False), F.lit(False)), []
@@ -98,8 +100,9 @@ def enforce_sections(active: DataFrame, specs: Mapping[str, Sequence[PetSpec]],
         if kind == "step":
             steps.append((here, section, pet))
             continue
-        values[section].append((here, pet if kind == "column" else F.col(f"_out{i}")))
-        ready = ready.when(here, F.lit(True) if kind == "column" else F.col(f"_ready{i}"))
+        value, is_ready = (pet, F.lit(True)) if kind == "column" else framed[i]
+        values[section].append((here, value))
+        ready = ready.when(here, is_ready)
     outputs = {processed_column(section): reduce(
         lambda chain, branch: chain.when(*branch), branches, F)
         for section, branches in values.items() if branches}

@@ -21,7 +21,11 @@ SECTION_VALUE = {"speed": "scalar", "location": "location", "image": "image"}
 
 @dataclass(frozen=True)
 class WindowPet:
-    """``size`` rows of history; ``compute(rows, ordered, whole, out, ready)`` adds two columns.
+    """A PET over the last ``size`` rows.
+
+    ``compute(rows, ordered, whole, prefix) -> (rows, value, ready)`` adds window columns named with
+    the prefix and gives the processed value and the readiness as Columns over them; these are
+    evaluated only for rows on which the PET is in force. ``columns`` are the inputs it reads.
 
     ``of_recent(recent) -> (value, ready)`` is the same over an array of the last rows (structs of
     ``generate_ms, scalar, x, y``, the current one last), which is what streams have.
@@ -29,7 +33,7 @@ class WindowPet:
 
     size: int
     columns: tuple[str, ...]
-    compute: Callable[[DataFrame, WindowSpec, WindowSpec, str, str], DataFrame]
+    compute: Callable[[DataFrame, WindowSpec, WindowSpec, str], tuple[DataFrame, Column, Column]]
     of_recent: Callable[[Column], tuple[Column, Column]] | None = None
 
 

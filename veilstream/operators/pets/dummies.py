@@ -22,6 +22,7 @@ from veilstream.operators.timeline import SlicePlan, Timeline, plan_slices
 
 REJECTION_ROUNDS = 64
 ENUMERABLE = 1_000_000
+REQUESTS_PER_TASK = 50_000
 
 
 def rank_places(places: DataFrame, plan: SlicePlan | None = None) -> DataFrame:
@@ -56,34 +57,54 @@ def updated_counts(places: DataFrame, published: DataFrame) -> DataFrame:
             .drop("_gained"))
 
 
+def _log_gamma(v: np.ndarray) -> np.ndarray:
+    """Log-gamma, computed once per distinct value (shapes repeat per place)."""
+    distinct, back = np.unique(v, return_inverse=True)
+    values = np.fromiter((math.lgamma(x) for x in distinct), dtype=float, count=len(distinct))
+    return values[back].reshape(v.shape)
+
+
 def beta_cdf(x, a, b) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction, element by element."""
     x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    shape = x.shape
+    x, a, b = x.ravel(), a.ravel(), b.ravel()
     flip = x > (a + 1) / (a + b + 2)
     p, q = np.where(flip, b, a), np.where(flip, a, b)
     z = np.where(flip, 1 - x, x)
     inner = (z > 0) & (z < 1)
     safe = np.where(inner, z, 0.5)
-    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
-    front = np.exp((log_gamma(p + q) - log_gamma(p) - log_gamma(q)).astype(float)
-                   + p * np.log(safe) + q * np.log1p(-safe)) / p
-    tiny = 1e-300
-    c = np.ones_like(safe)
-    d = 1 - (p + q) * safe / (p + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    log_scale = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+    front = np.exp(log_scale + p * np.log(safe) + q * np.log1p(-safe)) / p
+    low = np.where(inner, front * _fraction(safe, p, q), np.where(z <= 0, 0.0, 1.0))
+    return np.where(flip, 1 - low, low).reshape(shape)
+
+
+def _fraction(z: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The continued fraction; elements that have converged leave the iteration."""
+    def away_from_zero(v):
+        return np.where(np.abs(v) < 1e-300, 1e-300, v)
+
+    result = np.empty_like(z)
+    at = np.arange(len(z))
+    c = np.ones_like(z)
+    d = 1 / away_from_zero(1 - (p + q) * z / (p + 1))
     total = d.copy()
-    for j in range(1, 300):
-        for term in (j * (q - j) * safe / ((p + 2 * j - 1) * (p + 2 * j)),
-                     -(p + j) * (p + q + j) * safe / ((p + 2 * j) * (p + 2 * j + 1))):
-            d = 1 + term * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + term / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            total = total * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    low = np.where(inner, front * total, np.where(z <= 0, 0.0, 1.0))
-    return np.where(flip, 1 - low, low)
+    for j in range(1, 500):
+        for term in (j * (q - j) * z / ((p + 2 * j - 1) * (p + 2 * j)),
+                     -(p + j) * (p + q + j) * z / ((p + 2 * j) * (p + 2 * j + 1))):
+            d = 1 / away_from_zero(1 + term * d)
+            c = away_from_zero(1 + term / c)
+            change = d * c
+            total = total * change
+        done = np.abs(change - 1) < 4e-16
+        if done.any() or j == 499:
+            result[at] = total
+            keep = ~done
+            if not keep.any():
+                break
+            at, z, p, q, c, d, total = (v[keep] for v in (at, z, p, q, c, d, total))
+    return result
 
 
 def beta_shape(mode, gamma: float):
@@ -114,29 +135,33 @@ def set_entropy(sets: np.ndarray, places: int, gamma: float) -> np.ndarray:
     """Entropy of each candidate set (last axis: ranks): for each member, the probability of the
     others as its dummies."""
     k = sets.shape[-1]
-    real, other = sets[..., :, None], sets[..., None, :]
+    me, them = np.nonzero(~np.eye(k, dtype=bool))
+    real, other = sets[..., me], sets[..., them]
     interval = np.where(other > real, other - 1, other)
-    interval = np.where(real == other, 0, interval)
-    p = _interval_probability(interval, np.broadcast_to(real, interval.shape), places, gamma)
-    p = np.where(np.eye(k, dtype=bool), 1.0, p).prod(axis=-1)
+    p = _interval_probability(interval, real, places, gamma)
+    p = p.reshape(*sets.shape[:-1], k, k - 1).prod(axis=-1)
     logs = np.log2(np.where(p > 0, p, 1.0))
     return -(np.where(p > 0, p, 0.0) * logs).sum(axis=-1)
 
 
-def _draw_sets(rng, a: float, b: float, trials: int, wanted: int, intervals: int) -> np.ndarray:
-    """``trials`` rows of ``wanted`` distinct intervals each, in the order in which they come up."""
+def _draw_sets(seeds, a, b, trials: int, wanted: int, intervals: int) -> np.ndarray:
+    """Distinct intervals in the order in which they come up: (request, trial, ``wanted``).
+
+    A request draws a few values more than it needs at once; the rare set with too many repeats goes
+    on drawing by itself.
+    """
     width = 2 * wanted + 2
-    drawn = np.minimum((rng.beta(a, b, size=(trials, width)) * intervals).astype(np.int64),
-                       intervals - 1)
+    generators = [np.random.default_rng(seed) for seed in seeds]
+    drawn = np.stack([g.beta(a[i], b[i], size=(trials, width)) for i, g in enumerate(generators)])
+    drawn = np.minimum((drawn * intervals).astype(np.int64), intervals - 1)
     repeats = np.zeros(drawn.shape, dtype=bool)
     for j in range(1, width):
-        repeats[:, j] = (drawn[:, :j] == drawn[:, j:j + 1]).any(axis=1)
-    enough = (~repeats).sum(axis=1) >= wanted
-    first = np.argsort(repeats, axis=1, kind="stable")[:, :wanted]
-    sets = np.take_along_axis(drawn, first, axis=1)
-    for trial in np.flatnonzero(~enough):
-        seen = list(dict.fromkeys(drawn[trial].tolist()))
-        sets[trial] = _draw_rest(rng, a, b, seen, wanted, intervals)
+        repeats[..., j] = (drawn[..., :j] == drawn[..., j:j + 1]).any(axis=-1)
+    first = np.argsort(repeats, axis=-1, kind="stable")[..., :wanted]
+    sets = np.take_along_axis(drawn, first, axis=-1)
+    for row, trial in np.argwhere((~repeats).sum(axis=-1) < wanted):
+        seen = list(dict.fromkeys(drawn[row, trial].tolist()))
+        sets[row, trial] = _draw_rest(generators[row], a[row], b[row], seen, wanted, intervals)
     return sets
 
 
@@ -172,14 +197,13 @@ def best_set(places: int, k: int, m: int, gamma: float):
     def choose(real_rank: pd.Series, seed: pd.Series) -> pd.DataFrame:
         real, seeds = real_rank.to_numpy(dtype=np.int64), seed.tolist()
         a, b = beta_shape(real / width, gamma)
-        sets = np.empty((len(real), m, k), dtype=np.int64)
-        for row in range(len(real)):
-            rng = np.random.default_rng(seeds[row])
-            drawn = _draw_sets(rng, a[row], b[row], m, k - 1, width)
-            sets[row, :, 0] = real[row]
-            sets[row, :, 1:] = np.where(drawn >= real[row], drawn + 1, drawn)
-        score = set_entropy(sets, places, gamma) if len(real) else np.empty((0, m))
-        best = score.argmax(axis=1) if len(real) else np.empty(0, dtype=int)
+        if not len(real):
+            return pd.DataFrame({"ranks": [], "entropy": [], "trial": []})
+        drawn = _draw_sets(seeds, a, b, m, k - 1, width)
+        others = np.where(drawn >= real[:, None, None], drawn + 1, drawn)
+        sets = np.concatenate([np.broadcast_to(real[:, None, None], (len(real), m, 1)), others], axis=2)
+        score = set_entropy(sets, places, gamma)
+        best = score.argmax(axis=1)
         pick = np.arange(len(real))
         return pd.DataFrame({"ranks": list(sets[pick, best]), "entropy": score[pick, best],
                              "trial": best.astype("int32")})
@@ -193,14 +217,17 @@ def dummy_locations(requests: DataFrame, ranked: DataFrame, k: int, m: int, gamm
 
     ``requests`` has ``request_id, place_id``; ``ranked`` comes from ``rank_places``. The candidate
     sets of a request are drawn and compared inside one Arrow batch, so only the chosen ranks move.
+    A request is a few bytes but much work, so requests are spread by count and not by bytes.
     """
     places = ranked.count()
     if not 2 <= k <= places:
         raise ValueError(f"k must be between 2 and the number of places ({places}), not {k}")
     if m < 1:
         raise ValueError("at least one candidate set is needed")
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism,
+                -(-requests.count() // REQUESTS_PER_TASK))
     chosen = (requests.join(ranked.select("place_id", "rank"), "place_id")
-              .withColumn("chosen", best_set(places, k, m, gamma)(
+              .repartition(tasks, "request_id").withColumn("chosen", best_set(places, k, m, gamma)(
                   F.col("rank"), row_seed(seed, F.col("request_id")))))
     spread = chosen.select("request_id", F.col("place_id").alias("real_place_id"),
                            F.col("chosen.entropy").alias("entropy"),

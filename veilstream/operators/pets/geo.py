@@ -15,25 +15,27 @@ from pyspark.sql import functions as F
 from veilstream.functions.mathx import laplace_from_uniform, uniform
 
 
-def predict_positions(rows, ordered, whole, size: int):
+def predict_positions(rows, ordered, whole, size: int, prefix: str = ""):
     """Add ``predicted_x``, ``predicted_y`` (straight-line fits evaluated now) and ``n_points``.
 
     Times enter the fit as seconds from the first row of the partition: the fit itself does not depend
     on the origin, but raw epoch times would lose digits.
     """
     frame = ordered.rowsBetween(-(size - 1), 0)
-    rows = rows.withColumn("_origin", F.min("generate_ms").over(whole))
+    rows = rows.withColumn(f"{prefix}origin", F.min("generate_ms").over(whole))
     rows = rows.withColumns({
-        "_t": (F.col("generate_ms") - F.col("_origin")) / 1000.0,
-        "_x": F.col("location.x"), "_y": F.col("location.y")})
+        f"{prefix}t": (F.col("generate_ms") - F.col(f"{prefix}origin")) / 1000.0,
+        f"{prefix}x": F.col("location.x"), f"{prefix}y": F.col("location.y")})
 
     def fitted(value: str) -> Column:
-        slope = F.coalesce(F.regr_slope(value, "_t").over(frame), F.lit(0.0))
-        return F.avg(value).over(frame) + slope * (F.col("_t") - F.avg("_t").over(frame))
+        t = F.col(f"{prefix}t")
+        slope = F.coalesce(F.regr_slope(value, t).over(frame), F.lit(0.0))
+        return F.avg(value).over(frame) + slope * (t - F.avg(t).over(frame))
 
-    return (rows.withColumns({"predicted_x": fitted("_x"), "predicted_y": fitted("_y"),
-                              "n_points": F.count(F.lit(1)).over(frame)})
-            .drop("_origin", "_t", "_x", "_y"))
+    return (rows.withColumns({f"{prefix}predicted_x": fitted(f"{prefix}x"),
+                              f"{prefix}predicted_y": fitted(f"{prefix}y"),
+                              f"{prefix}n_points": F.count(F.lit(1)).over(frame)})
+            .drop(*[f"{prefix}{c}" for c in ("origin", "t", "x", "y")]))
 
 
 def fit_of_recent(recent: Column, value: str) -> Column:
@@ -53,9 +55,8 @@ def fit_of_recent(recent: Column, value: str) -> Column:
     return mean_v + slope * (seconds(F.element_at(recent, -1)) - mean_t)
 
 
-def prediction_error(px: Column | None = None, py: Column | None = None) -> Column:
-    dx = F.col("location.x") - (F.col("predicted_x") if px is None else px)
-    dy = F.col("location.y") - (F.col("predicted_y") if py is None else py)
+def prediction_error(px: Column, py: Column) -> Column:
+    dx, dy = F.col("location.x") - px, F.col("location.y") - py
     return F.sqrt(dx * dx + dy * dy)
 
 
@@ -81,20 +82,18 @@ def adaptive_geo(section: str, params: tuple):
     size, t1, t2, epsilon, alpha, beta = params[:6]
     seed = params[6] if len(params) > 6 else 0
 
-    def compute(rows, ordered, whole, out, ready):
-        rows = predict_positions(rows, ordered, whole, size)
-        error = F.col("_error")
-        rows = rows.withColumn("_error", prediction_error())
+    def moved(px: Column, py: Column) -> Column:
+        error = prediction_error(px, py)
         level = privacy_level(error, t1, t2, epsilon, alpha, beta)
-        return rows.withColumns({
-            out: displaced(level, error, seed, F.col("vehicle_id"), F.col("event_id")),
-            ready: F.col("n_points") == size,
-        }).drop("_error", "predicted_x", "predicted_y", "n_points")
+        return displaced(level, error, seed, F.col("vehicle_id"), F.col("event_id"))
+
+    def compute(rows, ordered, whole, prefix):
+        rows = predict_positions(rows, ordered, whole, size, prefix)
+        value = moved(F.col(f"{prefix}predicted_x"), F.col(f"{prefix}predicted_y"))
+        return rows, value, F.col(f"{prefix}n_points") == size
 
     def of_recent(recent):
-        error = prediction_error(fit_of_recent(recent, "x"), fit_of_recent(recent, "y"))
-        level = privacy_level(error, t1, t2, epsilon, alpha, beta)
-        moved = displaced(level, error, seed, F.col("vehicle_id"), F.col("event_id"))
-        return moved, F.size(recent) == size
+        value = moved(fit_of_recent(recent, "x"), fit_of_recent(recent, "y"))
+        return value, F.size(recent) == size
 
     return WindowPet(size, ("location", "vehicle_id"), compute, of_recent)

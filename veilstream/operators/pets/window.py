@@ -24,10 +24,12 @@ def sliding_mean(section: str, params: tuple):
     from veilstream.operators.pets import WindowPet
     (size,) = params
 
-    def compute(rows, ordered, whole, out, ready):
+    def compute(rows, ordered, whole, prefix):
         frame = ordered.rowsBetween(-(size - 1), 0)
-        return rows.withColumns({out: F.avg("scalar").over(frame),
-                                 ready: F.count(F.lit(1)).over(frame) == size})
+        mean, count = f"{prefix}mean", f"{prefix}count"
+        rows = rows.withColumns({mean: F.avg("scalar").over(frame),
+                                 count: F.count(F.lit(1)).over(frame)})
+        return rows, F.col(mean), F.col(count) == size
 
     def of_recent(recent):
         total = F.aggregate(recent, F.lit(0.0), lambda acc, r: acc + r["scalar"])
@@ -41,12 +43,12 @@ def sliding_median(section: str, params: tuple):
     from veilstream.operators.pets import WindowPet
     (size,) = params
 
-    def compute(rows, ordered, whole, out, ready):
+    def compute(rows, ordered, whole, prefix):
         frame = ordered.rowsBetween(-(size - 1), 0)
-        held = f"_held_{out}"
+        held, count = f"{prefix}held", f"{prefix}count"
         rows = rows.withColumns({held: F.collect_list("scalar").over(frame),
-                                 ready: F.count(F.lit(1)).over(frame) == size})
-        return rows.withColumn(out, lower_middle(F.col(held))).drop(held)
+                                 count: F.count(F.lit(1)).over(frame)})
+        return rows, lower_middle(F.col(held)), F.col(count) == size
 
     def of_recent(recent):
         return lower_middle(F.transform(recent, lambda r: r["scalar"])), F.size(recent) == size

@@ -177,7 +177,7 @@ def predicted_positions(spark, sf_dir):
 
 @query(geo_sql("SELECT event_id, round(error, 3) AS error, round(level, 6) AS level FROM levelled"))
 def privacy_levels(spark, sf_dir):
-    error = geo.prediction_error()
+    error = geo.prediction_error(F.col("predicted_x"), F.col("predicted_y"))
     return _predicted(spark, sf_dir).select(
         "event_id", F.round(error, 3).alias("error"),
         F.round(geo.privacy_level(error, 9.6, 27.0, 0.1, 0.1, 5.0), 6).alias("level"))
