@@ -64,12 +64,13 @@ def in_polygon(x: Column, y: Column, xs, ys) -> Column:
         if start[1] != end[1]
     ]
     if not crossings:
-        return F.lit(False) & x.isNotNull() & y.isNotNull()
+        return F.when(x.isNotNull() & y.isNotNull(), F.lit(False))
     box = (
         (x >= min(c[0] for c in corners)) & (x <= max(c[0] for c in corners))
         & (y >= min(c[1] for c in corners)) & (y <= max(c[1] for c in corners))
     )
-    return box & (reduce(operator.add, crossings) != 0)
+    # A missing position gives null, which neither IN nor OUT_OF may turn into a hit.
+    return F.when(x.isNotNull() & y.isNotNull(), box & (reduce(operator.add, crossings) != 0))
 
 
 def _crossing(x: Column, y: Column, start, end) -> Column:

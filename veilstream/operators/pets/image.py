@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,13 +124,14 @@ def redact_frames(frames: DataFrame, mode: str, priorities: Sequence[int] = CLAS
     def redact(batches):
         for batch in batches:
             done = []
-            for row in batch.itertuples(index=False):
-                pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(
-                    row.height, row.width, row.n_channels).astype(float)
-                classes = np.asarray(row.classes, dtype=np.int64).reshape(
-                    row.class_height, row.class_width)
-                out = redact_array(pixels, classes, mode, priorities, threshold, grid, box)
+            columns = [batch.column(c).to_pylist() for c in (
+                "height", "width", "n_channels", "data", "class_height", "class_width", "classes")]
+            for height, width, channels, data, class_height, class_width, classes in zip(*columns):
+                pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+                class_map = np.asarray(classes, dtype=np.int64).reshape(class_height, class_width)
+                out = redact_array(pixels.astype(float), class_map, mode, priorities, threshold,
+                                   grid, box)
                 done.append(np.rint(out).astype(np.uint8).tobytes())
-            yield batch.assign(processed_data=done)
+            yield batch.append_column("processed_data", pa.array(done, pa.binary()))
 
-    return frames.mapInPandas(redact, schema)
+    return frames.mapInArrow(redact, schema)

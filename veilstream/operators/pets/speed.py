@@ -8,7 +8,9 @@ that holds too many rows for one task is cut into time slices that run side by s
 
 The loop stops when every assumed start equals the predecessor's end, so the result is the one a
 single sequential pass gives. A corridor forgets its start after few rows (at the latest when a gap
-opens it to the full range), so two passes are usual. Passes only rerun the slices that changed.
+opens it to the full range), so two passes are usual. Passes only rerun the slices that changed. A key
+that has not settled after a few passes (a corridor of almost no width never forgets) is run through in
+order from its first unsettled slice on, still row by row and without holding the key in memory.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,10 @@ from veilstream.operators.timeline import SlicePlan
 from veilstream.session import cut_lineage
 
 
+PASSES = 5
+START = ("_start_value", "_start_ms")
+
+
 @dataclass(frozen=True)
 class Corridor:
     """Parameters of the speed anonymiser; ``sampler`` is ``beta`` or ``mode`` (no noise)."""
@@ -99,33 +105,27 @@ def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
     Rows are sorted inside their partition and streamed through Python batch by batch: no key has to
     fit into memory, and many small keys share one batch.
     """
+    keys = list(keys)
     work = df.withColumns({"_value": value,
                            "_draw": row_seed(seed, F.col("vehicle_id"), F.col("generate_ms"))})
     result = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     if not plan.sliced:
-        return _in_time_order(work, keys, order).mapInPandas(
-            _runner(make, keys, df.columns, out, order), result)
+        return _in_time_order(work, keys, order).mapInArrow(
+            _outputs(make, keys, df.columns, out, order), result)
     rows = cut_lineage(plan.assign(work))
-    cold = _in_time_order(rows.where(~F.col("_hot")), keys, order).mapInPandas(
-        _runner(make, keys, df.columns, out, order), result)
+    cold = _in_time_order(rows.where(~F.col("_hot")), keys, order).mapInArrow(
+        _outputs(make, keys, df.columns, out, order), result)
     hot = rows.where("_hot")
     sliced = [*keys, "_slice"]
     starts = _settle_starts(hot, make, keys, order)
-    done = _in_time_order(_with_starts(hot, starts, keys), sliced, order).mapInPandas(
-        _runner(make, sliced, df.columns, out, order), result)
+    done = _in_time_order(hot.join(starts, sliced), sliced, order).mapInArrow(
+        _outputs(make, sliced, df.columns, out, order), result)
     return cold.unionByName(done)
 
 
 def _in_time_order(rows: DataFrame, keys, order) -> DataFrame:
-    """All rows of a key in one partition, one key after the other (seed rows first)."""
-    return rows.repartition(*keys).sortWithinPartitions(
-        *keys, *[F.asc_nulls_first(c) for c in order])
-
-
-def _with_starts(rows: DataFrame, starts: DataFrame, keys) -> DataFrame:
-    seeds = starts.select(*keys, "_slice", F.col("start_value").alias("_value"),
-                          F.col("start_ms").alias("_start_ms"), F.lit(True).alias("_seed"))
-    return rows.unionByName(seeds, allowMissingColumns=True)
+    """All rows of a key in one partition, one key after the other."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
@@ -134,71 +134,104 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
     slices = Window.partitionBy(*keys).orderBy("_slice")
     spans = hot.groupBy(*keys, "_slice").agg(F.max(order[0]).alias("end_ms"))
     starts = cut_lineage(spans.select(
-        *keys, "_slice", F.lag("end_ms").over(slices).alias("start_ms"),
-        F.lit(None).cast("double").alias("start_value")))
+        *keys, "_slice", F.lag("end_ms").over(slices).alias("_start_ms"),
+        F.lit(None).cast("double").alias("_start_value")))
     end_type = T.StructType([*[hot.schema[k] for k in keys], T.StructField("_slice", T.LongType()),
                              T.StructField("end_value", T.DoubleType())])
     todo, ends = starts, None
-    while True:
-        rerun = hot.join(todo.select(*keys, "_slice"), sliced, "left_semi")
-        fresh = _in_time_order(_with_starts(rerun, todo, keys), sliced, order).mapInPandas(
-            _runner(make, sliced, sliced, None, order), end_type)
+    for attempt in range(PASSES + 1):
+        if attempt < PASSES:
+            rows = _in_time_order(hot.join(todo, sliced), sliced, order)
+            rerun, reset = todo, sliced
+        else:
+            # Keys that still depend on their start: run through the rest of them in order.
+            first = todo.groupBy(*keys).agg(
+                F.min("_slice").alias("_from"),
+                F.min_by(F.struct(*START), "_slice").alias("_start"))
+            rest = hot.join(first.select(*keys, "_from", "_start.*"), keys)
+            rest = rest.where(F.col("_slice") >= F.col("_from"))
+            rows, reset = _in_time_order(rest, keys, order), keys
+            rerun = rest.select(*sliced).distinct()
+        fresh = rows.mapInArrow(_ends(make, reset, sliced, order), end_type)
         if ends is not None:
-            kept = ends.join(todo.select(*keys, "_slice"), sliced, "left_anti")
-            fresh = kept.unionByName(fresh)
+            fresh = ends.join(rerun, sliced, "left_anti").unionByName(fresh)
         ends = cut_lineage(fresh)
-        wanted = ends.select(*keys, "_slice", F.lag("end_value").over(slices).alias("wanted"))
+        wanted = ends.select(*keys, "_slice", F.lag("end_value").over(slices).alias("_wanted"))
         compared = cut_lineage(starts.join(wanted, sliced))
-        starts = compared.select(*keys, "_slice", "start_ms", F.col("wanted").alias("start_value"))
-        todo = (compared.where(~F.col("start_value").eqNullSafe(F.col("wanted")))
-                .select(*keys, "_slice", "start_ms", F.col("wanted").alias("start_value")))
+        settled = F.col("_start_value").eqNullSafe(F.col("_wanted"))
+        starts = compared.select(*sliced, "_start_ms", F.col("_wanted").alias("_start_value"))
+        todo = compared.where(~settled).select(*sliced, "_start_ms",
+                                               F.col("_wanted").alias("_start_value"))
         if todo.isEmpty():
-            return starts
+            break
+    return starts
 
 
-def _runner(make, keys, columns, out, order):
-    """A function over sorted batches. It yields all rows with their output, or, if ``out`` is None,
-    the end value of every key. A seed row gives the state to start from."""
-    keys, columns, time = list(keys), list(columns), order[0]
+def _steps(batch: pa.RecordBatch, keys, order):
+    """Rows of a batch as Python values: identity, start state, value, time and draw."""
+    def values(name):
+        return batch.column(name).to_pylist()
+
+    starts = [(None, None)] * batch.num_rows
+    if START[1] in batch.schema.names:
+        starts = zip(*(values(name) for name in START))
+    return zip(zip(*(values(k) for k in keys)), starts, values("_value"), values(order[0]),
+               values("_draw"))
+
+
+def _outputs(make, keys, columns, out, order):
+    """Sorted Arrow batches -> the same rows with their output. A row's start columns, if there are
+    any, give the state to start its key from."""
+    keys, columns, order = list(keys), list(columns), list(order)
 
     def run(batches):
-        key, state, step = None, None, None
+        key = None
         for batch in batches:
-            identities = list(zip(*(batch[k].tolist() for k in keys)))
-            seeds = batch["_seed"].notna().tolist() if "_seed" in batch else [False] * len(batch)
-            starts = batch["_start_ms"].tolist() if "_seed" in batch else seeds
-            outputs, ended = [], []
-            for identity, seed_row, start, value, ms, draw in zip(
-                    identities, seeds, starts, batch["_value"].tolist(), batch[time].tolist(),
-                    batch["_draw"].tolist()):
+            outputs = []
+            for identity, start, value, ms, draw in _steps(batch, keys, order):
                 if identity != key:
-                    if out is None and key is not None:
-                        ended.append((*key, state[0]))
                     key = identity
                     state, step = make()
-                if seed_row:
-                    if start == start and start is not None:
-                        state = (None if value != value else value, int(start))
-                    outputs.append(None)
-                    continue
-                state, result = step(state, value, int(ms), int(draw))
+                    state = state if start[1] is None else start
+                state, result = step(state, value, ms, draw)
                 outputs.append(result)
-            if out is None:
-                yield pd.DataFrame(ended, columns=[*keys, "end_value"])
-            else:
-                done = batch[columns].assign(**{out: outputs})
-                if any(seeds):
-                    done = done[batch["_seed"].isna()]
-                    for name in columns:
-                        if done[name].dtype == float and name in order:
-                            done[name] = done[name].astype("int64")
-                yield done
-        if out is None and key is not None:
-            yield pd.DataFrame([(*key, state[0])], columns=[*keys, "end_value"])
+            yield batch.select(columns).append_column(out, pa.array(outputs, pa.float64()))
+
+    return run
+
+
+def _ends(make, reset, sliced, order):
+    """Sorted Arrow batches -> every slice with the value it ends with; the state starts anew with
+    every new value of the ``reset`` columns (the slice, or the key)."""
+    sliced, order, width = list(sliced), list(order), len(list(reset))
+
+    def run(batches):
+        at, ends, types = None, [], None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in sliced] + [pa.float64()]
+            for identity, start, value, ms, draw in _steps(batch, sliced, order):
+                if identity != at:
+                    if at is not None:
+                        ends.append((*at, state[0]))
+                    if at is None or identity[:width] != at[:width]:
+                        state, step = make()
+                        state = state if start[1] is None else start
+                    at = identity
+                state, _ = step(state, value, ms, draw)
+            yield _table(ends, types, sliced)
+            ends = []
+        if at is not None:
+            yield _table([(*at, state[0])], types, sliced)
 
     return run
 
 
+def _table(rows, types, sliced) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
+                                      names=[*sliced, "end_value"])
+
+
 def speed_anonymizer(df: DataFrame, corridor: Corridor, plan: SlicePlan,
                      keys: Sequence[str] = ("vehicle_id",), seed=0,
                      out: str = "processed_scalar") -> DataFrame:
