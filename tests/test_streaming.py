@@ -162,19 +162,25 @@ def test_latest_context_on_a_stream(spark, sf_dir, tmp_path):
     assert bag(spark.table("latest"), *columns) == bag(latest_context(df), *columns)
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    source = str(tmp_path / "in")
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    """The third row comes when the first, which is later, has been released."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
     columns = "app string, vehicle_id long, section string, event_id long, generate_ms long, scalar double"
-    for i, ms in enumerate((10_000_000, 1_000)):
+    rules = [Rule("app1", "speed", 1, 1, _speed_rule("GREATER", 0), pet_json("none"))]
+    late = 0
+    for i, ms in enumerate((10_000_000, 11_000_000, 1_000, 12_000_000, FAR)):
         spark.createDataFrame([("app1", 1, "speed", i, ms, 5.0)], columns).coalesce(1).write.mode(
             "append").parquet(source)
-    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
-    rules = [Rule("app1", "speed", 1, 1, _speed_rule("GREATER", 0), pet_json("none"))]
-    query = (in_order.enforce_stream(stream, rules, "speed", "1 second").writeStream.format("parquet")
-             .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert in_order.late_rows(query) == 1
+        stream = spark.readStream.schema(columns).parquet(source)
+        query = (in_order.enforce_stream(stream, rules, "speed", "1 second", keep_late=True)
+                 .writeStream.format("parquet").partitionBy("is_late").option("path", out)
+                 .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        late += in_order.late_rows(query)
+    got = spark.read.parquet(out)
+    assert sorted(r.event_id for r in got.where("is_late = 'false'").collect()) == [0, 1, 3]
+    marked = [r.event_id for r in got.where("is_late = 'true'").collect()]
+    assert late + len(marked) == 1 and set(marked) <= {2}
 
 
 def test_pets_without_a_stream_form_are_refused(spark):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,15 +103,16 @@ def for_defined_sections(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def for_undefined_sections(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rows that ``for_defined_sections`` drops, as a report."""
-    return df.where(~_in_scope(rules))
+    return df.where(~F.coalesce(_in_scope(rules), F.lit(False)))
 
 
 def _in_scope(rules: Sequence[Rule]) -> Column:
-    pairs = sorted({(r.app, r.section) for r in rules})
-    scope = F.lit(False)
-    for app, section in pairs:
-        scope = scope | ((F.col("app") == app) & (F.col("section") == section))
-    return F.coalesce(scope, F.lit(False))
+    sections: dict[str, set[str]] = {}
+    for rule in rules:
+        sections.setdefault(rule.app, set()).add(rule.section)
+    scopes = [(F.col("app") == app) & F.col("section").isin(*sorted(own))
+              for app, own in sorted(sections.items())]
+    return reduce(lambda a, b: a | b, scopes) if scopes else F.lit(False)
 
 
 def detect_switches(df: DataFrame, plan: SlicePlan,

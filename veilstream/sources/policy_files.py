@@ -15,7 +15,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """All files of a folder as ``name, text``."""
-    return (spark.read.option("wholetext", True).text(folder)
+    return (spark.read.text(folder, wholetext=True)
             .select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")))
 
 

@@ -7,7 +7,11 @@ it applies to, and a restart continues from the state store.
 
 Rules are evaluated before the operator and transformations after it, both as Columns in the JVM. The
 operator itself only tracks which rule or decision is in force and the last few values, which it hands
-on as an array. Rows behind the watermark are dropped by Spark and counted in the query's progress.
+on as an array.
+
+A row that comes when later rows of its key have already been released is *late*. Spark may drop it
+(``late_rows`` counts those); otherwise the operator marks it, and it is left out of the output or kept
+apart (``keep_late=True``, then write with ``partitionBy("is_late")``). It never changes state.
 """
 
 from __future__ import annotations
@@ -37,13 +41,15 @@ HELD = T.StructType([T.StructField("generate_ms", T.LongType()), T.StructField("
 CURRENT = T.StructType([T.StructField("cause", T.StringType()), T.StructField("label", T.StringType()),
                         T.StructField("since_event_id", T.LongType()),
                         T.StructField("step_value", T.DoubleType()),
-                        T.StructField("step_ms", T.LongType())])
+                        T.StructField("step_ms", T.LongType()),
+                        T.StructField("last_ms", T.LongType()), T.StructField("last_id", T.LongType())])
 RELEASED = T.StructType([
     T.StructField("app", T.StringType()), T.StructField("vehicle_id", T.LongType()),
     T.StructField("section", T.StringType()), T.StructField("event_id", T.LongType()),
     *RECENT.fields, T.StructField("cause", T.StringType()), T.StructField("pet_label", T.StringType()),
     T.StructField("since_event_id", T.LongType()), T.StructField("is_switch", T.BooleanType()),
-    T.StructField("stepped", T.DoubleType()), T.StructField("recent", T.ArrayType(RECENT))])
+    T.StructField("stepped", T.DoubleType()), T.StructField("recent", T.ArrayType(RECENT)),
+    T.StructField("is_late", T.BooleanType())])
 
 
 class InOrder(StatefulProcessor):
@@ -89,11 +95,17 @@ class InOrder(StatefulProcessor):
         return iter([self._release(key, sorted(due, key=lambda row: row[:3]))])
 
     def _release(self, key, rows: list[tuple]) -> pd.DataFrame:
-        state = self.current.get() if self.current.exists() else (None, None, None, None, None)
-        cause, label, since, step_value, step_ms = state
+        state = self.current.get() if self.current.exists() else (None,) * len(CURRENT)
+        cause, label, since, step_value, step_ms, last_ms, last_id = state
         recent = [tuple(row) for row in self.recent.get()] if self.recent.exists() else []
         released = []
         for ms, event_id, kind, new_cause, new_label, seed, scalar, x, y in rows:
+            if last_ms is not None and (ms, event_id) < (last_ms, last_id):
+                if kind == 1:
+                    released.append((*key, event_id, ms, scalar, x, y, None, None, None, False, None,
+                                     [], True))
+                continue
+            last_ms, last_id = ms, event_id
             switch = new_cause is not None and new_cause != cause
             if switch:
                 cause, label, since = new_cause, new_label, event_id
@@ -107,8 +119,8 @@ class InOrder(StatefulProcessor):
                 before = initial if step_ms is None else (step_value, step_ms)
                 (step_value, step_ms), stepped = step(before, scalar, int(ms), int(seed))
             released.append((*key, event_id, ms, scalar, x, y, cause, label, since, switch, stepped,
-                             [dict(zip(RECENT.names, r)) for r in recent]))
-        self.current.update((cause, label, since, step_value, step_ms))
+                             [dict(zip(RECENT.names, r)) for r in recent], False))
+        self.current.update((cause, label, since, step_value, step_ms, last_ms, last_id))
         if recent:
             self.recent.put(recent)
         out = pd.DataFrame(released, columns=RELEASED.names)
@@ -166,20 +178,20 @@ def decide_stream(readings: DataFrame, rules: Sequence[Rule], delay: str = "10 m
     entries = [F.lit(v) for (a, s, n), p in priorities.items() for v in (f"{a}|{s}|{n}", p)]
     priority = F.try_element_at(F.create_map(*entries), F.concat_ws("|", "app", "section", "cause"))
     current = F.struct(priority.alias("priority"), F.col("cause").cast("int").alias("rule_no"))
-    return decisions(released.withColumn("current", current), rules)
+    return decisions(released.where(~F.col("is_late")).withColumn("current", current), rules)
 
 
 def enforce_stream(readings: DataFrame, rules: Sequence[Rule], section: str,
-                   delay: str = "10 minutes") -> DataFrame:
+                   delay: str = "10 minutes", keep_late: bool = False) -> DataFrame:
     """Readings of one section under the PET in force; decides and enforces in one operator, so a
     decision cannot arrive after the record that caused it."""
     mine = [r for r in rules if r.section == section]
     specs = distinct_specs(r.spec for r in mine)
-    return _enforced(caused_by_rules(readings, mine), specs, section, delay)
+    return _enforced(caused_by_rules(readings, mine), specs, section, delay, keep_late)
 
 
 def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, section: str,
-                           delay: str = "10 minutes") -> DataFrame:
+                           delay: str = "10 minutes", keep_late: bool = False) -> DataFrame:
     """The same under decisions that arrive as a stream of their own. Readings wait until the
     watermark has passed them, so a decision may come later than the records it applies to."""
     from veilstream.functions.mathx import row_seed
@@ -191,10 +203,11 @@ def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, secti
         F.col("trigger_event_id").alias("event_id"), F.lit(0).alias("kind"),
         F.col("decision_id").alias("cause"), F.col("pet_label").alias("label"),
         F.lit(0).cast("long").alias("seed"))
-    return _enforced(rows.unionByName(causes, allowMissingColumns=True), specs, section, delay)
+    both = rows.unionByName(causes, allowMissingColumns=True)
+    return _enforced(both, specs, section, delay, keep_late)
 
 
-def _enforced(rows: DataFrame, specs, section: str, delay: str) -> DataFrame:
+def _enforced(rows: DataFrame, specs, section: str, delay: str, keep_late: bool) -> DataFrame:
     built = [(s.label, *build_pet(s, section)) for s in distinct_specs(specs)]
     size = max([pet.size for _, _, pet in built if isinstance(pet, WindowPet)], default=1)
     steps = {label: pet.make for label, _, pet in built if isinstance(pet, StepPet)}
@@ -214,8 +227,11 @@ def _enforced(rows: DataFrame, specs, section: str, delay: str) -> DataFrame:
         here = F.col("pet_label") == label
         value, ready = value.when(here, column), ready.when(here, is_ready)
     out = processed_column(section)
-    return (released.where(F.coalesce(ready, F.lit(False))).withColumn(out, value)
-            .select(*KEYS, "event_id", "generate_ms", "pet_label", "since_event_id", out))
+    wanted = F.coalesce(ready, F.lit(False))
+    columns = [*KEYS, "event_id", "generate_ms", "pet_label", "since_event_id", out]
+    if keep_late:
+        return released.where(wanted | F.col("is_late")).withColumn(out, value).select(*columns, "is_late")
+    return released.where(wanted & ~F.col("is_late")).withColumn(out, value).select(*columns)
 
 
 def dedupe_stream(readings: DataFrame, delay: str = "10 minutes",
@@ -243,9 +259,10 @@ def evaluate_with_latest_policy(policy_path: str, out_path: str):
     return write
 
 
-def enforce_caused_stream(caused: DataFrame, specs, section: str, delay: str = "10 minutes") -> DataFrame:
+def enforce_caused_stream(caused: DataFrame, specs, section: str, delay: str = "10 minutes",
+                          keep_late: bool = False) -> DataFrame:
     """Enforcement of rows that carry their cause already."""
-    return _enforced(caused, specs, section, delay)
+    return _enforced(caused, specs, section, delay, keep_late)
 
 
 def run_available(df: DataFrame, out_path: str, checkpoint: str) -> None:
