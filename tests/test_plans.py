@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veilstream.operators.pets.dummies import rank_places
 from veilstream.operators.policy import for_defined_sections, rule_table, rules_of, winning_rule
 from veilstream.operators.timeline import SlicePlan, plan_slices
 from veilstream.plans import pipelines
@@ -61,13 +62,17 @@ def test_no_python_and_no_cartesian_product(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_single_task_only_for_distinct_amounts(spark, sf_dir):
-    """Nothing is gathered into one partition except the few offsets of the place ranking."""
+def test_nothing_is_gathered_into_one_partition(spark, sf_dir):
+    """Except the sizes of distinct amounts, as long as they are fewer than one slice holds."""
     for name, query in registered()[0].items():
-        if name in WITH_PYTHON or name.startswith("streamed_"):
-            continue
-        if "Exchange SinglePartition" in plan_of(query(spark, sf_dir)):
-            assert name.startswith("ranked_places"), name
+        if name not in WITH_PYTHON and not name.startswith(("streamed_", "ranked_places")):
+            assert "Exchange SinglePartition" not in plan_of(query(spark, sf_dir)), name
+
+
+def test_many_distinct_amounts_are_sliced(spark):
+    places = spark.range(500).select(F.col("id").alias("place_id"), F.col("id").alias("amount"))
+    assert "Exchange SinglePartition" in plan_of(rank_places(places))
+    assert "Exchange SinglePartition" not in plan_of(rank_places(places, target_rows=50))
 
 
 def test_hot_vehicle_is_spread(spark, sf_dir):

@@ -14,30 +14,34 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.functions.mathx import row_seed
-from veilstream.operators.timeline import SlicePlan, Timeline, plan_slices
+from veilstream.operators.timeline import TARGET_ROWS, SlicePlan, Timeline, plan_slices
+from veilstream.session import cut_lineage
 
 REJECTION_ROUNDS = 64
 ENUMERABLE = 1_000_000
 REQUESTS_PER_TASK = 50_000
 
 
-def rank_places(places: DataFrame, plan: SlicePlan | None = None) -> DataFrame:
+def rank_places(places: DataFrame, plan: SlicePlan | None = None,
+                target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``rank`` (from 0) by (``amount``, ``place_id``).
 
     A global row number would run in one task. Instead places are numbered within their amount
-    (sliced by ``place_id`` if many share one amount), and offset by the number of places with a lower
-    amount. There are few distinct amounts: a sum of n distinct amounts is at least n(n-1)/2.
+    (sliced by ``place_id`` if many share one amount) and offset by the number of places with a lower
+    amount, a running sum over the distinct amounts that is itself sliced if there are many.
     """
     if plan is None:
-        plan = plan_slices(places, key="amount", time="place_id")
+        plan = plan_slices(places, key="amount", time="place_id", target_rows=target_rows)
     numbered = Timeline(["amount"], ["place_id"], plan).number(places, "_n")
-    below = Window.orderBy("amount").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (places.groupBy("amount").agg(F.count(F.lit(1)).alias("_places"))
-               .select("amount", F.coalesce(F.sum("_places").over(below), F.lit(0)).alias("_below")))
+    sizes = (places.groupBy("amount").agg(F.count(F.lit(1)).alias("_places"))
+             .withColumn("_all", F.lit(0).cast("long")))
+    all_amounts = plan_slices(sizes, key="_all", time="amount", target_rows=target_rows)
+    sums = Timeline(["_all"], ["amount"], all_amounts).running_sum(sizes, {"_upto": F.col("_places")})
+    offsets = sums.select("amount", (F.col("_upto") - F.col("_places")).alias("_below"))
     return (numbered.join(offsets, "amount")
             .withColumn("rank", F.col("_below") + F.col("_n") - 1).drop("_below", "_n"))
 
@@ -217,8 +221,10 @@ def dummy_locations(requests: DataFrame, ranked: DataFrame, k: int, m: int, gamm
 
     ``requests`` has ``request_id, place_id``; ``ranked`` comes from ``rank_places``. The candidate
     sets of a request are drawn and compared inside one Arrow batch, so only the chosen ranks move.
-    A request is a few bytes but much work, so requests are spread by count and not by bytes.
+    A request is a few bytes but much work, so requests are spread by count and not by bytes. The
+    ranks are needed three times; they are written once, so that visits are not counted again.
     """
+    ranked = cut_lineage(ranked)
     places = ranked.count()
     if not 2 <= k <= places:
         raise ValueError(f"k must be between 2 and the number of places ({places}), not {k}")
@@ -234,8 +240,3 @@ def dummy_locations(requests: DataFrame, ranked: DataFrame, k: int, m: int, gamm
                            F.col("chosen.trial").alias("trial"),
                            F.posexplode("chosen.ranks").alias("slot", "rank"))
     return spread.join(ranked, "rank")
-
-
-def place_entropy(shares: Column) -> Column:
-    from veilstream.functions.mathx import entropy
-    return entropy(shares)

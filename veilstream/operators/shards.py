@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.operators.timeline import SlicePlan, Timeline
@@ -37,10 +37,9 @@ def interleave(df: DataFrame, shard: str, shards: int, order: Sequence[str], pla
     Adds the emission number. Completeness is checked per ordinal, which spreads over all tasks.
     """
     numbered = Timeline([shard], order, plan).number(df, "_n")
-    complete = (numbered.groupBy("_n").agg(F.count(F.lit(1)).alias("_have"))
-                .where(F.col("_have") == shards).select("_n"))
-    return (numbered.join(complete, "_n", "left_semi")
-            .withColumn(name, (F.col("_n") - 1) * shards + F.col(shard)).drop("_n"))
+    round_size = F.count(F.lit(1)).over(Window.partitionBy("_n"))
+    return (numbered.withColumn("_have", round_size).where(F.col("_have") == shards)
+            .withColumn(name, (F.col("_n") - 1) * shards + F.col(shard)).drop("_n", "_have"))
 
 
 def round_robin(df: DataFrame, shards: int, order: Sequence[str], plan: SlicePlan,
