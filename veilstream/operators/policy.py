@@ -7,7 +7,7 @@ winning rule needs an ordered window.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +18,7 @@ from veilstream.functions.petspec import PetSpec
 from veilstream.functions.predicates import compile_predicate
 from veilstream.operators.context import ORDER
 from veilstream.operators.timeline import SlicePlan, Timeline
+from veilstream.schemas import POLICY
 
 MAX_RULES = 10_000
 
@@ -47,7 +48,6 @@ def rules_of(policy: DataFrame) -> list[Rule]:
 
 
 def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:
-    from veilstream.schemas import POLICY
     return spark.createDataFrame(
         [(r.app, r.section, r.rule_no, r.priority, r.predicate, r.pet) for r in rules], POLICY)
 
@@ -80,18 +80,21 @@ def winning_rule(df: DataFrame, rules: Sequence[Rule], scalars: Mapping[str, Col
                  x: Column | None = None, y: Column | None = None) -> DataFrame:
     """Add ``winner``: the satisfied rule with the smallest (priority, rule_no), or null.
 
-    Rules are tried from the highest priority down, so evaluation stops at the first hit.
+    Rules are tried from the highest priority down, so evaluation stops at the first hit. ``index`` is
+    the rule's place among all rules, by which its texts are looked up.
     """
     if scalars is None:
         scalars, x, y = context_columns(df.columns)
     winner = None
+    index = {rule: i for i, rule in enumerate(in_order(rules))}
     for rule in sorted(rules, key=lambda r: (r.priority, r.rule_no)):
         scope = (F.col("app") == rule.app) & (F.col("section") == rule.section)
         hit = scope & compile_predicate(rule.predicate, scalars, x, y)
-        value = F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.rule_no).alias("rule_no"))
+        value = F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.rule_no).alias("rule_no"),
+                         F.lit(index[rule]).alias("index"))
         winner = F.when(hit, value) if winner is None else winner.when(hit, value)
     if winner is None:
-        winner = F.lit(None).cast("struct<priority:int,rule_no:int>")
+        winner = F.lit(None).cast("struct<priority:int,rule_no:int,index:int>")
     return df.withColumn("winner", winner)
 
 
@@ -130,13 +133,14 @@ def detect_switches(df: DataFrame, plan: SlicePlan,
     })
 
 
-def rule_lookup(rules: Sequence[Rule], of: Mapping[tuple, str]) -> Column:
-    """A text looked up by (app, section, rule_no) of the row's ``current`` rule."""
-    entries = []
-    for (app, section, rule_no), text in of.items():
-        entries += [F.lit(f"{app}|{section}|{rule_no}"), F.lit(text)]
-    key = F.concat_ws("|", "app", "section", F.col("current.rule_no").cast("string"))
-    return F.try_element_at(F.create_map(*entries), key)
+def in_order(rules: Sequence[Rule]) -> list[Rule]:
+    """Rules in the order that ``index`` refers to."""
+    return sorted(rules, key=lambda r: (r.app, r.section, r.rule_no))
+
+
+def rule_lookup(rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
+    """A constant per rule, looked up by the ``index`` of the row's ``current`` rule."""
+    return F.try_element_at(F.array(*[value(r) for r in in_order(rules)]), F.col("current.index") + 1)
 
 
 def decision_id() -> Column:
@@ -150,20 +154,14 @@ def decisions(switched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     The affected sections are the PET's output sections, or the record's own section.
     """
-    by_key = {(r.app, r.section, r.rule_no): r for r in rules}
-    pet = rule_lookup(rules, {k: r.pet for k, r in by_key.items()})
-    label = rule_lookup(rules, {k: r.spec.label for k, r in by_key.items()})
-    entries = []
-    for (app, section, rule_no), r in by_key.items():
-        entries += [F.lit(f"{app}|{section}|{rule_no}"),
-                    F.array(*[F.lit(s) for s in (r.spec.outputs or (section,))])]
-    key = F.concat_ws("|", "app", "section", F.col("current.rule_no").cast("string"))
+    affected = rule_lookup(rules, lambda r: F.array(*[F.lit(s) for s in r.spec.outputs or (r.section,)]))
     return (switched.where("is_switch")
             .select(decision_id().alias("decision_id"), "app", "vehicle_id",
-                    F.explode(F.try_element_at(F.create_map(*entries), key)).alias("affected"),
+                    F.explode(affected).alias("affected"),
                     F.col("event_id").alias("trigger_event_id"),
                     F.col("generate_ms").alias("generation_ms"),
-                    pet.alias("pet"), label.alias("pet_label"),
+                    rule_lookup(rules, lambda r: F.lit(r.pet)).alias("pet"),
+                    rule_lookup(rules, lambda r: F.lit(r.spec.label)).alias("pet_label"),
                     F.col("current.priority").alias("priority"))
             .withColumnRenamed("affected", "section"))
 

@@ -26,8 +26,7 @@ def for_apps(readings: DataFrame, apps: Sequence[str]) -> DataFrame:
 
 def with_active_rule(switched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Label of the PET in force, straight from change detection: the switching record included."""
-    labels = {(r.app, r.section, r.rule_no): r.spec.label for r in rules}
-    return switched.withColumn("pet_label", rule_lookup(rules, labels))
+    return switched.withColumn("pet_label", rule_lookup(rules, lambda r: F.lit(r.spec.label)))
 
 
 def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,

@@ -71,3 +71,31 @@ def warmup_time(triggers: DataFrame, history: DataFrame, seconds: int) -> DataFr
     inside = ((F.col("generate_ms") > F.col("trigger_ms") - span)
               & (F.col("generate_ms") < F.col("trigger_ms")))
     return stored.join(asked, ["vehicle_id", "_bucket"]).where(inside).drop("_bucket")
+
+
+def warmup_totals(triggers: DataFrame, history: DataFrame, seconds: int, plan: SlicePlan,
+                  decimals: int = 6) -> DataFrame:
+    """``n`` and ``total`` of ``scalar`` over the same period before each trigger, without listing its
+    records: the difference of two running totals, so the work does not grow with the period.
+
+    Totals are kept in whole units of the last decimal, which makes them exact.
+    """
+    span, unit = seconds * 1000, 10 ** decimals
+    asked = triggers.select("vehicle_id", F.col("event_id").alias("trigger_event_id"),
+                            F.explode(F.array(
+                                # everything up to the lower bound, that bound included, is outside
+                                F.struct(F.lit(-1).alias("_sign"), F.lit(2).alias("_kind"),
+                                         (F.col("generate_ms") - span).alias("generate_ms")),
+                                # everything strictly before the trigger counts
+                                F.struct(F.lit(1).alias("_sign"), F.lit(0).alias("_kind"),
+                                         F.col("generate_ms")))).alias("_edge"))
+    edges = asked.select("vehicle_id", "trigger_event_id", "_edge.*")
+    stored = history.select("vehicle_id", "event_id", "generate_ms", F.lit(1).alias("_kind"),
+                            F.round(F.col("scalar") * unit).cast("long").alias("_units"))
+    line = Timeline(["vehicle_id"], ["generate_ms", "_kind", "event_id"], plan)
+    rows = line.running_sum(stored.unionByName(edges, allowMissingColumns=True), {
+        "_n": F.when(F.col("_kind") == 1, 1).otherwise(0),
+        "_total": F.coalesce("_units", F.lit(0))})
+    return (rows.where(F.col("_kind") != 1).groupBy("vehicle_id", "trigger_event_id")
+            .agg(F.sum(F.col("_sign") * F.col("_n")).alias("n"),
+                 (F.sum(F.col("_sign") * F.col("_total")) / unit).alias("total")))

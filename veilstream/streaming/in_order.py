@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from veilstream.operators.pets import StepPet, WindowPet, build_pet
-from veilstream.operators.policy import Rule, decisions, for_defined_sections, winning_rule
+from veilstream.functions.mathx import row_seed
 from veilstream.operators.enforce import distinct_specs, processed_column
+from veilstream.operators.pets import StepPet, WindowPet, build_pet
+from veilstream.operators.policy import (Rule, decisions, for_defined_sections, rule_lookup, rules_of,
+                                         winning_rule)
 
 KEYS = ("app", "vehicle_id", "section")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -161,24 +163,23 @@ def release_in_order(rows: DataFrame, delay: str, size: int, steps: dict) -> Dat
 
 def caused_by_rules(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Readings with the winning rule as their possible cause of a switch (narrow, in the JVM)."""
-    from veilstream.functions.mathx import row_seed
-    from veilstream.operators.policy import rule_lookup
     evaluated = winning_rule(for_defined_sections(readings, rules), rules)
-    labels = {(r.app, r.section, r.rule_no): r.spec.label for r in rules}
-    named = evaluated.withColumn("current", F.col("winner")).withColumns({
-        "label": rule_lookup(rules, labels), "cause": F.col("winner.rule_no").cast("string")})
-    return named.withColumns({"kind": F.lit(1),
+    named = evaluated.withColumn("current", F.col("winner"))
+    named = named.withColumn("label", rule_lookup(rules, lambda r: F.lit(r.spec.label)))
+    # The label is part of the cause: a new policy may give an old place in the list a new PET.
+    cause = F.concat(F.col("winner.index").cast("string"), F.lit("|"), F.col("label"))
+    return named.withColumns({"cause": cause, "kind": F.lit(1),
                               "seed": row_seed(0, F.col("vehicle_id"), F.col("generate_ms"))})
 
 
 def decide_stream(readings: DataFrame, rules: Sequence[Rule], delay: str = "10 minutes") -> DataFrame:
     """Switching decisions of a stream: the same rows that batch evaluation gives."""
     released = release_in_order(caused_by_rules(readings, rules), delay, 1, {})
-    priorities = {(r.app, r.section, str(r.rule_no)): r.priority for r in rules}
-    entries = [F.lit(v) for (a, s, n), p in priorities.items() for v in (f"{a}|{s}|{n}", p)]
-    priority = F.try_element_at(F.create_map(*entries), F.concat_ws("|", "app", "section", "cause"))
-    current = F.struct(priority.alias("priority"), F.col("cause").cast("int").alias("rule_no"))
-    return decisions(released.where(~F.col("is_late")).withColumn("current", current), rules)
+    index = F.substring_index("cause", "|", 1).cast("int")
+    named = released.where(~F.col("is_late")).withColumn("current", F.struct(index.alias("index")))
+    priority = rule_lookup(rules, lambda r: F.lit(r.priority))
+    named = named.withColumn("current", F.struct(priority.alias("priority"), F.col("current.index")))
+    return decisions(named, rules)
 
 
 def enforce_stream(readings: DataFrame, rules: Sequence[Rule], section: str,
@@ -194,7 +195,6 @@ def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, secti
                            delay: str = "10 minutes", keep_late: bool = False) -> DataFrame:
     """The same under decisions that arrive as a stream of their own. Readings wait until the
     watermark has passed them, so a decision may come later than the records it applies to."""
-    from veilstream.functions.mathx import row_seed
     rows = readings.withColumns({
         "kind": F.lit(1), "cause": F.lit(None).cast("string"), "label": F.lit(None).cast("string"),
         "seed": row_seed(0, F.col("vehicle_id"), F.col("generate_ms"))})
@@ -249,8 +249,6 @@ def evaluate_with_latest_policy(policy_path: str, out_path: str):
     their cause to ``out_path``; the stateful operator then reads that table as a stream
     (``enforce_caused_stream``). A repeated batch overwrites its own folder.
     """
-    from veilstream.operators.policy import rules_of
-
     def write(batch: DataFrame, batch_id: int) -> None:
         rules = rules_of(batch.sparkSession.read.parquet(policy_path))
         caused = caused_by_rules(batch, rules).drop("winner", "current", "satisfied")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilstream.operators.context import fan_out
+from veilstream.operators.timeline import Timeline
 from veilstream.sources import history, logs, policy_files, readings, traces
 from workload.fixtures import (context_of, k_of_props, mixed_readings, plan_for, query, skewed_plan,
                                skewed_readings, speed_readings, table, with_views)
@@ -111,7 +112,6 @@ def exported_speeds(spark, sf_dir):
 
 
 def _numbered(spark, sf_dir, kind, name):
-    from veilstream.operators.timeline import Timeline
     rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(
         F.col("user_id").alias("vehicle_id"), "event_id", "value",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("generate_ms"))
@@ -216,6 +216,33 @@ def warmup_period(spark, sf_dir):
     return history.warmup_time(triggers, rows, 86_400).select("trigger_event_id", "event_id")
 
 
+TOTALS_SQL = """
+SELECT t.event_id AS trigger_event_id, count(h.event_id) AS n,
+       round(coalesce(sum(h.scalar), 0), 4) AS total
+FROM speed_readings t JOIN events e ON e.event_id = t.event_id AND e.event_type = 'error'
+     LEFT JOIN speed_readings h ON h.vehicle_id = t.vehicle_id
+      AND h.generate_ms > t.generate_ms - 86400000 AND h.generate_ms < t.generate_ms
+GROUP BY t.event_id"""
+
+
+def _totals(spark, sf_dir, rows, plan):
+    triggers = rows.join(_error_events(spark, sf_dir), "event_id", "left_semi")
+    return history.warmup_totals(triggers, rows, 86_400, plan).select(
+        "trigger_event_id", "n", F.round("total", 4).alias("total"))
+
+
+@query(with_views("speed_readings", body=TOTALS_SQL))
+def warmup_totals(spark, sf_dir):
+    """Number and sum of the readings of the day before every trigger, without listing them."""
+    return _totals(spark, sf_dir, speed_readings(spark, sf_dir), plan_for(spark, sf_dir))
+
+
+@query(with_views("speed_readings", body=TOTALS_SQL, skewed=True))
+def warmup_totals_hot_vehicle(spark, sf_dir):
+    """The same when one vehicle holds a third of all rows."""
+    return _totals(spark, sf_dir, skewed_readings(spark, sf_dir), skewed_plan(spark, sf_dir))
+
+
 @query(with_views("contexts", body="""
 SELECT event_id, 'speed' AS section, v_ms AS generate_ms, v::VARCHAR AS original
 FROM contexts WHERE v_ms IS NOT NULL
