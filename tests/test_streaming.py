@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from veilstream.functions.petspec import PetSpec, pet_json
 from veilstream.operators.context import latest_context
+from veilstream.operators.enforce import enforce
 from veilstream.operators.policy import Rule, rule_table
 from veilstream.operators.timeline import SlicePlan
 from veilstream.plans import pipelines
 from veilstream.streaming import in_order
 from workload.enforce import FORCED
-from workload.fixtures import (GEO, LOCATION_RULES, SPEED_RULES, _speed_rule, forced_decisions, points,
+from workload.fixtures import (LOCATION_RULES, SPEED_RULES, _speed_rule, forced_decisions, points,
                                readings_of_app, speed_readings)
 
 PLAIN = SlicePlan("vehicle_id", "generate_ms")
@@ -102,7 +103,6 @@ def test_locations_and_recursive_noise(spark, sf_dir, tmp_path):
         stream = pipelines.for_apps(as_stream(spark, source, df.schema), ["app1"])
         in_order.run_available(in_order.enforce_stream(stream, own, section, "0 seconds"), out, checkpoint)
         active = pipelines.evaluate(pipelines.for_apps(df, ["app1"]), own, PLAIN)
-        from veilstream.operators.enforce import enforce
         batch = enforce(active, [r.spec for r in own], section, PLAIN)
         columns = ("vehicle_id", "event_id", "pet_label", "value")
         got = bag(spark.read.parquet(out).withColumn("value", value), *columns)

@@ -97,9 +97,10 @@ class InOrder(StatefulProcessor):
         return iter([self._release(key, sorted(due, key=lambda row: row[:3]))])
 
     def _release(self, key, rows: list[tuple]) -> pd.DataFrame:
-        state = self.current.get() if self.current.exists() else (None,) * len(CURRENT)
+        state = self.current.get() or (None,) * len(CURRENT)
         cause, label, since, step_value, step_ms, last_ms, last_id = state
-        recent = [tuple(row) for row in self.recent.get()] if self.recent.exists() else []
+        # Every access to state is a round trip; a frame of one row needs none for its history.
+        recent = [tuple(row) for row in self.recent.get()] if self.size > 1 else []
         released = []
         for ms, event_id, kind, new_cause, new_label, seed, scalar, x, y in rows:
             if last_ms is not None and (ms, event_id) < (last_ms, last_id):
@@ -123,7 +124,7 @@ class InOrder(StatefulProcessor):
             released.append((*key, event_id, ms, scalar, x, y, cause, label, since, switch, stepped,
                              [dict(zip(RECENT.names, r)) for r in recent], False))
         self.current.update((cause, label, since, step_value, step_ms, last_ms, last_id))
-        if recent:
+        if recent and self.size > 1:
             self.recent.put(recent)
         out = pd.DataFrame(released, columns=RELEASED.names)
         for field in RELEASED.fields:

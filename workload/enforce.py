@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 from veilstream.functions.petspec import PetSpec
 from veilstream.operators import enforce as enf
 from veilstream.operators import shards
-from veilstream.operators.timeline import plan_slices
 from veilstream.plans import pipelines
 from workload.fixtures import (AVERAGE, CLAMP, MIXED_RULES, NONE, SPEED_RULES, forced_decisions, millis,
                                mixed_readings, plan_for, query, readings_of_app, skewed_plan,
                                skewed_readings, speed_readings, table, with_views)
-from workload.transform import FRAME
 
 FORCED = [PetSpec.from_json(p) for p in (NONE, AVERAGE, CLAMP)]
 
