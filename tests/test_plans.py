@@ -94,3 +94,20 @@ def test_policies_are_bounded(spark, monkeypatch):
     with pytest.raises(ValueError):
         rules_of(rule_table(spark, SPEED_RULES))
     assert len(rules_of(rule_table(spark, SPEED_RULES[:3]))) == 3
+
+
+def test_all_policies_with_a_hot_vehicle(spark, sf_dir):
+    """Slices must not change what the whole pipeline publishes."""
+    df = mixed_readings(spark, sf_dir).withColumn(
+        "vehicle_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long"))
+        .otherwise(F.col("vehicle_id")))
+    plan = plan_slices(df, target_rows=20)
+    assert plan.sliced
+
+    def published(with_plan):
+        out = pipelines.run_policies(df, MIXED_RULES, with_plan)
+        return sorted(map(str, out.select(
+            "app", "section", "event_id", "pet_label", F.round("processed_scalar", 6),
+            F.round("processed_location.x", 4), F.hex("processed_image")).collect()))
+
+    assert published(plan) == published(PLAIN)

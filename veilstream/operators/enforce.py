@@ -62,19 +62,20 @@ def processed_column(section: str) -> str:
 
 
 def enforce(active: DataFrame, specs: Sequence[PetSpec], section: str, plan: SlicePlan,
-            keys: Sequence[str] = KEYS) -> DataFrame:
+            keys: Sequence[str] = KEYS, source: DataFrame | None = None) -> DataFrame:
     """Transform rows of one section by the PET named in ``pet_label``."""
-    return enforce_sections(active, {section: specs}, plan, keys)
+    return enforce_sections(active, {section: specs}, plan, keys, source)
 
 
 def enforce_sections(active: DataFrame, specs: Mapping[str, Sequence[PetSpec]], plan: SlicePlan,
-                     keys: Sequence[str] = KEYS) -> DataFrame:
+                     keys: Sequence[str] = KEYS, source: DataFrame | None = None) -> DataFrame:
     """Transform the rows of each section by the PET named in ``pet_label``, in one pass.
 
     Window PETs see the whole history of their section (which is what warming them up from the
     history store gives) and emit nothing while their frame is not full. Rows without a label count
     as history but are withheld. Step PETs start anew at every switch, so they run per (keys,
-    ``since_event_id``).
+    ``since_event_id``). ``source`` is the same rows as they were before evaluation, if that is
+    cheaper to read a second time.
     """
     built = [(section, s.label, *build_pet(s, section))
              for section, own in specs.items() for s in distinct_specs(own)]
@@ -92,7 +93,8 @@ def enforce_sections(active: DataFrame, specs: Mapping[str, Sequence[PetSpec]],
             return df
 
         line = Timeline(keys, ORDER, plan)
-        rows = line.last_rows(rows, max(pet.size for _, pet in windows), columns, compute)
+        rows = line.last_rows(rows, max(pet.size for _, pet in windows), columns, compute,
+                              source)
     values: dict[str, list] = {section: [] for section in specs}
     ready, steps = F.when(F.lit(False), F.lit(False)), []
     for i, (section, label, kind, pet) in enumerate(built):

@@ -142,12 +142,14 @@ class Timeline:
         return self.running_sum(df, {name: F.lit(1)})
 
     def last_rows(self, df: DataFrame, size: int, columns: Sequence[str],
-                  compute: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame]) -> DataFrame:
+                  compute: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame],
+                  source: DataFrame | None = None) -> DataFrame:
         """Columns over the frame of the last ``size`` rows including the current one.
 
         ``compute(rows, ordered, whole)`` adds the columns. ``ordered`` is the window without a frame
         (the caller sets ``rowsBetween(-(n - 1), 0)`` with ``n <= size``), ``whole`` the unordered
-        partition; ``columns`` names the inputs that it reads.
+        partition; ``columns`` names the inputs that it reads. ``source``, if given, has the same
+        rows and inputs before costly steps: trailing rows are taken from it.
         """
         whole = Window.partitionBy(*self.keys, *(["_slice"] if self.plan.sliced else []))
         if not self.plan.sliced:
@@ -157,7 +159,8 @@ class Timeline:
         latest = (Window.partitionBy(*self.keys, "_slice")
                   .orderBy(*[F.col(c).desc() for c in self.order]))
         keep = max(size - 1, 1)
-        tails = (rows.where("_hot").withColumn("_back", F.row_number().over(latest))
+        origin = rows if source is None else self.plan.assign(source)
+        tails = (origin.where("_hot").withColumn("_back", F.row_number().over(latest))
                  .where(F.col("_back") <= keep)
                  .groupBy(*self.keys, "_slice")
                  .agg(F.sort_array(F.collect_list(F.struct(*needed))).alias("_tail")))

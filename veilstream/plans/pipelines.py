@@ -50,16 +50,17 @@ def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,
 def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
     """Speed readings of the policy's applications, each under the PET in force (the minimum slice)."""
     apps = sorted({r.app for r in rules})
-    active = evaluate(for_apps(readings, apps), [r for r in rules if r.section == "speed"], plan)
-    specs = distinct_specs(r.spec for r in rules if r.section == "speed")
-    return enforce(active, specs, "speed", plan)
+    own = [r for r in rules if r.section == "speed"]
+    rows = for_apps(readings, apps)
+    return enforce(evaluate(rows, own, plan), distinct_specs(r.spec for r in own), "speed", plan,
+                   source=for_defined_sections(rows, own))
 
 
 def enforce_decided(readings: DataFrame, decided: DataFrame, specs, section: str,
                     plan: SlicePlan) -> DataFrame:
     """Enforcement under decisions that come as a table of their own."""
     active = active_pet(readings, decided, plan)
-    return enforce(active, specs, section, plan)
+    return enforce(active, specs, section, plan, source=readings)
 
 
 def filter_outputs(readings: DataFrame, decided: DataFrame, specs, section: str,
@@ -94,7 +95,9 @@ def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) ->
     own = decided.where(F.col("source") == F.col("section")).drop(
         "source", "now_speed", "now_location", "winner", "previous", "current", "is_switch")
     specs = {s: distinct_specs(r.spec for r in rules if r.section == s) for s in sections}
-    return enforce_sections(own, specs, plan)
+    # Before evaluation, a reading of a section is a row of it in every application that has rules for it.
+    source = for_defined_sections(for_apps(readings, apps), rules)
+    return enforce_sections(own, specs, plan, source=source)
 
 
 def reassemble_policies(enforced: DataFrame, plan: SlicePlan, ratio: int = 10) -> DataFrame:
