@@ -40,7 +40,12 @@ class SlicePlan:
         return self.cuts is not None
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_slice`` (0 for ordinary keys) and ``_hot``; ``_slice`` never falls with time."""
+        """Add ``_slice`` (0 for ordinary keys) and ``_hot``; ``_slice`` never falls with time.
+
+        Rows that have them keep them: a pipeline assigns slices once, before it multiplies rows.
+        """
+        if not self.sliced or "_slice" in df.columns:
+            return df
         t = F.col(self.time)
         joined = df.join(F.broadcast(self.cuts), self.key, "left")
         at = F.greatest(F.size(F.filter("_cuts", lambda c: c <= t)), F.lit(1))
@@ -117,7 +122,7 @@ class Timeline:
         frame = self.window().rowsBetween(Window.unboundedPreceding, upper)
         out = self._with_seeds(rows, seeds).withColumns(
             {name: F.last(f"_v_{name}", ignorenulls=True).over(frame) for name in values})
-        return self._clean(out, hidden)
+        return self._clean(out, df, hidden)
 
     def running_sum(self, df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
         """Running totals (long), including the current row."""
@@ -133,7 +138,7 @@ class Timeline:
         frame = self.window().rowsBetween(Window.unboundedPreceding, 0)
         out = self._with_seeds(rows, seeds).withColumns(
             {name: F.sum(f"_v_{name}").over(frame) for name in values})
-        return self._clean(out, hidden)
+        return self._clean(out, df, hidden)
 
     def number(self, df: DataFrame, name: str) -> DataFrame:
         """Row number from 1, per keys."""
@@ -173,7 +178,7 @@ class Timeline:
                 .select(*self.keys, "_slice", F.lit(True).alias("_seed"),
                         F.inline("_tail").alias(*needed)))
         out = compute(self._with_seeds(rows, halo), self.window(), whole)
-        return self._clean(out, [])
+        return self._clean(out, df, [])
 
     def _summary(self, rows: DataFrame, aggregates: list[Column]) -> DataFrame:
         return rows.where("_hot").groupBy(*self.keys, "_slice").agg(*aggregates)
@@ -185,5 +190,6 @@ class Timeline:
     def _with_seeds(self, rows: DataFrame, seeds: DataFrame) -> DataFrame:
         return rows.unionByName(seeds, allowMissingColumns=True)
 
-    def _clean(self, df: DataFrame, hidden) -> DataFrame:
-        return df.where(F.col("_seed").isNull()).drop("_seed", "_slice", "_hot", *hidden)
+    def _clean(self, out: DataFrame, given: DataFrame, hidden) -> DataFrame:
+        own = [c for c in ("_slice", "_hot") if c not in given.columns]
+        return out.where(F.col("_seed").isNull()).drop("_seed", *own, *hidden)

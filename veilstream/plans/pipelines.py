@@ -51,9 +51,10 @@ def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -
     """Speed readings of the policy's applications, each under the PET in force (the minimum slice)."""
     apps = sorted({r.app for r in rules})
     own = [r for r in rules if r.section == "speed"]
-    rows = for_apps(readings, apps)
-    return enforce(evaluate(rows, own, plan), distinct_specs(r.spec for r in own), "speed", plan,
-                   source=for_defined_sections(rows, own))
+    rows = for_apps(plan.assign(readings), apps)
+    enforced = enforce(evaluate(rows, own, plan), distinct_specs(r.spec for r in own), "speed", plan,
+                       source=for_defined_sections(rows, own))
+    return enforced.drop("_slice", "_hot")
 
 
 def enforce_decided(readings: DataFrame, decided: DataFrame, specs, section: str,
@@ -82,6 +83,7 @@ def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) ->
     apps = sorted({r.app for r in rules})
     sections = sorted({r.section for r in rules})
     line = Timeline(["vehicle_id"], ORDER, plan)
+    readings = plan.assign(readings)
     context = line.last_known(readings, {
         "now_speed": F.when(F.col("section") == "speed", F.col("scalar")),
         "now_location": F.when(F.col("section") == "location", F.col("location"))})
@@ -97,7 +99,7 @@ def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) ->
     specs = {s: distinct_specs(r.spec for r in rules if r.section == s) for s in sections}
     # Before evaluation, a reading of a section is a row of it in every application that has rules for it.
     source = for_defined_sections(for_apps(readings, apps), rules)
-    return enforce_sections(own, specs, plan, source=source)
+    return enforce_sections(own, specs, plan, source=source).drop("_slice", "_hot")
 
 
 def reassemble_policies(enforced: DataFrame, plan: SlicePlan, ratio: int = 10) -> DataFrame:
