@@ -41,5 +41,73 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+RUNS = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op4_wu_manber_decontamination", f"""
+WITH i AS (SELECT item_id::VARCHAR AS id, {RUNS.format(text=LOWERED)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2),
+        lambda k: array_to_string(w[k:k + least(len(w), 13) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {RUNS.format(text=LOWERED)} AS w FROM documents),
+x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, (SELECT DISTINCT n FROM p)),
+h AS (SELECT doc_id, n, k, id FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM x) JOIN p USING (n, s)),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MIX = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format(text="coalesce(text, '')")})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, ceil(sqrt(count(*)))::BIGINT AS blocks FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+c AS (SELECT *, row_number() OVER r AS rank, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER
+        (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+      FROM w WINDOW r AS (ORDER BY source_size * (10 // weight), source NULLS LAST)),
+f AS (SELECT rank AS free_rank, rest AS free_rest, shares AS free_shares FROM c
+      WHERE 3 * source_size * shares > rest * weight ORDER BY rank LIMIT 1),
+t AS (SELECT source, source_size, blocks, CASE WHEN rank >= free_rank THEN (weight * free_rest)::DOUBLE / free_shares
+        ELSE (3 * source_size)::DOUBLE END AS target FROM c LEFT JOIN f ON true),
+p AS (SELECT source, source_size, blocks, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+k AS (SELECT d.*, p.source_size::BIGINT AS source_size, target, passes, target - passes * p.source_size AS rest,
+        coalesce('s' || d.source, 'n') || ':' || (('0x' || substr(md5('mix|block|' || doc_id), 1, 8))::BIGINT % blocks) AS name
+      FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix|order|' || name), name,
+        md5('mix|row|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM b"""
+
+
+@query("op3_hypergeometric_mix", MIX)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.mixing import mix_report
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_order_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.order_minhash import edited_fingerprints
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_super_kmer_dedup", f"""
+WITH d AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM g),
+k AS (SELECT o.doc_id, string_agg(o.word, ' ' ORDER BY o.pos) AS kept, count(*) AS n
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) o
+      ANTI JOIN c ON c.doc_id = o.doc_id AND c.pos = o.pos GROUP BY o.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.substring_dedup import drop_repeated_passages
+    return drop_repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def registered():
     return QUERIES, ORACLES
