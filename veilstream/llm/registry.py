@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES, ORACLES = {}, {}
@@ -109,5 +111,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op7_warc_index_merge", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to FROM m""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.warc_index import archive_and_index
+    from veilstream.session import shared_dir
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    return archive_and_index(table(spark, sf_dir, "pages"), path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_quality_trees")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.quality_trees import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registered():
     return QUERIES, ORACLES

@@ -58,6 +58,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, lower: bool):
         self.data = data = LOWER[data] if lower else data
+        self.offsets = offsets
         n = len(data)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = ~parts[data]
