@@ -139,8 +139,8 @@ def _repeats(window: int):
             kmer += k
         h, begin = flat(hashes), np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
         order = np.lexsort((start, doc))  # windows by document and place
-        owner = np.repeat(order, count[order])
-        offset = ranges(np.zeros(len(count), np.int64), count[order])
+        owner = np.repeat(order.astype(np.int32), count[order])
+        offset = ranges(np.zeros(len(count), np.int64), count[order]).astype(np.int32)
         h = h[begin[owner] + offset]
         place = start[owner] + offset
         sorting = np.argsort(h, kind="stable")
@@ -175,7 +175,7 @@ def _repeats(window: int):
 def repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None) -> DataFrame:
     """``(doc, start, stop)``: word ranges of ``docs(doc_id, text)`` covered by windows that start earlier, too.
     Ranges may overlap; doc is the doc_id, the smallest long for null."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string"))
     packed = rows.mapInArrow(_pack(buckets, window, gram), "bucket int, doc binary, start binary, windows binary, "
                                                            "size long, text binary")
