@@ -26,8 +26,9 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilstream.llm.components import components
 from veilstream.llm.words import SPACE, flat, ranges, word_pieces
@@ -328,13 +329,43 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["y", "n", "part", "cs", "ns", "tags"])
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, parts: int | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of ``docs(doc_id, text)``: the smallest id that links lead to."""
+def _components(docs: DataFrame, words: int, percent: int, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """``document_sets`` and ``(cls, low, component_id)``: a class, its smallest doc_id and that of its component."""
     linked = class_components(docs, words, percent, parts)
     sets = cut_lineage(document_sets(docs, words))
     classes = (sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
                .join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = classes.join(low, "component").select("cls", "component_id")
-    return (sets.join(classes, "cls", "left")
+    return sets, classes.join(low, "component").select("cls", "low", "component_id", "component")
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, parts: int | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of ``docs(doc_id, text)``: the smallest id that links lead to."""
+    sets, classes = _components(docs, words, percent, parts)
+    return (sets.join(classes.select("cls", "component_id"), "cls", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, parts: int | None = None) -> DataFrame:
+    """The row with the smallest doc_id of each component, with all columns; of rows that share that id one.
+    Rows without shingles all stay."""
+    def first_of_class(batches):  # others of a batch cannot be the first of their class
+        for batch in batches:
+            ids = batch["doc_id"].cast(pa.int64()).to_pylist()
+            cls, best = [None] * batch.num_rows, {}
+            for row, shingles in _sets(batch["text"].cast(pa.string()), words):
+                if len(shingles):
+                    cls[row] = name = _class(shingles)
+                    order = (ids[row] is None, ids[row] or 0, row)
+                    best[name] = min(best.get(name, order), order)
+            keep = [c is None or best[c][2] == row for row, c in enumerate(cls)]
+            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__cls"])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    _, classes = _components(docs, words, percent, parts)
+    lead = (classes.where(F.col("low").eqNullSafe(F.col("component_id"))).groupBy("component")
+            .agg(F.min("cls").alias("lead"), F.first("component_id").alias("lead_id")))
+    rows = docs.mapInArrow(first_of_class, StructType([*docs.schema.fields, StructField("__cls", LongType())]))
+    one = Window.partitionBy("__cls").orderBy("text", *(F.hash(F.col(f"`{c}`")) for c in docs.columns))
+    kept = (rows.where("__cls is not null").join(lead, (F.col("__cls") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("lead_id")))
+            .withColumn("__nth", F.row_number().over(one)).where("__nth = 1"))
+    return kept.select(docs.columns).unionByName(rows.where("__cls is null").select(docs.columns))

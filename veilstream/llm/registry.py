@@ -131,5 +131,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op1_page_crf")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.page_crf import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_secret_network")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.secret_scan import secrets
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pii_tagger")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.pii_tagger import personal_data
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def registered():
     return QUERIES, ORACLES
