@@ -141,7 +141,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int
                 found = list(_searched(batch["text"], patterns))
                 spans, items = [f[1] for f in found], [f[2] for f in found]
                 if not first:
-                    spans = [s + np.frombuffer(x, np.int64).reshape(-1, 2).tolist() for s, x in zip(spans, batch[SPANS].to_pylist())]
+                    spans = [s + [(int(a), int(b)) for a, b in np.frombuffer(x, np.int64).reshape(-1, 2)] for s, x in zip(spans, batch[SPANS].to_pylist())]
                     items = [s | set(x) for s, x in zip(items, batch[ITEMS].to_pylist())]
                     batch = batch.select([c for c in batch.schema.names if c not in (SPANS, ITEMS)])
                 if final:

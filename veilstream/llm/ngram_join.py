@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from veilstream.llm.components import components
-from veilstream.llm.words import SPACE, flat, ranges, word_pieces
+from veilstream.llm.words import SPACE, flat, ranges, tidy, word_pieces
 from veilstream.session import cut_lineage
 
-FLUSH = 3_000_000        # shingles packed together in a task
+FLUSH = 1_500_000        # shingles packed together in a task
 COUNTED = 1_000_000      # shingles of a fragment when overlaps are counted
 LIST = 50_000            # sets of one list that a task compares
 ROW = 4_096              # candidates in a row
@@ -71,6 +71,7 @@ def document_sets(docs: DataFrame, words: int = 5) -> DataFrame:
                 cls[row] = _class(shingles) if len(shingles) else None
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(cls, pa.int64())],
                                              ["doc_id", "n_shingles", "cls"])
+        tidy()
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(run, "doc_id long, n_shingles long, cls long"))
 
@@ -109,6 +110,7 @@ def _segments(docs: DataFrame, fragments: int, words: int) -> DataFrame:
                     names, sets, size, seen = [], [], 0, set()
         if sets:
             yield packed(np.array(names), sets)
+        tidy()
     return docs.select(F.col("text").cast("string")).mapInArrow(
         run, "fragment int, cls binary, count binary, low binary, high binary")
 
@@ -141,6 +143,7 @@ def _frequencies(buckets: int):
             out.append((int(bucket[a]), cls[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes(),
                         n_shared[a:b].astype(np.uint32).tobytes(), h[i:j].tobytes(),
                         times[i:j].astype(np.uint32).tobytes()))
+        tidy()
         return pd.DataFrame(out, columns=["bucket", "cls", "count", "shared", "h", "times"])
     return run
 
@@ -161,7 +164,7 @@ def _survivors(percent: int):
         kept = np.flatnonzero((own <= spare) & (own < n))
         begin, end = np.searchsorted(owner, kept), np.searchsorted(owner, kept, side="right")
         return pd.DataFrame({"cls": cls[kept], "n": n[kept], "prefix": (spare - own + 1)[kept],
-                             "h": [h[a:b] for a, b in zip(begin, end)]})
+                             "h": pd.Series([h[a:b] for a, b in zip(begin, end)], dtype=object)})
     return run
 
 
@@ -203,6 +206,7 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int, fragments: int, bu
             out.append((hits[ends] - hits[ends - sizes]).astype(np.int32).tobytes())
             flags[own] = False
         first = int(rows["fragment"].iloc[0]) == 0 if len(rows) else False
+        tidy()
         return pd.DataFrame({"y": rows["y"], "n": rows["n"], "part": rows["part"], "counts": out,
                              **{c: rows[c] if first else None for c in ("ns", "tags")}})
 
@@ -361,6 +365,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, par
             keep = [c is None or best[c][2] == row for row, c in enumerate(cls)]
             batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__cls"])
             yield batch.filter(pa.array(keep, pa.bool_()))
+        tidy()
     _, classes = _components(docs, words, percent, parts)
     lead = (classes.where(F.col("low").eqNullSafe(F.col("component_id"))).groupBy("component")
             .agg(F.min("cls").alias("lead"), F.first("component_id").alias("lead_id")))

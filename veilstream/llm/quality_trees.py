@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.words import SPACE, word_pieces
+from veilstream.llm.words import SPACE, tidy, word_pieces
 
 SAMPLE, BINS = 20_000, 64
 KINDS = ("lower", "upper", "digit", "space", "line", "stop", "comma", "mark", "quote", "symbol", "lead", "rest")
@@ -184,6 +184,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(NAMES)).cast(pa.list_(pa.float64()))],
                 ["doc_id", "x"])
+        tidy()
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
@@ -203,6 +204,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(trees.score(statistics_of(batch["text"])))], ["doc_id", "score"])
+        tidy()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -214,4 +216,5 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(trees.score(statistics_of(batch["text"])) >= 0.5))
+        tidy()
     return docs.mapInArrow(run, docs.schema)

@@ -6,11 +6,13 @@ is a piece of its own). The hash of a word depends on its bytes only, so it is t
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _U = np.uint64
 BASE, INVERSE = _U(0x9E3779B97F4A7C13), _U(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
@@ -115,6 +117,15 @@ def word_pieces(column: pa.Array, parts: np.ndarray = SPACE, lower: bool = False
         yield a, b, Words(data, offsets, parts, lower)
 
 
+def tidy() -> None:
+    """Gives freed memory back, so that a worker waiting for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def flat(lists) -> np.ndarray:
     return np.concatenate(lists) if len(lists) else np.zeros(0)
 
