@@ -14,6 +14,7 @@ shards and sends exactly its share of blocks left. Which ones is settled by rand
 and level; the number from each source then follows the multivariate hypergeometric distribution, and shards
 get disjoint blocks. Inside a shard rows are ordered by another random key.
 
+Planning sees only ids, sources, sizes and text hashes; texts move twice, to their draws and to their shard.
 All random keys are MD5 of a seed and names, so reruns agree. Windows are over the sources (one row each), over
 drawn blocks (in the order of the square root of the documents) and inside one block of each source.
 
@@ -28,6 +29,8 @@ from math import ceil, lcm, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.session import cut_lineage
+
 WEIGHTS, MOST, SHARDS, SEED = (5, 2, 1), 3, 8, "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -124,15 +127,15 @@ def planned(rows: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SH
             .drop("block", "begin", "rest", "every", "cut", "in"))
 
 
-def named(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"),
-                       word_count("text").alias("__size"), F.xxhash64("text").alias("__tie"))
+def measured(docs: DataFrame) -> DataFrame:
+    """Id, source, size and a hash of the text of every row: all that planning needs, so it is written once."""
+    return cut_lineage(docs.select(F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"),
+                                   word_count("text").alias("__size"), F.xxhash64("text").alias("__tie")))
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``: words of the document and those that the mix takes of it."""
-    rows = named(docs.select("doc_id", "source", "text")).drop("doc_id", "source", "text")
-    rows = planned(rows, weights, most, shards, seed)
+    rows = planned(measured(docs), weights, most, shards, seed)
     return rows.select(F.col("__id").cast("long").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
                        (F.col("__size") * F.size("draws")).alias("taken"))
 
@@ -140,7 +143,14 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int =
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """One row for each time that a document is taken: its columns and ``__drawn(pass, shard, place)``, by shard
     and place. Documents without words are never taken."""
-    rows = planned(named(docs), weights, most, shards, seed).where("__size > 0")
+    taken = planned(measured(docs), weights, most, shards, seed).where((F.col("__size") > 0) & (F.size("draws") > 0))
+    # Equal rows are one group; its n-th row gets the n-th list of draws.
+    taken = (taken.groupBy(F.col("__id").alias("i"), F.col("__tie").alias("t"))
+             .agg(F.sort_array(F.collect_list("draws")).alias("lists")))
+    rows = docs.withColumns({"__id": F.col("doc_id"), "__tie": F.xxhash64("text")})
+    rows = rows.join(taken, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__tie") == F.col("t")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__tie"))
+    rows = rows.withColumn("draws", F.try_element_at("lists", nth)).where(F.size("draws") > 0)
     rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), "__id", F.explode("draws").alias("draw"))
     place = _key(seed, "place", F.col("draw.shard"), F.col("draw.pass"), F.col("__id").cast("string"))
     rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns),
