@@ -9,10 +9,12 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from veilstream.session import build_session
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [sys.path[0], os.environ.get("PYTHONPATH")]))
     session = build_session("tests", master="local[4]", spark__sql__shuffle__partitions="4",
-                            spark__driver__memory="4g")
+                            spark__driver__memory="4g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

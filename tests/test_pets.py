@@ -196,8 +196,20 @@ def test_ranks_with_many_equal_amounts(spark):
 
 def test_successive_sampling_has_no_repeats():
     rng = np.random.default_rng(0)
-    drawn = dummies._successive(rng, 1.5, 10.0, [0, 1], 20, 20)
+    drawn = dummies._draw_rest(rng, 1.5, 10.0, [0, 1], 20, 20)
     assert sorted(drawn) == list(range(20))
+    # of 10**12 intervals nearly all mass is near the front, yet the draw ends
+    assert len(set(dummies._draw_rest(rng, 1.5, 1e6, [0, 1], 40, 10 ** 12))) == 40
+
+
+def test_successive_sampling_keeps_the_probabilities():
+    """The second draw after a first: like rejecting repeats."""
+    rng, wanted = np.random.default_rng(1), np.zeros(6)
+    p = np.diff(dummies.beta_cdf(np.arange(7) / 6, 2.0, 3.0))
+    for _ in range(4000):
+        wanted[dummies._draw_rest(rng, 2.0, 3.0, [1], 2, 6)[1]] += 1
+    p[1] = 0
+    assert np.allclose(wanted / 4000, p / p.sum(), atol=0.03)
 
 
 # --- images --------------------------------------------------------------------------------------

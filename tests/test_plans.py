@@ -18,8 +18,9 @@ PYTHON = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "Py
           "FlatMapGroupsInPandas", "AttachDistributedSequence")
 # Queries whose recursion, random sets or frames need Python.
 WITH_PYTHON = {"rate_limited_speed", "rate_limited_speed_hot_vehicle", "rate_limited_speed_from_zero",
-               "noisy_speed", "dummy_locations", "updated_place_counts", "interval_probabilities",
-               "pixelated_frames", "blurred_frames", "redacted_byte_frames"}
+               "noisy_speed", "noisy_speed_properties", "noisy_speed_hot_vehicle", "dummy_locations", "dummy_location_properties",
+               "place_count_totals", "updated_place_counts", "interval_probabilities",
+               "pixelated_frames", "blurred_frames", "redacted_byte_frames", "enforced_images"}
 
 
 def plan_of(df) -> str:
@@ -111,3 +112,12 @@ def test_all_policies_with_a_hot_vehicle(spark, sf_dir):
             F.round("processed_location.x", 4), F.hex("processed_image")).collect()))
 
     assert published(plan) == published(PLAIN)
+
+
+def test_hot_pipelines_read_their_input_once(spark, sf_dir):
+    """Hot rows come from the shared folder: the readings are scanned once for the ordinary vehicles."""
+    from workload.enforce import _hot_policies
+    plan, published = _hot_policies(spark, sf_dir)
+    assert plan.sliced
+    assert count(plan_of(published), "FileScan") <= 2
+    assert count(plan_of(pipelines.reassemble_policies(published, plan)), "FileScan") <= 2

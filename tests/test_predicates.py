@@ -103,3 +103,30 @@ def test_nested(spark, rows):
     nested = {"logic": "AND", "scalar": [scalar("GREATER", 1)], "combined": [
         {"logic": "OR", "scalar": [scalar("LESS", 10), scalar("EQUAL", 50)]}]}
     assert hits(rows, compile_predicate(nested, *columns(spark))) == [1, 2, 4]
+
+
+def test_python_twin_agrees(spark):
+    """``holds`` on Python values and the compiled Column give the same for every context."""
+    import itertools
+    import json
+    from veilstream.functions.predicates import compile_predicate, holds
+    shape = {"x": [0, 8, 8, 4, 0], "y": [0, 0, 8, 2, 8]}
+    specs = [{"scalar": [{"data section": "speed", "relation": r, "value": 5}]} for r in ("EQUAL", "not_equal", "LESS", "GREATER_EQUAL")]
+    specs += [{"location": [{"relation": r, "value": shape}]} for r in ("IN", "OUT_OF")]
+    specs += [{"logic": logic, "scalar": [{"data section": "speed", "relation": "GREATER", "value": 4}],
+               "location": [{"relation": "IN", "value": shape}], "combined": [specs[0]]} for logic in ("AND", "or")]
+    contexts = list(itertools.product([None, 4.0, 5.0, 6.0], [None, 0.0, 3.0, 4.0, 8.0], [None, 0.0, 2.0, 5.0, 8.0]))
+    df = spark.createDataFrame(contexts, "v double, x double, y double")
+    rows = df.select("*", *[compile_predicate(json.dumps(s), {"speed": F.col("v")}, F.col("x"), F.col("y")).alias(f"p{i}")
+                            for i, s in enumerate(specs)]).collect()
+    for r in rows:
+        assert [r[f"p{i}"] for i in range(len(specs))] == [holds(s, {"speed": r.v}, r.x, r.y) for s in specs]
+
+
+def test_boolean_parameters():
+    from veilstream.functions.petspec import PetSpec, pet_json
+    for value, want in ((True, True), (False, False), ("false", False), ("TRUE", True)):
+        assert PetSpec.from_json(pet_json("p", [("Boolean", value)])).params == (want,)
+    assert PetSpec.from_json(pet_json("p", [("Boolean", True)])).label == "ptrue"
+    with pytest.raises(ValueError):
+        PetSpec.from_json(pet_json("p", [("Boolean", "maybe")]))

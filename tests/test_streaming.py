@@ -1,5 +1,7 @@
 """Streams must give the batch result in any arrival order, across restarts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,7 +169,7 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     columns = "app string, vehicle_id long, section string, event_id long, generate_ms long, scalar double"
     rules = [Rule("app1", "speed", 1, 1, _speed_rule("GREATER", 0), pet_json("none"))]
-    late = 0
+    spark.streams.addListener(counter := in_order.LateRows())
     for i, ms in enumerate((10_000_000, 11_000_000, 1_000, 12_000_000, FAR)):
         spark.createDataFrame([("app1", 1, "speed", i, ms, 5.0)], columns).coalesce(1).write.mode(
             "append").parquet(source)
@@ -176,7 +178,10 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
                  .writeStream.format("parquet").partitionBy("is_late").option("path", out)
                  .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
         query.awaitTermination()
-        late += in_order.late_rows(query)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    time.sleep(1)  # the counts come to Python after the bus has them
+    spark.streams.removeListener(counter)
+    late = sum(counter.rows.values())
     got = spark.read.parquet(out)
     assert sorted(r.event_id for r in got.where("is_late = 'false'").collect()) == [0, 1, 3]
     marked = [r.event_id for r in got.where("is_late = 'true'").collect()]
@@ -188,8 +193,7 @@ def test_pets_without_a_stream_form_are_refused(spark):
     register_pet("batch_only", "window", lambda section, params: WindowPet(2, ("scalar",), None))
     spec = PetSpec.from_json(pet_json("batch_only"))
     rows = spark.createDataFrame([], "app string, vehicle_id long, section string, event_id long, "
-                                 "generate_ms long, kind int, cause string, label string, seed long, "
-                                 "scalar double")
+                                 "generate_ms long, kind int, cause string, label string, scalar double")
     with pytest.raises(ValueError):
         in_order.enforce_caused_stream(rows, [spec], "speed")
     del REGISTRY["batch_only"]

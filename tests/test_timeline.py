@@ -99,3 +99,56 @@ def test_dedupe_over_slice_borders(spark):
     df = readings(spark, 9).withColumns({"app": F.lit("a"), "section": F.lit("s")})
     plan = plan_slices(df, target_rows=20)
     assert rows_of(dedupe_readings(df, PLAIN)) == rows_of(dedupe_readings(df, plan))
+
+
+def test_running_sums_keep_their_type(spark):
+    df = readings(spark, 10).withColumn("v", F.round(F.coalesce("v", F.lit(0.0)) * 4) / 4)
+    plan = plan_slices(df, target_rows=20)
+    for value in (F.col("v"), F.col("event_id"), F.col("event_id").cast("int"), F.col("v").cast("decimal(10,2)")):
+        plain, sliced = (Timeline(["vehicle_id"], ORDER, p).running_sum(df, {"total": value}) for p in (PLAIN, plan))
+        assert plain.schema["total"].dataType == sliced.schema["total"].dataType
+        assert rows_of(plain, "total") == rows_of(sliced, "total")
+
+
+def test_rows_without_a_key_are_sliced(spark):
+    df = readings(spark, 11).withColumn("vehicle_id", F.when(F.col("vehicle_id") > 0, F.col("vehicle_id")))
+    plan = plan_slices(df, target_rows=20)
+    sizes = plan.assign(df).where("vehicle_id is null").groupBy("_slice").count().collect()
+    assert len(sizes) > 5
+    plain, sliced = (Timeline(["vehicle_id"], ORDER, p) for p in (PLAIN, plan))
+    assert rows_of(plain.number(df, "n"), "n") == rows_of(sliced.number(df, "n"), "n")
+    assert (rows_of(plain.last_known(df, {"l": F.col("v")}), "l") == rows_of(sliced.last_known(df, {"l": F.col("v")}), "l"))
+
+
+@pytest.mark.parametrize("target,most", [(100, 200), (20, 40)])
+def test_clumped_times_are_cut_by_their_rows(spark, target, most):
+    """64 clumps of 125 rows each, far apart; the second case takes two rounds of quantiles."""
+    df = spark.range(8000).select(F.lit(0).cast("long").alias("vehicle_id"), F.col("id").alias("event_id"),
+                                  ((F.col("id") % 64) * 10 ** 9 + F.col("id")).alias("generate_ms"))
+    plan = plan_slices(df, target_rows=target)
+    assert max(r["count"] for r in plan.assign(df).groupBy("_slice").count().collect()) <= most
+    out = Timeline(["vehicle_id"], ORDER, plan).number(df, "n")
+    assert [r.n for r in out.orderBy("generate_ms").collect()] == list(range(1, 8001))
+
+
+def test_copies_make_smaller_slices(spark):
+    df = readings(spark, 12)
+    assert not plan_slices(df, target_rows=300).sliced
+    assert plan_slices(df, target_rows=300, copies=10).sliced
+
+
+def test_assigned_rows_meet_others(spark):
+    """A table that has slices already, put together with one that has none."""
+    from veilstream.operators.enforce import active_pet
+    df = readings(spark, 13).withColumns({"app": F.lit("a"), "section": F.lit("speed")})
+    decided = df.where("event_id % 7 = 0").select(
+        F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("decision_id"), "app", "vehicle_id", "section",
+        F.col("event_id").alias("trigger_event_id"), F.col("generate_ms").alias("generation_ms"),
+        F.lit("none").alias("pet_label"))
+    plan = plan_slices(df, target_rows=20)
+    want = rows_of(active_pet(df, decided, PLAIN), "decision_id")
+    assert rows_of(active_pet(df, decided, plan), "decision_id") == want
+    assert rows_of(active_pet(plan.assign(df), decided, plan), "decision_id") == want
+    both = plan.assign(df).unionByName(df, allowMissingColumns=True)
+    with pytest.raises(Exception, match="no slice"):
+        Timeline(["vehicle_id"], ORDER, plan).number(both, "n").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,20 +58,28 @@ def beta_parameters(mode: Column, gamma: Column) -> Column:
     """``struct(a, b)`` of the Beta distribution with the given mode; the heavier side gets ``gamma``.
 
     With ``q`` the distance of the mode to its nearer end, the lighter parameter is
-    ``1 + q * (gamma - 1) / (1 - q)``, written over a common denominator.
+    ``1 + q * (gamma - 1) / (1 - q)``.
     """
     low_side = mode <= 0.5
     q = F.when(low_side, mode).otherwise(1 - mode)
-    lighter = (gamma * q - 2 * q + 1) / (1 - q)
+    lighter = 1 + q * (gamma - 1) / (1 - q)
     return F.struct(
         F.when(low_side, lighter).otherwise(gamma).alias("a"),
         F.when(low_side, gamma).otherwise(lighter).alias("b"),
     )
 
 
+def beta_shape(mode, gamma):
+    """``beta_parameters`` for Python numbers and NumPy arrays."""
+    q = np.minimum(mode, 1 - mode)
+    lighter = 1 + q * (gamma - 1) / (1 - q)
+    return np.where(mode <= 0.5, lighter, gamma), np.where(mode <= 0.5, gamma, lighter)
+
+
 def row_seed(seed, *identity: Column) -> Column:
     """A 60-bit seed from the row's identity: the same row gets the same draws in any partitioning."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in identity])
+    first = seed if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat_ws("|", first, *[c.cast("string") for c in identity])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 

@@ -80,7 +80,7 @@ class PetSpec:
         return PetSpec(
             name=raw["name"],
             params=tuple(_typed(p["type"], p["value"]) for p in params),
-            label=raw["name"] + "".join(str(p["value"]) for p in params),
+            label=raw["name"] + "".join(_text(p["value"]) for p in params),
             windows=tuple(windows),
             inputs=tuple(raw["inputDataSection"]),
             outputs=tuple(raw["outputDataSection"]),
@@ -98,9 +98,20 @@ def duration_ms(text: str) -> int:
     return round((((days * 24 + hours) * 60 + minutes) * 60 + seconds) * 1000)
 
 
+def _text(value) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _boolean(value) -> bool:
+    text = _text(value).lower()
+    if text not in ("true", "false"):
+        raise ValueError(f"not a boolean: {value!r}")
+    return text == "true"
+
+
 def _typed(type_name: str, value):
     kind = type_name.rsplit(".", 1)[-1]
-    convert = {"Integer": int, "Long": int, "Double": float, "String": str, "Boolean": bool,
+    convert = {"Integer": int, "Long": int, "Double": float, "String": str, "Boolean": _boolean,
                "Duration": duration_ms}.get(kind)
     if convert is None:
         raise ValueError(f"unsupported parameter type {type_name!r}")

@@ -137,3 +137,29 @@ def _scalar_leaf(leaf: Mapping, scalars: Mapping[str, Column]) -> Column:
             raise PredicateError(f"no registered predicate {leaf['custom']!r}")
         return _CUSTOM[leaf["custom"]](scalars[section])
     return scalar_predicate(scalars[section], leaf["relation"], leaf["value"])
+
+
+def holds(spec: Mapping, scalars: Mapping[str, float | None], x: float | None, y: float | None) -> bool:
+    """The same test on Python values, for stateful operators that know the context row by row."""
+    parts = [_leaf_holds(leaf, scalars[leaf["data section"]]) for leaf in spec.get("scalar") or []]
+    parts += [_place_holds(leaf, x, y) for leaf in spec.get("location") or []]
+    parts += [holds(nested, scalars, x, y) for nested in spec.get("combined") or []]
+    return all(parts) if str(spec.get("logic", "AND")).upper() == "AND" else any(parts)
+
+
+def _leaf_holds(leaf: Mapping, value: float | None) -> bool:
+    if "custom" in leaf:
+        raise PredicateError(f"{leaf['custom']!r} is a test on columns; whole policies on streams need plain tests")
+    return value is not None and bool(RELATIONS[str(leaf["relation"]).upper()](value, float(leaf["value"])))
+
+
+def _place_holds(leaf: Mapping, x: float | None, y: float | None) -> bool:
+    if x is None or y is None:
+        return False
+    corners = [(float(a), float(b)) for a, b in zip(leaf["value"]["x"], leaf["value"]["y"])]
+    turns = 0
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1]):
+        if min(y0, y1) <= y < max(y0, y1):
+            at_height = x0 if x0 == x1 else x0 + (y - y0) * ((x1 - x0) / (y1 - y0))
+            turns += (1 if y1 > y0 else -1) if x < max(x0, x1) and (x < min(x0, x1) or x < at_height) else 0
+    return (turns != 0) == (str(leaf["relation"]).upper() == "IN")

@@ -42,7 +42,7 @@ def total_switch_time() -> Column:
     """BENCHMARK: until the switch ends. CENTRALIZED: sum of the parts. DISTRIBUTED: until all
     instances are in step. Any other mode is an error."""
     c = F.col
-    unknown = F.raise_error(F.concat(F.lit("cannot handle the evaluation mode "),
+    unknown = F.raise_error(F.concat(F.lit("no total is defined for switches of mode "),
                                      F.coalesce("mode", F.lit("null")))).cast("long")
     return (F.when(c("mode") == "BENCHMARK", c("switch_end_ms") - c("generation_ms"))
             .when(c("mode") == "CENTRALIZED", c("network") + c("instantiation") + c("switching"))

@@ -89,6 +89,7 @@ def _register_built_in() -> None:
     register_pet("speed_noise", "step", speed.noisy_speed, ("speed",))
     register_pet("speed_limit", "step", speed.limited_speed, ("speed",))
     register_pet("image_redaction", "column", image.frame_redaction, ("image",))
+    register_pet("class_redaction", "column", image.class_redaction, ("image",))
 
 
 def section_value(section: str) -> Column:

@@ -17,13 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.functions.mathx import row_seed
+from veilstream.functions.mathx import beta_shape, row_seed
 from veilstream.operators.timeline import TARGET_ROWS, SlicePlan, Timeline, plan_slices
 from veilstream.session import cut_lineage
 
-REJECTION_ROUNDS = 64
-ENUMERABLE = 1_000_000
-REQUESTS_PER_TASK = 50_000
+SCORED = 2_000_000  # doubles of one temporary when candidate sets are compared
 
 
 def rank_places(places: DataFrame, plan: SlicePlan | None = None,
@@ -111,14 +109,6 @@ def _fraction(z: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return result
 
 
-def beta_shape(mode, gamma: float):
-    """NumPy twin of ``mathx.beta_parameters``."""
-    mode = np.asarray(mode, dtype=float)
-    q = np.minimum(mode, 1 - mode)
-    light = 1 + q * (gamma - 1) / (1 - q)
-    return np.where(mode <= 0.5, light, gamma), np.where(mode <= 0.5, gamma, light)
-
-
 def interval_probability(places: int, gamma: float):
     """Column function ``(interval, real_rank) -> probability`` that a dummy for a real place of that
     rank falls into the interval (of ``places - 1`` equal ones)."""
@@ -131,7 +121,7 @@ def interval_probability(places: int, gamma: float):
 
 def _interval_probability(interval, real_rank, places: int, gamma: float) -> np.ndarray:
     width = places - 1
-    a, b = beta_shape(np.asarray(real_rank) / width, gamma)
+    a, b = beta_shape(np.asarray(real_rank, dtype=float) / width, gamma)
     return beta_cdf((np.asarray(interval) + 1) / width, a, b) - beta_cdf(np.asarray(interval) / width, a, b)
 
 
@@ -170,27 +160,26 @@ def _draw_sets(seeds, a, b, trials: int, wanted: int, intervals: int) -> np.ndar
 
 
 def _draw_rest(rng, a: float, b: float, known: list[int], wanted: int, intervals: int) -> list[int]:
-    """Go on drawing until there are ``wanted`` distinct intervals."""
-    seen: dict[int, None] = dict.fromkeys(known)
-    rounds = 0
+    """Draw from the intervals not seen yet until there are ``wanted``, which is what rejecting repeats amounts to:
+    a point of the remaining probability is found by halving, so the work does not grow with the intervals."""
+    seen = list(known)
     while len(seen) < wanted:
-        if rounds == REJECTION_ROUNDS and intervals <= ENUMERABLE:
-            return _successive(rng, a, b, list(seen), wanted, intervals)
-        for value in rng.beta(a, b, size=2 * wanted):
-            if len(seen) < wanted:
-                seen.setdefault(min(int(value * intervals), intervals - 1))
-        rounds += 1
-    return list(seen)
-
-
-def _successive(rng, a, b, seen: list[int], wanted: int, intervals: int) -> list[int]:
-    """Draw the rest from the intervals not seen yet, which is what rejecting repeats amounts to."""
-    edges = np.arange(intervals + 1) / intervals
-    p = np.maximum(np.diff(beta_cdf(edges, a, b)), 1e-300)
-    p[seen] = 0.0
-    race = np.full(intervals, np.inf)
-    race[p > 0] = rng.exponential(size=int((p > 0).sum())) / p[p > 0]
-    return seen + np.argsort(race)[: wanted - len(seen)].tolist()
+        taken = np.sort(np.array(seen, dtype=np.int64))
+        mass = beta_cdf((taken + 1) / intervals, a, b) - beta_cdf(taken / intervals, a, b)
+        # what lies before each seen interval, without the seen ones
+        before = beta_cdf(taken / intervals, a, b) - (np.cumsum(mass) - mass)
+        left = max(1.0 - mass.sum(), 0.0)
+        point = rng.uniform() * left
+        k = int(np.searchsorted(before, point, side="right"))
+        low, high = (0 if k == 0 else int(taken[k - 1]) + 1), (intervals if k == len(taken) else int(taken[k]))
+        aim, top = point + float(mass[:k].sum()), high
+        while low < high - 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if float(beta_cdf(middle / intervals, a, b)) <= aim else (low, middle)
+        free = low if low < top and low not in seen else next(
+            i for d in range(intervals) for i in (low - d, low + d) if 0 <= i < intervals and i not in seen)  # no mass is left here
+        seen.append(free)
+    return seen
 
 
 def best_set(places: int, k: int, m: int, gamma: float):
@@ -203,26 +192,30 @@ def best_set(places: int, k: int, m: int, gamma: float):
         a, b = beta_shape(real / width, gamma)
         if not len(real):
             return pd.DataFrame({"ranks": [], "entropy": [], "trial": []})
-        drawn = _draw_sets(seeds, a, b, m, k - 1, width)
-        others = np.where(drawn >= real[:, None, None], drawn + 1, drawn)
-        sets = np.concatenate([np.broadcast_to(real[:, None, None], (len(real), m, 1)), others], axis=2)
-        score = set_entropy(sets, places, gamma)
-        best = score.argmax(axis=1)
-        pick = np.arange(len(real))
-        return pd.DataFrame({"ranks": list(sets[pick, best]), "entropy": score[pick, best],
-                             "trial": best.astype("int32")})
+        step, parts = max(1, SCORED // (m * k * k)), []
+        for i in range(0, len(real), step):
+            own = real[i:i + step]
+            drawn = _draw_sets(seeds[i:i + step], a[i:i + step], b[i:i + step], m, k - 1, width)
+            others = np.where(drawn >= own[:, None, None], drawn + 1, drawn)
+            sets = np.concatenate([np.broadcast_to(own[:, None, None], (len(own), m, 1)), others], axis=2)
+            score = set_entropy(sets, places, gamma)
+            best, pick = score.argmax(axis=1), np.arange(len(own))
+            parts.append(pd.DataFrame({"ranks": list(sets[pick, best]), "entropy": score[pick, best],
+                                       "trial": best.astype("int32")}))
+        return pd.concat(parts)
 
     return choose
 
 
 def dummy_locations(requests: DataFrame, ranked: DataFrame, k: int, m: int, gamma: float,
-                    seed=0) -> DataFrame:
+                    seed=0, tasks: int | None = None) -> DataFrame:
     """``k`` published places per request, the real one among them.
 
     ``requests`` has ``request_id, place_id``; ``ranked`` comes from ``rank_places``. The candidate
     sets of a request are drawn and compared inside one Arrow batch, so only the chosen ranks move.
-    A request is a few bytes but much work, so requests are spread by count and not by bytes. The
-    ranks are needed three times; they are written once, so that visits are not counted again.
+    A request is a few bytes but much work, so requests are spread over ``tasks`` (by default as many
+    as shuffles have partitions) whatever their bytes. The ranks are needed three times; they are
+    written once, so that visits are not counted again.
     """
     ranked = cut_lineage(ranked)
     places = ranked.count()
@@ -230,8 +223,7 @@ def dummy_locations(requests: DataFrame, ranked: DataFrame, k: int, m: int, gamm
         raise ValueError(f"k must be between 2 and the number of places ({places}), not {k}")
     if m < 1:
         raise ValueError("at least one candidate set is needed")
-    tasks = max(requests.sparkSession.sparkContext.defaultParallelism,
-                -(-requests.count() // REQUESTS_PER_TASK))
+    tasks = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = (requests.join(ranked.select("place_id", "rank"), "place_id")
               .repartition(tasks, "request_id").withColumn("chosen", best_set(places, k, m, gamma)(
                   F.col("rank"), row_seed(seed, F.col("request_id")))))

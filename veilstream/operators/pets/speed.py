@@ -7,10 +7,10 @@ that holds too many rows for one task is cut into time slices that run side by s
 2. a slice whose predecessor ended with a different value than it assumed is run again.
 
 The loop stops when every assumed start equals the predecessor's end, so the result is the one a
-single sequential pass gives. A corridor forgets its start after few rows (at the latest when a gap
-opens it to the full range), so two passes are usual. Passes only rerun the slices that changed. A key
-that has not settled after a few passes (a corridor of almost no width never forgets) is run through in
-order from its first unsettled slice on, still row by row and without holding the key in memory.
+single sequential pass gives. Passes only rerun the slices whose start changed, and no pass has more of a
+key in one task than a slice. How many passes it takes depends on the data: a corridor forgets its start
+when a gap opens it to the full range or when it reaches the reading itself. Where readings come so densely
+that slices are shorter than this memory, starts travel one slice per pass; then choose larger slices.
 """
 
 from __future__ import annotations
@@ -24,15 +24,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilstream.functions.mathx import row_seed
+from veilstream.functions.mathx import beta_shape, row_seed
 from veilstream.operators.timeline import SlicePlan
 from veilstream.session import cut_lineage
 
 
-PASSES = 5
 START = ("_start_value", "_start_ms")
 
 
+class Draws(random.Random):
+    """Random numbers counted on from a seed: choosing a seed costs nothing, unlike that of the standard generator."""
+
+    _at = 0
+
+    def seeded(self, seed: int) -> Draws:
+        self._at = seed & 0xFFFFFFFFFFFFFFFF
+        return self
+
+    def random(self) -> float:
+        self._at = (self._at + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        z = ((self._at ^ self._at >> 30) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+        return ((z ^ z >> 31) >> 11) / 9007199254740992.0
+
+
+DRAWS = Draws()
+
+
 @dataclass(frozen=True)
 class Corridor:
     """Parameters of the speed anonymiser; ``sampler`` is ``beta`` or ``mode`` (no noise)."""
@@ -45,17 +63,15 @@ class Corridor:
     sampler: str = "beta"
     initial_last: float = -1.0
 
+    #: What each parameter must satisfy, and how to say so.
+    RANGES = (("deviation", lambda c: c.deviation >= 0, "at least 0"), ("relax_ms", lambda c: c.relax_ms > 0, "above 0"),
+              ("gamma", lambda c: c.gamma > 1, "above 1"), ("high", lambda c: c.high >= c.low, "at least low"),
+              ("sampler", lambda c: c.sampler in ("beta", "mode"), "beta or mode"))
+
     def __post_init__(self):
-        if self.low > self.high:
-            raise ValueError("min must not exceed max")
-        if self.gamma <= 1:
-            raise ValueError("gamma must be greater than 1")
-        if self.relax_ms <= 0:
-            raise ValueError("the relax duration must be positive")
-        if self.deviation < 0:
-            raise ValueError("the deviation must not be negative")
-        if self.sampler not in ("beta", "mode"):
-            raise ValueError(f"unknown sampler {self.sampler!r}; known: beta, mode")
+        wrong = [f"{name} is {getattr(self, name)!r}, must be {what}" for name, holds, what in self.RANGES if not holds(self)]
+        if wrong:
+            raise ValueError("; ".join(wrong))
 
     def step(self, state, value: float, ms: int, seed: int):
         """``(state, output)`` after one record; the state is (last output, its time)."""
@@ -75,11 +91,8 @@ class Corridor:
         if self.sampler == "mode":
             return centre
         width = upper - lower
-        mode = (centre - lower) / width
-        nearer = min(mode, 1 - mode)
-        light = 1 + nearer * (self.gamma - 1) / (1 - nearer)
-        a, b = (light, self.gamma) if mode <= 0.5 else (self.gamma, light)
-        return lower + width * random.Random(int(seed)).betavariate(a, b)
+        a, b = beta_shape((centre - lower) / width, self.gamma)
+        return lower + width * DRAWS.seeded(int(seed)).betavariate(a, b)
 
     def make(self):
         return (self.initial_last, None), self.step
@@ -97,6 +110,20 @@ def limited_speed(section: str, params: tuple):
     return StepPet(Corridor(*params[:5], sampler="mode").make)
 
 
+class Dispatch:
+    """``make`` for several step functions: the last of the keys is the label that names one."""
+
+    def __init__(self, makes: dict):
+        self.makes = makes
+
+    def of(self, identity):
+        return self.makes[identity[-1]]()
+
+
+def _made(make, identity):
+    return make.of(identity) if isinstance(make, Dispatch) else make()
+
+
 def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
               keys: Sequence[str] = ("vehicle_id",), seed=0,
               order: Sequence[str] = ("generate_ms", "event_id")) -> DataFrame:
@@ -104,6 +131,7 @@ def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
 
     Rows are sorted inside their partition and streamed through Python batch by batch: no key has to
     fit into memory, and many small keys share one batch.
+    ``seed`` may be a Column of texts.
     """
     keys = list(keys)
     work = df.withColumns({"_value": value,
@@ -139,22 +167,11 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
     end_type = T.StructType([*[hot.schema[k] for k in keys], T.StructField("_slice", T.LongType()),
                              T.StructField("end_value", T.DoubleType())])
     todo, ends = starts, None
-    for attempt in range(PASSES + 1):
-        if attempt < PASSES:
-            rows = _in_time_order(hot.join(todo, sliced), sliced, order)
-            rerun, reset = todo, sliced
-        else:
-            # Keys that still depend on their start: run through the rest of them in order.
-            first = todo.groupBy(*keys).agg(
-                F.min("_slice").alias("_from"),
-                F.min_by(F.struct(*START), "_slice").alias("_start"))
-            rest = hot.join(first.select(*keys, "_from", "_start.*"), keys)
-            rest = rest.where(F.col("_slice") >= F.col("_from"))
-            rows, reset = _in_time_order(rest, keys, order), keys
-            rerun = rest.select(*sliced).distinct()
-        fresh = rows.mapInArrow(_ends(make, reset, sliced, order), end_type)
+    while True:  # every pass settles at least the first unsettled slice of each key
+        rows = _in_time_order(hot.join(todo, sliced), sliced, order)
+        fresh = rows.mapInArrow(_ends(make, sliced, order), end_type)
         if ends is not None:
-            fresh = ends.join(rerun, sliced, "left_anti").unionByName(fresh)
+            fresh = ends.join(todo, sliced, "left_anti").unionByName(fresh)
         ends = cut_lineage(fresh)
         wanted = ends.select(*keys, "_slice", F.lag("end_value").over(slices).alias("_wanted"))
         compared = cut_lineage(starts.join(wanted, sliced))
@@ -163,8 +180,7 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
         todo = compared.where(~settled).select(*sliced, "_start_ms",
                                                F.col("_wanted").alias("_start_value"))
         if todo.isEmpty():
-            break
-    return starts
+            return starts
 
 
 def _steps(batch: pa.RecordBatch, keys, order):
@@ -183,6 +199,7 @@ def _outputs(make, keys, columns, out, order):
     """Sorted Arrow batches -> the same rows with their output. A row's start columns, if there are
     any, give the state to start its key from."""
     keys, columns, order = list(keys), list(columns), list(order)
+    width = len(keys) - (keys[-1] == "_slice")
 
     def run(batches):
         key = None
@@ -191,7 +208,7 @@ def _outputs(make, keys, columns, out, order):
             for identity, start, value, ms, draw in _steps(batch, keys, order):
                 if identity != key:
                     key = identity
-                    state, step = make()
+                    state, step = _made(make, identity[:width])
                     state = state if start[1] is None else start
                 state, result = step(state, value, ms, draw)
                 outputs.append(result)
@@ -200,10 +217,9 @@ def _outputs(make, keys, columns, out, order):
     return run
 
 
-def _ends(make, reset, sliced, order):
-    """Sorted Arrow batches -> every slice with the value it ends with; the state starts anew with
-    every new value of the ``reset`` columns (the slice, or the key)."""
-    sliced, order, width = list(sliced), list(order), len(list(reset))
+def _ends(make, sliced, order):
+    """Sorted Arrow batches -> every slice with the value it ends with."""
+    sliced, order = list(sliced), list(order)
 
     def run(batches):
         at, ends, types = None, [], None
@@ -213,9 +229,8 @@ def _ends(make, reset, sliced, order):
                 if identity != at:
                     if at is not None:
                         ends.append((*at, state[0]))
-                    if at is None or identity[:width] != at[:width]:
-                        state, step = make()
-                        state = state if start[1] is None else start
+                    state, step = _made(make, identity[:-1])
+                    state = state if start[1] is None else start
                     at = identity
                 state, _ = step(state, value, ms, draw)
             yield _table(ends, types, sliced)
@@ -235,8 +250,8 @@ def _table(rows, types, sliced) -> pa.RecordBatch:
 def speed_anonymizer(df: DataFrame, corridor: Corridor, plan: SlicePlan,
                      keys: Sequence[str] = ("vehicle_id",), seed=0,
                      out: str = "processed_scalar") -> DataFrame:
-    """Anonymise ``scalar`` per key. A null speed stays out of the recursion and must be filtered."""
-    return run_steps(df, corridor.make, F.col("scalar"), out, plan, keys, seed)
+    """Anonymise ``scalar`` per key. A null speed is no record: it is left out."""
+    return run_steps(df.where(F.col("scalar").isNotNull()), corridor.make, F.col("scalar"), out, plan, keys, seed)
 
 
 def map_speed(df: DataFrame, corridor: Corridor, plan: SlicePlan, **options) -> DataFrame:

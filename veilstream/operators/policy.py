@@ -8,7 +8,7 @@ winning rule needs an ordered window.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from veilstream.functions.petspec import PetSpec
 from veilstream.functions.predicates import compile_predicate
 from veilstream.operators.context import ORDER
 from veilstream.operators.timeline import SlicePlan, Timeline
-from veilstream.schemas import POLICY
+from veilstream.schemas import POLICY, SECTIONS
 
 MAX_RULES = 10_000
 
@@ -31,22 +31,50 @@ class Rule:
     priority: int
     predicate: str
     pet: str
+    # A policy version is in force from ``since_ms`` until before ``until_ms``; None is open.
+    since_ms: int | None = None
+    until_ms: int | None = None
 
     @property
     def spec(self) -> PetSpec:
         return PetSpec.from_json(self.pet)
 
+    @property
+    def affected(self) -> tuple[str, ...]:
+        """Sections whose PET this rule decides."""
+        return self.spec.outputs or (self.section,)
+
+    def in_force(self) -> Column:
+        """Rows of the rule's application in the time of its policy version."""
+        here = F.col("app") == self.app
+        if self.since_ms is not None:
+            here = here & (F.col("generate_ms") >= self.since_ms)
+        return here if self.until_ms is None else here & (F.col("generate_ms") < self.until_ms)
+
 
-def rules_of(policy: DataFrame) -> list[Rule]:
-    """Bring a policy table to the driver. A policy is configuration: a size above ``MAX_RULES`` is
-    an error rather than a silent cut."""
+def rules_of(policy: DataFrame, most: int = MAX_RULES) -> list[Rule]:
+    """Bring a policy table to the driver. A policy is configuration: more than ``most`` rules are an
+    error rather than a silent cut."""
     rows = (policy.select("app", "section", "rule_no", "priority", "predicate", "pet")
-            .orderBy("app", "section", "rule_no").limit(MAX_RULES + 1).collect())
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a policy of more than {MAX_RULES} rules is data, not configuration")
+            .orderBy("app", "section", "rule_no").limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"a policy of more than {most} rules is data, not configuration")
     return [Rule(*row) for row in rows]
 
 
+def versioned(versions: Sequence[tuple[int, Sequence[Rule]]]) -> list[Rule]:
+    """Rules of policies that change: ``(effective_ms, rules)`` per version. A version replaces all
+    section policies of the applications that it has rules for, until their next version."""
+    begins: dict[str, list[int]] = {}
+    for begin, rules in versions:
+        for app in {r.app for r in rules}:
+            begins.setdefault(app, []).append(begin)
+
+    def until(app: str, begin: int) -> int | None:
+        return min((b for b in begins[app] if b > begin), default=None)
+    return [replace(r, since_ms=begin, until_ms=until(r.app, begin)) for begin, rules in versions for r in rules]
+
+
 def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(
         [(r.app, r.section, r.rule_no, r.priority, r.predicate, r.pet) for r in rules], POLICY)
@@ -69,7 +97,7 @@ def match_rules(df: DataFrame, rules: Sequence[Rule], scalars: Mapping[str, Colu
         scalars, x, y = context_columns(df.columns)
     entries = []
     for rule in rules:
-        scope = (F.col("app") == rule.app) & (F.col("section") == rule.section)
+        scope = rule.in_force() & (F.col("section") == rule.section)
         hit = scope & compile_predicate(rule.predicate, scalars, x, y)
         entries.append(F.when(hit, F.struct(F.lit(rule.priority).alias("priority"),
                                             F.lit(rule.rule_no).alias("rule_no"))))
@@ -85,17 +113,82 @@ def winning_rule(df: DataFrame, rules: Sequence[Rule], scalars: Mapping[str, Col
     """
     if scalars is None:
         scalars, x, y = context_columns(df.columns)
-    winner = None
     index = {rule: i for i, rule in enumerate(in_order(rules))}
+
+    def value(rule: Rule) -> Column:
+        return F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.rule_no).alias("rule_no"),
+                        F.lit(index[rule]).alias("index"))
+    winner = _first_hit(rules, lambda r: r.in_force() & (F.col("section") == r.section), value, scalars, x, y)
+    return df.withColumn("winner", winner.cast("struct<priority:int,rule_no:int,index:int>"))
+
+
+def _first_hit(rules: Sequence[Rule], scope: Callable[[Rule], Column], value: Callable[[Rule], Column],
+               scalars, x, y) -> Column:
+    """``value`` of the satisfied rule with the smallest (priority, rule_no). Rules are nested by scope, so
+    a row tries those of its own application, section and version only."""
+    groups: dict[tuple, list[Rule]] = {}
     for rule in sorted(rules, key=lambda r: (r.priority, r.rule_no)):
-        scope = (F.col("app") == rule.app) & (F.col("section") == rule.section)
-        hit = scope & compile_predicate(rule.predicate, scalars, x, y)
-        value = F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.rule_no).alias("rule_no"),
-                         F.lit(index[rule]).alias("index"))
-        winner = F.when(hit, value) if winner is None else winner.when(hit, value)
-    if winner is None:
-        winner = F.lit(None).cast("struct<priority:int,rule_no:int,index:int>")
-    return df.withColumn("winner", winner)
+        groups.setdefault((rule.app, rule.section, rule.since_ms, rule.until_ms), []).append(rule)
+    chosen = F
+    for own in groups.values():
+        chain = reduce(lambda c, r: c.when(compile_predicate(r.predicate, scalars, x, y), value(r)), own, F)
+        chosen = chosen.when(scope(own[0]), chain)
+    return F.lit(None) if chosen is F else chosen
+
+
+def affected_by(rules: Sequence[Rule]) -> dict[str, list[PetSpec]]:
+    """The PETs that rules can bring into force, by the section that they transform."""
+    specs: dict[str, dict[str, PetSpec]] = {}
+    for rule in rules:
+        for section in rule.affected:
+            specs.setdefault(section, {}).setdefault(rule.spec.label, rule.spec)
+    return {section: list(own.values()) for section, own in specs.items()}
+
+
+def for_affected_sections(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Only rows whose (app, section) some rule can decide about."""
+    apps: dict[str, set[str]] = {}
+    for rule in rules:
+        apps.setdefault(rule.app, set()).update(rule.affected)
+    return df.where(_any_scope(apps))
+
+
+def pets_in_force(df: DataFrame, rules: Sequence[Rule], plan: SlicePlan, scalars: Mapping[str, Column],
+                  x: Column | None = None, y: Column | None = None,
+                  keys: Sequence[str] = ("app", "vehicle_id")) -> DataFrame:
+    """Add ``pet_label`` and ``since_event_id``: the PET in force for the row's own section, and the record
+    that brought it.
+
+    The rules of every section see each row. When the winner of a section changes, the new rule decides
+    about all its affected sections, from that record on, the record included. If several sections decide
+    about one section at the same record, its own rule counts, then ``speed``, ``location`` and ``image``.
+    All sections are carried as columns of one row, so rows are not multiplied by sections.
+    """
+    ordered, line = in_order(rules), Timeline(keys, ORDER, plan)
+    own = {s: [r for r in rules if r.section == s] for s in sorted({r.section for r in rules})}
+    index = {rule: i for i, rule in enumerate(ordered)}
+
+    def looked_up(at: Column, value: Callable[[Rule], Column]) -> Column:
+        return F.try_element_at(F.array(*[value(r) for r in ordered]), at + 1)
+    given = df.columns
+    df = df.withColumns({f"_win_{s}": _first_hit(mine, Rule.in_force, lambda r: F.lit(index[r]), scalars, x, y).cast("int")
+                         for s, mine in own.items()})
+    df = line.last_known(df, {f"_was_{s}": F.col(f"_win_{s}") for s in own}, inclusive=False)
+    affected, decided = affected_by(rules), {}
+    for target in affected:
+        choices = []
+        for s in sorted(own, key=lambda s: (s != target, SECTIONS.index(s))):
+            if any(target in r.affected for r in own[s]):
+                win = F.col(f"_win_{s}")
+                switch = win.isNotNull() & ~win.eqNullSafe(F.col(f"_was_{s}"))
+                touches = looked_up(win, lambda r: F.lit(target in r.affected))
+                choices.append(F.when(switch & touches, F.struct(
+                    looked_up(win, lambda r: F.lit(r.spec.label)).alias("pet_label"), F.col("event_id").alias("since_event_id"))))
+        decided[f"_pet_{target}"] = F.coalesce(*choices)
+    df = line.last_known(df, decided)
+    mine = reduce(lambda c, t: c.when(F.col("section") == t, F.col(f"_pet_{t}")), affected, F)
+    df = df.withColumn("_pet", mine)
+    return df.select(*[F.col(f"`{c}`") for c in given], "_pet.pet_label", "_pet.since_event_id")
 
 
 def for_defined_sections(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -113,6 +206,10 @@ def _in_scope(rules: Sequence[Rule]) -> Column:
     sections: dict[str, set[str]] = {}
     for rule in rules:
         sections.setdefault(rule.app, set()).add(rule.section)
+    return _any_scope(sections)
+
+
+def _any_scope(sections: Mapping[str, set[str]]) -> Column:
     scopes = [(F.col("app") == app) & F.col("section").isin(*sorted(own))
               for app, own in sorted(sections.items())]
     return reduce(lambda a, b: a | b, scopes) if scopes else F.lit(False)
@@ -135,7 +232,7 @@ def detect_switches(df: DataFrame, plan: SlicePlan,
 
 def in_order(rules: Sequence[Rule]) -> list[Rule]:
     """Rules in the order that ``index`` refers to."""
-    return sorted(rules, key=lambda r: (r.app, r.section, r.rule_no))
+    return sorted(rules, key=lambda r: (r.app, r.section, r.rule_no, r.since_ms or 0))
 
 
 def rule_lookup(rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
@@ -187,6 +284,7 @@ def active_policy(readings: DataFrame, versions: DataFrame, plan: SlicePlan,
     published = versions.select(
         *keys, F.col("effective_ms").alias("generate_ms"), "event_id",
         F.lit(0).alias("_kind"), F.col("version").alias("_version"))
+    published = plan.align(published, readings)
     rows = readings.withColumn("_kind", F.lit(1)).unionByName(published, allowMissingColumns=True)
     line = Timeline(keys, ("generate_ms", "event_id", "_kind"), plan)
     known = line.last_known(rows, {"version": F.col("_version")})

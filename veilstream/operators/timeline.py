@@ -5,85 +5,137 @@ is the right plan for ordinary vehicles (one exchange, shared by every window on
 the wrong one for a key that holds a large part of the table.
 
 ``plan_slices`` counts rows per key in one column-pruned, map-side combined pass and picks the keys
-above ``target_rows``. Their time axis is cut into slices of about that size. Every operator here
-then works per ``(keys, slice)``; what a slice needs from the slices before it (a last value, a
-running total, a few trailing rows) is computed from one small summary row per slice and placed in
-front of the slice as a *seed row*. Results do not depend on where the cuts are, so the approximate
-quantiles used to place them are safe. With no hot key the operators reduce to the plain window.
+above ``target_rows``, a null key included. Their time axis is cut at quantiles of their own rows, so
+slices have about that size wherever the rows lie. Every operator here runs ordinary keys as plain
+windows and hot keys per ``(keys, slice)``; what a slice needs from the slices before it (a last value,
+a running total, a few trailing rows) is computed from small summaries per slice and placed in front of
+the slice as *seed rows*. Results do not depend on where the cuts are. The hot rows are written to the
+shared folder before each such step, because the step reads them twice; steps in a row therefore cost
+their sum. ``by_heat`` splits the rows of a whole pipeline once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from veilstream.session import cut_lineage
+
 TARGET_ROWS = 5_000_000
-# The hot list is collected and broadcast. A key that misses it is smaller than each of these, so
-# it holds less than 1/MAX_HOT of the rows.
-MAX_HOT = 2_048
-INTERVALS = 64
+BLOCK = 256  # quantiles of one aggregate; more slices than that come from a second one per interval
 
 
 @dataclass(frozen=True)
 class SlicePlan:
-    """Cuts on the time axis of the hot keys; empty when no key is hot."""
+    """Cuts on the time axis of the hot keys; empty when no key is hot.
+
+    ``cuts`` has the key, ``_firsts`` (where its blocks of cuts begin) and ``_blocks`` (the cuts of each
+    block). ``only_hot`` tells that all rows are of hot keys and have their slice already.
+    """
 
     key: str
     time: str
     cuts: DataFrame | None = None
+    only_hot: bool = False
 
     @property
     def sliced(self) -> bool:
         return self.cuts is not None
 
+    @property
+    def plain(self) -> SlicePlan:
+        return SlicePlan(self.key, self.time)
+
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``_slice`` (0 for ordinary keys) and ``_hot``; ``_slice`` never falls with time.
 
-        Rows that have them keep them: a pipeline assigns slices once, before it multiplies rows.
+        Rows that have them keep them: a pipeline assigns slices once, before it multiplies rows. What is
+        put together from several tables needs ``align`` first; a row without its slice is an error.
         """
-        if not self.sliced or "_slice" in df.columns:
+        if not self.sliced:
             return df
+        if "_slice" in df.columns:
+            lacking = F.raise_error(F.lit("a row has no slice: align() both sides of a union"))
+            return df.withColumns({"_slice": F.coalesce("_slice", lacking.cast("long")),
+                                   "_hot": F.coalesce("_hot", lacking.cast("boolean"))})
         t = F.col(self.time)
-        joined = df.join(F.broadcast(self.cuts), self.key, "left")
-        at = F.greatest(F.size(F.filter("_cuts", lambda c: c <= t)), F.lit(1))
-        low = F.element_at("_cuts", at)
-        high = F.coalesce(F.try_element_at("_cuts", at + 1), low + 1)
-        step = F.floor((t - low) * F.col("_parts") / (high - low + 1))
-        step = F.least(F.greatest(step, F.lit(0)), F.col("_parts") - 1)
-        sliced = joined.withColumn(
-            "_slice", F.coalesce(at.cast("long") * F.col("_parts") + step, F.lit(0).cast("long")))
-        return sliced.withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts", "_parts")
+        cuts = self.cuts.withColumnRenamed(self.key, "_key")
+        joined = df.join(cuts, df[self.key].eqNullSafe(cuts["_key"]), "left")
+        block = F.greatest(F.size(F.filter("_firsts", lambda c: c <= t)), F.lit(1))
+        inner = F.size(F.filter(F.element_at("_blocks", block), lambda c: c <= t))
+        place = block.cast("long") * F.lit(1 << 32) + inner
+        return (joined.withColumn("_hot", F.col("_firsts").isNotNull())
+                .withColumn("_slice", F.when(F.col("_hot"), place).otherwise(F.lit(0).cast("long")))
+                .drop("_key", "_firsts", "_blocks"))
+
+    def align(self, df: DataFrame, like: DataFrame) -> DataFrame:
+        """Give ``df`` slices if ``like``, which it will be put together with, has them."""
+        if not self.sliced or "_slice" not in like.columns or "_slice" in df.columns:
+            return df
+        assigned = replace(self, only_hot=False).assign(df)
+        # Rows of ordinary keys have no place among rows of hot ones.
+        return assigned.where("_hot") if self.only_hot else assigned
 
 
 def plan_slices(df: DataFrame, key: str = "vehicle_id", time: str = "generate_ms",
-                target_rows: int = TARGET_ROWS) -> SlicePlan:
-    """Find the keys that need slicing. Runs one aggregate over two columns, and a second one over
-    the hot keys only; at most ``MAX_HOT`` rows reach the driver."""
-    counts = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where((F.col("_n") > target_rows) & F.col(key).isNotNull())
-              .orderBy(F.desc("_n"), key).limit(MAX_HOT))
-    hot = counts.collect()
-    if not hot:
+                target_rows: int = TARGET_ROWS, copies: int = 1) -> SlicePlan:
+    """Find the keys that need slicing and cut them. ``copies`` is how often a pipeline multiplies rows
+    before its windows (applications, sections): slices are made so much smaller.
+
+    One aggregate over two columns, and one or two more over the hot keys only. Keys and cuts stay in a
+    table; whether that is broadcast is left to Spark's size check."""
+    target = max(1, target_rows // copies)
+    parts = F.ceil(F.col("_n") / target)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    hot = cut_lineage(counts.select(F.col(key).alias("_key"), parts.alias("_parts")))
+    most = hot.agg(F.max("_parts")).first()[0]
+    if most is None:
         return SlicePlan(key, time)
-    spark = df.sparkSession
-    key_type = df.schema[key].dataType.simpleString()
-    parts = spark.createDataFrame(
-        [(row[0], max(1, -(-row[1] // (target_rows * INTERVALS)))) for row in hot],
-        f"`{key}` {key_type}, _parts long")
-    # Few slices need few cuts: ask for as many quantiles as the largest key needs.
-    wanted = min(INTERVALS, max(2, -(-hot[0][1] // target_rows)))
-    points = [i / wanted for i in range(wanted)]
-    quantiles = (df.join(F.broadcast(parts), key)
-                 .groupBy(key, "_parts")
-                 .agg(F.percentile_approx(time, points).alias("_cuts")))
-    rows = quantiles.collect()
-    cuts = spark.createDataFrame(
-        [(r[key], r["_parts"], sorted(set(int(c) for c in r["_cuts"]))) for r in rows],
-        f"`{key}` {key_type}, _parts long, _cuts array<long>")
-    return SlicePlan(key, time, cuts)
+    rows = df.select(F.col(key).alias("_of"), F.col(time).alias("_t"))
+    rows = rows.join(hot, rows["_of"].eqNullSafe(hot["_key"])).select("_key", "_parts", "_t")
+
+    def spread(points: Column, wanted: Column, have: int) -> Column:
+        """``wanted`` of ``have`` quantiles, evenly, without repetitions."""
+        steps = F.sequence(F.lit(0), F.greatest(wanted, F.lit(1)).cast("int") - 1)
+        return F.array_sort(F.array_distinct(F.transform(
+            steps, lambda i: F.element_at(points, F.floor(i * have / wanted).cast("int") + 1))))
+
+    count = int(min(BLOCK, most))
+    quantiles = F.percentile_approx("_t", [i / count for i in range(count)], 10_000)
+    wide = F.least(F.col("_parts"), F.lit(count))
+    firsts = (rows.groupBy("_key", "_parts").agg(quantiles.alias("_q"))
+              .select("_key", "_parts", spread(F.col("_q"), wide, count).alias("_firsts")))
+    if most <= BLOCK:
+        cuts = firsts.select("_key", F.slice("_firsts", 1, 1).alias("_firsts"), F.array("_firsts").alias("_blocks"))
+    else:
+        firsts = cut_lineage(firsts)
+        inner = -(-int(most) // BLOCK)
+        points = F.percentile_approx("_t", [i / inner for i in range(inner)], max(10_000, 40 * inner))
+        named = firsts.select(F.col("_key").alias("_of"), "_firsts")
+        at = F.greatest(F.size(F.filter("_firsts", lambda c: c <= F.col("_t"))), F.lit(1))
+        blocks = (rows.join(named, rows["_key"].eqNullSafe(named["_of"])).groupBy("_key", "_parts", at.alias("_at"))
+                  .agg(points.alias("_q"), F.min("_t").alias("_first")))
+        fine = F.least(F.ceil(F.col("_parts") / BLOCK), F.lit(inner))
+        blocks = blocks.select("_key", F.struct("_first", spread(F.col("_q"), fine, inner).alias("_cuts")).alias("_b"))
+        cuts = (blocks.groupBy("_key").agg(F.array_sort(F.collect_list("_b")).alias("_b"))
+                .select("_key", F.col("_b._first").alias("_firsts"), F.col("_b._cuts").alias("_blocks")))
+    return SlicePlan(key, time, cut_lineage(cuts.withColumnRenamed("_key", key)))
+
+
+def by_heat(df: DataFrame, plan: SlicePlan, run: Callable[[DataFrame, SlicePlan], DataFrame]) -> DataFrame:
+    """``run(rows, plan)`` on the rows of ordinary keys with plain windows, and on those of hot keys slice
+    by slice; the rows are split and the hot ones written once."""
+    if not plan.sliced or plan.only_hot:
+        return run(df, plan)
+    given, rows = df.columns, plan.assign(df)
+    hot = cut_lineage(rows.where("_hot"))
+    cold = rows.where(~F.col("_hot")).drop(*[c for c in ("_slice", "_hot") if c not in given])
+    ordinary = run(cold, plan.plain)
+    sliced = run(hot, replace(plan, only_hot=True))
+    return ordinary.unionByName(sliced.drop(*[c for c in ("_slice", "_hot") if c not in given]), allowMissingColumns=True)
 
 
 class Timeline:
@@ -102,16 +154,21 @@ class Timeline:
         # Seed rows have no order values; nulls come first.
         return Window.partitionBy(*self.keys, *extra).orderBy(*[F.asc_nulls_first(c) for c in self.order])
 
+    def _split(self, df: DataFrame, run: Callable[[Timeline, DataFrame], DataFrame]) -> DataFrame:
+        return by_heat(df, self.plan, lambda rows, plan: run(Timeline(self.keys, self.order, plan), rows))
+
     def last_known(self, df: DataFrame, values: Mapping[str, Column],
                    inclusive: bool = True) -> DataFrame:
         """Carry forward: the last non-null value up to (or strictly before) each row."""
-        upper = 0 if inclusive else -1
+        return self._split(df, lambda line, rows: line._last_known(rows, values, inclusive))
+
+    def _last_known(self, df, values, inclusive) -> DataFrame:
+        frame = self.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if not self.plan.sliced:
-            frame = self.window().rowsBetween(Window.unboundedPreceding, upper)
             return df.withColumns({name: F.last(v, ignorenulls=True).over(frame)
                                    for name, v in values.items()})
         hidden = {f"_v_{name}": v for name, v in values.items()}
-        rows = self.plan.assign(df).withColumns(hidden)
+        rows = cut_lineage(self.plan.assign(df).withColumns(hidden))
         position = F.struct(*self.order)
         summary = self._summary(rows, [
             F.max_by(name, F.when(F.col(name).isNotNull(), position)).alias(name) for name in hidden])
@@ -119,26 +176,29 @@ class Timeline:
         seeds = summary.select(*self.keys, "_slice", F.lit(True).alias("_seed"),
                                *[F.last(name, ignorenulls=True).over(before).alias(name)
                                  for name in hidden])
-        frame = self.window().rowsBetween(Window.unboundedPreceding, upper)
         out = self._with_seeds(rows, seeds).withColumns(
             {name: F.last(f"_v_{name}", ignorenulls=True).over(frame) for name in values})
-        return self._clean(out, df, hidden)
+        return self._clean(out, hidden)
 
     def running_sum(self, df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-        """Running totals (long), including the current row."""
+        """Running totals, including the current row, of the type that a sum of the values has."""
+        return self._split(df, lambda line, rows: line._running_sum(rows, values))
+
+    def _running_sum(self, df, values) -> DataFrame:
+        frame = self.window().rowsBetween(Window.unboundedPreceding, 0)
         if not self.plan.sliced:
-            frame = self.window().rowsBetween(Window.unboundedPreceding, 0)
             return df.withColumns({name: F.sum(v).over(frame) for name, v in values.items()})
-        hidden = {f"_v_{name}": v.cast("long") for name, v in values.items()}
+        hidden = {f"_v_{name}": v for name, v in values.items()}
         rows = self.plan.assign(df).withColumns(hidden)
+        kinds = dict(rows.groupBy().agg(*[F.sum(name).alias(name) for name in hidden]).dtypes)
+        rows = cut_lineage(rows.withColumns({name: F.col(name).cast(kinds[name]) for name in hidden}))
         summary = self._summary(rows, [F.sum(name).alias(name) for name in hidden])
         before = self._slices_before()
         seeds = summary.select(*self.keys, "_slice", F.lit(True).alias("_seed"),
-                               *[F.sum(name).over(before).alias(name) for name in hidden])
-        frame = self.window().rowsBetween(Window.unboundedPreceding, 0)
+                               *[F.sum(name).over(before).cast(kinds[name]).alias(name) for name in hidden])
         out = self._with_seeds(rows, seeds).withColumns(
-            {name: F.sum(f"_v_{name}").over(frame) for name in values})
-        return self._clean(out, df, hidden)
+            {name: F.sum(f"_v_{name}").over(frame).cast(kinds[f"_v_{name}"]) for name in values})
+        return self._clean(out, hidden)
 
     def number(self, df: DataFrame, name: str) -> DataFrame:
         """Row number from 1, per keys."""
@@ -147,41 +207,45 @@ class Timeline:
         return self.running_sum(df, {name: F.lit(1)})
 
     def last_rows(self, df: DataFrame, size: int, columns: Sequence[str],
-                  compute: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame],
-                  source: DataFrame | None = None) -> DataFrame:
+                  compute: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame]) -> DataFrame:
         """Columns over the frame of the last ``size`` rows including the current one.
 
         ``compute(rows, ordered, whole)`` adds the columns. ``ordered`` is the window without a frame
         (the caller sets ``rowsBetween(-(n - 1), 0)`` with ``n <= size``), ``whole`` the unordered
-        partition; ``columns`` names the inputs that it reads. ``source``, if given, has the same
-        rows and inputs before costly steps: trailing rows are taken from it.
+        partition; ``columns`` names the inputs that it reads.
         """
+        return self._split(df, lambda line, rows: line._last_rows(rows, size, columns, compute))
+
+    def _last_rows(self, df, size, columns, compute) -> DataFrame:
         whole = Window.partitionBy(*self.keys, *(["_slice"] if self.plan.sliced else []))
         if not self.plan.sliced:
             return compute(df, self.window(), whole)
-        rows = self.plan.assign(df)
+        rows = cut_lineage(self.plan.assign(df))
+        keep = max(size - 1, 1)
         needed = list(dict.fromkeys([*self.order, *columns]))
         latest = (Window.partitionBy(*self.keys, "_slice")
-                  .orderBy(*[F.col(c).desc() for c in self.order]))
-        keep = max(size - 1, 1)
-        origin = rows if source is None else self.plan.assign(source)
-        tails = (origin.where("_hot").withColumn("_back", F.row_number().over(latest))
-                 .where(F.col("_back") <= keep)
-                 .groupBy(*self.keys, "_slice")
-                 .agg(F.sort_array(F.collect_list(F.struct(*needed))).alias("_tail")))
-        # Every listed slice has a row, so `keep` slices back there are at least `keep` rows.
-        back = Window.partitionBy(*self.keys).orderBy("_slice").rowsBetween(-keep, -1)
-        halo = (tails.withColumn("_tail", F.flatten(F.collect_list("_tail").over(back)))
-                .where(F.size("_tail") > 0)
-                .withColumn("_tail", F.slice("_tail", -F.least(F.size("_tail"), F.lit(keep)),
-                                             F.lit(keep)))
-                .select(*self.keys, "_slice", F.lit(True).alias("_seed"),
-                        F.inline("_tail").alias(*needed)))
-        out = compute(self._with_seeds(rows, halo), self.window(), whole)
-        return self._clean(out, df, [])
+                  .orderBy(*[F.desc_nulls_last(c) for c in self.order]))
+        tails = (rows.select(*self.keys, "_slice", *[c for c in needed if c not in self.keys])
+                 .withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= keep))
+        # `_end` is the number of rows up to the end of a slice. A slice needs the rows numbered from
+        # its start - keep on; they lie in the slices before it that end behind that number.
+        sizes = self._summary(rows, [F.count(F.lit(1)).alias("_rows")])
+        upto = Window.partitionBy(*self.keys).orderBy("_slice")
+        ends = sizes.withColumn("_end", F.sum("_rows").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+        start = F.col("_end") - F.col("_rows")
+        wanted = (ends.withColumn("_near", F.collect_list(F.struct(F.col("_slice").alias("s"), F.col("_end").alias("e")))
+                                  .over(upto.rowsBetween(-keep, -1)))
+                  .select(*self.keys, F.col("_slice").alias("_for"), start.alias("_start"), F.explode("_near").alias("_near"))
+                  .select(*self.keys, "_for", F.col("_near.s").alias("_slice"),
+                          (F.col("_near.e") - F.col("_start") + keep).alias("_take")).where("_take > 0"))
+        on = [tails[k].eqNullSafe(wanted[k]) for k in self.keys] + [tails["_slice"] == wanted["_slice"]]
+        halo = (tails.join(wanted, on).where(F.col("_back") <= F.col("_take"))
+                .select(*[tails[c] for c in dict.fromkeys([*self.keys, *needed])],
+                        F.col("_for").alias("_slice"), F.lit(True).alias("_seed")))
+        return self._clean(compute(self._with_seeds(rows, halo), self.window(), whole), [])
 
     def _summary(self, rows: DataFrame, aggregates: list[Column]) -> DataFrame:
-        return rows.where("_hot").groupBy(*self.keys, "_slice").agg(*aggregates)
+        return rows.groupBy(*self.keys, "_slice").agg(*aggregates)
 
     def _slices_before(self) -> WindowSpec:
         return (Window.partitionBy(*self.keys).orderBy("_slice")
@@ -190,6 +254,5 @@ class Timeline:
     def _with_seeds(self, rows: DataFrame, seeds: DataFrame) -> DataFrame:
         return rows.unionByName(seeds, allowMissingColumns=True)
 
-    def _clean(self, out: DataFrame, given: DataFrame, hidden) -> DataFrame:
-        own = [c for c in ("_slice", "_hot") if c not in given.columns]
-        return out.where(F.col("_seed").isNull()).drop("_seed", *own, *hidden)
+    def _clean(self, out: DataFrame, hidden) -> DataFrame:
+        return out.where(F.col("_seed").isNull()).drop("_seed", *hidden)

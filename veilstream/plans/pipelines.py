@@ -5,18 +5,16 @@ All applications run in one plan: ``app`` is a column, not a copy of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstream.operators.context import ORDER, fan_out, reassemble, union_all
+from veilstream.operators.context import ORDER, fan_out, union_all
 from veilstream.operators.enforce import (KEYS, active_pet, apply_pet, distinct_specs, enforce,
                                           enforce_sections, processed_column, select_active_variant)
-from veilstream.operators.pets import REGISTRY, SECTION_VALUE
-from veilstream.operators.policy import (Rule, decisions, detect_switches, for_defined_sections,
-                                         rule_lookup, winning_rule)
-from veilstream.operators.timeline import SlicePlan, Timeline
+from veilstream.operators.policy import Rule, affected_by, context_columns, for_affected_sections, pets_in_force
+from veilstream.operators.timeline import SlicePlan, Timeline, by_heat
 
 
 def for_apps(readings: DataFrame, apps: Sequence[str]) -> DataFrame:
@@ -24,92 +22,91 @@ def for_apps(readings: DataFrame, apps: Sequence[str]) -> DataFrame:
     return fan_out(readings, apps, name="app")
 
 
-def with_active_rule(switched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Label of the PET in force, straight from change detection: the switching record included."""
-    return switched.withColumn("pet_label", rule_lookup(rules, lambda r: F.lit(r.spec.label)))
+def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
+    """The PET in force on readings of one section, by rules of that section alone: rows of the
+    applications and sections that the rules decide about get ``pet_label`` and ``since_event_id``."""
+    scalars, x, y = context_columns(readings.columns)
+    return pets_in_force(for_affected_sections(readings, rules), rules, plan, scalars, x, y, keys=KEYS)
 
 
-def evaluate(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,
-             scalars: Mapping[str, Column] | None = None, x: Column | None = None,
-             y: Column | None = None) -> DataFrame:
-    """Winner, switch flag and PET label in force.
+def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,
+                  history: DataFrame | None = None) -> DataFrame:
+    """Speed readings of the policy's applications, each under the PET in force (the minimum slice)."""
+    own = [r for r in rules if r.section == "speed"]
+    apps = sorted({r.app for r in own})
 
-    One exchange: the projections before the window are narrow, and every window after it has the
-    same keys and order. The record that caused the PET in force is added only for policies with
-    PETs that start anew at a switch.
-    """
-    scoped = for_defined_sections(readings, rules)
-    switched = detect_switches(winning_rule(scoped, rules, scalars, x, y), plan)
-    if any(REGISTRY[r.spec.name].kind == "step" for r in rules if r.spec.name in REGISTRY):
-        line = Timeline(KEYS, ORDER, plan)
-        cause = F.when(F.col("is_switch"), F.col("event_id"))
-        switched = line.last_known(switched, {"since_event_id": cause})
-    return with_active_rule(switched, rules)
+    def run(rows: DataFrame, heat: SlicePlan) -> DataFrame:
+        active = evaluate(for_apps(rows, apps), own, heat)
+        return enforce(active, affected_by(own).get("speed", []), "speed", heat)
+    return _after_history(readings, history, lambda rows: by_heat(rows, plan, run))
 
 
-def enforce_speed(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
-    """Speed readings of the policy's applications, each under the PET in force (the minimum slice)."""
-    apps = sorted({r.app for r in rules})
-    own = [r for r in rules if r.section == "speed"]
-    rows = for_apps(plan.assign(readings), apps)
-    enforced = enforce(evaluate(rows, own, plan), distinct_specs(r.spec for r in own), "speed", plan,
-                       source=for_defined_sections(rows, own))
-    return enforced.drop("_slice", "_hot")
+def _after_history(readings: DataFrame, history: DataFrame | None, run) -> DataFrame:
+    """``run`` over history and readings, of which only the readings are published: contexts, rules in
+    force and windows are those of a run without interruption."""
+    if history is None:
+        return run(readings)
+    past = history.select([c for c in readings.columns if c in history.columns]).withColumn("_past", F.lit(True))
+    both = readings.withColumn("_past", F.lit(False)).unionByName(past, allowMissingColumns=True)
+    return run(both).where(~F.col("_past")).drop("_past")
 
 
 def enforce_decided(readings: DataFrame, decided: DataFrame, specs, section: str,
                     plan: SlicePlan) -> DataFrame:
     """Enforcement under decisions that come as a table of their own."""
-    active = active_pet(readings, decided, plan)
-    return enforce(active, specs, section, plan, source=readings)
+    return by_heat(readings, plan, lambda rows, heat: enforce(
+        active_pet(rows, decided, heat), specs, section, heat))
 
 
 def filter_outputs(readings: DataFrame, decided: DataFrame, specs, section: str,
                    plan: SlicePlan) -> DataFrame:
     """The baseline: all PETs run on all records, then each record keeps the variant in force."""
-    variants = union_all([
-        apply_pet(readings, spec, section, plan).withColumnRenamed("pet_label", "variant_label")
-        for spec in distinct_specs(specs)])
-    return select_active_variant(variants, decided, plan)
+    def run(rows: DataFrame, heat: SlicePlan) -> DataFrame:
+        variants = union_all([
+            apply_pet(rows, spec, section, heat).withColumnRenamed("pet_label", "variant_label")
+            for spec in distinct_specs(specs)])
+        return select_active_variant(variants, decided, heat)
+    return by_heat(readings, plan, run)
 
 
-def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan) -> DataFrame:
+def run_policies(readings: DataFrame, rules: Sequence[Rule], plan: SlicePlan,
+                 history: DataFrame | None = None) -> DataFrame:
     """All sections of all applications: context -> evaluation per section -> enforcement.
 
-    ``readings`` is the long table of mixed sections. Every section's rules see the whole context;
-    a row is published under its own section only. The result has the processed column of each
-    section; ``reassemble_policies`` zips them back into contexts.
+    ``readings`` is the long table of mixed sections. Every section's rules see the whole context, and a
+    rule decides about all sections that its PET affects. A row is published under its own section. The
+    result has the processed column of each section; ``reassemble_policies`` zips them back into contexts.
+    ``rules`` may be of several policy versions (``policy.versioned``). With ``history``, earlier readings
+    that are not published again, the run goes on where that history ends. Plan the slices with
+    ``copies`` set to the number of applications.
     """
     apps = sorted({r.app for r in rules})
-    sections = sorted({r.section for r in rules})
-    line = Timeline(["vehicle_id"], ORDER, plan)
-    readings = plan.assign(readings)
-    context = line.last_known(readings, {
-        "now_speed": F.when(F.col("section") == "speed", F.col("scalar")),
-        "now_location": F.when(F.col("section") == "location", F.col("location"))})
-    labelled = fan_out(context.withColumnRenamed("section", "source"), apps, name="app")
-    labelled = fan_out(labelled, sections)
-    # Values (images above all) travel only on the copy that may publish them.
-    labelled = labelled.withColumns({
-        c: F.when(F.col("source") == F.col("section"), F.col(c)) for c in SECTION_VALUE.values()})
-    decided = evaluate(labelled, rules, plan, {"speed": F.col("now_speed")},
-                       F.col("now_location.x"), F.col("now_location.y"))
-    own = decided.where(F.col("source") == F.col("section")).drop(
-        "source", "now_speed", "now_location", "winner", "previous", "current", "is_switch")
-    specs = {s: distinct_specs(r.spec for r in rules if r.section == s) for s in sections}
-    # Before evaluation, a reading of a section is a row of it in every application that has rules for it.
-    source = for_defined_sections(for_apps(readings, apps), rules)
-    return enforce_sections(own, specs, plan, source=source).drop("_slice", "_hot")
-
 
-def reassemble_policies(enforced: DataFrame, plan: SlicePlan, ratio: int = 10) -> DataFrame:
-    """One context per published image with the processed speed and location that belong to it."""
-    def part(section: str) -> DataFrame:
-        return enforced.where(F.col("section") == section)
+    def run(rows: DataFrame, heat: SlicePlan) -> DataFrame:
+        context = Timeline(["vehicle_id"], ORDER, heat).last_known(rows, {
+            "now_speed": F.when(F.col("section") == "speed", F.col("scalar")),
+            "now_location": F.when((F.col("section") == "location") & F.col("location.x").isNotNull()
+                                   & F.col("location.y").isNotNull(), F.col("location"))})
+        decided = pets_in_force(for_apps(context, apps), rules, heat, {"speed": F.col("now_speed")},
+                                F.col("now_location.x"), F.col("now_location.y"))
+        own = for_affected_sections(decided, rules).drop("now_speed", "now_location")
+        return enforce_sections(own, affected_by(rules), heat)
+    return _after_history(readings, history, lambda rows: by_heat(rows, plan, run))
 
-    columns = tuple(processed_column(s) for s in ("speed", "location", "image"))
-    return reassemble(part("speed"), part("location"), part("image"), plan, ratio, columns=columns)
 
-
-__all__ = ["decisions", "enforce_decided", "enforce_speed", "evaluate", "filter_outputs", "for_apps",
-           "reassemble_policies", "run_policies", "with_active_rule"]
+def reassemble_policies(enforced: DataFrame, plan: SlicePlan, ratio: int = 10) -> DataFrame:
+    """One context per published image with the processed speed and location that belong to it: the samples of the
+    same number as its group of ``ratio`` images. All sections are numbered in one pass and meet per group, so the
+    pipeline below is read once and a hot vehicle is spread over its groups."""
+    values = {s: processed_column(s) for s in ("speed", "location", "image")}
+    rows = Timeline(KEYS, ORDER, plan).number(enforced.select(*KEYS, *ORDER, *values.values()), "frame_no")
+    place = F.col("frame_no") - 1
+    rows = rows.withColumn("_group", F.when(F.col("section") == "image", F.floor(place / ratio)).otherwise(place))
+    group = Window.partitionBy("app", "vehicle_id", "_group")
+    rows = rows.withColumns({values[s]: F.first(F.when(F.col("section") == s, F.col(values[s])), ignorenulls=True).over(group)
+                             for s in ("speed", "location")})
+    whole = F.col(values["speed"]).isNotNull() & F.col(values["location"]).isNotNull()
+    return rows.where((F.col("section") == "image") & whole).drop("section", "_group")
+
+
+__all__ = ["enforce_decided", "enforce_speed", "evaluate", "filter_outputs", "for_apps", "reassemble_policies", "run_policies"]

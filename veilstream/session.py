@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,14 +35,14 @@ def build_session(name: str = "veilstream", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. A local one is made only where none is named and
-    everything runs on one machine (tests)."""
+    """The folder named in ``spark.checkpoint.dir``, which all machines must share. There is no default on a
+    cluster; a session on one machine (``local[...]``) that names none uses ``checkpoints`` beside its warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilstream-"))
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "veilstream-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -47,3 +50,11 @@ def cut_lineage(df):
     """Write the rows to the shared folder and continue from there (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors of a session that does not have it installed there."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="veilstream-code-")
+    spark.sparkContext.addPyFile(shutil.make_archive(
+        os.path.join(folder, "veilstream"), "zip", os.path.dirname(root), os.path.basename(root)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.operators.timeline import SlicePlan, Timeline
@@ -18,17 +18,32 @@ def history_rows(readings: DataFrame) -> DataFrame:
                            *[c for c in ("scalar", "location", "image") if c in readings.columns])
 
 
+def _day(ms) -> Column:
+    return F.floor(ms / 86_400_000).cast("int")
+
+
 def write_history(readings: DataFrame, path: str, mode: str = "append") -> None:
     """Append to the store; also usable as the body of ``foreachBatch``.
 
-    The store is partitioned by section, so a look-up for one section reads only its files.
+    The store is partitioned by section and day (days since 1970), so a look-up for one section and a period
+    reads only its files. A day's rows are dealt by vehicle, which keeps the files few.
     """
-    history_rows(readings).write.mode(mode).partitionBy("section").parquet(path)
+    rows = history_rows(readings).withColumn("day", _day(F.col("generate_ms")))
+    (rows.repartition("section", "day", F.pmod(F.xxhash64("vehicle_id"), F.lit(8))).sortWithinPartitions("section", "day", "vehicle_id", "generate_ms")
+     .write.mode(mode).partitionBy("section", "day").parquet(path))
 
 
-def read_history(spark, path: str, section: str | None = None) -> DataFrame:
+def read_history(spark, path: str, section: str | None = None, since_ms: int | None = None,
+                 until_ms: int | None = None) -> DataFrame:
+    """The store, or its part of one section and a period (``since_ms`` included, ``until_ms`` not)."""
     history = spark.read.parquet(path)
-    return history if section is None else history.where(F.col("section") == section)
+    if section is not None:
+        history = history.where(F.col("section") == section)
+    if since_ms is not None:
+        history = history.where((F.col("day") >= _day(F.lit(since_ms))) & (F.col("generate_ms") >= since_ms))
+    if until_ms is not None:
+        history = history.where((F.col("day") <= _day(F.lit(until_ms))) & (F.col("generate_ms") < until_ms))
+    return history.drop("day")
 
 
 def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: SlicePlan) -> DataFrame:
@@ -41,7 +56,9 @@ def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: Slice
     keep = size - 1
     asked = triggers.select("vehicle_id", "generate_ms", F.col("event_id").alias("trigger_event_id"),
                             F.lit(0).alias("_kind"))
-    stored = history.withColumn("_kind", F.lit(1))
+    # Only vehicles with a trigger are looked at.
+    stored = (history.join(asked.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+              .withColumn("_kind", F.lit(1)))
     # A trigger comes before records of the same time: only strictly earlier ones count.
     line = Timeline(["vehicle_id"], ["generate_ms", "_kind", "event_id"], plan)
     rows = line.running_sum(stored.unionByName(asked, allowMissingColumns=True),
@@ -59,14 +76,14 @@ def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: Slice
 def warmup_time(triggers: DataFrame, history: DataFrame, seconds: int) -> DataFrame:
     """Records with ``t - seconds < generate_ms < t`` for each trigger time ``t``.
 
-    Both sides are put into buckets of the window's length, so a trigger meets two buckets only and
-    the join is an equi-join on (vehicle, bucket).
+    Both sides are put into buckets of a quarter of the period, so a trigger meets five buckets only and
+    the join is an equi-join on (vehicle, bucket) that pairs few records from outside the period.
     """
     span = seconds * 1000
-    bucket = F.floor(F.col("generate_ms") / span).cast("long")
+    bucket = F.floor(F.col("generate_ms") / (span / 4)).cast("long")
     asked = triggers.select("vehicle_id", F.col("event_id").alias("trigger_event_id"),
                             F.col("generate_ms").alias("trigger_ms"),
-                            F.explode(F.array(bucket - 1, bucket)).alias("_bucket"))
+                            F.explode(F.sequence(bucket - 4, bucket)).alias("_bucket"))
     stored = history.withColumn("_bucket", bucket)
     inside = ((F.col("generate_ms") > F.col("trigger_ms") - span)
               & (F.col("generate_ms") < F.col("trigger_ms")))

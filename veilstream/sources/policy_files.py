@@ -44,7 +44,7 @@ def load_policy(spark: SparkSession, path: str, predicate_dir: str, pet_dir: str
     """The policy table; names of missing files are reported as an error."""
     resolved = resolve_rules(read_rules(spark, path), read_descriptions(spark, predicate_dir),
                              read_descriptions(spark, pet_dir))
-    missing = [row.name for row in missing_files(resolved).orderBy("name").limit(20).collect()]
+    missing = [row.name for row in missing_files(resolved).orderBy("name").collect()]
     if missing:
         raise FileNotFoundError(f"no such predicate or PET file: {', '.join(missing)}")
     return resolved.select("app", "section", "rule_no", "priority", "predicate", "pet")

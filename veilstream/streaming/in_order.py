@@ -10,21 +10,21 @@ operator itself only tracks which rule or decision is in force and the last few
 on as an array.
 
 A row that comes when later rows of its key have already been released is *late*. Spark may drop it
-(``late_rows`` counts those); otherwise the operator marks it, and it is left out of the output or kept
+(``LateRows`` counts those); otherwise the operator marks it, and it is left out of the output or kept
 apart (``keep_late=True``, then write with ``partitionBy("is_late")``). It never changes state.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from veilstream.functions.mathx import row_seed
 from veilstream.operators.enforce import distinct_specs, processed_column
 from veilstream.operators.pets import StepPet, WindowPet, build_pet
 from veilstream.operators.policy import (Rule, decisions, for_defined_sections, rule_lookup, rules_of,
@@ -38,8 +38,7 @@ RECENT = T.StructType([T.StructField("generate_ms", T.LongType()),
                        T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 HELD = T.StructType([T.StructField("generate_ms", T.LongType()), T.StructField("event_id", T.LongType()),
                      T.StructField("kind", T.IntegerType()), T.StructField("cause", T.StringType()),
-                     T.StructField("label", T.StringType()), T.StructField("seed", T.LongType()),
-                     *RECENT.fields[1:]])
+                     T.StructField("label", T.StringType()), *RECENT.fields[1:]])
 CURRENT = T.StructType([T.StructField("cause", T.StringType()), T.StructField("label", T.StringType()),
                         T.StructField("since_event_id", T.LongType()),
                         T.StructField("step_value", T.DoubleType()),
@@ -54,10 +53,16 @@ RELEASED = T.StructType([
     T.StructField("is_late", T.BooleanType())])
 
 
+def draw_of(seed, vehicle_id, ms) -> int:
+    """The number that ``mathx.row_seed`` gives for the row."""
+    return int(hashlib.md5(f"{seed}|{vehicle_id}|{ms}".encode()).hexdigest()[:15], 16)
+
+
 class InOrder(StatefulProcessor):
     """Releases rows in event-time order with the cause in force and the last ``size`` values.
 
-    ``steps`` maps PET labels to step functions, which need the state between records.
+    ``steps`` maps PET labels to (step function, seed); step functions need the state between records.
+    A decision without a label changes what is current, but not the PET: it is about other sections.
     """
 
     def __init__(self, size: int, steps: dict):
@@ -102,7 +107,7 @@ class InOrder(StatefulProcessor):
         # Every access to state is a round trip; a frame of one row needs none for its history.
         recent = [tuple(row) for row in self.recent.get()] if self.size > 1 else []
         released = []
-        for ms, event_id, kind, new_cause, new_label, seed, scalar, x, y in rows:
+        for ms, event_id, kind, new_cause, new_label, scalar, x, y in rows:
             if last_ms is not None and (ms, event_id) < (last_ms, last_id):
                 if kind == 1:
                     released.append((*key, event_id, ms, scalar, x, y, None, None, None, False, None,
@@ -111,16 +116,18 @@ class InOrder(StatefulProcessor):
             last_ms, last_id = ms, event_id
             switch = new_cause is not None and new_cause != cause
             if switch:
-                cause, label, since = new_cause, new_label, event_id
-                step_value = step_ms = None
-            if kind == 0:
-                continue
+                cause = new_cause
+            if switch and new_label is not None:
+                label, since, step_value, step_ms = new_label, event_id, None, None
+            if kind == 0 or (scalar is None if key[2] == "speed" else x is None or y is None):
+                continue  # a row without a value is no record
             recent = [*recent, (ms, scalar, x, y)][-self.size:]
             stepped = None
             if label in self.steps:
-                initial, step = self.steps[label]()
+                make, seed = self.steps[label]
+                initial, step = make()
                 before = initial if step_ms is None else (step_value, step_ms)
-                (step_value, step_ms), stepped = step(before, scalar, int(ms), int(seed))
+                (step_value, step_ms), stepped = step(before, scalar, int(ms), draw_of(seed, key[1], ms))
             released.append((*key, event_id, ms, scalar, x, y, cause, label, since, switch, stepped,
                              [dict(zip(RECENT.names, r)) for r in recent], False))
         self.current.update((cause, label, since, step_value, step_ms, last_ms, last_id))
@@ -151,8 +158,7 @@ def _flat(df: DataFrame) -> DataFrame:
         return F.col(path) if column in df.columns else F.lit(None).cast("double")
     return df.withColumns({"x": field("location", "location.x"), "y": field("location", "location.y"),
                            "scalar": field("scalar", "scalar")}).select(
-        *KEYS, "event_time", "generate_ms", "event_id", "kind", "cause", "label", "seed",
-        "scalar", "x", "y")
+        *KEYS, "event_time", "generate_ms", "event_id", "kind", "cause", "label", "scalar", "x", "y")
 
 
 def release_in_order(rows: DataFrame, delay: str, size: int, steps: dict) -> DataFrame:
@@ -166,11 +172,10 @@ def caused_by_rules(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Readings with the winning rule as their possible cause of a switch (narrow, in the JVM)."""
     evaluated = winning_rule(for_defined_sections(readings, rules), rules)
     named = evaluated.withColumn("current", F.col("winner"))
-    named = named.withColumn("label", rule_lookup(rules, lambda r: F.lit(r.spec.label)))
     # The label is part of the cause: a new policy may give an old place in the list a new PET.
-    cause = F.concat(F.col("winner.index").cast("string"), F.lit("|"), F.col("label"))
-    return named.withColumns({"cause": cause, "kind": F.lit(1),
-                              "seed": row_seed(0, F.col("vehicle_id"), F.col("generate_ms"))})
+    cause = F.concat(F.col("winner.index").cast("string"), F.lit("|"), rule_lookup(rules, lambda r: F.lit(r.spec.label)))
+    label = rule_lookup(rules, lambda r: F.lit(r.spec.label if r.section in r.affected else None).cast("string"))
+    return named.withColumns({"label": label, "cause": cause, "kind": F.lit(1)})
 
 
 def decide_stream(readings: DataFrame, rules: Sequence[Rule], delay: str = "10 minutes") -> DataFrame:
@@ -188,7 +193,7 @@ def enforce_stream(readings: DataFrame, rules: Sequence[Rule], section: str,
     """Readings of one section under the PET in force; decides and enforces in one operator, so a
     decision cannot arrive after the record that caused it."""
     mine = [r for r in rules if r.section == section]
-    specs = distinct_specs(r.spec for r in mine)
+    specs = distinct_specs(r.spec for r in mine if section in r.affected)
     return _enforced(caused_by_rules(readings, mine), specs, section, delay, keep_late)
 
 
@@ -197,13 +202,11 @@ def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, secti
     """The same under decisions that arrive as a stream of their own. Readings wait until the
     watermark has passed them, so a decision may come later than the records it applies to."""
     rows = readings.withColumns({
-        "kind": F.lit(1), "cause": F.lit(None).cast("string"), "label": F.lit(None).cast("string"),
-        "seed": row_seed(0, F.col("vehicle_id"), F.col("generate_ms"))})
+        "kind": F.lit(1), "cause": F.lit(None).cast("string"), "label": F.lit(None).cast("string")})
     causes = decided.select(
         "app", "vehicle_id", "section", F.col("generation_ms").alias("generate_ms"),
         F.col("trigger_event_id").alias("event_id"), F.lit(0).alias("kind"),
-        F.col("decision_id").alias("cause"), F.col("pet_label").alias("label"),
-        F.lit(0).cast("long").alias("seed"))
+        F.col("decision_id").alias("cause"), F.col("pet_label").alias("label"))
     both = rows.unionByName(causes, allowMissingColumns=True)
     return _enforced(both, specs, section, delay, keep_late)
 
@@ -211,7 +214,7 @@ def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, secti
 def _enforced(rows: DataFrame, specs, section: str, delay: str, keep_late: bool) -> DataFrame:
     built = [(s.label, *build_pet(s, section)) for s in distinct_specs(specs)]
     size = max([pet.size for _, _, pet in built if isinstance(pet, WindowPet)], default=1)
-    steps = {label: pet.make for label, _, pet in built if isinstance(pet, StepPet)}
+    steps = {label: (pet.make, pet.seed) for label, _, pet in built if isinstance(pet, StepPet)}
     released = release_in_order(rows, delay, size, steps)
     released = released.withColumn("location", F.struct("x", "y"))
     value, ready = F, F
@@ -271,6 +274,21 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def late_rows(query) -> int:
-    """Rows that the query dropped because they came behind the watermark."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop because they come behind the watermark, over all their triggers:
+    ``spark.streams.addListener(late := LateRows())``, then ``late.rows[query name or id]``."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        for name in {str(progress.id), progress.name} - {None}:
+            self.rows[name] = self.rows.get(name, 0) + dropped
+
+    def onQueryTerminated(self, event) -> None:
+        pass

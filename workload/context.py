@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from veilstream.operators import context as ctx
 from veilstream.plans.pipelines import for_apps
-from workload.fixtures import (context_of, k_of_props, millis, mixed_readings, plan_for, query,
-                               speed_readings, table, with_views)
+from workload.fixtures import (SECTION_SQL, context_of, k_of_props, millis, mixed_readings, plan_for, query,
+                               section_of_type, speed_readings, table, with_views)
 
 
 @query(with_views("mixed_readings", body="""
@@ -67,16 +67,17 @@ def extracted_section(spark, sf_dir):
 def _inputs(spark, sf_dir):
     events = table(spark, sf_dir, "events")
 
-    def side(kind):
-        return events.where(F.col("event_type") == kind).select(
+    def side(chosen):
+        return events.where(chosen).select(
             F.col("user_id").alias("vehicle_id"), "event_id", millis("ts").alias("generate_ms"),
             "value")
-    return side("click"), side("view")
+    speed = section_of_type() == "speed"
+    return side(speed), side(~speed)
 
 
-@query("""
-WITH l AS (SELECT *, epoch_us(ts)//1000 AS ms FROM events WHERE event_type = 'click'),
-     r AS (SELECT *, epoch_us(ts)//1000 AS ms FROM events WHERE event_type = 'view')
+@query(f"""
+WITH e AS (SELECT *, epoch_us(ts)//1000 AS ms, {SECTION_SQL} AS section FROM events),
+     l AS (SELECT * FROM e WHERE section = 'speed'), r AS (SELECT * FROM e WHERE section <> 'speed')
 SELECT l.event_id, 'left' AS side, l.value AS left_value, r.value AS right_value
 FROM l ASOF JOIN r ON l.user_id = r.user_id AND l.ms >= r.ms
 UNION ALL
@@ -88,24 +89,23 @@ def combined_inputs(spark, sf_dir):
     return ctx.asof_context(left, right, plan).select("event_id", "side", "left_value", "right_value")
 
 
-ZIPPED = """
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n
-           FROM events)
+ZIPPED = f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, section ORDER BY ts, event_id) AS n
+           FROM (SELECT *, {SECTION_SQL} AS section FROM events))
 SELECT i.user_id AS vehicle_id, i.event_id, i.n AS frame_no, s.value AS speed, l.value AS location,
        i.props AS image
-FROM n i JOIN n s ON s.user_id = i.user_id AND s.event_type = 'click' AND s.n = (i.n - 1) // 10 + 1
-         JOIN n l ON l.user_id = i.user_id AND l.event_type = 'view' AND l.n = (i.n - 1) // 10 + 1
-WHERE i.event_type = 'purchase'"""
+FROM n i JOIN n s ON s.user_id = i.user_id AND s.section = 'speed' AND s.n = (i.n - 1) // 10 + 1
+         JOIN n l ON l.user_id = i.user_id AND l.section = 'location' AND l.n = (i.n - 1) // 10 + 1
+WHERE i.section = 'image'"""
 
 
 def _sections(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumns({
         "vehicle_id": F.col("user_id"), "app": F.lit("app1"), "generate_ms": millis("ts")})
 
-    def part(kind, column, value):
-        return events.where(F.col("event_type") == kind).withColumn(column, F.col(value))
-    return part("click", "speed", "value"), part("view", "location", "value"), part(
-        "purchase", "image", "props")
+    def part(section, value):
+        return events.where(section_of_type() == section).withColumn(section, F.col(value))
+    return part("speed", "value"), part("location", "value"), part("image", "props")
 
 
 @query(ZIPPED)

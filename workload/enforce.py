@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from veilstream.functions.petspec import PetSpec
+from veilstream.functions.petspec import PetSpec, pet_json
 from veilstream.operators import enforce as enf
 from veilstream.operators import shards
+from veilstream.operators.policy import Rule, versioned
 from veilstream.plans import pipelines
-from workload.fixtures import (AVERAGE, CLAMP, MIXED_RULES, NONE, SPEED_RULES, forced_decisions, millis,
-                               mixed_readings, plan_for, query, readings_of_app, skewed_plan,
+from workload.fixtures import (AVERAGE, CLAMP, LOCATION_RULES, MEDIAN, MIXED_RULES, NONE, SKEWED_KEY, SPEED_RULES,
+                               _speed_rule, forced_decisions, millis, mixed_readings, plan_for, query, readings_of_app, skewed_plan,
                                skewed_readings, speed_readings, table, with_views)
 
 FORCED = [PetSpec.from_json(p) for p in (NONE, AVERAGE, CLAMP)]
@@ -111,7 +112,7 @@ ruled AS (
     WHEN 'app1speed' THEN CASE WHEN v > 60 THEN 'average5' WHEN v <= 60 THEN 'none' END
     WHEN 'app2speed' THEN CASE WHEN v > 100 THEN 'clamp0.0100.0' WHEN v > 50 THEN 'median5'
                                WHEN v >= 0 THEN 'none' END
-    WHEN 'app1location' THEN CASE WHEN {IN_SQUARE} THEN 'geo59.627.00.10.15.0'
+    WHEN 'app1location' THEN CASE WHEN {IN_SQUARE} THEN 'geo57.522.00.20.253.0'
                                   WHEN NOT {IN_SQUARE} THEN 'none' END
     WHEN 'app2location' THEN CASE WHEN {IN_SQUARE} THEN 'none' END
     WHEN 'app1image' THEN CASE WHEN v > 60 THEN 'image_redactionblackout' WHEN v <= 60 THEN 'none' END
@@ -135,7 +136,7 @@ framed AS (
   FROM timed WINDOW w AS (PARTITION BY app, section, vehicle_id ORDER BY generate_ms, event_id
                           ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 noise AS (
-  SELECT *, CASE WHEN e < 9.6e0 THEN 0.1e0 * 0.1e0 WHEN e < 27e0 THEN 0.1e0 ELSE 5e0 * 0.1e0 END
+  SELECT *, CASE WHEN e < 7.5e0 THEN 0.2e0 * 0.25e0 WHEN e < 22e0 THEN 0.2e0 ELSE 3e0 * 0.2e0 END
             - e * sign(u - 0.5e0) * ln(1 - 2 * abs(u - 0.5e0)) AS r
   FROM (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS e FROM framed)),
 published AS (
@@ -148,7 +149,7 @@ published AS (
          CASE WHEN section = 'image' THEN CASE pet_label WHEN 'none' THEN payload
            ELSE repeat('0', length(payload)) END ELSE '' END AS p_image
   FROM noise WHERE pet_label IS NOT NULL
-    AND (pet_label NOT IN ('average5', 'median5', 'geo59.627.00.10.15.0') OR n5 = 5))
+    AND (pet_label NOT IN ('average5', 'median5', 'geo57.522.00.20.253.0') OR n5 = 5))
 """
 
 
@@ -171,7 +172,7 @@ def enforced_policies(spark, sf_dir):
         "app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label", *_processed())
 
 
-@query(POLICIES + """,
+REASSEMBLED = """,
 n AS (SELECT *, row_number() OVER (PARTITION BY app, vehicle_id, section
                                    ORDER BY generate_ms, event_id) AS n FROM published)
 SELECT i.app, i.vehicle_id, i.event_id, i.n AS frame_no, s.p_speed, l.p_x, i.p_image
@@ -179,7 +180,10 @@ FROM n i JOIN n s ON i.app = s.app AND i.vehicle_id = s.vehicle_id AND s.section
                  AND s.n = (i.n - 1) // 10 + 1
          JOIN n l ON i.app = l.app AND i.vehicle_id = l.vehicle_id AND l.section = 'location'
                  AND l.n = (i.n - 1) // 10 + 1
-WHERE i.section = 'image'""")
+WHERE i.section = 'image'"""
+
+
+@query(POLICIES + REASSEMBLED)
 def reassembled_policies(spark, sf_dir):
     """The published sections put back together into one context per image."""
     plan = plan_for(spark, sf_dir, mixed_readings)
@@ -187,6 +191,97 @@ def reassembled_policies(spark, sf_dir):
     return whole.select("app", "vehicle_id", "event_id", "frame_no", *_processed())
 
 
+MIDDLE_MS = 1_705_300_000_000
+SKEWED_POLICIES = POLICIES.replace("user_id AS vehicle_id", SKEWED_KEY)
+
+
+def skewed_mixed(spark, sf_dir):
+    """``mixed_readings`` where one vehicle holds a third of all rows."""
+    return mixed_readings(spark, sf_dir).withColumn(
+        "vehicle_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("vehicle_id")))
+
+
+def _hot_policies(spark, sf_dir):
+    plan = plan_for(spark, sf_dir, skewed_mixed, share=0.01)
+    return plan, pipelines.run_policies(skewed_mixed(spark, sf_dir), MIXED_RULES, plan)
+
+
+@query(SKEWED_POLICIES + "SELECT * FROM published")
+def enforced_policies_hot_vehicle(spark, sf_dir):
+    """The same when one vehicle holds a third of all rows."""
+    return _hot_policies(spark, sf_dir)[1].select(
+        "app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label", *_processed())
+
+
+@query(SKEWED_POLICIES + REASSEMBLED)
+def reassembled_policies_hot_vehicle(spark, sf_dir):
+    plan, published = _hot_policies(spark, sf_dir)
+    return pipelines.reassemble_policies(published, plan).select("app", "vehicle_id", "event_id", "frame_no", *_processed())
+
+
+@query(POLICIES + f"SELECT * FROM published WHERE generate_ms > {MIDDLE_MS}")
+def enforced_after_history(spark, sf_dir):
+    """The first half of the readings is history: the second goes on where it ended."""
+    rows, late = mixed_readings(spark, sf_dir), F.col("generate_ms") > MIDDLE_MS
+    done = pipelines.run_policies(rows.where(late), MIXED_RULES, plan_for(spark, sf_dir, mixed_readings),
+                                  history=rows.where(~late))
+    return done.select("app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label", *_processed())
+
+
+SECOND_POLICY = [Rule("app1", "speed", 1, 1, _speed_rule("GREATER", 90), CLAMP),
+                 Rule("app1", "speed", 2, 2, _speed_rule("LESS_EQUAL", 40), MEDIAN)]
+
+
+@query(with_views("speed_readings", body="").rstrip() + f""",
+evaluated AS (
+  SELECT *, CASE WHEN generate_ms < {MIDDLE_MS} THEN CASE WHEN scalar > 60 THEN 1 WHEN scalar <= 60 THEN 2 END
+            ELSE CASE WHEN scalar > 90 THEN 3 WHEN scalar <= 40 THEN 4 END END AS rule FROM speed_readings),
+labelled AS (
+  SELECT *, (['average5', 'none', 'clamp0.0100.0', 'median5'])[last_value(rule IGNORE NULLS) OVER (
+           PARTITION BY vehicle_id ORDER BY generate_ms, event_id ROWS UNBOUNDED PRECEDING)] AS pet_label FROM evaluated),
+windowed AS (
+  SELECT 'app1' AS app, *, avg(scalar) OVER w AS mean5, quantile_disc(scalar, 0.5) OVER w AS median5, count(*) OVER w AS n5
+  FROM labelled WINDOW w AS (PARTITION BY vehicle_id ORDER BY generate_ms, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+""" + ENFORCED_SQL)
+def enforced_under_versions(spark, sf_dir):
+    """A second version of the policy replaces the first in the middle of the time."""
+    rules = versioned([(0, [r for r in SPEED_RULES if r.app == "app1"]), (MIDDLE_MS, SECOND_POLICY)])
+    return _published(pipelines.enforce_speed(speed_readings(spark, sf_dir), rules, plan_for(spark, sf_dir)))
+
+
+WIDE_NONE = pet_json("none", outputs=["speed", "location"])
+WIDE_RULES = [Rule("app1", "speed", 1, 1, _speed_rule("GREATER", 60), WIDE_NONE),
+              Rule("app1", "speed", 2, 2, _speed_rule("LESS_EQUAL", 60), AVERAGE),
+              *[r for r in LOCATION_RULES if r.app == "app1"],
+              Rule("app2", "speed", 1, 1, _speed_rule("GREATER", 30), WIDE_NONE)]
+
+
+@query(with_views("contexts", body="").rstrip() + f""",
+hit AS (
+  SELECT *, CASE WHEN app = 'app1' THEN CASE WHEN v > 60 THEN 1 WHEN v <= 60 THEN 2 END WHEN v > 30 THEN 3 END AS s,
+         CASE WHEN app = 'app1' THEN CASE WHEN {IN_SQUARE} THEN 1 WHEN NOT {IN_SQUARE} THEN 2 END END AS l
+  FROM (SELECT *, unnest(['app1', 'app2']) AS app FROM contexts)),
+was AS (
+  SELECT *, last_value(s IGNORE NULLS) OVER w AS s0, last_value(l IGNORE NULLS) OVER w AS l0 FROM hit
+  WINDOW w AS (PARTITION BY app, vehicle_id ORDER BY generate_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+choice AS (
+  SELECT *, CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM s0 THEN CASE s WHEN 2 THEN 'average5' ELSE 'none' END END AS for_speed,
+         CASE WHEN l IS NOT NULL AND l IS DISTINCT FROM l0 THEN CASE l WHEN 1 THEN 'geo57.522.00.20.253.0' ELSE 'none' END
+              WHEN s IS NOT NULL AND s IS DISTINCT FROM s0 AND s <> 2 THEN 'none' END AS for_location FROM was),
+active AS (
+  SELECT *, last_value(for_speed IGNORE NULLS) OVER w AS p_speed, last_value(for_location IGNORE NULLS) OVER w AS p_location
+  FROM choice WINDOW w AS (PARTITION BY app, vehicle_id ORDER BY generate_ms, event_id ROWS UNBOUNDED PRECEDING)),
+own AS (
+  SELECT app, vehicle_id, source AS section, event_id, CASE source WHEN 'speed' THEN p_speed ELSE p_location END AS pet_label,
+         count(*) OVER (PARTITION BY app, vehicle_id, source ORDER BY generate_ms, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5
+  FROM active WHERE source <> 'image')
+SELECT app, vehicle_id, section, event_id, pet_label FROM own WHERE pet_label IS NOT NULL AND (pet_label = 'none' OR n5 = 5)""")
+def policies_with_several_outputs(spark, sf_dir):
+    """A speed rule whose transformation also decides about locations, with and without location rules."""
+    done = pipelines.run_policies(mixed_readings(spark, sf_dir), WIDE_RULES, plan_for(spark, sf_dir, mixed_readings))
+    return done.select("app", "vehicle_id", "section", "event_id", "pet_label")
+
+
 # --- sharding ------------------------------------------------------------------------------------
 
 @query("""

@@ -17,7 +17,6 @@ from veilstream.operators.timeline import SlicePlan, plan_slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_PLANS: dict[tuple, SlicePlan] = {}
 
 
 def query(sql: str | None = None):
@@ -63,6 +62,16 @@ def millis(column: str):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
+def section_of_type():
+    """Every event is a reading of one section."""
+    return (F.when(F.col("event_type").isin("click", "signup"), "speed")
+            .when(F.col("event_type").isin("view", "error"), "location").otherwise("image"))
+
+
+SECTION_SQL = ("CASE WHEN event_type IN ('click', 'signup') THEN 'speed' "
+               "WHEN event_type IN ('view', 'error') THEN 'location' ELSE 'image' END")
+
+
 def k_of_props():
     return F.regexp_extract("props", r"(\d+)", 1).cast("double")
 
@@ -84,10 +93,7 @@ def points(spark, sf_dir) -> DataFrame:
 
 def mixed_readings(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    section = (F.when(F.col("event_type") == "click", "speed")
-               .when(F.col("event_type") == "view", "location")
-               .when(F.col("event_type") == "purchase", "image"))
-    rows = events.withColumn("section", section).where(F.col("section").isNotNull())
+    rows = events.withColumn("section", section_of_type())
     return rows.select(
         F.col("user_id").alias("vehicle_id"), "section", "event_id", millis("ts").alias("generate_ms"),
         F.when(F.col("section") == "speed", F.col("value")).alias("scalar"),
@@ -120,15 +126,11 @@ def readings_of_app(spark, sf_dir, app: str = "app1") -> DataFrame:
 
 
 def plan_for(spark, sf_dir, view=None, key="vehicle_id", time="generate_ms", share=None) -> SlicePlan:
-    """Slices for a view, planned once per session and folder. With ``share``, a key is hot from that
-    share of all rows on."""
+    """Slices for a view. With ``share``, a key is hot from that share of all rows on."""
     view = view or speed_readings
-    name = (spark.sparkContext.applicationId, sf_dir, view.__name__, key, time, share)
-    if name not in _PLANS:
-        rows = view(spark, sf_dir)
-        target = {} if share is None else {"target_rows": max(50, int(rows.count() * share))}
-        _PLANS[name] = plan_slices(rows, key, time, **target)
-    return _PLANS[name]
+    rows = view(spark, sf_dir)
+    target = {} if share is None else {"target_rows": max(50, int(rows.count() * share))}
+    return plan_slices(rows, key, time, **target)
 
 
 def context_of(spark, sf_dir) -> DataFrame:
@@ -146,8 +148,8 @@ NONE = pet_json("none")
 AVERAGE = pet_json("average", [("Integer", 5)], [("speed", "PIECE", 5)], ["speed"], ["speed"])
 MEDIAN = pet_json("median", [("Integer", 5)], [("speed", "PIECE", 5)], ["speed"], ["speed"])
 CLAMP = pet_json("clamp", [("Double", 0.0), ("Double", 100.0)], [], ["speed"], ["speed"])
-GEO = pet_json("geo", [("Integer", 5), ("Double", 9.6), ("Double", 27.0), ("Double", 0.1),
-                       ("Double", 0.1), ("Double", 5.0)],
+GEO = pet_json("geo", [("Integer", 5), ("Double", 7.5), ("Double", 22.0), ("Double", 0.2),
+                       ("Double", 0.25), ("Double", 3.0)],
                [("location", "PIECE", 5)], ["location"], ["location"])
 BLANK = pet_json("image_redaction", [("String", "blackout")], [], ["image"], ["image"])
 
@@ -210,16 +212,14 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
   SELECT user_id AS vehicle_id, event_id, epoch_us(ts)//1000 AS generate_ms, value AS x,
          regexp_extract(props, '([0-9]+)', 1)::DOUBLE AS y
   FROM events""", ()),
-    "mixed_readings": ("""
-  SELECT user_id AS vehicle_id, event_id, epoch_us(ts)//1000 AS generate_ms,
-         CASE event_type WHEN 'click' THEN 'speed' WHEN 'view' THEN 'location'
-                         ELSE 'image' END AS section,
-         CASE WHEN event_type = 'click' THEN value END AS v,
-         CASE WHEN event_type = 'view' THEN value END AS x,
-         CASE WHEN event_type = 'view' THEN regexp_extract(props, '([0-9]+)', 1)::DOUBLE END AS y,
-         CASE WHEN event_type = 'purchase' THEN props END AS payload,
-         CASE WHEN event_type = 'purchase' THEN event_id END AS sequence_number
-  FROM events WHERE event_type IN ('click', 'view', 'purchase')""", ()),
+    "mixed_readings": (f"""
+  SELECT user_id AS vehicle_id, event_id, epoch_us(ts)//1000 AS generate_ms, section,
+         CASE WHEN section = 'speed' THEN value END AS v,
+         CASE WHEN section = 'location' THEN value END AS x,
+         CASE WHEN section = 'location' THEN regexp_extract(props, '([0-9]+)', 1)::DOUBLE END AS y,
+         CASE WHEN section = 'image' THEN props END AS payload,
+         CASE WHEN section = 'image' THEN event_id END AS sequence_number
+  FROM (SELECT *, {SECTION_SQL} AS section FROM events)""", ()),
     "contexts": (f"""
   SELECT vehicle_id, event_id, generate_ms, section AS source,
          last_value(v IGNORE NULLS) OVER w AS v,

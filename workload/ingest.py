@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from veilstream.operators.context import fan_out
 from veilstream.operators.timeline import Timeline
 from veilstream.sources import history, logs, policy_files, readings, traces
-from workload.fixtures import (context_of, k_of_props, mixed_readings, plan_for, query, skewed_plan,
+from workload.fixtures import (SECTION_SQL, context_of, k_of_props, section_of_type, mixed_readings, plan_for, query, skewed_plan,
                                skewed_readings, speed_readings, table, with_views)
 
 
@@ -111,24 +111,24 @@ def exported_speeds(spark, sf_dir):
     return traces.speed_trace(speeds.withColumn("v", F.round("v", 5)))
 
 
-def _numbered(spark, sf_dir, kind, name):
-    rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(
+def _numbered(spark, sf_dir, section, name):
+    chosen = section_of_type() == "speed" if section == "speed" else section_of_type() != "speed"
+    rows = table(spark, sf_dir, "events").where(chosen).select(
         F.col("user_id").alias("vehicle_id"), "event_id", "value",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("generate_ms"))
     line = Timeline(["vehicle_id"], ["generate_ms", "event_id"], plan_for(spark, sf_dir))
     return line.number(rows, name).withColumn(name, F.col(name) - 1)
 
 
-@query("""
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS n
-           FROM events)
+@query(f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, slow ORDER BY ts, event_id) - 1 AS n
+           FROM (SELECT *, {SECTION_SQL} = 'speed' AS slow FROM events))
 SELECT f.event_id, f.n AS tick, s.value AS speed
-FROM n f JOIN n s ON f.user_id = s.user_id AND s.n = f.n // 10
-WHERE f.event_type = 'purchase' AND s.event_type = 'click'""")
+FROM n f JOIN n s ON f.user_id = s.user_id AND s.n = f.n // 10 WHERE NOT f.slow AND s.slow""")
 def multi_rate_contexts(spark, sf_dir):
-    """Images every tick; the speed changes with every tenth."""
-    fast = _numbered(spark, sf_dir, "purchase", "tick").select("vehicle_id", "event_id", "tick")
-    slow = _numbered(spark, sf_dir, "click", "sample").select(
+    """Other sections every tick; the speed changes with every tenth."""
+    fast = _numbered(spark, sf_dir, "other", "tick").select("vehicle_id", "event_id", "tick")
+    slow = _numbered(spark, sf_dir, "speed", "sample").select(
         "vehicle_id", "sample", F.col("value").alias("speed"))
     return traces.multi_rate_context(fast, slow).select("event_id", "tick", "speed")
 

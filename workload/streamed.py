@@ -9,11 +9,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veilstream.plans.pipelines import for_apps
+from veilstream.plans.pipelines import enforce_speed, for_apps
 from veilstream.session import shared_dir
 from veilstream.streaming import in_order
-from workload.enforce import ENFORCED_SQL, FORCED
-from workload.fixtures import (SPEED_RULES, forced_decisions, query, speed_readings, with_views)
+from veilstream.streaming.policies import stream_policies
+from workload.enforce import ENFORCED_SQL, FORCED, POLICIES, _processed, _published
+from workload.fixtures import (MIXED_RULES, SPEED_RULES, forced_decisions, mixed_readings, plan_for, query, speed_readings,
+                               with_views)
 
 
 class _Streaming:
@@ -67,3 +69,32 @@ def streamed_outside_decisions(spark, sf_dir):
     return _finished(spark, enforced).select(
         "vehicle_id", "event_id", "generate_ms", "pet_label",
         F.round("processed_scalar", 6).alias("processed"))
+
+
+@query(POLICIES + "SELECT * FROM published")
+def streamed_policies(spark, sf_dir):
+    """All sections of two applications from one stream, images included."""
+    done = stream_policies(mixed_readings(_Streaming(spark), sf_dir), MIXED_RULES, "0 seconds")
+    return _finished(spark, done).select(
+        "app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label", *_processed())
+
+
+NULL_SPEEDS = with_views("windowed", body=ENFORCED_SQL).replace(
+    "value AS scalar\n  FROM events", "CASE WHEN event_id % 7 <> 0 THEN value END AS scalar\n  FROM events").replace(
+    "FROM labelled\n", "FROM labelled WHERE scalar IS NOT NULL\n")
+
+
+def _with_nulls(rows):
+    return rows.withColumn("scalar", F.when(F.col("event_id") % 7 != 0, F.col("scalar")))
+
+
+@query(NULL_SPEEDS)
+def enforced_speed_with_nulls(spark, sf_dir):
+    """Every seventh reading lost its value: it is no record."""
+    return _published(enforce_speed(_with_nulls(speed_readings(spark, sf_dir)), SPEED_RULES, plan_for(spark, sf_dir)))
+
+
+@query(NULL_SPEEDS)
+def streamed_enforcement_with_nulls(spark, sf_dir):
+    enforced = in_order.enforce_stream(_with_nulls(_apps(spark, sf_dir)), SPEED_RULES, "speed", "0 seconds")
+    return _published(_finished(spark, enforced))

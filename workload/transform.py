@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilstream.functions import mathx
-from veilstream.functions.petspec import PetSpec
+from veilstream.functions.petspec import PetSpec, pet_json
 from veilstream.operators.enforce import apply_pet
 from veilstream.operators.pets import dummies, geo, image, register_pet
 from veilstream.operators.pets.speed import Corridor, map_speed, speed_anonymizer
+from veilstream.operators.policy import Rule
 from veilstream.operators.timeline import Timeline
+from veilstream.plans.pipelines import run_policies
 from workload.fixtures import (AVERAGE, CLAMP, GEO, MEDIAN, NONE, k_of_props, plan_for, points, query,
                                readings_of_app, skewed_plan, skewed_readings, speed_readings, table,
                                with_views)
@@ -134,6 +136,31 @@ def noisy_speed(spark, sf_dir):
     return done.select("event_id", F.round("processed_scalar", 6).alias("processed"))
 
 
+def _inside_corridor(readings, done):
+    """Whether each output keeps the limits, and the reach from the output before it."""
+    order = Window.partitionBy("vehicle_id").orderBy("generate_ms", "event_id")
+    out, last = F.col("processed_scalar"), F.lag("processed_scalar").over(order)
+    reach = (F.col("generate_ms") - F.lag("generate_ms").over(order)) / CORRIDOR.relax_ms * CORRIDOR.deviation
+    inside = out.between(CORRIDOR.low, CORRIDOR.high) & (last.isNull() | (F.abs(out - last) <= reach + 1e-9))
+    return done.select("event_id", inside.alias("inside"))
+
+
+@query("SELECT event_id, true AS inside FROM events")
+def noisy_speed_properties(spark, sf_dir):
+    """Every noisy speed lies inside the corridor around the one before it."""
+    from dataclasses import replace
+    rows = speed_readings(spark, sf_dir)
+    return _inside_corridor(rows, speed_anonymizer(rows, replace(CORRIDOR, sampler="beta"), plan_for(spark, sf_dir), seed=7))
+
+
+@query("SELECT event_id, true AS inside FROM events")
+def noisy_speed_hot_vehicle(spark, sf_dir):
+    """The same when one vehicle holds a third of all rows and its recursion runs in slices."""
+    from dataclasses import replace
+    rows = skewed_readings(spark, sf_dir)
+    return _inside_corridor(rows, speed_anonymizer(rows, replace(CORRIDOR, sampler="beta"), skewed_plan(spark, sf_dir), seed=7))
+
+
 # --- geo-obfuscation -----------------------------------------------------------------------------
 
 PREDICTED_SQL = f""",
@@ -147,8 +174,8 @@ fitted AS (
 measured AS (
   SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS error FROM fitted WHERE n = 5),
 levelled AS (
-  SELECT *, CASE WHEN error < 9.6e0 THEN 0.1e0 * 0.1e0 WHEN error < 27e0 THEN 0.1e0
-                 ELSE 5e0 * 0.1e0 END AS level,
+  SELECT *, CASE WHEN error < 7.5e0 THEN 0.2e0 * 0.25e0 WHEN error < 22e0 THEN 0.2e0
+                 ELSE 3e0 * 0.2e0 END AS level,
          (('0x' || substr(md5('0r|' || vehicle_id || '|' || event_id), 1, 8))::BIGINT + 0.5e0)
            / 4294967296e0 AS u,
          (('0x' || substr(md5('0a|' || vehicle_id || '|' || event_id), 1, 8))::BIGINT + 0.5e0)
@@ -180,7 +207,7 @@ def privacy_levels(spark, sf_dir):
     error = geo.prediction_error(F.col("predicted_x"), F.col("predicted_y"))
     return _predicted(spark, sf_dir).select(
         "event_id", F.round(error, 3).alias("error"),
-        F.round(geo.privacy_level(error, 9.6, 27.0, 0.1, 0.1, 5.0), 6).alias("level"))
+        F.round(geo.privacy_level(error, 7.5, 22.0, 0.2, 0.25, 3.0), 6).alias("level"))
 
 
 OBFUSCATED = """
@@ -223,6 +250,7 @@ def places(spark, sf_dir):
     return dummies.visit_counts(suppliers, visits)
 
 
+K, GAMMA = 4, 8.0
 PLACES = """
 WITH places AS (
   SELECT s_suppkey AS place_id, s_suppkey::DOUBLE AS x, s_acctbal AS y, count(l_suppkey) AS amount
@@ -253,10 +281,10 @@ def _requests(spark, sf_dir, n: int):
 
 @query()
 def dummy_locations(spark, sf_dir):
-    """Three places per customer, the real one among them."""
+    """Four places per customer, the real one among them."""
     ranked = dummies.rank_places(places(spark, sf_dir))
     n = table(spark, sf_dir, "supplier").count()
-    chosen = dummies.dummy_locations(_requests(spark, sf_dir, n), ranked, k=3, m=15, gamma=10.0, seed=3)
+    chosen = dummies.dummy_locations(_requests(spark, sf_dir, n), ranked, k=K, m=12, gamma=GAMMA, seed=3)
     return chosen.select("request_id", "real_place_id", "slot", "rank", "place_id", "x", "y",
                          F.round("entropy", 6).alias("entropy"), "trial")
 
@@ -266,15 +294,71 @@ def updated_place_counts(spark, sf_dir):
     """Visit counts after the batch of requests."""
     counted = places(spark, sf_dir)
     n = table(spark, sf_dir, "supplier").count()
-    chosen = dummies.dummy_locations(_requests(spark, sf_dir, n), dummies.rank_places(counted), k=3,
-                                     m=15, gamma=10.0, seed=3)
+    chosen = dummies.dummy_locations(_requests(spark, sf_dir, n), dummies.rank_places(counted), k=K,
+                                     m=12, gamma=GAMMA, seed=3)
     return dummies.updated_counts(counted, chosen).select("place_id", "amount")
 
 
-@query()
+@query("""
+SELECT c_custkey AS request_id, 4::BIGINT AS places, true AS distinct_places, true AS holds_real_place,
+       true AS entropy_agrees FROM customer""")
+def dummy_location_properties(spark, sf_dir):
+    """Of every request: how many places, whether they differ, hold the real one, and have the entropy that the
+    finite sum of the Beta distribution function gives."""
+    n = table(spark, sf_dir, "supplier").count()
+    chosen = dummies.dummy_locations(_requests(spark, sf_dir, n), dummies.rank_places(places(spark, sf_dir)), k=K,
+                                     m=12, gamma=GAMMA, seed=3)
+    sets = chosen.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("places"), (F.countDistinct("place_id") == K).alias("distinct_places"),
+        F.max(F.col("place_id") == F.col("real_place_id")).alias("holds_real_place"),
+        F.first("entropy").alias("entropy"), F.collect_list("rank").alias("ranks"))
+    # every member as the real place: the product of the probabilities of the others as its dummies
+    product = F.transform("ranks", lambda me: F.aggregate(
+        F.filter("ranks", lambda r: r != me), F.lit(1.0),
+        lambda acc, other: acc * _probability(F.when(other > me, other - 1).otherwise(other), me, n)))
+    agrees = F.abs(mathx.entropy_of(product) - F.col("entropy")) < 1e-9
+    return sets.select("request_id", "places", "distinct_places", "holds_real_place", agrees.alias("entropy_agrees"))
+
+
+def _probability(interval, rank, places):
+    """Native twin of ``interval_probability`` for a whole GAMMA: a finite sum."""
+    mode = rank.cast("double") / (places - 1)
+    light = mathx.beta_parameters(mode, F.lit(GAMMA))
+    p = F.when(mode <= 0.5, light["a"]).otherwise(light["b"])
+
+    def tail(x):
+        y, total = 1 - x, F.lit(1.0)
+        for j in range(int(GAMMA) - 1, 0, -1):
+            total = 1 + (p + (j - 1)) / j * y * total
+        return F.pow(x, p) * total
+
+    def cdf(x):
+        return F.when(mode <= 0.5, tail(x)).otherwise(1 - tail(1 - x))
+    return cdf((interval + 1) / (places - 1)) - cdf(interval / (places - 1))
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) + 4 * (SELECT count(*) FROM customer) AS visits")
+def place_count_totals(spark, sf_dir):
+    """Visits after the batch of requests: those before and one for each published place."""
+    return updated_place_counts(spark, sf_dir).agg(F.sum("amount").alias("visits"))
+
+
+def _tail_sql(x: str) -> str:
+    """The regularised incomplete beta function of x with second parameter 8 as a finite sum."""
+    total = "1e0"
+    for j in range(7, 0, -1):
+        total = f"(1e0 + (p + {j - 1}) / {j}e0 * (1 - {x}) * {total})"
+    return f"pow({x}, p) * {total}"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_id % 100 AS i, regexp_extract(props, '([0-9]+)', 1)::DOUBLE / 100 AS mode FROM events),
+s AS (SELECT *, 1 + least(mode, 1 - mode) * 7e0 / (1 - least(mode, 1 - mode)) AS p, i / 100e0 AS low, (i + 1) / 100e0 AS high FROM e)
+SELECT event_id, round(CASE WHEN mode <= 0.5 THEN {_tail_sql('high')} - {_tail_sql('low')}
+       ELSE {_tail_sql('(1 - low)')} - {_tail_sql('(1 - high)')} END, 9) AS probability FROM s""")
 def interval_probabilities(spark, sf_dir):
     """Probability that a dummy for the event's place (of 101) falls into the event's interval."""
-    probability = dummies.interval_probability(101, 10.0)
+    probability = dummies.interval_probability(101, GAMMA)
     return table(spark, sf_dir, "events").select(
         "event_id", F.round(probability((F.col("event_id") % 100), k_of_props().cast("long")), 9)
         .alias("probability"))
@@ -411,3 +495,42 @@ def redacted_byte_frames(spark, sf_dir):
                         lambda acc, i: acc + F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10)
                         .cast("long"))
     return done.select("vec_id", total.alias("total"))
+
+
+def framed_readings(spark, sf_dir):
+    """Embeddings as byte frames with a class map, taken by the vehicle of their label; each vehicle has a speed first."""
+    level = lambda v: F.least(F.greatest(F.floor(v * 100 + 128), F.lit(0)), F.lit(255))
+
+    def packed(column, value):
+        return F.unhex(F.array_join(F.transform(column, lambda v: F.lpad(F.hex(value(v).cast("long")), 2, "0")), ""))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("vehicle_id"))
+    images = frames(spark, sf_dir).join(vectors, "vec_id").select(
+        "vehicle_id", F.lit("image").alias("section"), F.col("vec_id").alias("event_id"), F.col("vec_id").alias("generate_ms"),
+        packed("pixels", level).alias("image"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("n_channels"),
+        packed("classes", lambda v: v).alias("class_map"))
+    speeds = vectors.groupBy("vehicle_id").agg(F.min("vec_id").alias("event_id")).select(
+        "vehicle_id", F.lit("speed").alias("section"), "event_id", (F.col("event_id") - 1).alias("generate_ms"), F.lit(50.0).alias("scalar"))
+    return images.unionByName(speeds, allowMissingColumns=True).withColumn("location", F.lit(None).cast("struct<x:double,y:double>"))
+
+
+ANY_SPEED = '{"scalar": [{"data section": "speed", "relation": "GREATER", "value": 0}]}'
+IMAGE_RULES = [Rule(mode, "image", 1, 1, ANY_SPEED, pet_json("class_redaction", [("String", mode), ("Integer", size)]))
+               for mode, size in (("blackout", 1), ("pixelate", 4), ("blur", 2))]
+
+
+@query(FRAMES.replace("unnest(embedding)::DOUBLE", "least(greatest(floor(128 + 100 * unnest(embedding)::DOUBLE), 0), 255)") + """,
+layers AS (
+  SELECT vec_id, i, v, hide, avg(v) OVER (PARTITION BY vec_id, r // 2, c // 2) AS cell,
+         avg(v) OVER (PARTITION BY vec_id, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS line, r, c FROM frames),
+boxes AS (SELECT *, avg(line) OVER (PARTITION BY vec_id, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS box FROM layers)
+SELECT mode AS app, vec_id AS event_id, sum(CASE WHEN NOT hide THEN v WHEN mode = 'blackout' THEN 0
+         WHEN mode = 'pixelate' THEN round_even(cell, 0) ELSE round_even(box, 0) END)::BIGINT AS total
+FROM (SELECT *, unnest(['blackout', 'pixelate', 'blur']) AS mode FROM boxes) GROUP BY ALL""")
+def enforced_images(spark, sf_dir):
+    """Three applications, each with one way of redacting frames by their classes, from a policy."""
+    plan = plan_for(spark, sf_dir, framed_readings)
+    done = run_policies(framed_readings(spark, sf_dir), IMAGE_RULES, plan)
+    digits = F.hex("processed_image")
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), F.lit(0).cast("long"),
+                        lambda acc, i: acc + F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    return done.select("app", "event_id", total.alias("total"))
