@@ -92,22 +92,23 @@ def fingerprints(docs: DataFrame, places: int = PLACES, kept: int = KEPT, gram:
 
 
 def with_next(docs: DataFrame, value: Column, ranges: int | None = None) -> DataFrame:
-    """``(doc_id, doc, next)`` of rows ``(doc_id, text)``: the struct ``value`` of the row and of the next one in
+    """``(doc_id, doc, next)`` of rows ``(doc_id, text)``: the struct ``value``, which has the text, of the row and of the next one in
     descending doc_id; the last row is followed by the first. One shuffle of the rows."""
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0]
     cuts = sorted(set(cuts or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("doc.text"))
     # the first row of every range: by id, then by text
     heads = docs.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head"))
     least = Window.orderBy(F.col("bucket").desc())
     heads = heads.select(F.col("head").alias("h"), F.coalesce(
         F.lag("bucket").over(least), F.min("bucket").over(Window.partitionBy())).alias("before"))
-    first = (docs.join(heads, F.col("doc_id").eqNullSafe(F.col("h"))).groupBy("before")
+    # one row for each range, so their number is bounded by ``ranges``
+    first = (docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h"))).groupBy("before")
              .agg(F.min("text").alias("text")).select(F.col("before").alias("bucket"), value.alias("first")))
-    rows = docs.withColumn("doc", value).withColumn("next", F.lead("doc").over(order))
+    rows = docs.select("doc_id", "bucket", value.alias("doc")).withColumn("next", F.lead("doc").over(order))
     rows = rows.join(first, "bucket", "left")
     return rows.select("doc_id", "doc", F.coalesce("next", "first").alias("next"))
 
