@@ -2,10 +2,16 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from veilstream.llm.substring_dedup import drop_repeated_passages
+from veilstream.llm import substring_dedup
+from veilstream.llm.substring_dedup import drop_repeated_passages, heavy_cells
+from veilstream.llm.words import SPACE, Words
+
+PACKED = "bucket int, doc binary, start binary, windows binary, size long, text binary"
 
 
 def brute(rows, window=20):
@@ -45,3 +51,44 @@ def test_repeated_rows_are_one_document(spark, make_docs):
 
 def test_empty_table(make_docs):
     assert drop_repeated_passages(make_docs([])).collect() == []
+
+
+def _footers(n):
+    """One sequence in ever different surroundings, and some texts twice."""
+    r = random.Random(8)
+    texts = [prose(r, 25) + f" v{i} all rights reserved w{i} " + prose(r, 25) for i in range(n)]
+    return texts + texts[:3] + ["same " * 400, "same " * 90]
+
+
+@pytest.mark.parametrize("heavy", [1, 150])
+def test_heavy_minimisers_equal_brute_force(make_docs, corpus, heavy):
+    texts = corpus + _footers(60)
+    found = drop_repeated_passages(make_docs(texts), buckets=7, heavy=heavy).drop("kept")
+    assert sorted(map(tuple, found.collect())) == brute(list(enumerate(texts)))
+
+
+def test_no_bucket_holds_a_heavy_minimiser(make_docs):
+    """Different windows around one sequence of the smallest hash are spread over the buckets."""
+    data = np.frombuffer(" ".join(f"q{i}" for i in range(9000)).encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]), SPACE, False)
+    hot = int(words.grams(3)[0][:8998].argmin())
+    middle = f"q{hot} q{hot + 1} q{hot + 2}"
+    texts = [" ".join(f"a{i}-{j}" for j in range(17)) + f" {middle} " + " ".join(f"b{i}-{j}" for j in range(17)) for i in range(300)]
+    rows = make_docs(texts).select("doc_id", "text")
+    cells, heavy, windows = heavy_cells(rows, 20, 3, 1000)
+    assert len(heavy) and windows == 300 * 18
+
+    def largest(cut):
+        packed = rows.mapInArrow(substring_dedup._pack(16, 20, 3, cells, cut), PACKED)
+        sizes = [sum(np.frombuffer(r.windows, np.int64).sum() for r in packed.where(F.col("bucket") == b).collect()) for b in range(16)]
+        assert sum(sizes) == windows
+        return max(sizes)
+    assert largest(heavy[:0]) > windows / 2 and largest(heavy) < windows / 8
+
+
+def test_buckets_grow_with_windows(make_docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET", 50)
+    seen, pack = [], substring_dedup._pack
+    monkeypatch.setattr(substring_dedup, "_pack", lambda buckets, *rest: seen.append(buckets) or pack(buckets, *rest))
+    drop_repeated_passages(make_docs([" ".join(f"w{j}" for j in range(5019))]))
+    assert seen == [max(100, 4 * int(make_docs([]).sparkSession.conf.get("spark.sql.shuffle.partitions")))]

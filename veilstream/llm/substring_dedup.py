@@ -8,7 +8,11 @@ windows the one that starts first (smaller doc_id, then earlier in the document)
 another one goes. All windows are judged on the input.
 
 Hot passages: a task sends a super-k-mer once. If the same string occurs again further on in its rows, these
-occurrences are settled on the spot, so a bucket gets at most one copy from each task.
+occurrences are settled on the spot, so a bucket gets at most one copy from each ``FLUSH`` of them.
+
+Hot minimisers: windows are counted first, in cells of minimisers. The super-k-mers of a cell with more than
+``HEAVY`` windows travel cut into single windows, each to the bucket of its own hash. Cells depend on the words
+of a window only, so equal windows still meet. The number of buckets follows from the windows counted.
 
 Defined cases: null, empty and short texts have no windows and keep every word. Rows with the same doc_id are
 one document: windows that start at the same word do not remove each other. A null doc_id counts as the
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.words import SPACE, Words, flat, mix, powers, ranges, word_pieces
+from veilstream.llm.words import SPACE, Words, flat, mix, powers, ranges, tidy, word_pieces
 
 FLUSH = 400_000          # super-k-mers packed together in a task
+BUCKET = 400_000         # windows of a bucket on average
+HEAVY = 1_000_000        # windows of a cell that may stay together
 LEAST = -(1 << 63)
 PACKED = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()),
                     ("size", pa.int64()), ("text", pa.binary())])
+COUNTS = pa.schema([("cell", pa.int64()), ("windows", pa.int64())])
 _U = np.uint64
 
 
@@ -64,7 +71,46 @@ def _super_kmers(words: Words, window: int, gram: int):
     return first, count, least[head], whole
 
 
-def _pack(buckets: int, window: int, gram: int):
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """One of ``parts`` equal ranges of the mixed hash."""
+    return ((mix(h.copy()) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _count(cells: int, window: int, gram: int):
+    """``(cell, windows)`` of the rows of a task, added up per ``FLUSH`` super-k-mers."""
+    def added(held):
+        cell, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([x[1] for x in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], schema=COUNTS)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, words in word_pieces(batch["text"], SPACE):
+                _, count, least, _ = _super_kmers(words, window, gram)
+                if len(count):
+                    held.append((_part(least, cells), count))
+                    size += len(count)
+                if size >= FLUSH:
+                    yield added(held)
+                    held, size = [], 0
+        if held:
+            yield added(held)
+        tidy()
+    return run
+
+
+def heavy_cells(rows: DataFrame, window: int, gram: int, heavy: int) -> tuple[int, np.ndarray, int]:
+    """Number of cells, those of more than ``heavy`` windows (at most windows / heavy), and the number of all windows."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 1 << min(31, max(10, (16 * size // (6 * heavy)).bit_length()))  # a cell holds a small part of ``heavy`` on average
+    counts = rows.select("text").mapInArrow(_count(cells, window, gram), "cell long, windows long")
+    counts = counts.groupBy("cell").agg(F.sum("windows").alias("windows"))
+    found = counts.agg(F.sum("windows").alias("n"), F.collect_list(F.when(F.col("windows") > heavy, F.col("cell"))).alias("heavy")).first()
+    return cells, np.array(sorted(found["heavy"]), np.int64), found["n"] or 0
+
+
+def _pack(buckets: int, window: int, gram: int, cells: int, heavy: np.ndarray):
     def flush(held):
         doc, start, count, bucket, whole = (np.concatenate(x) for x in list(zip(*held))[:5])
         text = [s for x in held for s in x[5]]
@@ -85,26 +131,42 @@ def _pack(buckets: int, window: int, gram: int):
             blob = b" ".join([text[x] for x in i])
             yield {"bucket": int(bucket[i[0]]), "doc": doc[i].tobytes(), "start": start[i].tobytes(),
                    "windows": count[i].tobytes(), "size": len(blob), "text": pa.compress(blob, "zstd", asbytes=True)}
-        if len(settled):  # rows with no text: they are only passed on
-            yield {"bucket": -1 - int(doc[settled[0]] % buckets), "doc": doc[settled].tobytes(),
-                   "start": start[settled].tobytes(), "windows": count[settled].tobytes(), "size": 0, "text": b""}
+        if len(settled):  # rows with no text: they are only passed on, neighbours as one
+            settled = settled[np.lexsort((start[settled], doc[settled]))]
+            d, s, n = doc[settled], start[settled], count[settled]
+            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + n[:-1])]))
+            yield {"bucket": -1 - int(d[0] % buckets), "doc": d[head].tobytes(), "start": s[head].tobytes(),
+                   "windows": np.add.reduceat(n, head).tobytes(), "size": 0, "text": b""}
+
+    def cut(words, first, count, whole, least):
+        """``(first word, number of windows, bucket, hash of the string)`` of what travels, in parts of bounded length."""
+        hot = np.isin(_part(least, cells), heavy) if len(heavy) else np.zeros(len(first), bool)
+        cool = ~hot
+        yield first[cool], count[cool], _part(least[cool], buckets), whole[cool]
+        if hot.any():
+            alone = ranges(first[hot], count[hot])
+            h = words.grams(window)[0][alone]
+            for a in range(0, len(alone), FLUSH):
+                part = h[a:a + FLUSH]
+                yield alone[a:a + FLUSH], np.ones(len(part), np.int64), _part(part, buckets), part
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for a, b, words in word_pieces(batch["text"], SPACE):
-                first, count, least, whole = _super_kmers(words, window, gram)
-                if len(first):
-                    row = np.searchsorted(words.first, first, side="right") - 1
-                    raw, begin, end = words.data.tobytes(), words.start[first], words.end[first + count + window - 2]
-                    bucket = ((mix(least.copy()) >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                    held.append((ids[a:b][row], (first - words.first[row]).astype(np.int64), count.astype(np.int64),
-                                 bucket, whole, [raw[i:j] for i, j in zip(begin.tolist(), end.tolist())]))
-                    size += len(first)
-                if size >= FLUSH:
-                    yield pa.RecordBatch.from_pylist(list(flush(held)), PACKED)
-                    held, size = [], 0
+                found, windows, least, strings = _super_kmers(words, window, gram)
+                raw = words.data.tobytes() if len(found) else b""
+                for first, count, bucket, whole in cut(words, found, windows, strings, least) if len(found) else ():
+                    if len(first):
+                        row = np.searchsorted(words.first, first, side="right") - 1
+                        begin, end = words.start[first], words.end[first + count + window - 2]
+                        held.append((ids[a:b][row], (first - words.first[row]).astype(np.int64), count.astype(np.int64),
+                                     bucket, whole, [raw[i:j] for i, j in zip(begin.tolist(), end.tolist())]))
+                        size += len(first)
+                    if size >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(list(flush(held)), PACKED)
+                        held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(list(flush(held)), PACKED)
     return run
@@ -172,12 +234,14 @@ def _repeats(window: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None,
+                      heavy: int = HEAVY) -> DataFrame:
     """``(doc, start, stop)``: word ranges of ``docs(doc_id, text)`` covered by windows that start earlier, too.
-    Ranges may overlap; doc is the doc_id, the smallest long for null."""
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Ranges may overlap; doc is the doc_id, the smallest long for null. Counts the windows of ``docs`` at once."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string"))
-    packed = rows.mapInArrow(_pack(buckets, window, gram), "bucket int, doc binary, start binary, windows binary, "
+    cells, hot, windows = heavy_cells(rows, window, gram, heavy)
+    buckets = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // BUCKET))
+    packed = rows.mapInArrow(_pack(buckets, window, gram, cells, hot), "bucket int, doc binary, start binary, windows binary, "
                                                            "size long, text binary")
     return packed.groupBy("bucket").applyInPandas(_repeats(window), "doc long, start long, stop long")
 
@@ -202,9 +266,10 @@ def _keep(batches):
              pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None,
+                           heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept)``: kept are the remaining words with one space between."""
-    gone = (repeated_passages(docs, window, gram, buckets).groupBy(F.col("doc").alias("key"))
+    gone = (repeated_passages(docs, window, gram, buckets, heavy).groupBy(F.col("doc").alias("key"))
             .agg(F.collect_list(F.struct("start", "stop")).alias("gone")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).join(gone, "key", "left").drop("key")
