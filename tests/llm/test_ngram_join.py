@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from veilstream.llm import ngram_join
 from veilstream.llm.components import components
 from veilstream.llm.ngram_join import drop_near_duplicates, ngram_jaccard_join
 
@@ -75,3 +76,34 @@ def test_keeps_one_of_each_group(spark, make_docs, clashing, corpus):
     want = sorted(i for i, n, c in brute(list(enumerate(corpus))) if i == c or not n)
     assert sorted(r.doc_id for r in kept.collect()) == want
     assert all(r.text == corpus[r.doc_id] and r.size == 7 for r in kept.collect())
+
+
+def test_candidates_in_chunks(spark, monkeypatch):
+    """Candidates are dealt to chunks, and only sets that a candidate names are cut into segments."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 12)
+    monkeypatch.setattr(ngram_join, "COUNTED", 400)
+    names, cut = [], ngram_join.cut_lineage
+    monkeypatch.setattr(ngram_join, "cut_lineage", lambda df: names.append(cut(df)) or names[-1])
+    sets = spark.createDataFrame([(i, [j for j in range(100) if j % 40 != i] if i < 40 else [1000 + i]) for i in range(400)], "cls long, h array<long>")
+
+    def packed(*v):
+        return bytearray(b"".join(x.to_bytes(8, "little") for x in v))
+    pairs = spark.createDataFrame([(y, len([j for j in range(100) if j % 40 != y]), 0, packed(y + 1, y + 2), packed(
+        *(len([j for j in range(100) if j % 40 != y + d]) for d in (1, 2))), packed(y + 1, y + 2)) for y in range(30)],
+        "y long, n long, part int, cs binary, ns binary, tags binary")
+    found = {(r.a, r.b) for r in ngram_join._counted(sets, pairs, 75).collect()}
+    assert found == {(y, y + d) for y in range(30) for d in (1, 2)}
+    named = {}
+    for r in names[0].collect():
+        named.setdefault(r.chunk, set()).add(r.cls)
+    assert len(named) > 3 and set().union(*named.values()) == set(range(32)) and max(map(len, named.values())) < 32
+    assert {r.chunk: r.fragments for r in names[1].collect()} == {
+        c: 1 + sum(len([j for j in range(100) if j % 40 != i]) for i in own) // 400 for c, own in named.items()}
+
+
+def test_chunks_equal_brute_force(make_docs, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "COUNTED", 100)
+    monkeypatch.setattr(ngram_join, "ROW", 2)
+    found = ngram_join.ngram_jaccard_join(make_docs(corpus), parts=3)
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == brute(list(enumerate(corpus)))

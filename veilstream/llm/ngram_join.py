@@ -10,7 +10,9 @@ fragments, every set is cut into one segment per fragment, and each fragment is
    shingles. In each such list of sets all are compared with the list's smallest and largest set. The sets
    that this leaves in different components are compared across components, and only those, so a group of
    many near copies never becomes all its pairs.
-3. *Counts.* The overlap of the candidates is counted in every fragment apart and summed per pair.
+3. *Counts.* Candidates are dealt to chunks of bounded size. A chunk gets the shared shingles of the sets that
+   it names and no others, cut into fragments by their own number, so what moves grows with the candidates and
+   not with candidates times fragments of the corpus. Overlaps are counted per chunk and fragment and summed.
 
 The result is exact (up to equal 64-bit hashes): every link either is found or joins sets that are already
 known to be in one component. Candidates travel packed, one row for many pairs.
@@ -38,6 +40,8 @@ FLUSH = 1_500_000        # shingles packed together in a task
 COUNTED = 1_000_000      # shingles of a fragment when overlaps are counted
 LIST = 50_000            # sets of one list that a task compares
 ROW = 4_096              # candidates in a row
+CHUNK = 2_000_000        # candidates of a chunk on average
+SUMS = 16                # groups in which the counts of a chunk are summed
 SEGMENT = pa.schema([("fragment", pa.int32()), *((c, pa.binary()) for c in ("cls", "count", "low", "high"))])
 _U = np.uint64
 
@@ -168,20 +172,40 @@ def _survivors(percent: int):
     return run
 
 
-def _counted(sets: DataFrame, pairs: DataFrame, percent: int, fragments: int, buckets: int) -> DataFrame:
-    """``(a, b)``: a a set of ``pairs(y, n, part, cs, ns, tags)`` and b the tag of a candidate linked with it."""
+def _named(batches):
+    """``(chunk, cls)``: the sets that the candidates of a chunk name, each once per batch."""
+    for rows in batches:
+        found: dict[int, list] = {}
+        for chunk, y, cs in zip(rows["chunk"], rows["y"], rows["cs"]):
+            found.setdefault(int(chunk), []).append(np.append(np.frombuffer(cs, np.int64), y))
+        for chunk, parts in found.items():
+            yield pd.DataFrame({"cls": np.unique(np.concatenate(parts))}).assign(chunk=np.int32(chunk))
+
+
+def _counted(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: a a set of ``pairs(y, n, part, cs, ns, tags)`` and b the tag of a candidate linked with it.
+    ``pairs`` is read several times."""
+    candidates, rows = pairs.agg(F.sum(F.length("cs")), F.count(F.lit(1))).first()
+    chunks = 1 + ((candidates or 0) // 8 + rows) // CHUNK
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("y", "part"), F.lit(chunks)).cast("int"))
+    names = cut_lineage(pairs.select("chunk", "y", "cs").mapInPandas(_named, "cls long, chunk int").distinct())
+    # one row for each chunk
+    pieces = cut_lineage(names.join(sets.select("cls", F.size("h").alias("many")), "cls").groupBy("chunk").agg(
+        (1 + F.floor(F.sum("many") / COUNTED)).cast("int").alias("fragments")))
+
     def cut(batches):
         for rows in batches:
-            n = rows["h"].map(len).to_numpy()
-            h, owner = flat(list(rows["h"])).astype(np.int64), np.repeat(np.arange(len(rows)), n)
-            fragment = (h ^ h >> 24) % fragments
-            cls = rows["cls"].to_numpy()
-            for f in range(fragments):
-                here = fragment == f
-                if here.any():
-                    at, count = np.unique(owner[here], return_counts=True)
-                    yield pd.DataFrame({"fragment": [f], "cls": [cls[at].tobytes()],
-                                        "count": [count.astype(np.uint32).tobytes()], "h": [h[here].tobytes()]})
+            chunk, many, cls = (rows[c].to_numpy() for c in ("chunk", "fragments", "cls"))
+            h, owner = flat(list(rows["h"])).astype(np.int64), np.repeat(np.arange(len(rows)), rows["h"].map(len).to_numpy())
+            fragment = (h ^ h >> 24) % many[owner]
+            order = np.lexsort((owner, fragment, chunk[owner]))
+            h, owner, fragment = h[order], owner[order], fragment[order]
+            group = np.flatnonzero(np.concatenate([[True], (fragment[1:] != fragment[:-1]) | (chunk[owner][1:] != chunk[owner][:-1])]))
+            out = []
+            for a, b in zip(group, np.append(group[1:], len(h))) if len(h) else ():
+                at, count = np.unique(owner[a:b], return_counts=True)
+                out.append((int(chunk[owner[a]]), int(fragment[a]), cls[at].tobytes(), count.astype(np.uint32).tobytes(), h[a:b].tobytes()))
+            yield pd.DataFrame(out, columns=["chunk", "fragment", "cls", "count", "h"])
 
     def overlap(segments: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         cls, count = _read(segments["cls"], np.int64), _read(segments["count"], np.uint32).astype(np.int64)
@@ -205,10 +229,8 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int, fragments: int, bu
             ends = np.cumsum(sizes)
             out.append((hits[ends] - hits[ends - sizes]).astype(np.int32).tobytes())
             flags[own] = False
-        first = int(rows["fragment"].iloc[0]) == 0 if len(rows) else False
         tidy()
-        return pd.DataFrame({"y": rows["y"], "n": rows["n"], "part": rows["part"], "counts": out,
-                             **{c: rows[c] if first else None for c in ("ns", "tags")}})
+        return pd.DataFrame({**{c: rows[c] for c in ("chunk", "y", "n", "part")}, "counts": out, "ns": rows["ns"], "tags": rows["tags"]})
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         total, about, out = {}, {}, []
@@ -223,11 +245,15 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int, fragments: int, bu
             out += [(key[0], int(tag)) for tag in np.unique(tags[hit])]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    segments = sets.select("cls", "h").mapInPandas(cut, "fragment int, cls binary, count binary, h binary")
-    spread = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-    counts = segments.groupBy("fragment").cogroup(spread.groupBy("fragment")).applyInPandas(
-        overlap, "y long, n long, part int, counts binary, ns binary, tags binary")
-    return counts.groupBy(F.pmod(F.xxhash64("y"), F.lit(buckets))).applyInPandas(linked, "a long, b long")
+    placed = sets.select("cls", "h").join(names, "cls").join(F.broadcast(pieces), "chunk")
+    segments = placed.select("chunk", "fragments", "cls", "h").mapInPandas(
+        cut, "chunk int, fragment int, cls binary, count binary, h binary")
+    once = [F.when(F.col("fragment") == 0, F.col(c)).alias(c) for c in ("ns", "tags")]
+    spread = pairs.join(F.broadcast(pieces), "chunk").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)))
+    spread = spread.select("chunk", "fragment", "y", "n", "part", "cs", *once)
+    counts = segments.groupBy("chunk", "fragment").cogroup(spread.groupBy("chunk", "fragment")).applyInPandas(
+        overlap, "chunk int, y long, n long, part int, counts binary, ns binary, tags binary")
+    return counts.groupBy("chunk", F.pmod(F.hash("y", "part"), F.lit(SUMS))).applyInPandas(linked, "a long, b long")
 
 
 def _across(percent: int):
@@ -284,7 +310,6 @@ def class_components(docs: DataFrame, words: int = 5, percent: int = 75, parts:
         _frequencies(parts), "bucket int, cls binary, count binary, shared binary, h binary, times binary")
     sets = cut_lineage(counted.groupBy("bucket").applyInPandas(
         _survivors(percent), "cls long, n long, prefix long, h array<long>"))
-    fragments = 1 + (sets.agg(F.sum(F.size("h"))).first()[0] or 0) // COUNTED
     first = sets.select("cls", "n", F.explode(F.slice("h", F.lit(1), F.col("prefix").cast("int"))).alias("key"))
     lists = first.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("cls", "n")).alias("low"),
                                      F.max(F.struct("cls", "n")).alias("high")).where("many > 1")
@@ -295,7 +320,7 @@ def class_components(docs: DataFrame, words: int = 5, percent: int = 75, parts:
             .select("cls", "n", F.col("other.cls").alias("c"), F.col("other.n").alias("m")).distinct())
     star = (star.groupBy(F.pmod(F.xxhash64("cls"), F.lit(parts)).alias("bucket"))
             .applyInPandas(_packed, PAIRS.replace("n long,", "n long, part int,")))
-    linked = cut_lineage(_counted(sets, star, percent, fragments, parts))
+    linked = cut_lineage(_counted(sets, cut_lineage(star), percent))
     near = components(linked)
 
     comp = F.coalesce("component", "cls")
@@ -314,7 +339,7 @@ def class_components(docs: DataFrame, words: int = 5, percent: int = 75, parts:
     across = placed.groupBy(F.pmod(F.xxhash64("key", "chunk"), F.lit(parts))).applyInPandas(_across(percent), PAIRS)
     across = across.groupBy(F.pmod(F.xxhash64("y"), F.lit(parts))).applyInPandas(
         _merged, PAIRS.replace("n long,", "n long, part int,"))
-    more = _counted(sets, cut_lineage(across), percent, fragments, parts)
+    more = _counted(sets, cut_lineage(across), percent)
     more = more.join(near.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
     joined = components(cut_lineage(more))
     every = near.select(F.col("node").alias("cls"), F.col("component").alias("node")).union(
