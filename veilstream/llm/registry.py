@@ -149,5 +149,68 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {TERMS.format(text=LOWERED)} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({TERMS.format(text=LOWERED)}) AS term FROM benchmark),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY ALL),
+u AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(k) + 1)))::BIGINT AS weight
+      FROM (SELECT DISTINCT term FROM q) LEFT JOIN t USING (term), s GROUP BY term),
+m AS (SELECT k, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+c AS (SELECT item_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN u USING (term) JOIN m USING (k) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM c JOIN d USING (k) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.ranked_search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_suffix_dedup", """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT k, i, md5(substr(x, 2 * i + 1, 800)) AS s FROM (SELECT k, x, unnest(range(octet_length(b) - 399)) AS i FROM d)),
+r AS (SELECT k, i FROM s JOIN (SELECT s FROM s GROUP BY s HAVING count(*) > 1) USING (s)),
+g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS head FROM r WINDOW w AS (PARTITION BY k ORDER BY i)),
+n AS (SELECT k, i, sum(head) OVER (PARTITION BY k ORDER BY i) AS span FROM g),
+p AS (SELECT k, span, min(i) AS start, max(i) + 400 AS stop FROM n GROUP BY ALL),
+a AS (SELECT *, lag(stop, 1, 0) OVER (PARTITION BY k ORDER BY start) AS free FROM p),
+c AS (SELECT k, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS last,
+             string_agg(substr(x, 2 * free + 1, 2 * (start - free)), '' ORDER BY start) AS kept FROM a JOIN d USING (k) GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN c USING (k)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.suffix_dedup import drop_repeated_strings
+    return drop_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE polynomial AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+g AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head, unnest(regexp_extract_all({LOWERED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+b AS (SELECT run, count(*) AS times, flatten([[4294967295], flatten(list_transform(string_split(head || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))])::BIGINT[] AS bytes
+      FROM g WHERE length(run) >= 6 GROUP BY head, run),
+h AS (SELECT run, times, xor(list_reduce(bytes, lambda a, x: xor(crc[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS h FROM b, polynomial),
+o AS (SELECT CASE WHEN h % 199 <> 0 THEN run ELSE left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) END AS word, times FROM h),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+e AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT x.word AS a, y.word AS b FROM e x JOIN e y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+      UNION SELECT e.word, v.word FROM e JOIN v ON e.less = v.word UNION SELECT v.word, e.word FROM e JOIN v ON e.less = v.word),
+k AS (SELECT a AS word, count(*) AS n_near, arg_min(struct_pack(b := b, n := y.n), (-y.n, b)) AS best FROM p JOIN v y ON y.word = b GROUP BY a),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * n THEN best.b END AS form,
+        CASE WHEN best.n >= 5 * n THEN best.n END AS form_n FROM v LEFT JOIN k ON k.word = v.word),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word
+WHERE root IN (SELECT word FROM f WHERE form IS NULL)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def registered():
     return QUERIES, ORACLES
