@@ -1,12 +1,17 @@
 """Sliced keys must give what the plain window gives, wherever the cuts are."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilstream.operators.context import ORDER, dedupe_readings
+from veilstream.operators.pets.speed import Corridor, speed_anonymizer
 from veilstream.operators.timeline import SlicePlan, Timeline, plan_slices
+from veilstream.plans import pipelines
+from veilstream.sources.history import warmup_piece, warmup_time, warmup_totals
+from workload.fixtures import SPEED_RULES
 
 PLAIN = SlicePlan("vehicle_id", "generate_ms")
 
@@ -152,3 +157,52 @@ def test_assigned_rows_meet_others(spark):
     both = plan.assign(df).unionByName(df, allowMissingColumns=True)
     with pytest.raises(Exception, match="no slice"):
         Timeline(["vehicle_id"], ORDER, plan).number(both, "n").collect()
+
+
+def nulls(spark, n=600):
+    """Half of the rows have no vehicle."""
+    rng = random.Random(11)
+    rows = [(None if i % 2 else i % 5, i, rng.randrange(10 ** 7), rng.random() * 90) for i in range(n)]
+    return spark.createDataFrame(rows, "vehicle_id long, event_id long, generate_ms long, scalar double").withColumns(
+        {"section": F.lit("speed"), "app": F.lit("app1")})
+
+
+def test_rows_without_a_key_are_a_hot_key(spark):
+    """No sliced operator loses them or gives them other values."""
+    df = nulls(spark)
+    plan = plan_slices(df, target_rows=25)
+    assert plan.sliced and plan.cuts.where("vehicle_id is null").count() == 1
+    limiter = Corridor(0.0, 120.0, 10.0, 3_600_000, 10.0, sampler="mode")
+    for run in (lambda p: speed_anonymizer(df, limiter, p).select("event_id", "processed_scalar"),
+                lambda p: speed_anonymizer(df, replace(limiter, sampler="beta"), p).select("event_id", "processed_scalar"),
+                lambda p: pipelines.enforce_speed(df, SPEED_RULES, p).select("app", "event_id", "pet_label", "processed_scalar"),
+                lambda p: Timeline(["vehicle_id"], ORDER, p).number(df, "n").select("event_id", "n"),
+                lambda p: dedupe_readings(df, p, keys=["vehicle_id"]).select("event_id"),
+                lambda p: warmup_piece(df.where("event_id % 7 = 0"), df, 4, p).select("trigger_event_id", "event_id", "back"),
+                lambda p: warmup_totals(df.where("event_id % 7 = 0"), df, 60, p).select("trigger_event_id", "n", "total")):
+        plain, sliced = (sorted(map(str, run(p).collect())) for p in (PLAIN, plan))
+        assert plain == sliced and plain
+
+
+def test_history_of_rows_without_a_vehicle(spark):
+    history = nulls(spark, 40)
+    triggers = history.where("event_id in (38, 39)")
+    for found in (warmup_piece(triggers, history, 3, PLAIN), warmup_time(triggers, history, 100_000)):
+        assert {r.trigger_event_id for r in found.collect()} == {38, 39}
+
+
+def test_large_tables_of_cuts_are_not_broadcast(spark):
+    """Rows of a hot key are dealt out before they meet its cuts, with the same slices."""
+    df = readings(spark, 3)
+    plan = plan_slices(df, target_rows=20)
+    table = spark.createDataFrame(plan.cuts.collect(), plan.cuts.schema).hint("merge")  # without the hint to broadcast
+    salted = replace(plan, broadcast=False, cuts=table)
+    assert plan.broadcast and sorted(plan.assign(df).collect()) == sorted(salted.assign(df).select(plan.assign(df).columns).collect())
+    text = salted.assign(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in text.split("Exchange hashpartitioning(", 1)[1].split("ENSURE", 1)[0]
+
+
+def test_nothing_is_written_when_no_key_is_hot(spark, monkeypatch):
+    from veilstream.operators import timeline
+    monkeypatch.setattr(timeline, "cut_lineage", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    assert not plan_slices(readings(spark, 4), target_rows=10_000).sliced

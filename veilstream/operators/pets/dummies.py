@@ -14,11 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.mathx import beta_shape, row_seed
-from veilstream.operators.timeline import TARGET_ROWS, SlicePlan, Timeline, plan_slices
+from veilstream.operators.timeline import TARGET_ROWS, SlicePlan, Timeline, join_null_safe, plan_slices
 from veilstream.session import cut_lineage
 
 SCORED = 2_000_000  # doubles of one temporary when candidate sets are compared
@@ -30,20 +30,32 @@ def rank_places(places: DataFrame, plan: SlicePlan | None = None,
 
     A global row number would run in one task. Instead places are numbered within their amount
     (sliced by ``place_id`` if many share one amount) and offset by the number of places with a lower
-    amount, a running sum over the distinct amounts that is itself sliced if there are many.
+    amount. Distinct amounts are dealt to ranges, numbered inside each, and moved on by the ranges before:
+    no key is constant, and what meets in one task is one row for each range.
     """
     if plan is None:
         plan = plan_slices(places, key="amount", time="place_id", target_rows=target_rows)
     numbered = Timeline(["amount"], ["place_id"], plan).number(places, "_n")
-    sizes = (places.groupBy("amount").agg(F.count(F.lit(1)).alias("_places"))
-             .withColumn("_all", F.lit(0).cast("long")))
-    all_amounts = plan_slices(sizes, key="_all", time="amount", target_rows=target_rows)
-    sums = Timeline(["_all"], ["amount"], all_amounts).running_sum(sizes, {"_upto": F.col("_places")})
-    offsets = sums.select("amount", (F.col("_upto") - F.col("_places")).alias("_below"))
-    return (numbered.join(offsets, "amount")
+    offsets = _running_below(places.groupBy("amount").agg(F.count(F.lit(1)).alias("_places")))
+    return (join_null_safe(numbered, offsets, ["amount"])
             .withColumn("rank", F.col("_below") + F.col("_n") - 1).drop("_below", "_n"))
 
 
+def _running_below(sizes: DataFrame) -> DataFrame:
+    """``(amount, _below)``: the number of places with a smaller amount; a null amount is the smallest."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(sizes.repartitionByRange(parts, "amount").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(F.asc_nulls_first("amount")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum("_places").alias("_total"))
+    # One row for each range: which ranges lie before is an array lookup, not a window over everything.
+    every = totals.agg(F.map_from_entries(F.collect_list(F.struct("_range", "_total"))).alias("_totals")).first()[0] or {}
+    before, upto = {}, 0
+    for number in sorted(every):
+        before[number], upto = upto, upto + every[number]
+    starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    return ranged.select("amount", (F.element_at(starts, F.col("_range")).cast("long") + F.coalesce(F.sum("_places").over(inside), F.lit(0))).alias("_below"))
+
+
 def visit_counts(places: DataFrame, visits: DataFrame) -> DataFrame:
     """Places with ``amount``, the number of their visits (0 if none)."""
     counts = visits.groupBy("place_id").agg(F.count(F.lit(1)).alias("amount"))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilstream.functions.mathx import beta_shape, row_seed
-from veilstream.operators.timeline import SlicePlan
-from veilstream.session import cut_lineage
+from veilstream.operators.timeline import SlicePlan, join_null_safe
+from veilstream.session import cut_lineage, if_small
 
 
 START = ("_start_value", "_start_ms")
@@ -146,7 +146,7 @@ def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
     hot = rows.where("_hot")
     sliced = [*keys, "_slice"]
     starts = _settle_starts(hot, make, keys, order)
-    done = _in_time_order(hot.join(starts, sliced), sliced, order).mapInArrow(
+    done = _in_time_order(_started(hot, starts, sliced), sliced, order).mapInArrow(
         _outputs(make, sliced, df.columns, out, order), result)
     return cold.unionByName(done)
 
@@ -156,6 +156,11 @@ def _in_time_order(rows: DataFrame, keys, order) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def _started(hot: DataFrame, starts: DataFrame, sliced) -> DataFrame:
+    """Hot rows of the slices in ``starts`` with the state to start from: one row for each slice, counted."""
+    return join_null_safe(hot, if_small(starts)[0], sliced)
+
+
 def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
     """Start state of every slice such that it equals the end state of the slice before."""
     sliced = [*keys, "_slice"]
@@ -168,13 +173,13 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
                              T.StructField("end_value", T.DoubleType())])
     todo, ends = starts, None
     while True:  # every pass settles at least the first unsettled slice of each key
-        rows = _in_time_order(hot.join(todo, sliced), sliced, order)
+        rows = _in_time_order(_started(hot, todo, sliced), sliced, order)
         fresh = rows.mapInArrow(_ends(make, sliced, order), end_type)
         if ends is not None:
-            fresh = ends.join(todo, sliced, "left_anti").unionByName(fresh)
+            fresh = join_null_safe(ends, todo, sliced, "left_anti").unionByName(fresh)
         ends = cut_lineage(fresh)
         wanted = ends.select(*keys, "_slice", F.lag("end_value").over(slices).alias("_wanted"))
-        compared = cut_lineage(starts.join(wanted, sliced))
+        compared = cut_lineage(join_null_safe(starts, wanted, sliced))
         settled = F.col("_start_value").eqNullSafe(F.col("_wanted"))
         starts = compared.select(*sliced, "_start_ms", F.col("_wanted").alias("_start_value"))
         todo = compared.where(~settled).select(*sliced, "_start_ms",

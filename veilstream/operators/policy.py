@@ -164,13 +164,24 @@ def pets_in_force(df: DataFrame, rules: Sequence[Rule], plan: SlicePlan, scalars
     about one section at the same record, its own rule counts, then ``speed``, ``location`` and ``image``.
     All sections are carried as columns of one row, so rows are not multiplied by sections.
     """
+    given, affected = df.columns, affected_by(rules)
+    df = rules_in_force(df, rules, plan, scalars, x, y, keys)
+    mine = reduce(lambda c, t: c.when(F.col("section") == t, F.col(f"_pet_{t}")), affected, F)
+    df = df.withColumn("_pet", mine)
+    return df.select(*[F.col(f"`{c}`") for c in given], "_pet.pet_label", "_pet.since_event_id")
+
+
+def rules_in_force(df: DataFrame, rules: Sequence[Rule], plan: SlicePlan, scalars: Mapping[str, Column],
+                   x: Column | None = None, y: Column | None = None,
+                   keys: Sequence[str] = ("app", "vehicle_id")) -> DataFrame:
+    """Add ``_win_<section>``, the satisfied rule of each section as its place among all (``in_order``), and
+    ``_pet_<section>``, the PET in force and the record that brought it."""
     ordered, line = in_order(rules), Timeline(keys, ORDER, plan)
     own = {s: [r for r in rules if r.section == s] for s in sorted({r.section for r in rules})}
     index = {rule: i for i, rule in enumerate(ordered)}
 
     def looked_up(at: Column, value: Callable[[Rule], Column]) -> Column:
         return F.try_element_at(F.array(*[value(r) for r in ordered]), at + 1)
-    given = df.columns
     df = df.withColumns({f"_win_{s}": _first_hit(mine, Rule.in_force, lambda r: F.lit(index[r]), scalars, x, y).cast("int")
                          for s, mine in own.items()})
     df = line.last_known(df, {f"_was_{s}": F.col(f"_win_{s}") for s in own}, inclusive=False)
@@ -185,10 +196,7 @@ def pets_in_force(df: DataFrame, rules: Sequence[Rule], plan: SlicePlan, scalars
                 choices.append(F.when(switch & touches, F.struct(
                     looked_up(win, lambda r: F.lit(r.spec.label)).alias("pet_label"), F.col("event_id").alias("since_event_id"))))
         decided[f"_pet_{target}"] = F.coalesce(*choices)
-    df = line.last_known(df, decided)
-    mine = reduce(lambda c, t: c.when(F.col("section") == t, F.col(f"_pet_{t}")), affected, F)
-    df = df.withColumn("_pet", mine)
-    return df.select(*[F.col(f"`{c}`") for c in given], "_pet.pet_label", "_pet.since_event_id")
+    return line.last_known(df, decided)
 
 
 def for_defined_sections(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -235,6 +243,11 @@ def in_order(rules: Sequence[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (r.app, r.section, r.rule_no, r.since_ms or 0))
 
 
+def rule_name(rule: Rule) -> str:
+    """What tells a rule from all others, its policy version included."""
+    return f"{'' if rule.since_ms is None else rule.since_ms}|{rule.section}|{rule.rule_no}|{rule.priority}"
+
+
 def rule_lookup(rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
     """A constant per rule, looked up by the ``index`` of the row's ``current`` rule."""
     return F.try_element_at(F.array(*[value(r) for r in in_order(rules)]), F.col("current.index") + 1)

@@ -15,17 +15,13 @@ def quorum(acks: DataFrame, instances: int) -> DataFrame:
 
     ``acks`` has ``decision_id, instance`` (from 0) and ``ack_ms``. A decision is ready when its last
     instance acknowledges for the first time. Repeats count as duplicates. Everything is combined
-    before the shuffle: a register of bits for up to 63 instances, distinct counts beyond that.
+    before the shuffle.
     """
     firsts = acks.groupBy("decision_id", "instance").agg(
         F.min("ack_ms").alias("first_ms"), F.count(F.lit(1)).alias("times"))
     counts = [F.max("first_ms").alias("ready_ms"),
               (F.sum("times") - F.count(F.lit(1))).alias("duplicates")]
-    if instances <= 63:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("instance").cast("int"))
-        full = F.bit_or(bit) == F.lit((1 << instances) - 1)
-    else:
-        full = F.count("instance") == instances
+    full = F.count("instance") == instances  # one row for each of them
     grouped = firsts.groupBy("decision_id").agg(*counts, full.alias("_full"))
     return grouped.where("_full").drop("_full")
 

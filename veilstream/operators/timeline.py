@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from veilstream.session import cut_lineage
+from veilstream.session import cut_lineage, if_small
 
 TARGET_ROWS = 5_000_000
+SALTS = 64  # parts of a hot key while it meets a table of cuts that cannot be broadcast
 BLOCK = 256  # quantiles of one aggregate; more slices than that come from a second one per interval
 
 
@@ -33,13 +35,15 @@ class SlicePlan:
     """Cuts on the time axis of the hot keys; empty when no key is hot.
 
     ``cuts`` has the key, ``_firsts`` (where its blocks of cuts begin) and ``_blocks`` (the cuts of each
-    block). ``only_hot`` tells that all rows are of hot keys and have their slice already.
+    block); ``broadcast`` tells that it was counted and is small. ``only_hot`` tells that all rows are of hot
+    keys and have their slice already.
     """
 
     key: str
     time: str
     cuts: DataFrame | None = None
     only_hot: bool = False
+    broadcast: bool = False
 
     @property
     def sliced(self) -> bool:
@@ -62,14 +66,18 @@ class SlicePlan:
             return df.withColumns({"_slice": F.coalesce("_slice", lacking.cast("long")),
                                    "_hot": F.coalesce("_hot", lacking.cast("boolean"))})
         t = F.col(self.time)
-        cuts = self.cuts.withColumnRenamed(self.key, "_key")
-        joined = df.join(cuts, df[self.key].eqNullSafe(cuts["_key"]), "left")
+        if self.broadcast:
+            joined = join_null_safe(df, self.cuts, [self.key], "left")
+        else:  # too large a table: readings of a hot key are dealt out before they meet its cuts
+            salted = self.cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = df.withColumn("_salt", F.pmod(F.xxhash64(t), F.lit(SALTS)).cast("int"))
+            joined = join_null_safe(rows, salted, [self.key, "_salt"], "left").drop("_salt")
         block = F.greatest(F.size(F.filter("_firsts", lambda c: c <= t)), F.lit(1))
         inner = F.size(F.filter(F.element_at("_blocks", block), lambda c: c <= t))
         place = block.cast("long") * F.lit(1 << 32) + inner
         return (joined.withColumn("_hot", F.col("_firsts").isNotNull())
                 .withColumn("_slice", F.when(F.col("_hot"), place).otherwise(F.lit(0).cast("long")))
-                .drop("_key", "_firsts", "_blocks"))
+                .drop("_firsts", "_blocks"))
 
     def align(self, df: DataFrame, like: DataFrame) -> DataFrame:
         """Give ``df`` slices if ``like``, which it will be put together with, has them."""
@@ -85,15 +93,16 @@ def plan_slices(df: DataFrame, key: str = "vehicle_id", time: str = "generate_ms
     """Find the keys that need slicing and cut them. ``copies`` is how often a pipeline multiplies rows
     before its windows (applications, sections): slices are made so much smaller.
 
-    One aggregate over two columns, and one or two more over the hot keys only. Keys and cuts stay in a
-    table; whether that is broadcast is left to Spark's size check."""
+    One aggregate over the key, and, only where a key is hot, a few more over the hot keys. Keys and cuts stay in
+    a table, which is broadcast if it was counted and is small."""
     target = max(1, target_rows // copies)
-    parts = F.ceil(F.col("_n") / target)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    hot = cut_lineage(counts.select(F.col(key).alias("_key"), parts.alias("_parts")))
-    most = hot.agg(F.max("_parts")).first()[0]
-    if most is None:
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    if largest <= target:
         return SlicePlan(key, time)
+    most = -(-largest // target)
+    hot, _ = if_small(cut_lineage(counts.where(F.col("_n") > target).select(
+        F.col(key).alias("_key"), F.ceil(F.col("_n") / target).alias("_parts"))))
     rows = df.select(F.col(key).alias("_of"), F.col(time).alias("_t"))
     rows = rows.join(hot, rows["_of"].eqNullSafe(hot["_key"])).select("_key", "_parts", "_t")
 
@@ -122,7 +131,17 @@ def plan_slices(df: DataFrame, key: str = "vehicle_id", time: str = "generate_ms
         blocks = blocks.select("_key", F.struct("_first", spread(F.col("_q"), fine, inner).alias("_cuts")).alias("_b"))
         cuts = (blocks.groupBy("_key").agg(F.array_sort(F.collect_list("_b")).alias("_b"))
                 .select("_key", F.col("_b._first").alias("_firsts"), F.col("_b._cuts").alias("_blocks")))
-    return SlicePlan(key, time, cut_lineage(cuts.withColumnRenamed("_key", key)))
+    cuts = cut_lineage(cuts.withColumnRenamed("_key", key))
+    cells = F.aggregate("_blocks", F.lit(0).cast("long"), lambda n, b: n + F.size(b))
+    cuts, small = if_small(cuts, cells)
+    return SlicePlan(key, time, cuts, broadcast=small)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where null equals null; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def by_heat(df: DataFrame, plan: SlicePlan, run: Callable[[DataFrame, SlicePlan], DataFrame]) -> DataFrame:
@@ -238,7 +257,7 @@ class Timeline:
                   .select(*self.keys, F.col("_slice").alias("_for"), start.alias("_start"), F.explode("_near").alias("_near"))
                   .select(*self.keys, "_for", F.col("_near.s").alias("_slice"),
                           (F.col("_near.e") - F.col("_start") + keep).alias("_take")).where("_take > 0"))
-        on = [tails[k].eqNullSafe(wanted[k]) for k in self.keys] + [tails["_slice"] == wanted["_slice"]]
+        on = [tails["_slice"] == wanted["_slice"], *(tails[k].eqNullSafe(wanted[k]) for k in self.keys)]
         halo = (tails.join(wanted, on).where(F.col("_back") <= F.col("_take"))
                 .select(*[tails[c] for c in dict.fromkeys([*self.keys, *needed])],
                         F.col("_for").alias("_slice"), F.lit(True).alias("_seed")))

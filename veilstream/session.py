@@ -6,8 +6,10 @@ import os
 import re
 import shutil
 import tempfile
+import urllib.parse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "veilstream", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,13 +38,16 @@ def build_session(name: str = "veilstream", master: str | None = None, **conf: s
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all machines must share. There is no default on a
-    cluster; a session on one machine (``local[...]``) that names none uses ``checkpoints`` beside its warehouse."""
+    cluster; a session on one machine (``local[...]``) that names none uses ``checkpoints`` inside its warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "veilstream-checkpoints"))
+        if not named:
+            warehouse = urllib.parse.urlparse(spark.conf.get("spark.sql.warehouse.dir")).path
+            named = os.path.join(warehouse, "checkpoints")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -52,6 +57,13 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def if_small(df, weight=None, most: int = 200_000):
+    """``df``, to be broadcast if its counted rows, or the sum of ``weight`` over them, are at most ``most``; and whether
+    it is. For tables that are written already: Spark does not know the size of those."""
+    counted = df.agg(F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return (F.broadcast(df), True) if counted <= most else (df, False)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors of a session that does not have it installed there."""
     root = os.path.dirname(os.path.abspath(__file__))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.operators.timeline import SlicePlan, Timeline
+from veilstream.operators.timeline import SlicePlan, Timeline, join_null_safe
 from veilstream.schemas import SECTIONS
 
 
@@ -57,7 +57,7 @@ def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: Slice
     asked = triggers.select("vehicle_id", "generate_ms", F.col("event_id").alias("trigger_event_id"),
                             F.lit(0).alias("_kind"))
     # Only vehicles with a trigger are looked at.
-    stored = (history.join(asked.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+    stored = (join_null_safe(history, asked.select("vehicle_id").distinct(), ["vehicle_id"], "left_semi")
               .withColumn("_kind", F.lit(1)))
     # A trigger comes before records of the same time: only strictly earlier ones count.
     line = Timeline(["vehicle_id"], ["generate_ms", "_kind", "event_id"], plan)
@@ -68,7 +68,7 @@ def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: Slice
                       F.explode(F.sequence(F.greatest(F.lit(1), F.col("_number") - (keep - 1)),
                                            F.col("_number"))).alias("_number")))
     found = rows.where(F.col("_kind") == 1).drop("_kind", "trigger_event_id")
-    return (wanted.join(found, ["vehicle_id", "_number"])
+    return (join_null_safe(wanted, found, ["vehicle_id", "_number"])
             .withColumn("back", F.col("_earlier") - F.col("_number") + 1)
             .drop("_earlier", "_number"))
 
@@ -87,7 +87,7 @@ def warmup_time(triggers: DataFrame, history: DataFrame, seconds: int) -> DataFr
     stored = history.withColumn("_bucket", bucket)
     inside = ((F.col("generate_ms") > F.col("trigger_ms") - span)
               & (F.col("generate_ms") < F.col("trigger_ms")))
-    return stored.join(asked, ["vehicle_id", "_bucket"]).where(inside).drop("_bucket")
+    return join_null_safe(stored, asked, ["vehicle_id", "_bucket"]).where(inside).drop("_bucket")
 
 
 def warmup_totals(triggers: DataFrame, history: DataFrame, seconds: int, plan: SlicePlan,

@@ -17,21 +17,21 @@ apart (``keep_late=True``, then write with ``partitionBy("is_late")``). It never
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQueryListener
 
 from veilstream.operators.enforce import distinct_specs, processed_column
 from veilstream.operators.pets import StepPet, WindowPet, build_pet
 from veilstream.operators.policy import (Rule, decisions, for_defined_sections, rule_lookup, rules_of,
                                          winning_rule)
 
+from veilstream.streaming.held import Held, in_event_order, use_rocksdb
+
 KEYS = ("app", "vehicle_id", "section")
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 RECENT = T.StructType([T.StructField("generate_ms", T.LongType()),
                        T.StructField("scalar", T.DoubleType()),
@@ -58,7 +58,7 @@ def draw_of(seed, vehicle_id, ms) -> int:
     return int(hashlib.md5(f"{seed}|{vehicle_id}|{ms}".encode()).hexdigest()[:15], 16)
 
 
-class InOrder(StatefulProcessor):
+class InOrder(Held):
     """Releases rows in event-time order with the cause in force and the last ``size`` values.
 
     ``steps`` maps PET labels to (step function, seed); step functions need the state between records.
@@ -66,42 +66,15 @@ class InOrder(StatefulProcessor):
     """
 
     def __init__(self, size: int, steps: dict):
+        super().__init__(HELD.names, RELEASED, order=3)
         self.size = size
         self.steps = steps
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", HELD)
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", RECENT)
         self.current = handle.getValueState("current", CURRENT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            batch = batch[HELD.names].astype(object)
-            held = [tuple(row) for row in batch.where(batch.notna(), None).itertuples(index=False)]
-            self.held.appendList(held)
-            earliest = min(row[0] for row in held)
-            first = earliest if first is None else min(first, earliest)
-        if first is not None:
-            self.handle.registerTimer(int(first))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        due, rest = [], []
-        for row in self.held.get():
-            (due if row[0] <= passed else rest).append(tuple(row))
-        if rest:
-            self.held.put(rest)
-            self.handle.registerTimer(int(min(row[0] for row in rest)))
-        else:
-            self.held.clear()
-        if not due:
-            return iter([])
-        return iter([self._release(key, sorted(due, key=lambda row: row[:3]))])
-
-    def _release(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def release(self, key, rows: list[tuple]) -> list[tuple]:
         state = self.current.get() or (None,) * len(CURRENT)
         cause, label, since, step_value, step_ms, last_ms, last_id = state
         # Every access to state is a round trip; a frame of one row needs none for its history.
@@ -133,23 +106,7 @@ class InOrder(StatefulProcessor):
         self.current.update((cause, label, since, step_value, step_ms, last_ms, last_id))
         if recent and self.size > 1:
             self.recent.put(recent)
-        out = pd.DataFrame(released, columns=RELEASED.names)
-        for field in RELEASED.fields:
-            if isinstance(field.dataType, T.LongType):
-                out[field.name] = out[field.name].astype("Int64")
-            elif isinstance(field.dataType, T.DoubleType):
-                out[field.name] = out[field.name].astype(float)
-        return out
-
-    def close(self) -> None:
-        pass
-
-
-def use_rocksdb(spark) -> None:
-    """The stateful operator needs this state store; an explicit setting is left alone."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if "RocksDB" not in (spark.conf.get(key, "") or ""):
-        spark.conf.set(key, ROCKSDB)
+        return released
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -158,14 +115,11 @@ def _flat(df: DataFrame) -> DataFrame:
         return F.col(path) if column in df.columns else F.lit(None).cast("double")
     return df.withColumns({"x": field("location", "location.x"), "y": field("location", "location.y"),
                            "scalar": field("scalar", "scalar")}).select(
-        *KEYS, "event_time", "generate_ms", "event_id", "kind", "cause", "label", "scalar", "x", "y")
+        *KEYS, "generate_ms", "event_id", "kind", "cause", "label", "scalar", "x", "y")
 
 
 def release_in_order(rows: DataFrame, delay: str, size: int, steps: dict) -> DataFrame:
-    use_rocksdb(rows.sparkSession)
-    timed = rows.withColumn("event_time", F.timestamp_millis("generate_ms"))
-    return (_flat(timed).withWatermark("event_time", delay).groupBy(*KEYS)
-            .transformWithStateInPandas(InOrder(size, steps), RELEASED, "append", "EventTime"))
+    return in_event_order(_flat(rows), KEYS, InOrder(size, steps), delay)
 
 
 def caused_by_rules(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:

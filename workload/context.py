@@ -178,17 +178,19 @@ def union_of_sections(spark, sf_dir):
 @query("""
 WITH n AS (
   SELECT user_id AS vehicle_id, event_id, app,
-         row_number() OVER (PARTITION BY user_id, app ORDER BY ts, event_id) AS n
-  FROM (SELECT *, 'app1' AS app FROM events
-        UNION ALL SELECT *, 'app2' FROM events WHERE event_type <> 'error'))
+         row_number() OVER (PARTITION BY user_id, app ORDER BY ms, event_id) AS n
+  FROM (SELECT *, 'app1' AS app, epoch_us(ts)//1000 AS ms FROM events
+        UNION ALL SELECT *, 'app2', epoch_us(ts)//1000 + CASE WHEN event_type = 'error' THEN 604800000 ELSE 0 END FROM events))
 SELECT a.vehicle_id, a.n, a.event_id AS app1, b.event_id AS app2
 FROM n a JOIN n b ON a.vehicle_id = b.vehicle_id AND a.n = b.n
 WHERE a.app = 'app1' AND b.app = 'app2'""")
 def zipped_apps(spark, sf_dir):
-    """Presented together: the n-th records of an application that sees all events and of one that
-    sees no errors."""
-    events = table(spark, sf_dir, "events").withColumns({
-        "vehicle_id": F.col("user_id"), "generate_ms": millis("ts")})
-    rows = for_apps(events, ["app1", "app2"]).where(
-        (F.col("app") == "app1") | (F.col("event_type") != "error"))
-    return ctx.zip_apps(rows, ["app1", "app2"], F.col("event_id"), plan_for(spark, sf_dir))
+    """Presented together: the n-th records of an application and of one that gets errors a week late."""
+    return ctx.zip_apps(zipped_rows(spark, sf_dir), ["app1", "app2"], F.col("event_id"), plan_for(spark, sf_dir))
+
+
+def zipped_rows(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumns({"vehicle_id": F.col("user_id"), "generate_ms": millis("ts")})
+    late = (F.col("app") == "app2") & (F.col("event_type") == "error")
+    return for_apps(events, ["app1", "app2"]).withColumn(
+        "generate_ms", F.when(late, F.col("generate_ms") + 604_800_000).otherwise(F.col("generate_ms")))

@@ -103,6 +103,12 @@ def mixed_readings(spark, sf_dir) -> DataFrame:
         F.when(F.col("section") == "image", F.col("event_id")).alias("sequence_number"))
 
 
+def mixed_columns(rows: DataFrame) -> DataFrame:
+    """Speed readings with the columns of all sections."""
+    return rows.withColumns({"location": F.lit(None).cast("struct<x:double,y:double>"), "image": F.lit(None).cast("binary"),
+                             "sequence_number": F.lit(None).cast("long")})
+
+
 def skewed_readings(spark, sf_dir) -> DataFrame:
     """Speed readings where one vehicle holds a third of all rows."""
     return speed_readings(spark, sf_dir).withColumn(

@@ -9,12 +9,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veilstream.plans.pipelines import enforce_speed, for_apps
+from veilstream.plans.pipelines import enforce_speed, for_apps, state_after
 from veilstream.session import shared_dir
 from veilstream.streaming import in_order
-from veilstream.streaming.policies import stream_policies
-from workload.enforce import ENFORCED_SQL, FORCED, POLICIES, _processed, _published
-from workload.fixtures import (MIXED_RULES, SPEED_RULES, forced_decisions, mixed_readings, plan_for, query, speed_readings,
+from veilstream.streaming.contexts import combine_streams, reassemble_stream, zip_app_streams
+from veilstream.streaming.policies import CONTROL, control_rows, stream_policies
+from workload.context import _inputs, zipped_rows
+from workload.enforce import ENFORCED_SQL, FORCED, MIDDLE_MS, POLICIES, SECOND_POLICY, _processed, _published
+from workload.fixtures import (MIXED_RULES, ORACLES, SPEED_RULES, forced_decisions, mixed_readings, mixed_columns, plan_for, query, speed_readings,
                                with_views)
 
 
@@ -98,3 +100,51 @@ def enforced_speed_with_nulls(spark, sf_dir):
 def streamed_enforcement_with_nulls(spark, sf_dir):
     enforced = in_order.enforce_stream(_with_nulls(_apps(spark, sf_dir)), SPEED_RULES, "speed", "0 seconds")
     return _published(_finished(spark, enforced))
+
+
+@query(ORACLES["combined_inputs"])
+def streamed_inputs(spark, sf_dir):
+    """Two streams combined in one operator."""
+    done = combine_streams(*_inputs(_Streaming(spark), sf_dir), "0 seconds")
+    return _finished(spark, done).select("event_id", "side", "left_value", "right_value")
+
+
+@query(ORACLES["zipped_apps"])
+def streamed_zip(spark, sf_dir):
+    """Two operators in a row: numbered per application, then put together per vehicle and number."""
+    done = zip_app_streams(zipped_rows(_Streaming(spark), sf_dir), ["app1", "app2"], F.col("event_id"), "0 seconds")
+    return _finished(spark, done).select("vehicle_id", "n", "app1", "app2")
+
+
+def _controls(spark, versions):
+    """Policy versions as a stream: rows of a folder, as a policy service would leave them."""
+    folder = f"{shared_dir(spark)}/policies-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame(control_rows(versions), CONTROL)
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@query(ORACLES["enforced_under_versions"])
+def streamed_policy_changes(spark, sf_dir):
+    """The first policy and its replacement arrive as a stream beside the readings."""
+    first = [r for r in SPEED_RULES if r.app == "app1"]
+    rows = mixed_columns(speed_readings(_Streaming(spark), sf_dir))
+    done = stream_policies(rows, delay="0 seconds", control=_controls(spark, [(0, first), (MIDDLE_MS, SECOND_POLICY)]), apps=["app1"],
+                           may_apply=[("speed", r.spec) for r in [*first, *SECOND_POLICY]])
+    return _published(_finished(spark, done))
+
+
+@query(ORACLES["enforced_after_history"])
+def streamed_after_history(spark, sf_dir):
+    """The first half of the readings is history: its summary is the state that the stream of the second half starts from."""
+    late = F.col("generate_ms") > MIDDLE_MS
+    state = state_after(mixed_readings(spark, sf_dir).where(~late), MIXED_RULES, plan_for(spark, sf_dir, mixed_readings))
+    done = stream_policies(mixed_readings(_Streaming(spark), sf_dir).where(late), MIXED_RULES, "0 seconds", state=state)
+    return _finished(spark, done).select("app", "vehicle_id", "section", "event_id", "generate_ms", "pet_label", *_processed())
+
+
+@query(ORACLES["reassembled_policies"])
+def streamed_reassembly(spark, sf_dir):
+    """Enforced and put back together in one stream of two stateful operators."""
+    published = stream_policies(mixed_readings(_Streaming(spark), sf_dir), MIXED_RULES, "0 seconds", keep_time=True)
+    return _finished(spark, reassemble_stream(published, delay=None)).select("app", "vehicle_id", "event_id", "frame_no", *_processed())
