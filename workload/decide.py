@@ -7,6 +7,7 @@ from veilstream.operators import policy
 from veilstream.operators.context import (is_affected, is_trigger, only_affects, tag_triggers,
                                           trigger_ids)
 from veilstream.operators.enforce import per_section
+from veilstream.operators.rule_index import winning_rule_of_table
 from veilstream.plans.pipelines import for_apps
 from workload.fixtures import (LOCATION_RULES, SPEED_RULES, SQUARE, context_of, forced_decisions,
                                millis, mixed_readings, plan_for, points, query, readings_of_app,
@@ -314,3 +315,52 @@ def trigger_tags(spark, sf_dir):
         is_affected("location").alias("affects_location"),
         only_affects(["speed"]).alias("only_speed"),
         F.array_join(trigger_ids(), ",").alias("ids"), F.size("triggers").alias("n"))
+
+
+def rules_of_items(spark, sf_dir):
+    """Line items as rules about speeds, parts and suppliers as rules about places."""
+    items = table(spark, sf_dir, "lineitem")
+    line = F.pmod(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.lit(1_000_003))
+    low = (line % 30_011) / 100.0 - 50
+    width = (1 + F.col("l_partkey") % 7) / 50.0
+    relation = F.element_at(F.array(F.lit("GREATER"), F.lit("GREATER_EQUAL")), F.col("l_linenumber") % 2 + 1)
+    speed = F.format_string('{"logic": "AND", "scalar": [{"data section": "speed", "relation": "%s", "value": %s}, '
+                            '{"data section": "speed", "relation": "LESS", "value": %s}]}',
+                            relation, low.cast("string"), (low + width).cast("string"))
+    speeds = items.select(F.concat(F.lit("app"), F.col("l_suppkey") % 3 + 1).alias("app"), F.lit("speed").alias("section"),
+                          (F.col("l_partkey") % 500).cast("int").alias("priority"), line.cast("int").alias("rule_no"), speed.alias("predicate"))
+    left, bottom = F.col("p_partkey") % 97 - 20.0, F.col("p_partkey") % 89 - 10.0
+    square = F.format_string('{"x": [%s, %s, %s, %s], "y": [%s, %s, %s, %s]}', *[c.cast("string") for c in (
+        left, left + 9, left + 9, left, bottom, bottom, bottom + 6, bottom + 6)])
+    kind = F.when(F.col("p_partkey") % 5 == 0, "OUT_OF").otherwise("IN")
+    place = F.format_string('{"location": [{"relation": "%s", "value": %s}]}', kind, square)
+    places = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("app"), F.col("p_partkey") % 3 + 1).alias("app"), F.lit("location").alias("section"),
+        F.when(F.col("p_partkey") % 5 == 0, 400 + F.col("p_partkey") % 9).otherwise(F.col("p_partkey") % 399).cast("int").alias("priority"),
+        F.col("p_partkey").cast("int").alias("rule_no"), place.alias("predicate"))
+    return speeds.unionByName(places)
+
+
+@query("""
+WITH s AS (SELECT 'app' || (l_suppkey % 3 + 1) AS app, l_partkey % 500 AS priority, (l_orderkey * 8 + l_linenumber) % 1000003 AS rule_no,
+                  l_linenumber % 2 = 0 AS open, (1 + l_partkey % 7) / 50.0::DOUBLE AS width FROM lineitem),
+r AS (SELECT *, rule_no % 30011 / 100.0::DOUBLE - 50 AS low FROM s),
+p AS (SELECT 'app' || (p_partkey % 3 + 1) AS app, p_partkey AS rule_no, p_partkey % 5 = 0 AS outside,
+             CASE WHEN p_partkey % 5 = 0 THEN 400 + p_partkey % 9 ELSE p_partkey % 399 END AS priority,
+             p_partkey % 97 - 20.0 AS x0, p_partkey % 89 - 10.0 AS y0 FROM part),
+e AS (SELECT event_id, value, regexp_extract(props, '([0-9]+)', 1)::DOUBLE AS y, unnest(['app1', 'app2', 'app3']) AS app FROM events),
+w AS (SELECT event_id, e.app, min((priority, rule_no)) AS best FROM e JOIN r ON r.app = e.app AND value >= low AND value < low + width
+      WHERE NOT open OR value > low GROUP BY ALL),
+l AS (SELECT event_id, e.app, min((priority, rule_no)) AS best FROM e JOIN p ON p.app = e.app
+       AND (value >= x0 AND value < x0 + 9 AND y >= y0 AND y < y0 + 6) <> outside GROUP BY ALL)
+SELECT event_id, app, 'speed' AS section, coalesce(best[1], -1)::INTEGER AS priority, coalesce(best[2], -1)::INTEGER AS rule_no
+FROM e LEFT JOIN w USING (event_id, app)
+UNION ALL
+SELECT event_id, app, 'location', coalesce(best[1], -1)::INTEGER, coalesce(best[2], -1)::INTEGER FROM e LEFT JOIN l USING (event_id, app)""")
+def winning_rules_many(spark, sf_dir):
+    """As many rules as there are line items and parts: a table, not an expression."""
+    rows = for_apps(points(spark, sf_dir).withColumn("scalar", F.col("location.x")), ["app1", "app2", "app3"]).drop("section")
+    rows = rows.withColumn("section", F.explode(F.array(F.lit("speed"), F.lit("location"))))
+    won = winning_rule_of_table(rows, rules_of_items(spark, sf_dir), {"speed": F.col("scalar")}, F.col("location.x"), F.col("location.y"))
+    return won.select("event_id", "app", "section", F.coalesce("winner.priority", F.lit(-1)).alias("priority"),
+                      F.coalesce("winner.rule_no", F.lit(-1)).alias("rule_no"))
