@@ -10,8 +10,9 @@ another document. All occurrences go, the first one too, and all are judged on t
    documents (combined before the shuffle); a string whose anchor starts in one place only is no repeat, and its
    text is not looked at again.
 3. *Shards.* Neighbouring strings with one repeated anchor travel together, packed, to the shard of the anchor,
-   where equal strings meet. The number of shards follows from the counted anchors. A shard sorts its suffixes
-   by Larsson-Sadakane refinement: by eight bytes, and then only the groups that are still equal, by the rank of
+   where equal strings meet. The number of shards follows from the counted anchors. Where an anchor has always the
+   same surroundings all is said; the different surroundings of an anchor, each once, are put into suffix arrays of
+   bounded size. These are sorted by Larsson-Sadakane refinement: by eight bytes, and then only the groups that are still equal, by the rank of
    what follows, twice as deep each time, up to ``WIDTH`` bytes. Kasai's common prefixes of neighbours in the
    suffix array say which strings are equal.
 4. *Merging.* An anchor that starts in more than ``HEAVY`` places is spread over several shards. These hand on
@@ -38,15 +39,16 @@ from veilstream.llm.words import _VALUES, PIECE, mix, pieces, powers, ranges, ti
 from veilstream.session import cut_lineage
 
 WIDTH, GRAM = 400, 200
-HEAVY = 20_000           # places of an anchor that stay in one shard
-SHARD = 6_000_000        # bytes of a shard on average
+HEAVY = 4_000            # places of an anchor that stay in one shard
+SHARD = 4_000_000        # bytes of a shard on average
+SORTED = 3_000_000       # bytes of one suffix array, or one anchor's
 FLUSH = 24_000_000       # bytes that a task packs together
 MERGED = 1_000_000       # fingerprints of a range on average
 LANE = 256
 SEEN = 200_000           # texts that a task remembers
 _U = np.uint64
-PACKED = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("place", pa.binary()), ("size", pa.binary()),
-                    ("spread", pa.binary()), ("bytes", pa.int64()), ("text", pa.binary())])
+PACKED = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("keys", "place", "size", "anchor", "spread")),
+                    ("bytes", pa.int64()), ("text", pa.binary())])
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -121,7 +123,7 @@ def _sketches(width: int, gram: int):
 def _pack(shards: int, width: int, gram: int, heavy: int):
     """Strings with repeated anchors, packed per shard; ``marks`` names the anchors of a text."""
     def flush(held):
-        shard, spread = np.array([x[0] for x in held]), np.array([x[4] for x in held])
+        shard, anchor, spread = (np.array([x[k] for x in held]) for k in (0, 4, 5))
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
         for i, j in zip(edges, np.append(edges[1:], len(order))):
@@ -129,7 +131,7 @@ def _pack(shards: int, width: int, gram: int, heavy: int):
             text = b"".join(held[x][3] for x in own)
             yield {"shard": int(shard[own[0]]), "keys": b"".join(held[x][1] for x in own),
                    "place": np.array([held[x][2] for x in own], np.int64).tobytes(),
-                   "size": np.array([len(held[x][3]) for x in own], np.int64).tobytes(), "spread": spread[own].astype(np.int8).tobytes(),
+                   "size": np.array([len(held[x][3]) for x in own], np.int64).tobytes(), "anchor": anchor[own].tobytes(), "spread": spread[own].astype(np.int8).tobytes(),
                    "bytes": len(text), "text": pa.compress(text, "zstd", asbytes=True)}
 
     def run(batches):
@@ -154,7 +156,7 @@ def _pack(shards: int, width: int, gram: int, heavy: int):
                             among = -(-n // heavy)
                             name = int(h[at]) ^ (int.from_bytes(key[:8], "little") % among * 0x9E3779B97F4A7C15 if among > 1 else 0)
                             name = (name ^ name >> 32) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-                            held.append(((name >> 32) * shards >> 32, key, begin + shift, raw[begin:end + width], among > 1))
+                            held.append(((name >> 32) * shards >> 32, key, begin + shift, raw[begin:end + width], h[at], among > 1))
                             size += end + width - begin
                 if size >= FLUSH:
                     yield pa.RecordBatch.from_pylist(list(flush(held)), PACKED)
@@ -225,54 +227,93 @@ def common_prefixes(data: np.ndarray, at: np.ndarray, before: np.ndarray, most:
     return out
 
 
+def _classes(strings: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """``(string, offset, class, sorted)`` of the ``width`` bytes at every offset of the strings; equal ones are of one
+    class, classes are numbered in the order of the suffix array."""
+    data, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    _, rank = refined(data, width)
+    first = ranges(begin, size - width + 1)
+    owner = np.repeat(np.arange(len(size)), size - width + 1)
+    sorting = np.argsort(rank[first], kind="stable")  # the suffix array without what is shorter or runs on
+    same = rank[first[sorting]][1:] == rank[first[sorting]][:-1]
+    before = np.full(len(first), -1, np.int64)
+    before[sorting[1:][same]] = first[sorting[:-1][same]]
+    having = np.flatnonzero(before >= 0)
+    shared = np.zeros(len(first), np.int64)
+    shared[having] = common_prefixes(data, first[having], before[having], width)
+    cls = np.empty(len(first), np.int64)
+    cls[sorting] = np.cumsum(shared[sorting] < width) - 1
+    return owner, first - begin[owner], cls
+
+
 def _shard(width: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def load(rows):
         keys = np.frombuffer(b"".join(rows["keys"]), np.dtype((np.void, 16)))
-        place, size = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("place", "size"))
-        spread = np.frombuffer(b"".join(rows["spread"]), np.int8).astype(bool)
-        data = np.frombuffer(b"".join(pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(rows["text"], rows["bytes"])), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        order, rank = refined(data, width)
         names, text = np.unique(keys, return_inverse=True)
-        first, strings = ranges(begin, size - width + 1), size - width + 1  # where whole strings begin
-        owner = np.repeat(np.arange(len(size)), strings)
-        code = text[owner].astype(np.int64) << 40 | place[owner] + first - begin[owner]
-        # Neighbours in the suffix array, strings only, and how much they have in common.
-        sorting = np.argsort(rank[first], kind="stable")
-        same = rank[first[sorting]][1:] == rank[first[sorting]][:-1]
-        before = np.full(len(first), -1, np.int64)
-        before[sorting[1:][same]] = first[sorting[:-1][same]]
-        having = np.flatnonzero(before >= 0)
-        shared = np.zeros(len(first), np.int64)
-        shared[having] = common_prefixes(data, first[having], before[having], width)
-        head = np.flatnonzero(shared[sorting] < width)
-        count = np.diff(np.append(head, len(sorting)))
-        low, high = (f.reduceat(code[sorting], head) if len(head) else head for f in (np.minimum, np.maximum))
-        repeated = np.zeros(len(first), bool)
-        repeated[sorting] = np.repeat(low != high, count)
-        out = [_spans(names, code[repeated], width)]
-        if spread.any():  # one of each kind goes on to be merged with other shards
-            one = sorting[head]
-            one = one[spread[owner[one]]]
-            lonely = ~repeated[one]
-            prints = [hashlib.blake2b(data[f:f + width].tobytes(), digest_size=16).digest() for f in first[one].tolist()]
-            out.append(pd.DataFrame({"key": [names[c >> 40].tobytes() for c in code[one].tolist()], "start": code[one] & (1 << 40) - 1,
-                                     "stop": np.where(lonely, -1, -2), "print": prints, "shard": int(rows["shard"].iloc[0])}))
+        place, anchor = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("place", "anchor"))
+        spread = np.frombuffer(b"".join(rows["spread"]), np.int8).astype(bool)
+        strings: list[bytes] = []
+        for blob, size, sizes in zip(rows["text"], rows["bytes"], rows["size"]):
+            raw, at = pa.decompress(blob, size, "zstd", asbytes=True), 0
+            for n in np.frombuffer(sizes, np.int64).tolist():
+                strings.append(raw[at:at + n])
+                at += n
+        return names, (text.astype(np.int64) << 40 | place).tolist(), anchor, spread, strings
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, code, anchor, spread, strings = load(rows)
+        order = np.argsort(anchor, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+        spans, prints, kinds, size = [], [], [], 0  # kinds: of anchors with several different strings, where each begins
+
+        def settle():
+            owner, offset, cls = _classes([k[0] for k in kinds], width)
+            times = np.bincount(cls, np.array([len(k[1]) for k in kinds])[owner])  # a string stands for all its places
+            repeated = times[cls] > 1
+            _, one = np.unique(cls, return_index=True)
+            wide = np.array([k[2] for k in kinds])
+            for w in one[wide[owner[one]]].tolist():
+                text, places, _ = kinds[owner[w]]
+                at = int(offset[w])
+                prints.append((places[0] + at, not repeated[w], hashlib.blake2b(text[at:at + width], digest_size=16).digest()))
+            owner, offset = owner[repeated], offset[repeated]
+            head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] > offset[:-1] + width)])) if len(owner) else ()
+            for a, b in zip(head, np.append(head[1:], len(owner)) if len(owner) else ()):
+                low, high = int(offset[a]), int(offset[b - 1]) + width
+                spans.extend((c + low, high - low) for c in kinds[owner[a]][1])
+            kinds.clear()
+        for a, b in zip(edges, np.append(edges[1:], len(order))):
+            own: dict[bytes, set[int]] = {}
+            for x in order[a:b].tolist():
+                own.setdefault(strings[x], set()).add(code[x])
+            wide = bool(spread[order[a]])
+            if len(own) == 1 and not wide:  # all places of the anchor look the same
+                (text, places), = own.items()
+                if len(places) > 1:
+                    spans.extend((c, len(text)) for c in places)
+                continue
+            more = sum(map(len, own))
+            if kinds and size + more > SORTED:
+                settle()
+                size = 0
+            kinds.extend((text, sorted(places), wide) for text, places in own.items())
+            size += more
+        if kinds:
+            settle()
+        mask = (1 << 40) - 1
+        out = pd.DataFrame({"key": [names[c >> 40].tobytes() for c, _ in spans], "start": [c & mask for c, _ in spans],
+                            "stop": [(c & mask) + n for c, n in spans], "print": None, "shard": -1})
+        if prints:  # one of each kind goes on to be merged with other shards
+            out = pd.concat([out, pd.DataFrame({
+                "key": [names[c >> 40].tobytes() for c, _, _ in prints], "start": [c & mask for c, _, _ in prints],
+                "stop": [-1 if lonely else -2 for _, lonely, _ in prints], "print": [p for _, _, p in prints],
+                "shard": int(rows["shard"].iloc[0])})], ignore_index=True)
         tidy()
-        return pd.concat(out, ignore_index=True)[["key", "start", "stop", "print", "shard"]]
+        return out
     return run
 
 
-def _spans(names: np.ndarray, code: np.ndarray, width: int) -> pd.DataFrame:
-    """Byte ranges that the strings at ``code`` (text and place) cover, without overlaps."""
-    code = np.unique(code)
-    head = np.flatnonzero(np.concatenate([[True], code[1:] > code[:-1] + width])) if len(code) else np.zeros(0, np.int64)
-    low, high = code[head], code[np.append(head[1:], len(code)) - 1] if len(code) else code
-    mask = (1 << 40) - 1
-    return pd.DataFrame({"key": [names[c >> 40].tobytes() for c in low.tolist()], "start": low & mask, "stop": (high & mask) + width,
-                         "print": None, "shard": -1})
-
-
 def _merge(width: int):
     """Sorted runs of several shards: strings that two of them have are repeated wherever they start."""
     def merged(a, b):
@@ -316,7 +357,7 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, heav
     n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     shards = max(parts, n * (2 * width - gram) // shard)
     strings = texts.join(marks, "key").select("key", "text", "marks").mapInArrow(
-        _pack(shards, width, gram, heavy), "shard int, keys binary, place binary, size binary, spread binary, bytes long, text binary")
+        _pack(shards, width, gram, heavy), "shard int, keys binary, place binary, size binary, anchor binary, spread binary, bytes long, text binary")
     found = cut_lineage(strings.groupBy("shard").applyInPandas(
         _shard(width), "key binary, start long, stop long, print binary, shard int"))
     spread = found.where("stop < 0")
