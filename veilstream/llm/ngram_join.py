@@ -172,14 +172,10 @@ def _survivors(percent: int):
     return run
 
 
-def _named(batches):
-    """``(chunk, cls)``: the sets that the candidates of a chunk name, each once per batch."""
-    for rows in batches:
-        found: dict[int, list] = {}
-        for chunk, y, cs in zip(rows["chunk"], rows["y"], rows["cs"]):
-            found.setdefault(int(chunk), []).append(np.append(np.frombuffer(cs, np.int64), y))
-        for chunk, parts in found.items():
-            yield pd.DataFrame({"cls": np.unique(np.concatenate(parts))}).assign(chunk=np.int32(chunk))
+def _named(rows: pd.DataFrame) -> pd.DataFrame:
+    """``(cls, chunk)``: the sets that the candidates of a chunk name, each once."""
+    names = np.unique(np.concatenate([rows["y"].to_numpy(np.int64), _read(rows["cs"], np.int64)]))
+    return pd.DataFrame({"cls": names, "chunk": rows["chunk"].iloc[0]})
 
 
 def _counted(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +184,7 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     candidates, rows = pairs.agg(F.sum(F.length("cs")), F.count(F.lit(1))).first()
     chunks = 1 + ((candidates or 0) // 8 + rows) // CHUNK
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("y", "part"), F.lit(chunks)).cast("int"))
-    names = cut_lineage(pairs.select("chunk", "y", "cs").mapInPandas(_named, "cls long, chunk int").distinct())
+    names = cut_lineage(pairs.select("chunk", "y", "cs").groupBy("chunk").applyInPandas(_named, "cls long, chunk int"))
     # one row for each chunk
     pieces = cut_lineage(names.join(sets.select("cls", F.size("h").alias("many")), "cls").groupBy("chunk").agg(
         (1 + F.floor(F.sum("many") / COUNTED)).cast("int").alias("fragments")))
