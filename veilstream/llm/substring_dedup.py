@@ -14,9 +14,10 @@ Hot minimisers: windows are counted first, in cells of minimisers. The super-k-m
 ``HEAVY`` windows travel cut into single windows, each to the bucket of its own hash. Cells depend on the words
 of a window only, so equal windows still meet. The number of buckets follows from the windows counted.
 
-Defined cases: null, empty and short texts have no windows and keep every word. Rows with the same doc_id are
-one document: windows that start at the same word do not remove each other. A null doc_id counts as the
-smallest. Other columns are ignored.
+Defined cases: null, empty and short texts have no windows and keep every word. Every row is a document: of rows
+that share a doc_id none starts before the other, so they remove no words of each other, only what smaller ids or
+the row itself had before. A null doc_id counts as the smallest. Other columns are ignored. Rows are told apart by
+doc_id and text hash; rows equal in both fare alike.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ FLUSH = 400_000          # super-k-mers packed together in a task
 BUCKET = 400_000         # windows of a bucket on average
 HEAVY = 1_000_000        # windows of a cell that may stay together
 LEAST = -(1 << 63)
-PACKED = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()),
+PACKED = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()),
                     ("size", pa.int64()), ("text", pa.binary())])
 COUNTS = pa.schema([("cell", pa.int64()), ("windows", pa.int64())])
 _U = np.uint64
@@ -110,15 +111,22 @@ def heavy_cells(rows: DataFrame, window: int, gram: int, heavy: int) -> tuple[in
     return cells, np.array(sorted(found["heavy"]), np.int64), found["n"] or 0
 
 
+def _firsts(kind: np.ndarray, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For elements sorted by kind, document, row and place: the index of the one that decides about each. That is the
+    first of its kind, or for another row of the same document the first of its kind in that row."""
+    new = np.concatenate([[True], kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(kind) else new
+    return np.where(doc == doc[first], np.flatnonzero(own)[np.cumsum(own) - 1], first)
+
+
 def _pack(buckets: int, window: int, gram: int, cells: int, heavy: np.ndarray):
     def flush(held):
-        doc, start, count, bucket, whole = (np.concatenate(x) for x in list(zip(*held))[:5])
-        text = [s for x in held for s in x[5]]
-        order = np.lexsort((start, doc))
-        _, first = np.unique(whole[order], return_index=True)
-        earliest = np.zeros(len(doc), np.int64)
-        _, inverse = np.unique(whole, return_inverse=True)
-        earliest[:] = order[first][inverse]
+        doc, row, start, count, bucket, whole = (np.concatenate(x) for x in list(zip(*held))[:6])
+        text = [s for x in held for s in x[6]]
+        order = np.lexsort((start, row, doc, whole))
+        earliest = np.empty(len(doc), np.int64)
+        earliest[order] = order[_firsts(whole[order], doc[order], row[order])]
         again = [i for i in np.flatnonzero(earliest != np.arange(len(doc))) if text[i] == text[earliest[i]]]
         gone = np.zeros(len(doc), bool)
         gone[again] = True
@@ -129,13 +137,13 @@ def _pack(buckets: int, window: int, gram: int, cells: int, heavy: np.ndarray):
         for a, b in zip(edges, np.append(edges[1:], len(send))):
             i = send[a:b]
             blob = b" ".join([text[x] for x in i])
-            yield {"bucket": int(bucket[i[0]]), "doc": doc[i].tobytes(), "start": start[i].tobytes(),
+            yield {"bucket": int(bucket[i[0]]), "doc": doc[i].tobytes(), "row": row[i].tobytes(), "start": start[i].tobytes(),
                    "windows": count[i].tobytes(), "size": len(blob), "text": pa.compress(blob, "zstd", asbytes=True)}
         if len(settled):  # rows with no text: they are only passed on, neighbours as one
-            settled = settled[np.lexsort((start[settled], doc[settled]))]
-            d, s, n = doc[settled], start[settled], count[settled]
-            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + n[:-1])]))
-            yield {"bucket": -1 - int(d[0] % buckets), "doc": d[head].tobytes(), "start": s[head].tobytes(),
+            settled = settled[np.lexsort((start[settled], row[settled], doc[settled]))]
+            d, r, s, n = doc[settled], row[settled], start[settled], count[settled]
+            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + n[:-1])]))
+            yield {"bucket": -1 - int(d[0] % buckets), "doc": d[head].tobytes(), "row": r[head].tobytes(), "start": s[head].tobytes(),
                    "windows": np.add.reduceat(n, head).tobytes(), "size": 0, "text": b""}
 
     def cut(words, first, count, whole, least):
@@ -153,15 +161,15 @@ def _pack(buckets: int, window: int, gram: int, cells: int, heavy: np.ndarray):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, names = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             for a, b, words in word_pieces(batch["text"], SPACE):
                 found, windows, least, strings = _super_kmers(words, window, gram)
                 raw = words.data.tobytes() if len(found) else b""
                 for first, count, bucket, whole in cut(words, found, windows, strings, least) if len(found) else ():
                     if len(first):
-                        row = np.searchsorted(words.first, first, side="right") - 1
+                        at = np.searchsorted(words.first, first, side="right") - 1
                         begin, end = words.start[first], words.end[first + count + window - 2]
-                        held.append((ids[a:b][row], (first - words.first[row]).astype(np.int64), count.astype(np.int64),
+                        held.append((ids[a:b][at], names[a:b][at], (first - words.first[at]).astype(np.int64), count.astype(np.int64),
                                      bucket, whole, [raw[i:j] for i, j in zip(begin.tolist(), end.tolist())]))
                         size += len(first)
                     if size >= FLUSH:
@@ -183,9 +191,9 @@ def _runs(at: np.ndarray, owner: np.ndarray, *others: np.ndarray) -> tuple[np.nd
 
 def _repeats(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        doc, start, count = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("doc", "start", "windows"))
+        doc, row, start, count = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("doc", "row", "start", "windows"))
         if rows["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"doc": doc, "start": start, "stop": start + count + window - 1})
+            return pd.DataFrame({"doc": doc, "row": row, "start": start, "stop": start + count + window - 1})
         texts, hashes, begins, ends, kmer = [], [], [], [], 0
         n_words = count + window - 1
         for size, blob, owners in zip(rows["size"], rows["text"], rows["doc"]):
@@ -200,15 +208,14 @@ def _repeats(window: int):
             ends.append((first, found.start.astype(np.int32), found.end.astype(np.int32), k))
             kmer += k
         h, begin = flat(hashes), np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-        order = np.lexsort((start, doc))  # windows by document and place
+        order = np.lexsort((start, row, doc))  # windows by document and place
         owner = np.repeat(order.astype(np.int32), count[order])
         offset = ranges(np.zeros(len(count), np.int64), count[order]).astype(np.int32)
         h = h[begin[owner] + offset]
         place = start[owner] + offset
         sorting = np.argsort(h, kind="stable")
-        head = np.concatenate([[True], h[sorting][1:] != h[sorting][:-1]])
         first = np.empty(len(h), np.int64)
-        first[sorting] = sorting[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        first[sorting] = sorting[_firsts(h[sorting], doc[owner[sorting]], row[owner[sorting]])]
         again = np.flatnonzero((doc[owner] != doc[owner[first]]) | (place != place[first]))
         lookup = [x for x in ends for _ in range(x[3])]
         base = np.concatenate([np.arange(x[3]) for x in ends]) if ends else np.zeros(0, np.int64)
@@ -224,26 +231,30 @@ def _repeats(window: int):
                 if words_of(again[a], b - a) != words_of(first[again[a]], b - a):
                     for i in range(a, b):  # unequal windows with one hash: look for the first equal one
                         mine = words_of(again[i], 1)
-                        equal = next(w for w in sorting[np.searchsorted(h[sorting], h[again[i]]):] if words_of(w, 1) == mine)
-                        good[i] = (doc[owner[equal]], place[equal]) != (doc[owner[again[i]]], place[again[i]])
+                        o, p, low = owner[again[i]], place[again[i]], np.searchsorted(h[sorting], h[again[i]])
+                        alike = sorting[low:np.searchsorted(h[sorting], h[again[i]], side="right")]
+                        alike = alike[(doc[owner[alike]] < doc[o]) | (doc[owner[alike]] == doc[o]) & (row[owner[alike]] == row[o]) & (place[alike] < p)]
+                        good[i] = any(words_of(w, 1) == mine for w in alike)
             again = again[good]
         if not len(again):
-            return pd.DataFrame({"doc": [], "start": [], "stop": []}, dtype=np.int64)
+            return pd.DataFrame({"doc": [], "row": [], "start": [], "stop": []}, dtype=np.int64)
         a, b = _runs(again, owner[again])
-        return pd.DataFrame({"doc": doc[owner[again[a]]], "start": place[again[a]], "stop": place[again[b - 1]] + window})
+        return pd.DataFrame({"doc": doc[owner[again[a]]], "row": row[owner[again[a]]], "start": place[again[a]], "stop": place[again[b - 1]] + window})
     return run
 
 
 def repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None,
                       heavy: int = HEAVY) -> DataFrame:
-    """``(doc, start, stop)``: word ranges of ``docs(doc_id, text)`` covered by windows that start earlier, too.
-    Ranges may overlap; doc is the doc_id, the smallest long for null. Counts the windows of ``docs`` at once."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("text").cast("string"))
+    """``(doc, row, start, stop)``: word ranges of ``docs(doc_id, text)`` covered by windows that start earlier, too.
+    Ranges may overlap; doc is the doc_id, the smallest long for null, row the hash of the text. Counts the windows of
+    ``docs`` at once."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
     cells, hot, windows = heavy_cells(rows, window, gram, heavy)
     buckets = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // BUCKET))
-    packed = rows.mapInArrow(_pack(buckets, window, gram, cells, hot), "bucket int, doc binary, start binary, windows binary, "
+    packed = rows.mapInArrow(_pack(buckets, window, gram, cells, hot), "bucket int, doc binary, row binary, start binary, windows binary, "
                                                            "size long, text binary")
-    return packed.groupBy("bucket").applyInPandas(_repeats(window), "doc long, start long, stop long")
+    return packed.groupBy("bucket").applyInPandas(_repeats(window), "doc long, row long, start long, stop long")
 
 
 def _keep(batches):
@@ -269,8 +280,8 @@ def _keep(batches):
 def drop_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 3, buckets: int | None = None,
                            heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept)``: kept are the remaining words with one space between."""
-    gone = (repeated_passages(docs, window, gram, buckets, heavy).groupBy(F.col("doc").alias("key"))
+    gone = (repeated_passages(docs, window, gram, buckets, heavy).groupBy("doc", "row")
             .agg(F.collect_list(F.struct("start", "stop")).alias("gone")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).join(gone, "key", "left").drop("key")
+    rows = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(LEAST)), "row": F.xxhash64("text")}).join(gone, ["doc", "row"], "left").drop("doc", "row")
     return rows.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
