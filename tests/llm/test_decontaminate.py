@@ -16,10 +16,10 @@ def brute(texts, items):
     strings = {}
     for name, text in items:
         w = words(text)
-        if w and name is not None:
+        if w:
             n = min(13, len(w))
             for i in range(len(w) - n + 1):
-                strings.setdefault(tuple(w[i:i + n]), set()).add(str(name))
+                strings.setdefault(tuple(w[i:i + n]), set()).add("" if name is None else str(name))
     out = []
     for i, text in enumerate(texts):
         w, hit, names = words(text), set(), set()

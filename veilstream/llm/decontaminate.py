@@ -8,11 +8,11 @@ through is compared word by word and then byte by byte. Documents are searched i
 by side with NumPy; lanes overlap by a string's length, so nothing depends on where they start.
 
 The documents are never shuffled. The benchmark goes to the tasks in blocks of at most ``block_chars``
-characters (a longer single item makes a longer block); each block is one more pass over the rows of the same
-task, so the size of what is broadcast is bounded for a benchmark of any size.
+characters (a longer single item makes a longer block). Each block is one more pass over the documents, whose marks
+are written before the next block is read: at any time one block is on the driver and in the tasks.
 
-Defined cases: null and empty texts have no words. Items without words or without an id are no test strings;
-items with one id are one item. Rows that share a doc_id are judged each by itself. Other columns are ignored
+Defined cases: null and empty texts have no words. Items without words are no test strings; items with one id are
+one item, and so are those without an id: it counts, and its id in the list of ids is empty. Rows that share a doc_id are judged each by itself. Other columns are ignored
 by ``contamination`` and kept by ``drop_contaminated``.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from veilstream.llm.words import SYMBOL, Words, flat, ranges, word_pieces
+from veilstream.session import cut_lineage
 
 WINDOW, BLOCK, LANE, BLOCK_CHARS = 13, 3, 128, 4_000_000
 SPANS, ITEMS = "__hit_spans", "__hit_items"
@@ -119,24 +120,23 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, block_chars: int):
-    """Lists of ``(item, text)`` of about ``block_chars`` characters, one after the other."""
-    rows = benchmark.where("item_id is not null and text is not null").select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, block_chars: int, window: int):
+    """``(whether it is the last, test strings)`` of blocks of about ``block_chars`` characters, one after the other."""
+    rows = benchmark.where("text is not null").select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // block_chars
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
-        yield [(r.item, r.text) for r in part.collect()]
+        yield i == n - 1, test_strings([(r.item, r.text) for r in part.collect()], window)
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int, last) -> DataFrame:
     """Runs every block over the rows; ``last(batch, n_words, spans, items)`` makes the final batch."""
     finish, schema = last
-    blocks = [test_strings(items, window) for items in _blocks(benchmark, block_chars)]
     carried = StructType([*docs.schema.fields, StructField(SPANS, BinaryType()), StructField(ITEMS, ArrayType(StringType()))])
-    for k, patterns in enumerate(blocks):
-        def run(batches, patterns=patterns, first=k == 0, final=k == len(blocks) - 1):
+    for k, (final, patterns) in enumerate(_blocks(benchmark, block_chars, window)):
+        def run(batches, patterns=patterns, first=k == 0, final=final):
             for batch in batches:
                 found = list(_searched(batch["text"], patterns))
                 spans, items = [f[1] for f in found], [f[2] for f in found]
@@ -150,7 +150,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int
                     yield pa.RecordBatch.from_arrays(
                         [*batch.columns, pa.array([np.array(s, np.int64).tobytes() for s in spans], pa.binary()),
                          pa.array([sorted(s) for s in items], pa.list_(pa.string()))], [*batch.schema.names, SPANS, ITEMS])
-        docs = docs.mapInArrow(run, schema if k == len(blocks) - 1 else carried)
+        docs = docs.mapInArrow(run, schema) if final else cut_lineage(docs.mapInArrow(run, carried))
     return docs
 
 

@@ -47,7 +47,7 @@ RUNS = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
 @query("op4_wu_manber_decontamination", f"""
-WITH i AS (SELECT item_id::VARCHAR AS id, {RUNS.format(text=LOWERED)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {RUNS.format(text=LOWERED)} AS w FROM benchmark),
 p AS (SELECT DISTINCT id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2),
         lambda k: array_to_string(w[k:k + least(len(w), 13) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
 d AS (SELECT doc_id, {RUNS.format(text=LOWERED)} AS w FROM documents),
