@@ -107,10 +107,50 @@ def test_warmup_needs_strictly_earlier_records(spark):
 
 def test_log_files(spark, tmp_path):
     log = spark.createDataFrame([("speed", "1", "-")], "Type string, Time string, `Eval.` string")
-    logs.write_log(log, str(tmp_path / "log"))
-    text = [p.read_text() for p in (tmp_path / "log").glob("*.csv")]
-    assert "Type,Time,Eval.\nspeed,1,-\n" in text
-    assert all(t.startswith("Type,Time,Eval.\n") for t in text)
+    path = tmp_path / "log"
+    for _ in range(2):  # appended: still one header
+        logs.write_log(log, str(path))
+    files = sorted(p.name for p in (path / "speed").glob("*.csv"))
+    assert files[0] == logs.HEADER and sum(logs.HEADER in f for f in files) == 1
+    whole = "".join((path / "speed" / f).read_text() for f in files)
+    assert whole == "Type,Time,Eval.\nspeed,1,-\nspeed,1,-\n" and not list(path.glob(".staging-*"))
+    logs.write_log(log, str(path), "overwrite")
+    assert logs.read_log(spark, str(path), log.columns).count() == log.count()
+
+
+def test_log_of_several_kinds_and_failed_attempts(spark, tmp_path):
+    """Rows of an attempt that failed are never seen; every kind has its own header."""
+    rows = [("speed", 'a "b", c'), ("image", "1"), ("speed", None), ("image", "2")] * 5
+    log = spark.createDataFrame(rows, "Type string, Value string").repartition(3)
+    path = tmp_path / "log"
+    logs.write_log(log, str(path))
+    broken = log.withColumn("Value", F.when(F.col("Value") == "2", F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("Value")))
+    with pytest.raises(Exception):
+        logs.write_log(broken, str(path))
+    assert sorted(map(str, logs.read_log(spark, str(path), log.columns).collect())) == sorted(map(str, log.collect()))
+    assert {p.name for p in path.iterdir() if not p.name.startswith(".")} == {"speed", "image"}
+    assert all((path / k / logs.HEADER).read_text() == "Type,Value\n" for k in ("speed", "image"))
+
+
+def test_a_repeated_batch_replaces_its_files(tmp_path):
+    path = str(tmp_path / "log")
+    for batch, values in ((0, "ab"), (1, "cd"), (1, "cd"), (2, "e")):
+        writer = logs._StreamWriter(path, ["Type", "Value"], False)
+        writer.commit([writer.write([("speed", v)]) for v in values], batch)
+    files = sorted((tmp_path / "log" / "speed").glob("*.csv"))
+    lines = "".join(f.read_text() for f in files).split()
+    assert lines[0] == "Type,Value" and sorted(lines[1:]) == [f"speed,{v}" for v in "abcde"]
+
+
+def test_log_of_a_stream(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    schema = "Type string, Value string"
+    for i in range(3):
+        spark.createDataFrame([("speed", str(i)), ("image", str(i))], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        logs.log_stream(stream, path, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = logs.read_log(spark, path, ["Type", "Value"], "speed").collect()
+    assert sorted(r.Value for r in got) == ["0", "1", "2"]
 
 
 def waypoint_rows(spark):

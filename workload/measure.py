@@ -1,9 +1,13 @@
 """Latency metrics and log layouts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilstream.operators import metrics
-from workload.fixtures import millis, query, table
+from veilstream.session import shared_dir
+from veilstream.sources.logs import read_log, write_log
+from workload.fixtures import ORACLES, millis, query, table
 
 
 def traces(spark, sf_dir):
@@ -58,6 +62,15 @@ def record_log_rows(spark, sf_dir):
     return metrics.record_log(metrics.record_latencies(traces(spark, sf_dir)))
 
 
+@query(ORACLES["record_log_rows"])
+def logged_records(spark, sf_dir):
+    """Written by the log sink in two appended parts and read back."""
+    path, rows = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", traces(spark, sf_dir)
+    for part in (0, 1):
+        write_log(metrics.record_log(metrics.record_latencies(rows.where(F.col("event_id") % 2 == part))), path)
+    return read_log(spark, path, list(metrics.RECORD_LOG))
+
+
 def switches(spark, sf_dir):
     """Orders as switches: the mode and the stage times come from their key."""
     k = F.col("o_orderkey")
