@@ -11,10 +11,17 @@ single sequential pass gives. Passes only rerun the slices whose start changed,
 key in one task than a slice. How many passes it takes depends on the data: a corridor forgets its start
 when a gap opens it to the full range or when it reaches the reading itself. Where readings come so densely
 that slices are shorter than this memory, starts travel one slice per pass; then choose larger slices.
+
+Without noise no loop is needed. A step of the rate limiter is a rising function of the last output, made of
+pieces that keep it or shift it, and so are steps one after the other (``Composed``). Every slice reports the
+function from its start to its end, one row per slice is folded in order, and all starts are known after one
+pass, however long the memory is. A start that a slice has carried along without meeting a reading is the sum
+of its shifts; it may differ from the sequential one by the rounding of that sum.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -97,6 +104,71 @@ class Corridor:
     def make(self):
         return (self.initial_last, None), self.step
 
+    @property
+    def composable(self) -> bool:
+        return self.sampler == "mode"
+
+
+class Composed:
+    """The end of a run of noiseless corridor steps as a function of the output before it.
+
+    The function is kept as points ``(start, end)`` from ``low`` to ``high``; between two points it is flat or rises
+    with slope 1. A step maps the ends and bends a rising piece where its corridor begins and ceases to contain the
+    reading; points inside a flat piece go. A reading in the middle of the ends still possible makes twice its reach
+    of them one, so there are never more points than the range holds reaches; often only one end is soon left. Starts
+    outside the range (after a reading that is no number) all begin anew and share one more end.
+    """
+
+    def __init__(self, corridor: Corridor, ms: int):
+        self.corridor, self.ms, self.outside = corridor, ms, None
+        self.points = [(corridor.low, corridor.low), (corridor.high, corridor.high)]
+
+    def step(self, value: float, ms: int) -> None:
+        corridor, points, known = self.corridor, self.points, {}
+        if points[0][1] != points[-1][1]:
+            reach = (ms - self.ms) / corridor.relax_ms * corridor.deviation
+            aim = min(max(value, corridor.low), corridor.high)
+            if reach > 0 and aim == aim:
+                known = {aim - reach: aim, aim + reach: aim}
+                points = self._bent(points, known)
+
+        def moved(end):
+            if end not in known:
+                known[end] = corridor.step((end, self.ms), value, ms, 0)[1]
+            return known[end]
+
+        ends = [(start, moved(end)) for start, end in points]
+        self.outside, self.ms = moved(self.outside), ms
+        self.points = [p for i, p in enumerate(ends) if not 0 < i < len(ends) - 1
+                       or not (self._same(ends[i - 1], p) and self._same(p, ends[i + 1]))]
+
+    def found(self) -> list[tuple[float, float]]:
+        return [*self.points, (math.nan, self.outside)]
+
+    @staticmethod
+    def _bent(points, levels):
+        for level in levels:
+            for i, ((x, y), (after, upper)) in enumerate(zip(points, points[1:])):
+                if y < level < upper:
+                    points = [*points[:i + 1], (min(x + (level - y), after), level), *points[i + 1:]]
+                    break
+        return points
+
+    @staticmethod
+    def _same(a, b) -> bool:
+        return a[1] == b[1] or a[1] != a[1] and b[1] != b[1]
+
+
+def composed_end(found, start: float) -> float:
+    """The end that belongs to ``start``, from what ``Composed`` found."""
+    *points, (_, outside) = found
+    if not points or not points[0][0] <= start <= points[-1][0]:
+        return outside
+    for (x, y), (after, upper) in zip(points, points[1:]):
+        if start <= after:
+            return upper if start == after else min(y + (start - x), upper)
+    return points[-1][1]
+
 
 def noisy_speed(section: str, params: tuple):
     """``min, max, gamma, relax, deviation`` and an optional seed."""
@@ -120,10 +192,24 @@ class Dispatch:
         return self.makes[identity[-1]]()
 
 
+    def single(self, identity):
+        return self.makes[identity[-1]]
+
+
 def _made(make, identity):
     return make.of(identity) if isinstance(make, Dispatch) else make()
 
 
+def _corridor(make):
+    """The corridor whose steps ``make`` runs, if they can be composed."""
+    owner = getattr(make, "__self__", None)
+    return owner if isinstance(owner, Corridor) and owner.composable else None
+
+
+def _composable(make) -> bool:
+    return all(map(_corridor, make.makes.values() if isinstance(make, Dispatch) else [make]))
+
+
 def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
               keys: Sequence[str] = ("vehicle_id",), seed=0,
               order: Sequence[str] = ("generate_ms", "event_id")) -> DataFrame:
@@ -145,7 +231,7 @@ def run_steps(df: DataFrame, make, value: Column, out: str, plan: SlicePlan,
         _outputs(make, keys, df.columns, out, order), result)
     hot = rows.where("_hot")
     sliced = [*keys, "_slice"]
-    starts = _settle_starts(hot, make, keys, order)
+    starts = (_composed_starts if _composable(make) else _settle_starts)(hot, make, keys, order)
     done = _in_time_order(_started(hot, starts, sliced), sliced, order).mapInArrow(
         _outputs(make, sliced, df.columns, out, order), result)
     return cold.unionByName(done)
@@ -188,6 +274,78 @@ def _settle_starts(hot: DataFrame, make, keys, order) -> DataFrame:
             return starts
 
 
+def _composed_starts(hot: DataFrame, make, keys, order) -> DataFrame:
+    """Start state of every slice, from one pass over the rows and one over the slices."""
+    sliced = [*keys, "_slice"]
+    slices = Window.partitionBy(*keys).orderBy("_slice")
+    spans = hot.groupBy(*sliced).agg(F.max(order[0]).alias("_end_ms"))
+    spans = cut_lineage(spans.select(*sliced, "_end_ms", F.lag("_end_ms").over(slices).alias(START[1]),
+                                     F.lit(None).cast("double").alias(START[0])))
+    names = [hot.schema[k] for k in keys] + [T.StructField("_slice", T.LongType())]
+    points = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
+    maps = _in_time_order(_started(hot, spans.drop("_end_ms"), sliced), sliced, order).mapInArrow(
+        _maps(make, sliced, order), T.StructType([*names, T.StructField("_points", points)]))
+    joined = join_null_safe(spans.drop(START[0]), cut_lineage(maps), sliced)
+    return cut_lineage(_in_time_order(joined, keys, ["_slice"]).mapInArrow(
+        _folded(sliced), T.StructType([*names, T.StructField(START[1], T.LongType()), T.StructField(START[0], T.DoubleType())])))
+
+
+def _maps(make, sliced, order):
+    """Sorted Arrow batches -> every slice with the points of its function; the first slice of a key has one end only."""
+    sliced, order = list(sliced), list(order)
+    kind = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+
+    def run(batches):
+        at, types, composed, state = None, None, None, None
+
+        def found():
+            return [composed.found() if composed else [(math.nan, state[0])]]
+
+        def table(rows):
+            columns = zip(*rows) if rows else [[]] * (len(sliced) + 1)
+            arrays = [pa.array([[{"start": x, "end": y} for x, y in p] for p in c] if t is kind else list(c), t)
+                      for c, t in zip(columns, [*types, kind])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*sliced, "_points"])
+
+        for batch in batches:
+            types, done = [batch.schema.field(k).type for k in sliced], []
+            for identity, start, value, ms, draw in _steps(batch, sliced, order):
+                if identity != at:
+                    if at is not None:
+                        done.append((*at, *found()))
+                    at, (state, step), composed = identity, _made(make, identity[:-1]), None
+                    if start[1] is not None:
+                        single = make.single(identity[:-1]) if isinstance(make, Dispatch) else make
+                        composed = Composed(_corridor(single), start[1])
+                if composed:
+                    composed.step(value, ms)
+                else:
+                    state, _ = step(state, value, ms, draw)
+            yield table(done)
+        if at is not None:
+            yield table([(*at, *found())])
+
+    return run
+
+
+def _folded(sliced):
+    """Slices of a key in order -> each with its start: the end of the slice before it."""
+    sliced = list(sliced)
+
+    def run(batches):
+        key, end = None, None
+        for batch in batches:
+            starts = []
+            for *identity, _, points in zip(*(batch.column(c).to_pylist() for c in [*sliced, "_points"])):
+                if identity != key:
+                    key, end = identity, None
+                starts.append(end)
+                end = composed_end([(p["start"], p["end"]) for p in points], math.nan if end is None else end)
+            yield batch.select([*sliced, START[1]]).append_column(START[0], pa.array(starts, pa.float64()))
+
+    return run
+
+
 def _steps(batch: pa.RecordBatch, keys, order):
     """Rows of a batch as Python values: identity, start state, value, time and draw."""
     def values(name):
