@@ -52,7 +52,36 @@ def test_odd_pages(spark, clashing):
 def test_blocks():
     found = blocks_of("<div>a <i>b</i><p>c<p>d</div>e<table><tr><td>f<td>g</table>")
     assert [t for t, _, _ in found] == ["a b", "c", "d", "e", "f", "g"]
-    assert [p[-1][0] if p else None for _, p, _ in found] == ["div", "p", "p", None, "td", "td"]
+    assert [p.tag if p else None for _, p, _ in found] == ["div", "p", "p", None, "td", "td"]
+
+
+def test_attributes_as_html_reads_them():
+    for mark in ("title=it's", "title=it's class=", 'title=a"b', "title='a>b'", 'title="a>b" hidden2', "data-class=ad", 'data-x="class=ad"', "x='id=comments'",
+                 'title="id=ad" =', "/ title=it's/"):
+        page = f"<article><p>Before it.</p><p {mark}>A paragraph, and it's kept.</p><p>After it's gone.</p></article>"
+        assert [t for t, _, _ in blocks_of(page)] == ["Before it.", "A paragraph, and it's kept.", "After it's gone."], mark
+        assert main_text(page, trained()) == "Before it. A paragraph, and it's kept. After it's gone.", mark
+    assert main_text('<article><p>Kept text.</p><div CLASS = ad><p>Buy this now.</p></div></article>', trained()) == "Kept text."
+
+
+def test_formulas_and_objects_are_read():
+    page = ("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <svg><title>no</title><text>drawn</text></svg> and "
+            "<object>an object</object><select><option>one<option>two</select> is.</p><p>Next <noscript>to scripts</noscript>.</p></article>")
+    assert main_text(page, trained()) == "Where x=2 holds, drawn and an object is. Next to scripts."
+    # what nothing closes ends with its parent
+    assert main_text("<article><div><select><option>one</div><p>Text that goes on.</p></article>", trained()) == "Text that goes on."
+    assert main_text("<article><p>First words.</p><textarea><p>Text that goes on.</p></article>", trained()) == "First words. Text that goes on."
+    assert main_text("<article><p>First words.</p><script>var a<p>Text</article>", trained()) == "First words."
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+    n = 100_000
+    begin = time.time()
+    for page in ("<div>" * n + "x", "<div>a" * n, "<b><div>" + "<i>" * n + "</b>x" * n, "<p>" * n + "</p>" * n, "<title>" * n, "<table><tr><td>" * (n // 3) + "x",
+                 "<p a=" + "'" * n + ">x", "<p " + "a =" * n + ">x", "<" * n, "<p" + "/ " * n, "<li><ul>" * (n // 2) + "x"):
+        blocks_of(page)
+    assert time.time() - begin < 20
 
 
 def test_viterbi_by_brute_force():

@@ -5,13 +5,16 @@ path of its open elements. A block is described by its ancestors (tags, words of
 innermost telling one of them) and its text (length, links, ends, signs). The field scores main text against
 the rest from these features and from the label of the block before; Viterbi finds the best labels of a page.
 It is trained in NumPy on labelled pages of many layouts (``labelled_pages``, drawn from a fixed seed). Scripts,
-styles, comments, titles and other unseen elements are no blocks in the first place.
+styles, markup comments, titles, frames, templates and form controls are no blocks in the first place; text of formulas,
+drawings, objects and of pages without scripts is judged like any other.
 
 Character references are decoded, white space inside a block (no-break spaces included) becomes one space, and
 the main blocks are joined by one space in page order. Pages are read whole and never move between tasks.
 
 Defined cases: null, empty and text-free html give an empty text. Unclosed, crossed and cut-off tags are read as
-far as they go. Equal rows give equal results. Other columns are ignored.
+far as they go; a script or style that nothing closes takes the rest of the page, other elements end with their parent.
+Attributes are read as HTML reads them, quotes inside unquoted values included. Time is linear in the page, however
+deep its elements are nested. Equal rows give equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-MARK = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-UNSEEN = frozenset("script style noscript template title textarea iframe svg math object canvas audio video select".split())
+#: An attribute as HTML reads it: quotes enclose a value only directly after the equals sign.
+ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?!\?)", "(?:", ATTRIBUTE)
+                   + r")*+)(?:>|\Z)", re.DOTALL)
+MARK = re.compile(ATTRIBUTE)
+RAW = frozenset("script style title textarea iframe noembed noframes".split())  # read up to their closing tag, and dropped
+DARK = frozenset("template select datalist".split())  # elements whose text is never shown as text
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead
 tr ul""".split())
@@ -54,9 +61,12 @@ FEATURES = {f: i for i, f in enumerate([*(f"has:{t}" for t in TAGS), *(f"in:{t}"
 
 def _words(attributes: str) -> frozenset[str]:
     """Telling words in class, id and role; ``hidden`` for what is not shown."""
-    found = set()
+    found, seen = set(), set()
     for name, a, b, c in MARK.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
+        if name in seen:  # of repeated attributes the first counts
+            continue
+        seen.add(name)
         if name in ("class", "id", "role", "aria-label"):
             found.update(w for w in re.findall("[a-z]+", value) if w in VOCABULARY)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -67,83 +77,134 @@ def _words(attributes: str) -> frozenset[str]:
 _words = lru_cache(maxsize=4096)(_words)
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple, int]]:
-    """``(text, path, characters in links)`` of every block; a path is ``((tag, words), ...)`` from the root."""
-    out, stack, parts, linked, at, size = [], [], [], 0, 0, len(page)
-    links = 0
+def _mask(names) -> int:
+    return sum(1 << FEATURES[n] for n in set(names) if n in FEATURES)
+
+
+_mask_of_words = lru_cache(maxsize=4096)(lambda words: _mask(f"word:{w}" for w in words))
+_mask_of_near = lru_cache(maxsize=4096)(lambda near: _mask(f"near:{n}" for n in near))
+_mask_of_has = lru_cache(maxsize=4096)(lambda tag: _mask([f"has:{tag}"]))
+_mask_of_inner = lru_cache(maxsize=4096)(lambda tag: _mask([f"in:{tag}"]))
+
+
+class Place:
+    """An open element; what its path tells is added up from its parent's, so that depth costs nothing."""
+
+    __slots__ = ("tag", "above", "near", "inner")
+
+    def __init__(self, parent: Place | None, tag: str, words: frozenset[str]):
+        self.tag = tag
+        self.above = (parent.above if parent else 0) | _mask_of_has(tag) | _mask_of_words(words)
+        near = words | {tag} if tag in NOTED else words
+        self.near = _mask_of_near(near) if near else parent.near if parent else 0
+        self.inner = _mask_of_inner(tag) if tag in BLOCKS else parent.inner if parent else 0
+
+
+class _Open:
+    """The stack of open elements, with the places of every tag and of blocks."""
 
-    def end():
+    def __init__(self):
+        self.stack, self.places, self.blocks, self.links, self.dark = [], {}, [], 0, 0
+
+    def top(self) -> Place | None:
+        return self.stack[-1] if self.stack else None
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open ``tag`` is; -1 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, words: frozenset[str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Place(self.top(), tag, words))
+        self.links += tag == "a"
+        self.dark += tag in DARK
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            self.links -= tag == "a"
+            self.dark -= tag in DARK
+
+    def close(self, tag: str) -> None:
+        depth = self.last(tag)
+        # an inline element does not close the blocks opened inside it
+        if depth >= 0 and (tag in BLOCKS or tag in DARK or not self.blocks or self.blocks[-1] < depth):
+            self.cut(depth)
+
+    def make_room(self, tag: str) -> None:
+        closed, limit = CLOSES.get(tag, ((), ()))
+        if closed:
+            floor = max(map(self.last, limit), default=-1)
+            while (depth := max(map(self.last, closed))) > floor:
+                self.cut(depth)
+
+
+def blocks_of(page: str) -> list[tuple[str, Place | None, int]]:
+    """``(text, innermost open element, characters in links)`` of every block, in time linear in the page."""
+    out, parts, linked, at, size = [], [], 0, 0, len(page)
+    there, endless = _Open(), set()
+
+    def end(place):
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append((text, tuple(stack), linked))
+            out.append((text, place, linked))
         parts.clear()
         linked = 0
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at:m.start()] if m else page[at:]
-        if text:
+        if text and not there.dark:
             parts.append(text)
-            linked += len(text) if links else 0
+            linked += len(text) if there.links else 0
         if not m:
             break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        place, dark = there.top(), there.dark
         if m[1]:
-            if tag in BLOCKS:
-                end()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                if any(t in BLOCKS for t, _ in stack[depth + 1:]) and tag not in BLOCKS:
-                    continue  # an inline element does not close the blocks opened inside it
-                del stack[depth:]
-                links = sum(t == "a" for t, _ in stack)
+            there.close(tag)
+            if tag in BLOCKS and not (dark and there.dark):
+                end(place)
             continue
-        if tag in UNSEEN:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = close.end() if close else size
+        if tag in RAW:
             parts.append(" ")
+            if m[3].rstrip().endswith("/") or tag in endless:
+                continue
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                at = size
+            else:  # an open tag that nothing closes takes no text away
+                endless.add(tag)
             continue
-        if tag in BLOCKS:
-            end()
-        if tag in CLOSES:
-            closed, limit = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limit:
-                    break
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
+        there.make_room(tag)
+        if tag in BLOCKS and not (dark and there.dark):  # inside dark elements nothing parts the text around them
+            end(place)
         if tag not in VOID:
-            stack.append((tag, _words(m[3])))
-            links += tag == "a"
+            there.push(tag, _words(m[3]))
         elif tag == "img":
             parts.append(" ")
-    end()
+    end(there.top())
     return out
 
 
-def _path_features(path: tuple) -> list[int]:
-    found, near = set(), None
-    for tag, words in path:
-        found.add(f"has:{tag}")
-        found.update(f"word:{w}" for w in words)
-        if words:
-            near = words
-        elif tag in NOTED:
-            near = {tag}
-        if words and tag in NOTED:
-            near = words | {tag}
-    inner = next((t for t, _ in reversed(path) if t in BLOCKS), None)
-    found.add(f"in:{inner}")
-    found.update(f"near:{n}" for n in near or ())
-    return sorted(FEATURES[f] for f in found if f in FEATURES)
+@lru_cache(maxsize=65536)
+def _features_in(mask: int) -> list[int]:
+    return [f for f in range(len(FEATURES)) if mask >> f & 1]
 
 
-_path_features = lru_cache(maxsize=65536)(_path_features)
+def _path_features(place: Place | None) -> list[int]:
+    return _features_in(place.above | place.near | place.inner) if place else []
 
 
 def _text_features(text: str, linked: int, place: int, many: int) -> list[int]:
@@ -169,7 +230,7 @@ def _text_features(text: str, linked: int, place: int, many: int) -> list[int]:
 
 
 def features_of(blocks) -> list[list[int]]:
-    return [_path_features(path) + _text_features(text, linked, i, len(blocks)) for i, (text, path, linked) in enumerate(blocks)]
+    return [_path_features(place) + _text_features(text, linked, i, len(blocks)) for i, (text, place, linked) in enumerate(blocks)]
 
 
 class Field:
