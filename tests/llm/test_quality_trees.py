@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from veilstream.llm.quality_trees import NAMES, Trees, drop_low_quality, grow, quality_scores, statistics_of, train
+from veilstream.llm.quality_trees import NAMES, Trees, _bound, drop_low_quality, grow, held_out, quality_scores, statistics_of, train
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -25,6 +26,25 @@ def test_held_out_labels_are_not_learned_from(spark, make_docs, corpus):
     assert np.array_equal(a.leaf, b.leaf) and np.array_equal(a.cut, b.cut)
 
 
+@pytest.mark.parametrize("wanted", [0, 1, 7, 60, 199, 200, 500])
+@pytest.mark.parametrize("hashes", ["all", "close", "equal"])
+def test_bound_of_the_sample(spark, wanted, hashes):
+    r = np.random.default_rng(wanted)
+    h = {"all": r.integers(-2 ** 63, 2 ** 63 - 1, 200), "close": -5 + r.integers(0, 2 ** 20, 200), "equal": np.full(200, 2 ** 63 - 1)}[hashes]
+    bound = _bound(spark.createDataFrame([(int(v),) for v in h], "h long"), wanted)
+    under = 200 if bound is None else int((h <= bound).sum())
+    assert (bound is None) == (wanted >= 200) and under >= min(wanted, 200)
+    assert hashes == "equal" or under <= max(2 * wanted, 1)
+
+
+def test_the_sample_is_that_of_the_smallest_hashes(spark, make_docs, corpus):
+    docs, labels = make_docs(corpus), spark.createDataFrame([(i % 40, i % 2) for i in range(80)], "doc_id long, quality int")
+    some, known = train(docs, labels, sample=9, rounds=4), labels.where(~held_out()).join(docs.select("doc_id"), "doc_id")
+    first = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(9).collect()]
+    inside = train(docs, labels.where(F.col("doc_id").isin(first)), sample=9, rounds=4)
+    assert np.array_equal(some.cut, inside.cut) and np.array_equal(some.leaf, inside.leaf)
+
+
 def test_trees_learn_and_flatten():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 4))

@@ -2,7 +2,7 @@
 
 ``statistics_of`` turns whole texts into numbers (shares of kinds of characters, word and line shapes, repetition)
 with NumPy, many documents at a time. Trees are grown level by level on binned statistics from a bounded sample
-of labelled rows (``SAMPLE``, those with the smallest hash of doc_id) and flattened into three arrays, so that
+of labelled rows (``SAMPLE``, those with the smallest hash of doc_id, found from ids alone) and flattened into three arrays, so that
 scoring a batch is ``depth`` array look-ups per tree. The label, lang, source and doc_id are no inputs.
 
 Rows whose crc32 of doc_id mod 3 is 1 are held out: their labels are never learned from.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm.words import SPACE, tidy, word_pieces
+from veilstream.session import cut_lineage, if_small
 
 SAMPLE, BINS = 20_000, 64
 KINDS = ("lower", "upper", "digit", "space", "line", "stop", "comma", "mark", "quote", "symbol", "lead", "rest")
@@ -188,11 +189,37 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _bound(hashed: DataFrame, wanted: int) -> int | None:
+    """A bound that at least ``wanted`` of the hashes ``h`` do not exceed, and fewer than twice as many unless hashes are
+    equal; none if there are no more hashes than that. Counts of 16 bits of the hash at a time reach the driver."""
+    need = wanted
+    for shift in (48, 32, 16, 0):
+        counts = sorted(map(tuple, hashed.groupBy(F.shiftright("h", shift).alias("at")).count().collect()))
+        if sum(n for _, n in counts) <= need:
+            return None
+        for at, n in counts:
+            if n >= need:
+                break
+            need -= n
+        if n <= wanted or not shift:
+            return ((at + 1) << shift) - 1
+        hashed = hashed.where(F.shiftright("h", shift) == at)
+    return None
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings) -> Trees:
     """Trees for ``labels(doc_id, quality)`` outside the held-out rows, from at most ``sample`` of them."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("double").alias("y"))
-    rows = statistics(docs).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toPandas()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Ids first: texts are read, and statistics computed, of the sampled rows alone.
+    bound = _bound(known.join(docs.select("doc_id"), "doc_id").select(F.xxhash64("doc_id").alias("h")), sample)
+    if bound is not None:
+        known = known.where(F.xxhash64("doc_id") <= F.lit(bound))
+    known = cut_lineage(known)
+    ids, _ = if_small(cut_lineage(known.select("doc_id").distinct()))
+    rows = statistics(docs.join(ids, "doc_id", "left_semi")).join(known, "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toPandas()
     x = np.stack(list(rows["x"])) if len(rows) else np.zeros((0, len(NAMES)))
     return grow(x, rows["y"].to_numpy(float), **settings)
 
