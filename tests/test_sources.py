@@ -1,4 +1,6 @@
 import json
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from veilstream.functions.petspec import pet_json
 from veilstream.operators.policy import rules_of
 from veilstream.operators.timeline import SlicePlan, plan_slices
 from veilstream.sources import history, logs, policy_files, readings, traces
+from workload.fixtures import mixed_readings
 
 PLAIN = SlicePlan("vehicle_id", "generate_ms")
 BY_SEQ = SlicePlan("vehicle_id", "seq")
@@ -78,7 +81,6 @@ def test_topics(spark):
 
 
 def test_history_store(spark, sf_dir, tmp_path):
-    from workload.fixtures import mixed_readings
     df = mixed_readings(spark, sf_dir)
     path = str(tmp_path / "history")
     history.write_history(df.where("event_id < 300"), path)
@@ -92,6 +94,35 @@ def test_history_store(spark, sf_dir, tmp_path):
         history.history_rows(df.withColumn("section", F.lit("smell"))).collect()
 
 
+def test_bucketed_history(spark, sf_dir, tmp_path):
+    """Appended, named again, and looked up without an exchange of the store; rows without a vehicle are one vehicle."""
+    df = mixed_readings(spark, sf_dir).withColumn("vehicle_id", F.when(F.col("event_id") % 3 > 0, F.col("vehicle_id")))
+    name, path = f"history_{uuid.uuid4().hex}", str(tmp_path / "bucketed")
+    for part in (0, 1, 2):
+        history.write_history_table(df.where(F.col("event_id") % 5 % 3 == part), name, path, buckets=4)
+    again = name + "_again"
+    history.open_history_table(spark, again, path, df, buckets=4)
+    want = {}
+    for r in df.where("section = 'speed'").collect():
+        want.setdefault(r.vehicle_id, []).append((r.generate_ms, r.event_id))
+    want = {(v, e, back) for v, rows in want.items() for back, (_, e) in enumerate(sorted(rows, reverse=True)[:6], 1)}
+    for table in (name, again):
+        store = history.read_history_table(spark, table, "speed")
+        ring = history.latest_records(store, 7)
+        assert {(r.vehicle_id, r.event_id, r.back) for r in ring.collect()} == want
+        plan = ring._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 2 and "Bucketed: true" in plan  # the same exchange in the first and the final plan
+        below = plan[plan.index("Exchange"):plan.index("FileScan")]
+        assert "_back" in below and "hashpartitioning(vehicle_id#" in below and "slot" not in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)[0]
+        day = df.agg(F.max("generate_ms")).first()[0]
+        part = history.read_history_table(spark, table, "speed", day - 3_600_000, day)
+        assert part.count() == df.where(f"section = 'speed' and generate_ms >= {day - 3_600_000} and generate_ms < {day}").count()
+        assert "PartitionFilters: [isnotnull(section" in part._jdf.queryExecution().executedPlan().toString()
+    assert history.latest_records(store, 1).count() == 0
+    for table in (name, again):
+        spark.sql(f"DROP TABLE {table}")
+
+
 def test_warmup_needs_strictly_earlier_records(spark):
     stored = spark.createDataFrame([(1, i, ms, float(i)) for i, ms in enumerate([10, 20, 20, 30])],
                                    "vehicle_id long, event_id long, generate_ms long, scalar double")

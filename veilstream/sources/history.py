@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.operators.timeline import SlicePlan, Timeline, join_null_safe
 from veilstream.schemas import SECTIONS
 
+SLOTS = 16
+BUCKETED = ("vehicle_id", "slot")
+
 
 def history_rows(readings: DataFrame) -> DataFrame:
     """Layout of the store: raw values and generate time only, one partition per section."""
@@ -36,7 +39,10 @@ def write_history(readings: DataFrame, path: str, mode: str = "append") -> None:
 def read_history(spark, path: str, section: str | None = None, since_ms: int | None = None,
                  until_ms: int | None = None) -> DataFrame:
     """The store, or its part of one section and a period (``since_ms`` included, ``until_ms`` not)."""
-    history = spark.read.parquet(path)
+    return _part(spark.read.parquet(path), section, since_ms, until_ms)
+
+
+def _part(history: DataFrame, section, since_ms, until_ms) -> DataFrame:
     if section is not None:
         history = history.where(F.col("section") == section)
     if since_ms is not None:
@@ -46,6 +52,48 @@ def read_history(spark, path: str, section: str | None = None, since_ms: int | N
     return history.drop("day")
 
 
+def write_history_table(readings: DataFrame, name: str, path: str | None = None, buckets: int = 64) -> None:
+    """Append to the bucketed store ``name`` (created with its files in ``path``, if that is given).
+
+    Rows are bucketed by (vehicle_id, slot) and sorted by time inside; partitions are those of ``write_history``. A slot
+    is a hash of the time, one of ``SLOTS``: a vehicle of any size, and rows without a vehicle, lie in so many buckets.
+    """
+    slot = F.pmod(F.xxhash64("generate_ms"), F.lit(SLOTS)).cast("int")
+    rows = history_rows(readings).withColumns({"slot": slot, "day": _day(F.col("generate_ms"))})
+    # Rows come to their buckets first: a bucket gets one file a write, section and day, not one of every task.
+    writer = (rows.repartition(buckets, *BUCKETED).write.format("parquet").mode("append").partitionBy("section", "day")
+              .bucketBy(buckets, *BUCKETED).sortBy("generate_ms"))
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def open_history_table(spark, name: str, path: str, like: DataFrame, buckets: int = 64) -> None:
+    """Name the bucketed store in ``path`` again, in a catalog that does not know it; ``like`` has the columns of its readings."""
+    rows = history_rows(like).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows if f.name != "section")
+    spark.sql(f"CREATE TABLE {name} ({columns}, slot int, section string, day int) USING parquet PARTITIONED BY (section, day) "
+              f"CLUSTERED BY ({', '.join(BUCKETED)}) SORTED BY (generate_ms) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+
+
+def read_history_table(spark, name: str, section: str | None = None, since_ms: int | None = None,
+                       until_ms: int | None = None) -> DataFrame:
+    """The bucketed store, or its part of one section and a period, with ``slot``."""
+    return _part(spark.table(name), section, since_ms, until_ms)
+
+
+def latest_records(history: DataFrame, size: int) -> DataFrame:
+    """The ring of every vehicle: its ``size - 1`` newest records, with ``back`` (1 = newest).
+
+    ``history`` comes from ``read_history_table``. The newest of every slot are found inside the buckets, without a shuffle
+    of the store; only these, at most ``SLOTS * (size - 1)`` of a vehicle, move to be put together.
+    """
+    newest = [F.desc("generate_ms"), F.desc("event_id")]
+    inside = F.row_number().over(Window.partitionBy(*BUCKETED).orderBy(*newest))
+    kept = history.withColumn("_back", inside).where(F.col("_back") < size).drop("_back", "slot")
+    back = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(*newest))
+    return kept.withColumn("back", back).where(F.col("back") < size)
+
+
 def warmup_piece(triggers: DataFrame, history: DataFrame, size: int, plan: SlicePlan) -> DataFrame:
     """The ``size - 1`` newest records strictly before each trigger (all, if there are fewer).
 

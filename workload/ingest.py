@@ -1,9 +1,12 @@
 """Sources, history and log layouts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilstream.operators.context import fan_out
 from veilstream.operators.timeline import Timeline
+from veilstream.session import shared_dir
 from veilstream.sources import history, logs, policy_files, readings, traces
 from workload.fixtures import (SECTION_SQL, context_of, k_of_props, section_of_type, mixed_readings, plan_for, query, skewed_plan,
                                skewed_readings, speed_readings, table, with_views)
@@ -216,6 +219,34 @@ def warmup_period(spark, sf_dir):
     return history.warmup_time(triggers, rows, 86_400).select("trigger_event_id", "event_id")
 
 
+RING_SQL = """
+SELECT vehicle_id, event_id, scalar, back FROM (
+  SELECT vehicle_id, event_id, scalar, row_number() OVER (PARTITION BY vehicle_id ORDER BY generate_ms DESC, event_id DESC) AS back
+  FROM speed_readings) r
+WHERE back <= 9"""
+
+
+def _ring(spark, rows):
+    """The readings as a bucketed store, written in two parts, and the nine newest of every vehicle in it."""
+    name = f"history_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    for part in (0, 1):
+        history.write_history_table(rows.where(F.pmod("event_id", F.lit(2)) == part), name, path, buckets=8)
+    ring = history.latest_records(history.read_history_table(spark, name, "speed"), 10)
+    return ring.select("vehicle_id", "event_id", "scalar", "back")
+
+
+@query(with_views("speed_readings", body=RING_SQL))
+def history_ring(spark, sf_dir):
+    return _ring(spark, speed_readings(spark, sf_dir))
+
+
+@query(with_views("speed_readings", body=RING_SQL, skewed=True))
+def history_ring_hot_vehicle(spark, sf_dir):
+    """The same when one vehicle holds a third of all rows."""
+    return _ring(spark, skewed_readings(spark, sf_dir))
+
+
 TOTALS_SQL = """
 SELECT t.event_id AS trigger_event_id, count(h.event_id) AS n,
        round(coalesce(sum(h.scalar), 0), 4) AS total
