@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilstream.functions.predicates import (PredicateError, compile_predicate, in_polygon,
-                                             location_predicate, register_predicate, scalar_predicate)
+                                             location_predicate, problem_of, register_predicate, scalar_predicate)
 
 
 def scalar(relation, value, section="speed"):
@@ -130,3 +130,28 @@ def test_boolean_parameters():
     assert PetSpec.from_json(pet_json("p", [("Boolean", True)])).label == "ptrue"
     with pytest.raises(ValueError):
         PetSpec.from_json(pet_json("p", [("Boolean", "maybe")]))
+
+
+@pytest.mark.parametrize("text", [
+    '{"scalar": [{"data section": "speed", "relation": "LESS", "value": 3}]}', '{}', '{"logic": "AND"}',
+    '{"scalar": [{"data section": "fuel", "relation": "LESS", "value": 3}]}',
+    '{"scalar": [{"data section": "speed", "relation": "NEAR", "value": 3}]}',
+    '{"scalar": [{"data section": "speed", "custom": "nobody"}]}',
+    '{"logic": "OR", "scalar": [{"data section": "speed", "relation": "LESS", "value": 3}]}',
+    '{"logic": "NOT", "scalar": [{"data section": "speed", "relation": "LESS", "value": 3}, {"data section": "speed", "relation": "LESS", "value": 4}]}',
+    '{"location": [{"relation": "NEAR", "value": {"x": [1], "y": [1]}}]}', '{"location": [{"relation": "IN", "value": {"x": [1, 2], "y": [1]}}]}',
+    '{"location": [{"relation": "OUT_OF", "value": {"x": [], "y": []}}]}', '{"combined": [{}]}',
+    '{"combined": [{"scalar": [{"data section": "speed", "relation": "LESS", "value": 3}]}]}'])
+def test_problem_is_what_compiling_rejects(spark, text):
+    try:
+        compile_predicate(text, {"speed": F.col("v")}, F.col("x"), F.col("y"))
+        want = None
+    except PredicateError as e:
+        want = str(e)
+    assert problem_of(text, ["speed"]) == want
+
+
+def test_problem_of_broken_documents(spark):
+    assert [problem_of(t, ["speed"]) for t in (None, "", "[1]", "[", "3")] == ["not a JSON object"] * 5
+    assert problem_of('{"scalar": [{"data section": "speed", "relation": "LESS", "value": "fast"}]}', ["speed"]) == "malformed predicate: ValueError"
+    assert problem_of('{"scalar": [3]}', ["speed"]) == "malformed predicate: AttributeError"

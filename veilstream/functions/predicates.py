@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import json
 import operator
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
@@ -163,3 +164,66 @@ def _place_holds(leaf: Mapping, x: float | None, y: float | None) -> bool:
             at_height = x0 if x0 == x1 else x0 + (y - y0) * ((x1 - x0) / (y1 - y0))
             turns += (1 if y1 > y0 else -1) if x < max(x0, x1) and (x < min(x0, x1) or x < at_height) else 0
     return (turns != 0) == (str(leaf["relation"]).upper() == "IN")
+
+
+def problem_of(description: str | Mapping | None, scalars: Sequence[str], located: bool = True,
+               custom: Sequence[str] | None = None) -> str | None:
+    """What ``compile_predicate`` would reject a description for; None if it compiles. Needs no Spark. ``custom`` names
+    the registered tests, by default those of this process."""
+    known = _CUSTOM if custom is None else custom
+    try:
+        spec = json.loads(description) if isinstance(description, str) else description
+        if not isinstance(spec, Mapping):
+            return "not a JSON object"
+        for leaf in spec.get("scalar") or []:
+            section = leaf.get("data section")
+            if section not in scalars:
+                return f"unknown data section {section!r}; known: {', '.join(scalars)}"
+            if "custom" in leaf:
+                if leaf["custom"] not in known:
+                    return f"no registered predicate {leaf['custom']!r}"
+                continue
+            if str(leaf["relation"]).upper() not in RELATIONS:
+                return f"unknown relation {leaf['relation']!r}; known: {', '.join(RELATIONS)}"
+            float(leaf["value"])
+        for leaf in spec.get("location") or []:
+            if not located:
+                return "the context has no location section"
+            if str(leaf["relation"]).upper() not in ("IN", "OUT_OF"):
+                return f"unknown location relation {leaf['relation']!r}; known: IN, OUT_OF"
+            xs, ys = leaf["value"]["x"], leaf["value"]["y"]
+            if len(xs) != len(ys):
+                return "polygon x and y must have the same number of points"
+            if not xs:
+                return "polygon has no points"
+            for v in (*xs, *ys):
+                float(v)
+        nested = spec.get("combined") or []
+        for part in nested:
+            found = problem_of(part, scalars, located, custom)
+            if found:
+                return found
+        parts, logic = len(spec.get("scalar") or []) + len(spec.get("location") or []) + len(nested), spec.get("logic")
+        if not parts:
+            return "predicate is empty"
+        if logic is None:
+            return "more than one predicate needs a logic of AND or OR" if parts > 1 else None
+        if str(logic).upper() not in ("AND", "OR"):
+            return f"logic must be AND or OR, not {logic!r}"
+        return f"a logic of {str(logic).upper()} needs at least two predicates" if parts < 2 else None
+    except json.JSONDecodeError:
+        return "not a JSON object"
+    except (AttributeError, KeyError, TypeError, ValueError) as e:
+        return f"malformed predicate: {type(e).__name__}"
+
+
+def checked(rules: DataFrame, column: str, scalars: Sequence[str], located: bool = True) -> DataFrame:
+    """``rules`` with ``problem``: why the description in ``column`` cannot be compiled, null if it can. For policies
+    that are tables; a null description is a problem."""
+    custom, known = list(_CUSTOM), list(scalars)
+
+    @F.pandas_udf("string")
+    def problem(texts: pd.Series) -> pd.Series:
+        return pd.Series([problem_of(t, known, located, custom) for t in texts], dtype=object)
+
+    return rules.withColumn("problem", problem(F.col(column)))

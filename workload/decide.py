@@ -79,6 +79,46 @@ def boolean_composition(spark, sf_dir):
     return context.select("event_id", predicates.compile_predicate(NESTED, scalars, x, y).alias("hit"))
 
 
+@query("SELECT event_id, value IS NOT NULL AND floor(value) % 2 = 0 AS hit FROM events")
+def user_defined_predicate(spark, sf_dir):
+    """A test of the user's own, named in a predicate description."""
+    predicates.register_predicate("even", lambda value: F.pmod(F.floor(value), F.lit(2)) == 0)
+    rows = speed_readings(spark, sf_dir)
+    own = '{"scalar": [{"data section": "speed", "custom": "even"}]}'
+    return rows.select("event_id", predicates.compile_predicate(own, {"speed": F.col("scalar")}).alias("hit"))
+
+
+# One description per event: its type says which part may be wrong, its number what stands there.
+DESCRIPTION = """
+CASE event_type
+  WHEN 'click' THEN '{"scalar": [{"data section": "speed", "relation": "' || CASE WHEN event_id % 2 = 0 THEN 'less' ELSE 'BELOW' END
+       || '", "value": ' || event_id || '}]}'
+  WHEN 'view' THEN '{' || CASE event_id % 3 WHEN 0 THEN '"logic": "AND", ' WHEN 1 THEN '"logic": "XOR", ' ELSE '' END
+       || '"scalar": [{"data section": "speed", "relation": "LESS", "value": 1}, {"data section": "speed", "relation": "GREATER", "value": '
+       || event_id || '}]}'
+  WHEN 'error' THEN '{"location": [{"relation": "IN", "value": {"x": [0, ' || event_id || '], "y": ['
+       || CASE WHEN event_id % 2 = 0 THEN '0, 1' ELSE '0' END || ']}}]}'
+  WHEN 'signup' THEN '{"combined": [' || CASE WHEN event_id % 2 = 0 THEN ''
+       ELSE '{"scalar": [{"data section": "fuel", "relation": "LESS", "value": 1}]}' END || ']}'
+  ELSE CASE WHEN event_id % 2 = 0 THEN props ELSE '[' || event_id END END"""
+
+
+@query("""
+SELECT event_id, CASE event_type
+    WHEN 'click' THEN CASE WHEN event_id % 2 <> 0 THEN
+      'unknown relation ''BELOW''; known: EQUAL, NOT_EQUAL, GREATER, LESS, GREATER_EQUAL, LESS_EQUAL' END
+    WHEN 'view' THEN CASE event_id % 3 WHEN 1 THEN 'logic must be AND or OR, not ''XOR'''
+      WHEN 2 THEN 'more than one predicate needs a logic of AND or OR' END
+    WHEN 'error' THEN CASE WHEN event_id % 2 <> 0 THEN 'polygon x and y must have the same number of points' END
+    WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'predicate is empty' ELSE 'unknown data section ''fuel''; known: speed' END
+    ELSE CASE WHEN event_id % 2 = 0 AND props IS NOT NULL THEN 'predicate is empty' ELSE 'not a JSON object' END END AS problem
+FROM events""")
+def rejected_descriptions(spark, sf_dir):
+    """Predicate descriptions of a table, checked where they lie."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(DESCRIPTION).alias("predicate"))
+    return predicates.checked(rows, "predicate", ["speed"]).select("event_id", "problem")
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 def _evaluated(spark, sf_dir, view=speed_readings):

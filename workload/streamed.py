@@ -148,3 +148,58 @@ def streamed_reassembly(spark, sf_dir):
     """Enforced and put back together in one stream of two stateful operators."""
     published = stream_policies(mixed_readings(_Streaming(spark), sf_dir), MIXED_RULES, "0 seconds", keep_time=True)
     return _finished(spark, reassemble_stream(published, delay=None)).select("app", "vehicle_id", "event_id", "frame_no", *_processed())
+
+
+FAR_MS = 4_000_000_000_000  # moves the watermark past everything
+
+
+class _Arrivals:
+    """A folder that rows arrive in, and a stream over it that stops and starts again at its checkpoint."""
+
+    def __init__(self, spark, sf_dir, delay):
+        self.folder, self.spark, self.delay = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}", spark, delay
+        self.all = speed_readings(spark, sf_dir)
+
+    def bring(self, rows, files=1):
+        rows.repartition(files, F.xxhash64("event_id")).write.mode("append").parquet(f"{self.folder}/in")
+
+    def close(self):
+        """A row of a vehicle of its own, later than all others."""
+        self.bring(self.spark.range(1).select(
+            F.lit(-99).cast("long").alias("vehicle_id"), F.lit(-99).cast("long").alias("event_id"),
+            F.lit(FAR_MS).cast("long").alias("generate_ms"), F.lit("speed").alias("section"), F.lit(0.0).alias("scalar")))
+
+    def run(self):
+        rows = self.spark.readStream.schema(self.all.schema).option("maxFilesPerTrigger", 2).parquet(f"{self.folder}/in")
+        enforced = in_order.enforce_stream(for_apps(rows, ["app1", "app2", "app3"]), SPEED_RULES, "speed", self.delay)
+        in_order.run_available(enforced, f"{self.folder}/rows", f"{self.folder}/checkpoint")
+
+    def published(self):
+        return _published(self.spark.read.parquet(f"{self.folder}/rows").where("vehicle_id <> -99 or vehicle_id is null"))
+
+
+@query(with_views("windowed", body=ENFORCED_SQL))
+def streamed_restarts(spark, sf_dir):
+    """Rows out of order, several triggers, and a stream that is stopped and started again between them."""
+    stream = _Arrivals(spark, sf_dir, "9000 days")
+    stream.bring(stream.all.where("event_id % 2 = 0"), 3)
+    stream.run()
+    stream.bring(stream.all.where("event_id % 2 <> 0 or event_id is null"), 3)
+    stream.run()
+    stream.close()
+    stream.run()
+    return stream.published()
+
+
+@query(with_views("windowed", body=ENFORCED_SQL).replace(
+    "value AS scalar\n  FROM events", f"value AS scalar\n  FROM events WHERE epoch_us(ts)//1000 > {MIDDLE_MS}"))
+def streamed_late_rows(spark, sf_dir):
+    """The first half arrives when the watermark has passed the second half: it is dropped and changes nothing."""
+    stream = _Arrivals(spark, sf_dir, "0 seconds")
+    late = F.col("generate_ms") <= MIDDLE_MS
+    stream.bring(stream.all.where(~late))
+    stream.close()
+    stream.run()
+    stream.bring(stream.all.where(late))
+    stream.run()
+    return stream.published()
