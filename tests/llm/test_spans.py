@@ -1,7 +1,10 @@
 """Personal data and secrets: base spans by brute force, taggers on lines that they did not learn from."""
 import hashlib
+import itertools
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,6 +101,45 @@ def test_long_texts_are_read_whole():
     assert [s[0] for s in base] == ["email", "phone"] and set(base) <= set(every)
 
 
+def test_tagger_finds_what_no_pattern_knows():
+    """Recall over the whole of ``all_spans`` on lines of another seed, for findings that overlap no base span; and false findings."""
+    tagger = pii.trained()
+    wanted, hit, found, wrong = Counter(), Counter(), 0, 0
+    lines = list(pii.labelled_lines(3000, seed=123))
+    for (_, spans), (base, every) in zip(lines, pii.all_spans([s for s, _ in lines], tagger)):
+        for kind, a, b in spans:
+            if 0 < a and b < pii.WINDOW and all(b <= c or d <= a for _, c, d in base):
+                wanted[kind] += 1
+                hit[kind] += any(k == kind and abs(c - a) <= 1 and abs(d - b) <= 1 for k, c, d in every)
+        added = [s for s in every if s not in base]
+        found += len(added)
+        wrong += sum(all(d <= a or b <= c for _, a, b in spans) for _, c, d in added)
+    assert sum(hit.values()) >= 0.9 * sum(wanted.values()) and all(hit[k] >= 0.8 * wanted[k] > 80 for k in pii.KINDS)
+    assert wrong <= 0.01 * found
+    for text, value in [("call (555) 123-4567 now", "(555) 123-4567"), ("dial 0049-30-1234567 please", "0049-30-1234567"),
+                        ("card 4111.1111.1111.1111 ok", "4111.1111.1111.1111"), ("write john (at) example dot com soon", "john (at) example dot com")]:
+        (base, every), = pii.all_spans([text], tagger)
+        # a word after a spelled-out address may be taken for its next part
+        assert not base and len(every) == 1 and text[every[0][1]:every[0][2]].startswith(value)
+
+
+def test_marginals_are_sums_over_paths():
+    tagger, r = pii.Tagger(), np.random.default_rng(2)
+    e, k = r.normal(0, 2, (2, 4, len(pii.TAGS))), len(pii.TAGS)
+    moves, want = tagger.p["moves"], np.zeros((2, 4, k))
+    for path in itertools.product(range(k), repeat=4):
+        weight = np.exp(e[:, range(4), path].sum(1) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+        want[:, range(4), path] += weight[:, None]
+    assert np.allclose(tagger.marginals(e), want / want.sum(2, keepdims=True))
+
+
+def test_long_runs_of_digits():
+    """A number of a million digits holds no task up and is no finding."""
+    began = time.time()
+    assert pii.base_spans("1" * 1_000_000) == [] and time.time() - began < 20
+    assert [s for s in pii.base_spans("9" * 30 + ".1.2.3 x1.2.3.4.5.6.7.8.9") if s[0] == "ip"] == [("ip", 38, 45), ("ip", 46, 53)]
+
+
 def test_plain_text_is_left_alone(make_docs, corpus):
     for r in pii.redact(make_docs(corpus)).collect():
         assert r.text == corpus[r.doc_id]
