@@ -17,7 +17,7 @@ PLAIN = SlicePlan("vehicle_id", "generate_ms")
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "PythonMapInArrow",
           "FlatMapGroupsInPandas", "AttachDistributedSequence")
 # Queries whose recursion, random sets or frames need Python.
-WITH_PYTHON = {"rate_limited_speed", "rate_limited_speed_hot_vehicle", "rate_limited_speed_from_zero",
+WITH_PYTHON = {"rejected_descriptions", "rate_limited_speed", "rate_limited_speed_hot_vehicle", "rate_limited_speed_from_zero",
                "noisy_speed", "noisy_speed_properties", "noisy_speed_hot_vehicle", "dummy_locations", "dummy_location_properties",
                "place_count_totals", "updated_place_counts", "interval_probabilities",
                "pixelated_frames", "blurred_frames", "redacted_byte_frames", "enforced_images"}
