@@ -15,7 +15,7 @@ from veilstream.operators.timeline import SlicePlan
 from veilstream.plans import pipelines
 from veilstream.streaming import in_order
 from veilstream.streaming.contexts import TwoInputs, combine_streams, reassemble_stream, zip_app_streams
-from veilstream.streaming.held import Held
+from veilstream.streaming.held import Held, PerKey
 from veilstream.streaming.policies import CONTROL, control_rows, stream_policies
 from workload.context import _inputs, zipped_rows
 from workload.enforce import MIDDLE_MS, SECOND_POLICY
@@ -73,6 +73,15 @@ class Handle:
         self.timers.append(ms)
 
 
+class ManyHandle(Handle):
+    """The same for operators that ask whether a map has entries."""
+
+    def getMapState(self, name, *_):
+        found = super().getMapState(name)
+        found.exists = lambda: bool(found.rows)
+        return found
+
+
 class Watermark:
     def __init__(self, ms):
         self.ms = ms
@@ -255,3 +264,48 @@ def test_class_maps_in_a_stream(spark, sf_dir, tmp_path):
     columns = ("section", "event_id", "pet_label", "image")
     got, expected = (d.withColumn("image", F.hex("processed_image")) for d in (spark.read.parquet(str(tmp_path / "out")), pipelines.run_policies(df, rules, PLAIN)))
     assert bag(got, *columns) == bag(expected, *columns) and got.where("section = 'image'").count() > 0
+
+
+def test_small_keys_share_state():
+    """Entries of state follow the rows that wait, not the keys or the time that they spread over."""
+    processor = PerKey(TwoInputs(T.DoubleType(), None))
+    processor.init(handle := ManyHandle())
+    rows = [(i * 60_000, i, "left" if i % 2 else "right", float(i), f'{{"vehicle_id":{i % 300}}}') for i in range(6_000)]
+    arrive(processor, rows)
+    assert handle.counts["written"] <= 4 and handle.counts["read"] == 0
+    out = [row for table in processor.handleExpiredTimer((0,), Watermark(10 ** 12), None) for row in table.itertuples(index=False)]
+    assert out == [] and handle.counts["read"] <= 4 and handle.counts["written"] <= 4 + 300  # a vehicle has one side only
+    assert len(handle.states["memories"].rows) == 300 and not handle.states["slots"].rows
+
+
+def test_due_rows_are_handed_on_in_pieces():
+    """What is due of a shard is never in memory as a whole, however much it is; the order is that of time."""
+    seen, processor, r = [], held(600_000), random.Random(3)
+    processor.release = lambda key, rows: seen.append(len(rows)) or rows
+    rows = [(i, i) for i in range(200_000)]
+    for a in range(0, len(rows), 10_000):
+        batch = rows[a:a + 10_000]
+        arrive(processor, r.sample(batch, len(batch)))
+    assert [ms for ms, _ in released(processor, 10 ** 9)] == [ms for ms, _ in rows] and max(seen) < 40_000
+
+
+def test_a_part_that_waits_is_not_written_for_every_timer():
+    processor, n = held(1), 4_000
+    arrive(processor, [(i * 1000, i) for i in range(n)])
+    for i in range(0, n, 10):
+        assert [x for _, x in released(processor, (i + 9) * 1000)] == list(range(i, i + 10))
+    assert processor.handle.counts["written"] < n and processor.handle.states["index"].get() is None
+
+
+def test_ids_stay_exact_beside_missing_ones(spark, tmp_path):
+    """Whole numbers beyond those of doubles, with rows that lack them in the same batch."""
+    big = 2 ** 60 + 1
+    df = spark.createDataFrame([(v, big + i, 1000 + i, side, 1.0) for i in range(4) for v in (None, big) for side in ("left", "right")],
+                               "vehicle_id long, event_id long, generate_ms long, side string, value double")
+    folders = [str(tmp_path / n) for n in ("left", "right")]
+    for folder in folders:
+        df.where(F.col("side") == folder.rsplit("/", 1)[1]).drop("side").coalesce(1).write.parquet(folder)
+    stream = combine_streams(*[as_stream(spark, folder, df.drop("side").schema, 9) for folder in folders], "0 seconds")
+    in_order.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {(x.vehicle_id, x.event_id) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(v, big + i) for i in range(4) for v in (None, big)}

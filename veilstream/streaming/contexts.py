@@ -6,6 +6,8 @@ Each is one or two stateful operators whose rows are those of its batch twin in
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Sequence
 
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from veilstream.streaming.held import Held, in_event_order, table_of, tuples
+from veilstream.streaming.held import KEY, SHARD, Held, in_event_order, shard_of, table_of, through, tuples
 
 
 def _fields(*fields) -> T.StructType:
@@ -84,26 +86,49 @@ class Numbered(Held):
 
 
 class Complete(StatefulProcessor):
-    """Collects one value of every application under a key and hands them on when all are there; the key is forgotten
-    then. No order is needed, so nothing waits for the watermark."""
+    """Collects one value of every application under a key and a number, and hands them on when all are there; they are
+    forgotten then. No order is needed, so nothing waits for the watermark. ``CHUNK`` numbers of a key lie in one entry."""
+
+    CHUNK, GATHERED = 64, 100_000
 
     def __init__(self, apps: Sequence[str], keys: Sequence[T.StructField], kind: T.DataType):
         self.apps = list(apps)
         self.schema = T.StructType([*keys, *(T.StructField(a, kind) for a in self.apps)])
-        self.kind = kind
+        self.columns = [KEY, "n", "app", "value"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", _fields(("app", TEXT)), _fields(("value", self.kind)))
+        self.values = handle.getMapState("values", "chunk string", "numbers binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        arrived: dict[str, dict[int, dict]] = {}
+        n = 0
         for batch in rows:
-            for app, value in tuples(batch, ["app", "value"]):
-                self.values.updateValue((app,), (value,))
-        found = {k[0]: v[0] for k, v in self.values.iterator()}
-        if len(found) < len(self.apps):
-            return iter([])
-        self.values.clear()
-        return iter([table_of([(*key, *(found[a] for a in self.apps))], self.schema)])
+            for chunk, number, app, value in tuples(batch, self.columns):
+                arrived.setdefault(chunk, {}).setdefault(number, {})[app] = value
+            n += len(batch)
+            if n >= self.GATHERED:
+                yield from self._completed(arrived)
+                arrived, n = {}, 0
+        yield from self._completed(arrived)
+
+    def _completed(self, arrived):
+        stored, out = self.values.exists(), []
+        for chunk, numbers in arrived.items():
+            known = stored and self.values.containsKey((chunk,))
+            if known:
+                for number, found in pickle.loads(self.values.getValue((chunk,))[0]).items():
+                    numbers[number] = {**found, **numbers.get(number, {})}
+            identity = tuple(json.loads(chunk).values())[:-1]
+            done = [number for number, found in numbers.items() if len(found) == len(self.apps)]
+            for number in done:
+                found = numbers.pop(number)
+                out.append((*identity, number, *(found[a] for a in self.apps)))
+            if numbers:
+                self.values.updateValue((chunk,), (pickle.dumps(numbers),))
+            elif known:
+                self.values.removeKey((chunk,))
+        if out:
+            yield table_of(out, self.schema)
 
     def close(self) -> None:
         pass
@@ -111,15 +136,16 @@ class Complete(StatefulProcessor):
 
 def zip_app_streams(rows: DataFrame, apps: Sequence[str], value: Column, delay: str = "10 minutes") -> DataFrame:
     """``zip_apps`` of a stream with ``app, vehicle_id, event_id, generate_ms``: the n-th records of all applications side
-    by side. Records are numbered per (app, vehicle) and dealt out again by (vehicle, number), so that a hot vehicle is
-    spread where applications wait for each other."""
+    by side. Records are numbered per (app, vehicle) and dealt out again by (vehicle, run of numbers), so that a hot vehicle
+    is spread where applications wait for each other."""
     if len(apps) < 2:
         raise ValueError("zip_apps needs at least two applications")
     rows = rows.where(F.col("app").isin(*apps)).withColumn("value", value).select("app", "vehicle_id", "generate_ms", "event_id", "value")
     numbered = in_event_order(rows, ["app", "vehicle_id"], Numbered([rows.schema[c] for c in ("app", "vehicle_id")], [rows.schema["value"]]),
                               delay, event_time="at")
-    keys = ["vehicle_id", "n"]
-    return in_event_order(numbered, keys, Complete(apps, [numbered.schema[k] for k in keys], rows.schema["value"].dataType), None)
+    chunk = F.floor(F.col("n") / Complete.CHUNK).alias("chunk")
+    done = Complete(apps, [numbered.schema[k] for k in ("vehicle_id", "n")], rows.schema["value"].dataType)
+    return through(numbered.select("*", *shard_of(["vehicle_id", chunk])), [SHARD], done.columns, done, None)
 
 
 class Reassembled(Held):
@@ -128,34 +154,36 @@ class Reassembled(Held):
 
     SAMPLES = ("speed", "location")
 
+    CHUNK = 64  # groups in one entry
+
     def __init__(self, ratio: int, values: dict[str, T.StructField]):
         out = [values[s] for s in ("speed", "location", "image")]
         columns = ["generate_ms", "event_id", "section", *(v.name for v in out)]
         super().__init__(columns, T.StructType([*_fields(("app", TEXT), ("vehicle_id", LONG), ("generate_ms", LONG), ("event_id", LONG)).fields,
-                                                *out, T.StructField("frame_no", LONG)]), order=3)
+                                                *out, T.StructField("frame_no", LONG)]), order=3, binary=[v.name for v in out if v.dataType == T.BinaryType()])
         self.ratio, self.names = ratio, {s: columns.index(values[s].name) for s in values}
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "section string", "n long")
-        self.groups = handle.getMapState("groups", "number long", "content binary")
+        self.counts = handle.getValueState("counts")
+        self.groups = handle.getMapState("groups")
 
     def release(self, key, rows):
-        import pickle
-        counts = {s: (self.counts.getValue((s,)) or (0,))[0] if self.counts.containsKey((s,)) else 0 for s in self.names}
-        groups, out = {}, []
-
-        def group(number):
-            if number not in groups:
-                stored = self.groups.getValue((number,)) if self.groups.containsKey((number,)) else None
-                groups[number] = pickle.loads(stored[0]) if stored else {"images": [], "seen": 0}
-            return groups[number]
+        """``counts``: how many rows of each section came, and up to which entry groups were begun."""
+        counts = self.counts.get() or {**dict.fromkeys(self.names, 0), "begun": 0}
+        counts, chunks, stored, out = dict(counts), {}, set(), []
         for row in rows:
             ms, event_id, section = row[:3]
-            if section not in counts:
+            if section not in self.names:
                 continue
             place = counts[section]
             counts[section] = place + 1
-            own = group(place if section != "image" else place // self.ratio)
+            number = place if section != "image" else place // self.ratio
+            at = number // self.CHUNK
+            if at not in chunks:
+                if at < counts["begun"] and self.groups.containsKey((at,)):
+                    stored.add(at)
+                chunks[at] = self.groups.getValue((at,)) if at in stored else {}
+            own = chunks[at].setdefault(number, {"images": [], "seen": 0})
             if section == "image":
                 own["images"].append((ms, event_id, row[self.names["image"]], place + 1))
                 own["seen"] += 1
@@ -163,16 +191,17 @@ class Reassembled(Held):
                 own[section] = row[self.names[section]]
             if all(s in own for s in self.SAMPLES):
                 if all(own[s] is not None for s in self.SAMPLES):
-                    out += [(*key, at, of, own["speed"], own["location"], image, n) for at, of, image, n in own["images"]]
+                    out += [(*key, at_ms, of, own["speed"], own["location"], image, n) for at_ms, of, image, n in own["images"]]
                 own["images"] = []
-        for number, own in groups.items():
-            if own["seen"] == self.ratio and all(s in own for s in self.SAMPLES):
-                if self.groups.containsKey((number,)):
-                    self.groups.removeKey((number,))
-            else:
-                self.groups.updateValue((number,), (pickle.dumps(own),))
-        for section, n in counts.items():
-            self.counts.updateValue((section,), (n,))
+                if own["seen"] == self.ratio:
+                    del chunks[at][number]
+        for at, groups in chunks.items():
+            if groups:
+                self.groups.updateValue((at,), groups)
+                counts["begun"] = max(counts["begun"], at + 1)
+            elif at in stored:
+                self.groups.removeKey((at,))
+        self.counts.update(counts)
         return out
 
 

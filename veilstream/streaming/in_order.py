@@ -61,13 +61,15 @@ def draw_of(seed, vehicle_id, ms) -> int:
 class InOrder(Held):
     """Releases rows in event-time order with the cause in force and the last ``size`` values.
 
-    ``steps`` maps PET labels to (step function, seed); step functions need the state between records.
+    ``steps`` maps PET labels to (step function, seed); step functions need the state between records. ``windows``
+    maps PET labels to how many values they read; records under other labels are handed on without.
     A decision without a label changes what is current, but not the PET: it is about other sections.
     """
 
-    def __init__(self, size: int, steps: dict):
+    def __init__(self, windows: dict[str, int], steps: dict):
         super().__init__(HELD.names, RELEASED, order=3)
-        self.size = size
+        self.size = max(windows.values(), default=1)
+        self.windows = windows
         self.steps = steps
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -77,7 +79,6 @@ class InOrder(Held):
     def release(self, key, rows: list[tuple]) -> list[tuple]:
         state = self.current.get() or (None,) * len(CURRENT)
         cause, label, since, step_value, step_ms, last_ms, last_id = state
-        # Every access to state is a round trip; a frame of one row needs none for its history.
         recent = [tuple(row) for row in self.recent.get()] if self.size > 1 else []
         released = []
         for ms, event_id, kind, new_cause, new_label, scalar, x, y in rows:
@@ -94,15 +95,20 @@ class InOrder(Held):
                 label, since, step_value, step_ms = new_label, event_id, None, None
             if kind == 0 or (scalar is None if key[2] == "speed" else x is None or y is None):
                 continue  # a row without a value is no record
-            recent = [*recent, (ms, scalar, x, y)][-self.size:]
+            if self.size > 1:
+                recent = [*recent, (ms, scalar, x, y)][-self.size:]
             stepped = None
             if label in self.steps:
                 make, seed = self.steps[label]
                 initial, step = make()
                 before = initial if step_ms is None else (step_value, step_ms)
                 (step_value, step_ms), stepped = step(before, scalar, int(ms), draw_of(seed, key[1], ms))
-            released.append((*key, event_id, ms, scalar, x, y, cause, label, since, switch, stepped,
-                             [dict(zip(RECENT.names, r)) for r in recent], False))
+            if label in self.windows:
+                last = recent[-self.windows[label]:] if self.size > 1 else [(ms, scalar, x, y)]
+                last = [dict(zip(RECENT.names, r)) for r in last]
+            else:
+                last = None
+            released.append((*key, event_id, ms, scalar, x, y, cause, label, since, switch, stepped, last, False))
         self.current.update((cause, label, since, step_value, step_ms, last_ms, last_id))
         if recent and self.size > 1:
             self.recent.put(recent)
@@ -118,8 +124,8 @@ def _flat(df: DataFrame) -> DataFrame:
         *KEYS, "generate_ms", "event_id", "kind", "cause", "label", "scalar", "x", "y")
 
 
-def release_in_order(rows: DataFrame, delay: str, size: int, steps: dict) -> DataFrame:
-    return in_event_order(_flat(rows), KEYS, InOrder(size, steps), delay)
+def release_in_order(rows: DataFrame, delay: str, windows: dict[str, int], steps: dict) -> DataFrame:
+    return in_event_order(_flat(rows), KEYS, InOrder(windows, steps), delay)
 
 
 def caused_by_rules(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -134,7 +140,7 @@ def caused_by_rules(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def decide_stream(readings: DataFrame, rules: Sequence[Rule], delay: str = "10 minutes") -> DataFrame:
     """Switching decisions of a stream: the same rows that batch evaluation gives."""
-    released = release_in_order(caused_by_rules(readings, rules), delay, 1, {})
+    released = release_in_order(caused_by_rules(readings, rules), delay, {}, {})
     index = F.substring_index("cause", "|", 1).cast("int")
     named = released.where(~F.col("is_late")).withColumn("current", F.struct(index.alias("index")))
     priority = rule_lookup(rules, lambda r: F.lit(r.priority))
@@ -167,9 +173,9 @@ def enforce_decided_stream(readings: DataFrame, decided: DataFrame, specs, secti
 
 def _enforced(rows: DataFrame, specs, section: str, delay: str, keep_late: bool) -> DataFrame:
     built = [(s.label, *build_pet(s, section)) for s in distinct_specs(specs)]
-    size = max([pet.size for _, _, pet in built if isinstance(pet, WindowPet)], default=1)
+    windows = {label: pet.size for label, _, pet in built if isinstance(pet, WindowPet)}
     steps = {label: (pet.make, pet.seed) for label, _, pet in built if isinstance(pet, StepPet)}
-    released = release_in_order(rows, delay, size, steps)
+    released = release_in_order(rows, delay, windows, steps)
     released = released.withColumn("location", F.struct("x", "y"))
     value, ready = F, F
     for label, kind, pet in built:

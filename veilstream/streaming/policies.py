@@ -34,10 +34,9 @@ from veilstream.operators.enforce import processed_column
 from veilstream.operators.pets import SECTION_VALUE, StepPet, WindowPet, build_pet
 from veilstream.operators.policy import Rule, affected_by, rule_name
 from veilstream.schemas import SECTIONS
-from veilstream.streaming.held import Held, in_event_order
+from veilstream.streaming.held import MEMORIES, SHARDS, Held, through
 from veilstream.streaming.in_order import RECENT, draw_of
 
-SHARDS = 64
 #: What a frame needs beside its bytes, if its transformation reads it.
 FRAME = (("height", T.IntegerType()), ("width", T.IntegerType()), ("n_channels", T.IntegerType()), ("class_map", T.BinaryType()))
 READING = [("kind", T.IntegerType()), ("event_id", T.LongType()), ("vehicle_id", T.LongType()), ("section", T.StringType()),
@@ -61,23 +60,27 @@ CONTROL = "app string, effective_ms long, rules string"
 
 
 class Policies(Held):
-    """``rules`` are in force from the start; ``sizes`` is how many values of a section the transformations read,
-    ``steps`` maps (section, label) to (step function, seed), ``known`` has the labels that can be applied."""
+    """``rules`` are in force from the start; ``windows`` maps (section, label) to how many values the transformation
+    reads, ``steps`` maps (section, label) to (step function, seed), ``known`` has the labels that can be applied."""
 
-    def __init__(self, rules: Sequence[Rule], sizes: dict[str, int], steps: dict, known: dict[str, set], frame: list):
+    def __init__(self, rules: Sequence[Rule], windows: dict, steps: dict, known: dict[str, set], frame: list):
         columns = [("generate_ms", T.LongType()), *READING, *frame, ("rules", T.StringType())]
         released = [("app", T.StringType()), ("vehicle_id", T.LongType()), ("generate_ms", T.LongType()), ("event_id", T.LongType()),
                     *READING[3:], *frame, ("pet_label", T.StringType()), ("since_event_id", T.LongType()),
                     ("stepped", T.DoubleType()), ("recent", T.ArrayType(RECENT)), ("at", T.TimestampType())]
-        super().__init__([c for c, _ in columns], _struct(released), order=3)
+        super().__init__([c for c, _ in columns], _struct(released), order=3, binary=[c for c, kind in columns if kind == T.BinaryType()])
         self.start: dict[str, list[Rule]] = {}
         for rule in rules:
             self.start.setdefault(rule.app, []).append(rule)
-        self.sizes, self.steps, self.known = sizes, steps, known
+        self.windows, self.steps, self.known = windows, steps, known
+        self.sizes: dict[str, int] = {}
+        for (section, _), size in windows.items():
+            self.sizes[section] = max(size, self.sizes.get(section, 1))
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.memory = handle.getMapState("memory", "vehicle string", "text string")
         self.version = handle.getValueState("version", "since_ms long, rules string")
+        self.memories: dict[str, dict] = {}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for vehicle, text in zip(initialState["vehicle"], initialState["memory"]):
@@ -111,8 +114,7 @@ class Policies(Held):
         app = key[0]
         stored = self.version.get()
         since, rules = (stored[0], self._published(app, *stored)) if stored else (None, self._tried(self.start.get(app, [])))
-        memories: dict[str, dict] = {}
-        released = []
+        memories, released = self.memories, []
         for ms, kind, event_id, vehicle_id, section, scalar, x, y, image, *more in rows:
             if kind == 0:
                 if since is None or ms >= since:  # an older version that comes late is past
@@ -132,10 +134,15 @@ class Policies(Held):
                 label, brought, stepped, recent = found
                 released.append((app, vehicle_id, ms, event_id, section, scalar, x, y, image, *more[:-1], label, brought, stepped,
                                  recent, pd.Timestamp(ms, unit="ms")))
-        for vehicle, memory in memories.items():
-            self.memory.updateValue((vehicle,), (json.dumps(memory),))
+        if len(memories) > MEMORIES:
+            self.settle()
         return released
 
+    def settle(self) -> None:
+        for vehicle, memory in self.memories.items():
+            self.memory.updateValue((vehicle,), (json.dumps(memory),))
+        self.memories = {}
+
     def _decide(self, rules, memory, vehicle_id, ms, event_id, section, scalar, x, y, image):
         """The PET in force on a reading with what it needs; None if nothing is published."""
         if section == "speed" and scalar is not None:
@@ -167,7 +174,8 @@ class Policies(Held):
                 before = known["value"], known["ms"]
             (value, at), stepped = step(before, scalar, int(ms), draw_of(seed, vehicle_id, ms))
             memory["step"][section] = {"value": value, "ms": at, "since": since}
-        return label, since, stepped, [{f: r.get(f) for f in RECENT.names} for r in held[section]]
+        read = self.windows.get((section, label))
+        return label, since, stepped, [{f: r.get(f) for f in RECENT.names} for r in held[section][-read:]] if read else None
 
 
 def _shard(shards: int):
@@ -191,7 +199,7 @@ def stream_policies(readings: DataFrame, rules: Sequence[Rule] = (), delay: str
         if spec.label not in {s.label for s in specs.get(section, [])}:
             specs.setdefault(section, []).append(spec)
     built = {section: [(s.label, *build_pet(s, section)) for s in own] for section, own in specs.items()}
-    sizes = {section: max([p.size for _, _, p in pets if isinstance(p, WindowPet)], default=1) for section, pets in built.items()}
+    windows = {(section, label): p.size for section, pets in built.items() for label, _, p in pets if isinstance(p, WindowPet)}
     steps = {(section, label): (p.make, p.seed) for section, pets in built.items() for label, _, p in pets if isinstance(p, StepPet)}
     known = {section: {label for label, _, _ in pets} for section, pets in built.items()}
     frame = [(c, kind) for c, kind in FRAME if c in readings.columns]
@@ -210,7 +218,8 @@ def stream_policies(readings: DataFrame, rules: Sequence[Rule] = (), delay: str
     if state is not None:
         vehicle = F.coalesce(F.col("vehicle_id").cast("string"), F.lit(""))
         state = state.select("app", _shard(shards).alias("shard"), vehicle.alias("vehicle"), "memory")
-    released = in_event_order(rows, ["app", "shard"], Policies(rules, sizes, steps, known, frame), delay, state, "at" if keep_time else "")
+    processor = Policies(rules, windows, steps, known, frame)
+    released = through(rows, ["app", "shard"], processor.columns, processor, delay, state, "at" if keep_time else "")
     released = released.withColumn("location", F.when(F.col("x").isNotNull(), F.struct("x", "y")))
     outputs, ready = {}, F
     for section, pets in built.items():
