@@ -112,52 +112,81 @@ class Corridor:
 class Composed:
     """The end of a run of noiseless corridor steps as a function of the output before it.
 
-    The function is kept as points ``(start, end)`` from ``low`` to ``high``; between two points it is flat or rises
-    with slope 1. A step maps the ends and bends a rising piece where its corridor begins and ceases to contain the
-    reading; points inside a flat piece go. A reading in the middle of the ends still possible makes twice its reach
-    of them one, so there are never more points than the range holds reaches; often only one end is soon left. Starts
-    outside the range (after a reading that is no number) all begin anew and share one more end.
+    Between ``low`` and ``high`` the function is flat or rises with slope 1. It is kept as its lowest end and the
+    intervals of starts where it rises. A step moves the lowest end, and the ends within its reach of the reading become
+    one: that takes away the intervals in which they lie, found by the rise that lies before them. Intervals are in
+    blocks whose rise is known, so that a step costs the root of their number; often only one end is soon left.
+    Starts outside the range (after a reading that is no number) all begin anew and share one more end.
     """
 
+    BLOCK = 256
+
     def __init__(self, corridor: Corridor, ms: int):
-        self.corridor, self.ms, self.outside = corridor, ms, None
-        self.points = [(corridor.low, corridor.low), (corridor.high, corridor.high)]
+        self.corridor, self.ms, self.outside, self.base = corridor, ms, None, corridor.low
+        whole = (corridor.low, corridor.high)
+        self.blocks, self.rises = ([[whole]], [whole[1] - whole[0]]) if whole[0] < whole[1] else ([], [])
 
     def step(self, value: float, ms: int) -> None:
-        corridor, points, known = self.corridor, self.points, {}
-        if points[0][1] != points[-1][1]:
+        corridor = self.corridor
+        if self.blocks:
             reach = (ms - self.ms) / corridor.relax_ms * corridor.deviation
             aim = min(max(value, corridor.low), corridor.high)
             if reach > 0 and aim == aim:
-                known = {aim - reach: aim, aim + reach: aim}
-                points = self._bent(points, known)
+                self._flatten(max(aim - reach - self.base, 0.0), aim + reach - self.base)
+            elif reach > 0:
+                self.blocks, self.rises = [], []
+        self.base, self.outside = (corridor.step((end, self.ms), value, ms, 0)[1] for end in (self.base, self.outside))
+        self.ms = ms
+
+    def _flatten(self, low: float, high: float) -> None:
+        """Of the whole rise, what lies between ``low`` and ``high`` goes."""
+        before, changed = 0.0, []
+        for number, rise in enumerate(self.rises):
+            if before >= high:
+                break
+            if before + rise > low:
+                changed.append(number)
+                self.blocks[number] = self._without(self.blocks[number], low - before, high - before)
+            before += rise
+        for number in reversed(changed):
+            own = self.blocks[number]
+            half = len(own) // 2
+            parts = [own[:half], own[half:]] if len(own) > self.BLOCK else [own] if own else []
+            self.blocks[number:number + 1] = parts
+            self.rises[number:number + 1] = [math.fsum(z - x for x, z in part) for part in parts]
 
-        def moved(end):
-            if end not in known:
-                known[end] = corridor.step((end, self.ms), value, ms, 0)[1]
-            return known[end]
+    @staticmethod
+    def _without(intervals, low: float, high: float) -> list[tuple[float, float]]:
+        out, before = [], 0.0
+        for x, z in intervals:
+            after = before + (z - x)
+            if after <= low or before >= high:
+                out.append((x, z))
+            else:
+                if before < low and x < (cut := min(x + (low - before), z)):
+                    out.append((x, cut))
+                if after > high and (cut := max(x + (high - before), x)) < z:
+                    out.append((cut, z))
+            before = after
+        return out
 
-        ends = [(start, moved(end)) for start, end in points]
-        self.outside, self.ms = moved(self.outside), ms
-        self.points = [p for i, p in enumerate(ends) if not 0 < i < len(ends) - 1
-                       or not (self._same(ends[i - 1], p) and self._same(p, ends[i + 1]))]
+    @property
+    def points(self) -> list[tuple[float, float]]:
+        """``(start, end)`` from ``low`` to ``high``."""
+        corridor, end = self.corridor, self.base
+        points = [(corridor.low, end)]
+        for x, z in (interval for block in self.blocks for interval in block):
+            if x > points[-1][0]:
+                points.append((x, end))
+            end += z - x
+            points.append((z, end))
+        if points[-1][0] < corridor.high or len(points) == 1:
+            points.append((corridor.high, end))
+        return points
 
     def found(self) -> list[tuple[float, float]]:
         return [*self.points, (math.nan, self.outside)]
 
-    @staticmethod
-    def _bent(points, levels):
-        for level in levels:
-            for i, ((x, y), (after, upper)) in enumerate(zip(points, points[1:])):
-                if y < level < upper:
-                    points = [*points[:i + 1], (min(x + (level - y), after), level), *points[i + 1:]]
-                    break
-        return points
-
-    @staticmethod
-    def _same(a, b) -> bool:
-        return a[1] == b[1] or a[1] != a[1] and b[1] != b[1]
-
 
 def composed_end(found, start: float) -> float:
     """The end that belongs to ``start``, from what ``Composed`` found."""
