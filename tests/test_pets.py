@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,27 @@ def test_composed_steps_are_the_steps_one_after_the_other(seed):
         assert composed_end(composed.found(), start) == pytest.approx(out, abs=1e-9, nan_ok=True)
 
 
+def test_a_step_does_not_go_through_all_bends():
+    """Reaches far smaller than the range: thousands of bends, and two steps of the corridor for each reading."""
+    steps, rng = [], random.Random(1)
+
+    class Counted(Corridor):
+        def step(self, *args):
+            steps.append(1)
+            return super().step(*args)
+    rows = [(rng.expovariate(1 / 30), 1_000 + 100 * i) for i in range(3_000)]
+    corridor = Counted(0.0, 120.0, 10.0, 3_600_000, 10.0, sampler="mode")
+    composed = Composed(corridor, 1_000)
+    for value, ms in rows:
+        composed.step(value, ms)
+    assert len(steps) == 2 * len(rows) and len(composed.points) > 1_000
+    for start in [rng.uniform(0.0, 120.0) for _ in range(20)]:
+        state = (start, 1_000)
+        for value, ms in rows:
+            state, out = corridor.step(state, value, ms, 0)
+        assert composed_end(composed.found(), start) == pytest.approx(out, abs=1e-9)
+
+
 def test_dense_readings_need_one_pass(spark, monkeypatch):
     """One reading a second and slices far shorter than the memory of the corridor: no loop over slices."""
     rng = random.Random(5)
@@ -314,3 +336,18 @@ def test_uniforms_are_uniform(spark):
     u = spark.range(20_000).select(mathx.uniform(5, F.col("id")).alias("u"))
     low, high, mean = u.agg(F.min("u"), F.max("u"), F.avg("u")).collect()[0]
     assert 0 < low < 0.001 and 0.999 < high < 1 and abs(mean - 0.5) < 0.01
+
+
+def test_memory_of_candidate_sets_does_not_follow_the_batch(spark):
+    """A whole Arrow batch of requests over many places, and the same sets as in small batches."""
+    import tracemalloc
+    rng, choose = random.Random(4), dummies.best_set(60_000, 4, 12, 8.0).func
+    real, seed = (pd.Series([rng.randrange(n) for _ in range(6_000)]) for n in (60_000, 2 ** 59))
+    tracemalloc.start()
+    whole = choose(real, seed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    part = choose(real[100:140].reset_index(drop=True), seed[100:140].reset_index(drop=True))
+    assert [list(x) for x in part["ranks"]] == [list(x) for x in whole["ranks"][100:140]]
+    assert part["entropy"].tolist() == whole["entropy"][100:140].tolist()

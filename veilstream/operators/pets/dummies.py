@@ -21,7 +21,7 @@ from veilstream.functions.mathx import beta_shape, row_seed
 from veilstream.operators.timeline import TARGET_ROWS, SlicePlan, Timeline, join_null_safe, plan_slices
 from veilstream.session import cut_lineage
 
-SCORED = 2_000_000  # doubles of one temporary when candidate sets are compared
+SCORED = 100_000  # doubles of one temporary when candidate sets are compared: these lie in a core's cache
 
 
 def rank_places(places: DataFrame, plan: SlicePlan | None = None,
@@ -81,14 +81,21 @@ def _log_gamma(v: np.ndarray) -> np.ndarray:
 def beta_cdf(x, a, b) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction, element by element."""
     x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    return _beta_cdf(x, a, b, _log_scale(a, b))
+
+
+def _log_scale(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+
+
+def _beta_cdf(x, a, b, log_scale) -> np.ndarray:
     shape = x.shape
-    x, a, b = x.ravel(), a.ravel(), b.ravel()
+    x, a, b, log_scale = x.ravel(), a.ravel(), b.ravel(), log_scale.ravel()
     flip = x > (a + 1) / (a + b + 2)
     p, q = np.where(flip, b, a), np.where(flip, a, b)
     z = np.where(flip, 1 - x, x)
     inner = (z > 0) & (z < 1)
     safe = np.where(inner, z, 0.5)
-    log_scale = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
     front = np.exp(log_scale + p * np.log(safe) + q * np.log1p(-safe)) / p
     low = np.where(inner, front * _fraction(safe, p, q), np.where(z <= 0, 0.0, 1.0))
     return np.where(flip, 1 - low, low).reshape(shape)
@@ -133,8 +140,12 @@ def interval_probability(places: int, gamma: float):
 
 def _interval_probability(interval, real_rank, places: int, gamma: float) -> np.ndarray:
     width = places - 1
-    a, b = beta_shape(np.asarray(real_rank, dtype=float) / width, gamma)
-    return beta_cdf((np.asarray(interval) + 1) / width, a, b) - beta_cdf(np.asarray(interval) / width, a, b)
+    interval, real_rank = np.broadcast_arrays(np.asarray(interval), np.asarray(real_rank, dtype=float))
+    # What depends on the real place only is computed once for each.
+    distinct, back = np.unique(real_rank, return_inverse=True)
+    a, b = beta_shape(distinct / width, gamma)
+    a, b, log_scale = (v[back.reshape(real_rank.shape)] for v in (a, b, _log_scale(a, b)))
+    return _beta_cdf((interval + 1) / width, a, b, log_scale) - _beta_cdf(interval / width, a, b, log_scale)
 
 
 def set_entropy(sets: np.ndarray, places: int, gamma: float) -> np.ndarray:
