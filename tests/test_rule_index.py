@@ -114,3 +114,18 @@ def test_terms_without_an_index_are_bounded(spark):
     with pytest.raises(PredicateError):
         winning_rule_of_table(df, rules, {"speed": F.col("v")}, F.col("px"), F.col("py"), most=2)
     assert rule_index.winning_rule_of_table(df, rules.limit(0), {"speed": F.col("v")}).where("winner is not null").count() == 0
+
+
+def test_no_join_goes_through_the_driver(spark):
+    """Rules and readings may be small files and many rows: no side of a join is broadcast, whatever Spark expects of it."""
+    square = '{"x": [0, 9, 9, 0], "y": [0, 0, 9, 9]}'
+    texts = ['{"scalar": [{"data section": "speed", "relation": "GREATER", "value": 5}]}',
+             '{"location": [{"relation": "IN", "value": %s}]}' % square, '{"location": [{"relation": "OUT_OF", "value": %s}]}' % square]
+    rules = spark.createDataFrame([("app1", "speed", i, i, text) for i, text in enumerate(texts)],
+                                  "app string, section string, priority int, rule_no int, predicate string")
+    rows = spark.createDataFrame([("app1", "speed", i, float(i), float(i), 1.0) for i in range(20)],
+                                 "app string, section string, event_id long, scalar double, x double, y double")
+    won = winning_rule_of_table(rows, rules, {"speed": F.col("scalar")}, F.col("x"), F.col("y"))
+    assert {r.event_id: r.winner.rule_no for r in won.collect()} == {i: 0 if i > 5 else 1 for i in range(20)}
+    plan = won._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -100,6 +100,12 @@ def rule_terms(rules: DataFrame) -> DataFrame:
     return rules.select("app", "section", F.col("priority").cast("int"), F.col("rule_no").cast("int"), "predicate").mapInPandas(run, TERMS)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that both sides are dealt out for. Rules, cells and hits grow with the tables, and what
+    Spark would broadcast for a small file is far larger as rows: none of it goes through the driver."""
+    return df.hint("merge")
+
+
 def _scope() -> Column:
     return F.concat("section", F.lit("|"), "app")
 
@@ -121,7 +127,7 @@ def interval_cells(terms: DataFrame) -> DataFrame:
 
     def placed(name: str) -> DataFrame:
         return cells.select("_scope", F.struct(F.col("_value").alias("value"), F.col("_side").alias("side")).alias(name), F.col("_n").alias(f"_{name}"))
-    ranked = terms.join(placed("low"), ["_scope", "low"]).join(placed("high"), ["_scope", "high"])
+    ranked = terms.join(_dealt(placed("low")), ["_scope", "low"]).join(_dealt(placed("high")), ["_scope", "high"])
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
     ranked = ranked.select("_scope", "rule", "_low", "_high", level)
     size = _width()
@@ -130,7 +136,7 @@ def interval_cells(terms: DataFrame) -> DataFrame:
         F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1)))))
     best = pieces.groupBy("_scope", "_level", "_piece").agg(F.min("rule").alias("rule"))
     above = cells.select("*", level).withColumn("_piece", F.floor(F.col("_n") / _width()).cast("long"))
-    return above.join(best, ["_scope", "_level", "_piece"], "left").groupBy("_scope", "_value", "_side").agg(F.min("rule").alias("winner"))
+    return above.join(_dealt(best), ["_scope", "_level", "_piece"], "left").groupBy("_scope", "_value", "_side").agg(F.min("rule").alias("winner"))
 
 
 def _by_interval(rows: DataFrame, terms: DataFrame, value: Column) -> DataFrame:
@@ -186,7 +192,7 @@ def _met(rows: DataFrame, polygons: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in cells.select("_size").distinct().collect())  # powers of two between the extents
     if not sizes:
         sizes = [0]
-    met = _at(rows, sizes).join(cells, ["_scope", "_size", "_cx", "_cy"])
+    met = _at(rows, sizes).join(_dealt(cells), ["_scope", "_size", "_cx", "_cy"])
     return met.where(_inside(F.col("xs"), F.col("ys"), F.col("_x"), F.col("_y")))
 
 
@@ -226,7 +232,7 @@ def winning_rule_of_table(df: DataFrame, rules: DataFrame, scalars: Mapping[str,
         own = terms.where("kind = 'inside'").withColumn("_first", F.element_at(F.filter("polygons", lambda p: p["inside"]), 1))
         own = own.select(_scope().alias("_scope"), "priority", "rule_no", "scalar", "low", "high", "polygons", "_first.xs", "_first.ys")
         hits = _met(points, own).where(_holds(used)).groupBy(*ids).agg(F.min(F.struct("priority", "rule_no")).alias("_inside"))
-        out = out.join(hits, ids, "left")
+        out = out.join(_dealt(hits), ids, "left")
         found.append(F.col("_inside"))
     if "outside" in placed:
         own = terms.where("kind = 'outside'").select(_scope().alias("_scope"), "priority", "rule_no", "polygons")
@@ -237,9 +243,9 @@ def winning_rule_of_table(df: DataFrame, rules: DataFrame, scalars: Mapping[str,
         # The first number that is missing among the broken ones.
         gap = F.filter(F.sequence(F.lit(1), F.size("_broken")), lambda i: F.element_at("_broken", i) != i)
         first = F.when(F.col("_broken").isNull(), 1).otherwise(F.coalesce(F.try_element_at(gap, F.lit(1)), F.size("_broken") + 1)).cast("long")
-        free = points.select(*ids, "_scope").join(broken, ids, "left").withColumn("_nth", first).drop("_broken")
-        free = free.join(own.select("_scope", "_nth", F.struct("priority", "rule_no").alias("_outside")), ["_scope", "_nth"]).select(*ids, "_outside")
-        out = out.join(free, ids, "left")
+        free = points.select(*ids, "_scope").join(_dealt(broken), ids, "left").withColumn("_nth", first).drop("_broken")
+        free = free.join(_dealt(own.select("_scope", "_nth", F.struct("priority", "rule_no").alias("_outside"))), ["_scope", "_nth"]).select(*ids, "_outside")
+        out = out.join(_dealt(free), ids, "left")
         found.append(F.col("_outside"))
     if any(k == "other" for k, _ in kinds):
         rows = terms.where("kind = 'other'").select("app", "section", "rule_no", "priority", "predicate").limit(most + 1).collect()
