@@ -69,6 +69,20 @@ def test_one_anchor_in_many_documents(make_docs, monkeypatch):
     assert got == brute(list(enumerate(texts)), 200) and sizes[0] > 4
 
 
+def test_places_of_a_frequent_anchor_stay_apart(spark, monkeypatch):
+    """No task gets all places of one anchor; rare ones are found by a shuffle, those that start once are left out."""
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 50)
+    anchors = spark.range(0, 7_000, 1, 8).selectExpr("unhex(hex(id)) key", "case when id % 4 = 0 then -1 else id % 4000 end hash", "id place")
+    counts = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = suffix_dedup._marked(anchors, counts, 7_000)
+    times = dict(map(tuple, counts.collect()))
+    assert times[-1] == 1_750 and 3_001 not in times
+    expected = [(r.place, times[r.hash]) for r in anchors.orderBy("place").collect() if r.hash in times]
+    assert sorted(map(tuple, marked.select("place", "n").collect())) == expected
+    tasks = [r["count"] for r in marked.where("n > 2").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 250
+
+
 def test_long_text_in_parts(make_docs, monkeypatch):
     r = random.Random(4)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
