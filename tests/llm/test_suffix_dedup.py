@@ -69,6 +69,19 @@ def test_one_anchor_in_many_documents(make_docs, monkeypatch):
     assert got == brute(list(enumerate(texts)), 200) and sizes[0] > 4
 
 
+def test_passages_of_over_fifty_words(make_docs):
+    """Bytes decide, not words: of repeated passages of over 50 words those of 400 bytes go, and `n_removed` says so."""
+    r = random.Random(12)
+    short, long = " ".join(["wordy"] + [r.choice("abcdefgh") + r.choice("xyz") * 4 for _ in range(55)]), prose(r, 80)
+    assert len(short.split()) > 50 and len(short.encode()) < 380 and 400 <= len(long.encode())
+    around = lambda passage: f"{prose(r, 90)} <{passage}> {prose(r, 90)}"
+    texts = [around(short), around(short), around(long), around(long), around(prose(r, 70)), around(prose(r, 70))]
+    got = found(drop_repeated_strings(make_docs(texts)))
+    assert got == brute(list(enumerate(texts)), 400)
+    assert [x[2] >= len(long.encode()) for x in got] == [False, False, True, True, False, False]
+    assert [x[2] == 0 for x in got] == [True, True, False, False, True, True]
+
+
 def test_places_of_a_frequent_anchor_stay_apart(spark, monkeypatch):
     """No task gets all places of one anchor; rare ones are found by a shuffle, those that start once are left out."""
     monkeypatch.setattr(suffix_dedup, "OFTEN", 50)
