@@ -107,3 +107,32 @@ def test_chunks_equal_brute_force(make_docs, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROW", 2)
     found = ngram_join.ngram_jaccard_join(make_docs(corpus), parts=3)
     assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == brute(list(enumerate(corpus)))
+
+
+def test_fragments_follow_the_shingles(make_docs, corpus, monkeypatch):
+    """What a task holds does not grow with the table, however few shuffle partitions the session has."""
+    made, cut = [], ngram_join._segments
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 50)
+    monkeypatch.setattr(ngram_join, "HELD", 3)
+    monkeypatch.setattr(ngram_join, "_segments", lambda *a: made.append(cut(*a)) or made[-1])
+    found = ngram_join.ngram_jaccard_join(make_docs(corpus))
+    want = brute(list(enumerate(corpus)))
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == want
+    fragments = {r.fragment for r in made[0].select("fragment").collect()}
+    assert len(fragments) > sum(n for _, n, _ in want) // 100 > 4
+
+
+def test_sums_follow_the_fragments(spark, monkeypatch):
+    """A chunk of many fragments is summed in as many groups, and sets are cut a bounded number at a time."""
+    monkeypatch.setattr(ngram_join, "COUNTED", 20)
+    monkeypatch.setattr(ngram_join, "SUMS", 1)
+    sets = [(i, [j for j in range(100) if j % 20 != i]) for i in range(12)]
+
+    def packed(*v):
+        return bytearray(b"".join(x.to_bytes(8, "little") for x in v))
+    pairs = spark.createDataFrame([(y, 95, 0, packed(y + 1, y + 2), packed(95, 95), packed(y + 1, y + 2)) for y in range(10)],
+                                  "y long, n long, part int, cs binary, ns binary, tags binary")
+    found = ngram_join._counted(spark.createDataFrame(sets, "cls long, h array<long>"), pairs, 75)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest(1, fragments" in plan
+    assert {(r.a, r.b) for r in found.collect()} == {(y, y + d) for y in range(10) for d in (1, 2)}

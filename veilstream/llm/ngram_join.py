@@ -24,6 +24,7 @@ Rows that share an id are documents of their own with the same name. Other colum
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +38,13 @@ from veilstream.llm.words import SPACE, flat, ranges, tidy, word_pieces
 from veilstream.session import cut_lineage
 
 FLUSH = 1_500_000        # shingles packed together in a task
+FRAGMENT = 2_000_000     # shingles of a fragment on average, however many shuffle partitions there are
 COUNTED = 1_000_000      # shingles of a fragment when overlaps are counted
 LIST = 50_000            # sets of one list that a task compares
+HELD = 1_000_000         # candidates that it holds before it hands them on
 ROW = 4_096              # candidates in a row
 CHUNK = 2_000_000        # candidates of a chunk on average
-SUMS = 16                # groups in which the counts of a chunk are summed
+SUMS = 16                # groups in which the counts of a chunk are summed, or one for each fragment if it has more
 SEGMENT = pa.schema([("fragment", pa.int32()), *((c, pa.binary()) for c in ("cls", "count", "low", "high"))])
 _U = np.uint64
 
@@ -189,8 +192,14 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pieces = cut_lineage(names.join(sets.select("cls", F.size("h").alias("many")), "cls").groupBy("chunk").agg(
         (1 + F.floor(F.sum("many") / COUNTED)).cast("int").alias("fragments")))
 
+    def pieces_of(rows):
+        """Runs of rows of about ``COUNTED`` shingles."""
+        ends = np.cumsum(rows["h"].map(len).to_numpy(np.int64))
+        edges = np.flatnonzero(np.diff(ends // COUNTED, prepend=0)) if len(rows) else ()
+        return [rows.iloc[a:b] for a, b in zip([0, *edges], [*edges, len(rows)]) if a < b]
+
     def cut(batches):
-        for rows in batches:
+        for rows in (piece for batch in batches for piece in pieces_of(batch)):
             chunk, many, cls = (rows[c].to_numpy() for c in ("chunk", "fragments", "cls"))
             h, owner = flat(list(rows["h"])).astype(np.int64), np.repeat(np.arange(len(rows)), rows["h"].map(len).to_numpy())
             fragment = (h ^ h >> 24) % many[owner]
@@ -249,22 +258,25 @@ def _counted(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     spread = spread.select("chunk", "fragment", "y", "n", "part", "cs", *once)
     counts = segments.groupBy("chunk", "fragment").cogroup(spread.groupBy("chunk", "fragment")).applyInPandas(
         overlap, "chunk int, y long, n long, part int, counts binary, ns binary, tags binary")
-    return counts.groupBy("chunk", F.pmod(F.hash("y", "part"), F.lit(SUMS))).applyInPandas(linked, "a long, b long")
+    sums = F.pmod(F.hash("y", "part"), F.greatest(F.lit(SUMS), "fragments"))
+    return counts.join(F.broadcast(pieces), "chunk").groupBy("chunk", sums).applyInPandas(linked, "a long, b long")
 
 
 def _across(percent: int):
     """Candidates of the probing sets of each list: sets of larger components, of a length that can link."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", kind="stable")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("key", kind="stable")
         key, cls, n, comp, size, probe = (rows[c].to_numpy() for c in ("key", "cls", "n", "comp", "size", "probe"))
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        found, out, held = {}, [], 0
+        found, held = {}, 0
 
         def flush():
+            out = []
             for y, lists in found.items():
                 rows_ = np.unique(np.concatenate(lists, axis=1), axis=1)
                 out.append((y[0], y[1], rows_[0].tobytes(), rows_[1].tobytes(), rows_[2].tobytes()))
             found.clear()
+            return pd.DataFrame(out, columns=["y", "n", "cs", "ns", "tags"])
         for a, b in zip(edges, np.append(edges[1:], len(key))):
             c, m, k, s = (x[a:b] for x in (cls, n, comp, size))
             here = probe[a:b]
@@ -275,11 +287,10 @@ def _across(percent: int):
                 if ok.any():
                     found.setdefault((int(c[i]), int(m[i])), []).append(np.stack([c2[ok], m2[ok], k2[ok]]))
                     held += int(ok.sum())
-            if held > 4_000_000:
-                flush()
-                held = 0
-        flush()
-        return pd.DataFrame(out, columns=["y", "n", "cs", "ns", "tags"])
+                if held > HELD:
+                    yield flush()
+                    held = 0
+        yield flush()
     return run
 
 
@@ -356,8 +367,11 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _components(docs: DataFrame, words: int, percent: int, parts: int | None) -> tuple[DataFrame, DataFrame]:
     """``document_sets`` and ``(cls, low, component_id)``: a class, its smallest doc_id and that of its component."""
-    linked = class_components(docs, words, percent, parts)
     sets = cut_lineage(document_sets(docs, words))
+    if parts is None:
+        shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + shingles // FRAGMENT)
+    linked = class_components(docs, words, percent, parts)
     classes = (sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
                .join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
