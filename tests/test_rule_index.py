@@ -129,3 +129,49 @@ def test_no_join_goes_through_the_driver(spark):
     assert {r.event_id: r.winner.rule_no for r in won.collect()} == {i: 0 if i > 5 else 1 for i in range(20)}
     plan = won._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rounds_of_terms(spark, seed, monkeypatch):
+    """Readings that find nothing among the best terms go on to others, in smaller cells, and in the end to all."""
+    monkeypatch.setattr(rule_index, "BEST", (1, 2))
+    monkeypatch.setattr(rule_index, "FIRST", (1, 1))
+    r = random.Random(100 + seed)
+
+    def texts():
+        x, y, w, h = r.randrange(12), r.randrange(12), r.choice([1, 2, 6]), r.choice([1, 3])
+        yield {"location": [{"relation": "IN", "value": {"x": [x, x + w, x + w], "y": [y, y, y + h]}}]}
+        yield {"location": [{"relation": "OUT_OF", "value": {"x": [x, x + 9, x + 9, x], "y": [0, 0, 20, 20]}}]}
+        yield {"logic": "AND", "scalar": [scalar(r)], "location": [place(r, ("IN",))]}
+    rules = [Rule(r.choice(["a", "b"]), "location", i, r.randrange(6), json.dumps(text), "{}") for i, text in enumerate(t for _ in range(16) for t in texts())]
+    rows = [(i, r.choice(["a", "b", "c"]), "location", r.choice([*VALUES, None]), r.choice([None, *range(14)]) if i % 9 else None, r.random() * 14) for i in range(120)]
+    df = spark.createDataFrame([(*a, None if px is None else px + r.choice([0.0, 0.5]), py) for *a, px, py in rows],
+                               "event_id long, app string, section string, v double, px double, py double")
+    columns = ({"speed": F.col("v")}, F.col("px"), F.col("py"))
+    assert won(winning_rule_of_table(df, rule_table(spark, rules), *columns)) == won(winning_rule(df, rules, *columns))
+
+
+def test_readings_do_not_meet_all_terms_that_hold(spark, monkeypatch):
+    """Polygons that overlap everywhere: a reading is tested against the best few of its cell, not against all."""
+    box = {"x": [0, 8, 8, 0], "y": [0, 0, 8, 8]}
+    rules = [Rule("a", "location", i, i, json.dumps({"location": [{"relation": k, "value": box if k == "IN" else {"x": [50, 58, 58], "y": [0, 0, 8]}}]}), "{}")
+             for i, k in enumerate(["IN", "OUT_OF"] * 300)]
+    sizes, cut = [], rule_index.cut_lineage
+    monkeypatch.setattr(rule_index, "cut_lineage", lambda df: sizes.append(cut(df)) or sizes[-1])
+    df = spark.createDataFrame([(i, "a", "location", 0.0, float(i % 8), float(i % 7)) for i in range(200)],
+                               "event_id long, app string, section string, v double, px double, py double")
+    out = winning_rule_of_table(df, rule_table(spark, rules), {"speed": F.col("v")}, F.col("px"), F.col("py"))
+    assert won(out) == dict.fromkeys(range(200), (0, 0))
+    met = [d.count() for d in sizes if "_hit" in d.columns]
+    assert met[0] == 200 and sum(met) == 400  # one row for each reading and index, found in the first round
+
+
+def test_readings_that_share_an_id(spark):
+    """The first number that none of them breaks, for each of them."""
+    square = {"x": [0, 1, 1, 0], "y": [0, 0, 1, 1]}
+    far = {"x": [5, 6, 6, 5], "y": [0, 0, 1, 1]}
+    rules = [Rule("a", "location", i, i, json.dumps({"location": [{"relation": "OUT_OF", "value": v}]}), "{}") for i, v in enumerate([square, far, square, {"x": [9, 10, 9], "y": [0, 0, 1]}])]
+    df = spark.createDataFrame([(1, "a", "location", 0.0, 0.5, 0.5), (1, "a", "location", 0.0, 5.5, 0.5), (2, "a", "location", 0.0, 0.5, 0.5), (2, "a", "location", 0.0, 0.5, 0.5)],
+                               "event_id long, app string, section string, v double, px double, py double")
+    out = winning_rule_of_table(df, rule_table(spark, rules), {"speed": F.col("v")}, F.col("px"), F.col("py"))
+    assert won(out) == {1: (3, 3), 2: (1, 1)}

@@ -11,10 +11,14 @@ ordered pass over cells and readings, as an as-of join, with hot scopes cut into
 
 *Polygons.* A term with a polygon that must contain the position is entered in a grid whose cells are as large as
 the polygon, so it lies in four cells at most. Readings look into their cell at every size that occurs: an
-equi-join, after which all conditions of the term are tested exactly.
+equi-join, after which all conditions of the term are tested exactly. Only the best term that holds is wanted, so a
+reading first meets the best few terms of its cell. Where none of them holds it goes on to more terms of a smaller
+cell, and so on for a few rounds; what is left then meets all terms of its cell that it has not met. What a reading
+costs depends on how many terms it takes to find one that holds, not on how many hold.
 
 *Outside.* A term that only wants positions outside polygons holds almost everywhere. These terms are numbered by
-priority; the grid says which of them a position breaks, and the winner is the first number that is not broken.
+priority, and the winner is the first number that a position does not break: positions meet the first few numbers,
+those that break all of them more. For what is left the grid says which of the others a position breaks.
 
 Terms of other kinds (several scalars without a polygon, comparisons together with outside tests only) have no
 index. They are compiled as in ``operators.policy``, at most ``most`` of them.
@@ -28,7 +32,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.predicates import RELATIONS, PredicateError
@@ -43,6 +47,10 @@ COLUMNS = ["app", "section", "priority", "rule_no", "kind", "scalar", "low", "hi
 # A bound lies at a value (side 0) or right behind it (side 1): low is the first place inside, high the first behind.
 BOUNDS = {"GREATER": ((1,), None), "GREATER_EQUAL": ((0,), None), "LESS": (None, (0,)), "LESS_EQUAL": (None, (1,)), "EQUAL": ((0,), (1,))}
 LOWEST, HIGHEST = (-math.inf, 0), (math.inf, 1)
+BEST = (16, 64, 256, 256)   # terms of a cell that a reading meets in each round
+FINER = 2                   # halvings of a cell's sides from one round to the next
+FIRST = (4, 32, 256)        # terms without a place that a reading meets in each round
+SALTS = 64                  # parts of a scope while its readings meet these
 
 
 def _alternatives(spec: Mapping) -> list[list[tuple]]:
@@ -129,7 +137,9 @@ def interval_cells(terms: DataFrame) -> DataFrame:
         return cells.select("_scope", F.struct(F.col("_value").alias("value"), F.col("_side").alias("side")).alias(name), F.col("_n").alias(f"_{name}"))
     ranked = terms.join(_dealt(placed("low")), ["_scope", "low"]).join(_dealt(placed("high")), ["_scope", "high"])
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
-    ranked = ranked.select("_scope", "rule", "_low", "_high", level)
+    # No piece is wider than its interval.
+    own = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("_high") - F.col("_low"), F.lit(1)))).cast("int") + 1)).alias("_level")
+    ranked = ranked.select("_scope", "rule", "_low", "_high", own)
     size = _width()
     left, right = F.ceil(F.col("_low") / size).cast("long"), F.floor(F.col("_high") / size).cast("long")
     pieces = ranked.withColumns({"_l": left, "_r": right}).where("_l < _r").withColumn("_piece", F.explode(F.array_compact(F.array(
@@ -167,45 +177,142 @@ def _inside(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     return box & (F.aggregate(F.sequence(F.lit(0), F.size(xs) - 1), F.lit(0), crossing) != 0)
 
 
+def _box(xs: Column, ys: Column) -> dict[str, Column]:
+    return {"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)}
+
+
+def _covered(c: str, side: Column) -> tuple[Column, Column]:
+    """The first and the last number of the cells along an axis that a polygon lies in; its upper bound is outside."""
+    low, high = F.col(f"_{c}0") / side, F.col(f"_{c}1") / side
+    first, last = F.floor(low), F.greatest(F.floor(low), F.ceil(high) - 1)
+    return first, last
+
+
 def _gridded(polygons: DataFrame) -> DataFrame:
     """Cells ``(_size, _cx, _cy)`` of ``polygons(xs, ys)``: cells as large as the polygon, so at most four."""
-    low = {c: F.array_min(f"{c}s") for c in "xy"}
-    high = {c: F.array_max(f"{c}s") for c in "xy"}
-    extent = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(2.0 ** -40))
-    rows = polygons.withColumn("_size", F.ceil(F.log2(extent)).cast("int"))
+    rows = polygons.withColumns(_box(F.col("xs"), F.col("ys")))
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(2.0 ** -40))
+    rows = rows.withColumn("_size", F.ceil(F.log2(extent)).cast("int"))
     side = F.pow(F.lit(2.0), F.col("_size"))
     for c in "xy":
-        rows = rows.withColumn(f"_c{c}", F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
+        rows = rows.withColumn(f"_c{c}", F.explode(F.sequence(*_covered(c, side))))
     return rows
 
 
+def _side(finer: int) -> Column:
+    return F.pow(F.lit(2.0), F.col("_size") - finer)
+
+
+def _finer(cells: DataFrame, finer: int) -> DataFrame:
+    """The parts of the cells, halved once more ``FINER`` times, that their polygons lie in."""
+    parts = 1 << FINER
+    for c in "xy":
+        first, last = _covered(c, _side(finer))
+        begin = F.col(f"_c{c}") * parts
+        cells = cells.withColumn(f"_c{c}", F.explode(F.sequence(F.greatest(first, begin), F.least(last, begin + parts - 1))))
+    return cells
+
+
+def _within(rows: DataFrame, finer: int = 0) -> DataFrame:
+    """Positions with their cell at their size."""
+    return rows.withColumns({f"_c{c}": F.floor(F.col(f"_{c}") / _side(finer)) for c in "xy"})
+
+
 def _at(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """Positions with their cell at every size that occurs."""
-    side = F.pow(F.lit(2.0), F.col("_size"))
-    placed = rows.withColumn("_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    return placed.withColumns({"_cx": F.floor(F.col("_x") / side), "_cy": F.floor(F.col("_y") / side)})
+    return _within(rows.withColumn("_size", F.explode(F.array(*[F.lit(s) for s in sizes]))))
+
+
+def _sizes(cells: DataFrame) -> list[int]:
+    return sorted(r[0] for r in cells.select("_size").distinct().collect()) or [0]  # powers of two between the extents
+
+
+CELL = ["_scope", "_size", "_cx", "_cy"]
 
 
 def _met(rows: DataFrame, polygons: DataFrame) -> DataFrame:
     """Positions with the polygons ``(_scope, xs, ys, ...)`` that contain them."""
     cells = cut_lineage(_gridded(polygons))
-    sizes = sorted(r[0] for r in cells.select("_size").distinct().collect())  # powers of two between the extents
-    if not sizes:
-        sizes = [0]
-    met = _at(rows, sizes).join(_dealt(cells), ["_scope", "_size", "_cx", "_cy"])
+    met = _at(rows, _sizes(cells)).join(_dealt(cells), CELL)
     return met.where(_inside(F.col("xs"), F.col("ys"), F.col("_x"), F.col("_y")))
 
 
-def _holds(scalars: Mapping[str, Column]) -> Column:
-    """All conditions of a term on the row that it met."""
-    value = reduce(lambda c, s: c.when(F.col("scalar") == s, scalars[s]), scalars, F)
+def _best_inside(points: DataFrame, terms: DataFrame, ids: Sequence[str], used: Mapping[str, Column]) -> DataFrame:
+    """``(ids, _inside)``: the best of ``terms(_scope, rule, scalar, low, high, polygons, xs, ys)`` that holds."""
+    cells = cut_lineage(_gridded(terms).where("_x0 < _x1 and _y0 < _y1"))  # the others have no inside
+    left, found = _at(points, _sizes(cells)), []
+    term = F.struct("rule", "scalar", "low", "high", "polygons", "_x0", "_x1", "_y0", "_y1")
+
+    def holds(t):
+        box = (F.col("_x") >= t["_x0"]) & (F.col("_x") < t["_x1"]) & (F.col("_y") >= t["_y0"]) & (F.col("_y") < t["_y1"])
+        return box & _holds(used, t)
+    for number, most in enumerate(BEST):
+        best = cells.withColumn("_nth", F.row_number().over(Window.partitionBy(*CELL).orderBy("rule"))).where(F.col("_nth") <= most + 1)
+        best = best.groupBy(*CELL).agg(F.array_sort(F.collect_list(term)).alias("_terms"))
+        best = best.select(*CELL, F.slice("_terms", 1, most).alias("_terms"), (F.size("_terms") > most).alias("_more"))
+        met = left.join(_dealt(best), CELL).withColumn("_hit", F.try_element_at(F.filter("_terms", holds), F.lit(1))["rule"])
+        met = met.withColumn("_upto", F.try_element_at("_terms", F.lit(-1))["rule"]).drop("_terms")
+        met = cut_lineage(met.where(F.col("_hit").isNotNull() | F.col("_more")))
+        found.append(met.where("_hit is not null").select(*ids, F.col("_hit").alias("_inside")))
+        left = met.where("_hit is null")
+        # Terms that these have met are done; the others are looked up in smaller cells that still have readings.
+        open_ = left.select(*CELL, "_upto").distinct()
+        cells = cells.join(_dealt(open_), CELL).where(F.col("rule") > F.col("_upto")).drop("_upto")
+        left = left.drop("_hit", "_more", "_upto")
+        finer = FINER * (number + 1)
+        left = _within(left, finer)
+        cells = cut_lineage(_finer(cells, finer).join(_dealt(left.select(*CELL).distinct()), CELL, "left_semi"))
+    hits = left.join(_dealt(cells), CELL).where(_inside(F.col("xs"), F.col("ys"), F.col("_x"), F.col("_y"))).where(_holds(used))
+    found.append(hits.select(*ids, F.col("rule").alias("_inside")))
+    return reduce(DataFrame.unionByName, found).groupBy(*ids).agg(F.min("_inside").alias("_inside"))
+
+
+def _holds(scalars: Mapping[str, Column], term: Column | None = None) -> Column:
+    """All conditions of a term, a struct or the row's own columns, on the row that it met."""
+    scalar, low, high, polygons = (F.col(c) if term is None else term[c] for c in ("scalar", "low", "high", "polygons"))
+    value = reduce(lambda c, s: c.when(scalar == s, scalars[s]), scalars, F)
     value = F.lit(None).cast("double") if value is F else value
     at = F.struct(value.alias("value"), F.lit(0).alias("side"))
-    bounded = F.col("scalar").isNull() | (value.isNotNull() & (at >= F.col("low")) & (at < F.col("high")))
-    placed = F.forall("polygons", lambda p: _inside(p["xs"], p["ys"], F.col("_x"), F.col("_y")) == p["inside"])
+    bounded = scalar.isNull() | (value.isNotNull() & (at >= low) & (at < high))
+    placed = F.forall(polygons, lambda p: _inside(p["xs"], p["ys"], F.col("_x"), F.col("_y")) == p["inside"])
     return bounded & placed
 
 
+def _first_outside(points: DataFrame, terms: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``(ids, _outside)`` of every point: the first of ``terms(_scope, _nth, priority, rule_no, polygons)`` that it does not
+    break; of points that share their ids, the first that none of them breaks."""
+    same = points.groupBy(*ids, "_scope").agg(*[f(c).alias(f"_{n}{c}") for c in ("_x", "_y") for n, f in (("low", F.min), ("high", F.max))],
+                                              F.count(F.lit(1)).alias("_times"))
+    one = (F.col("_low_x") == F.col("_high_x")) & (F.col("_low_y") == F.col("_high_y"))
+    left = same.select(*ids, "_scope", F.when(one, F.col("_low_x")).alias("_x"), F.when(one, F.col("_low_y")).alias("_y"), "_times",
+                       F.lit(0).cast("long").alias("_tested"))
+    left, found, tested = left.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int")), [], 0
+    free = lambda t: ~F.exists(t["polygons"], lambda p: _inside(p["xs"], p["ys"], F.col("_x"), F.col("_y")))
+    for most in FIRST:
+        own = terms.where((F.col("_nth") > tested) & (F.col("_nth") <= tested + most))
+        first = own.groupBy("_scope").agg(F.array_sort(F.collect_list(F.struct("_nth", "priority", "rule_no", "polygons"))).alias("_terms"))
+        first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = left.join(_dealt(first), ["_scope", "_salt"], "left")
+        hit = F.when(F.col("_x").isNotNull(), F.try_element_at(F.filter("_terms", free), F.lit(1)))
+        met = met.withColumn("_hit", hit).where(F.col("_hit").isNotNull() | F.col("_x").isNull() | (F.size("_terms") == most)).drop("_terms")
+        met = cut_lineage(met.withColumn("_outside", F.struct("_hit.priority", "_hit.rule_no")))
+        found.append(met.where("_hit is not null").select(*ids, "_times", "_outside"))
+        left, tested = met.where("_hit is null").drop("_hit", "_outside"), tested + most
+        left = left.withColumn("_tested", F.when(F.col("_x").isNotNull(), tested).otherwise(0).cast("long"))
+    rest = points.join(_dealt(left.select(*ids, "_tested", "_times")), list(ids))
+    shapes = terms.select("_scope", "_nth", F.explode("polygons").alias("p")).select("_scope", "_nth", "p.xs", "p.ys")
+    broken = _met(rest, shapes).where(F.col("_nth") > F.col("_tested")).groupBy(*ids).agg(F.array_sort(F.collect_set("_nth")).alias("_broken"))
+    # The first number that is missing among the broken ones.
+    gap = F.filter(F.sequence(F.lit(1), F.size("_broken")), lambda i: F.element_at("_broken", i) != i + F.col("_tested"))
+    first = F.when(F.col("_broken").isNull(), 1).otherwise(F.coalesce(F.try_element_at(gap, F.lit(1)), F.size("_broken") + 1))
+    last = left.select(*ids, "_scope", "_times", "_tested").join(_dealt(broken), list(ids), "left")
+    last = last.withColumn("_nth", F.col("_tested") + first).drop("_broken", "_tested")
+    last = last.join(_dealt(terms.select("_scope", "_nth", F.struct("priority", "rule_no").alias("_outside"))), ["_scope", "_nth"])
+    found.append(last.select(*ids, "_times", "_outside"))
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*ids, "_outside")
+
+
 def winning_rule_of_table(df: DataFrame, rules: DataFrame, scalars: Mapping[str, Column], x: Column | None = None, y: Column | None = None,
                           row_id: Sequence[str] = ("app", "section", "event_id"), most: int = MAX_RULES) -> DataFrame:
     """``policy.winning_rule`` for ``rules`` that are a table of any length: add ``winner``, the satisfied rule of the
@@ -229,23 +336,15 @@ def winning_rule_of_table(df: DataFrame, rules: DataFrame, scalars: Mapping[str,
         points = df.where(x.isNotNull() & y.isNotNull()).select(*ids, _scope().alias("_scope"), x.alias("_x"), y.alias("_y"),
                                                                *[c.cast("double").alias(f"_of_{s}") for s, c in scalars.items()])
     if "inside" in placed:
-        own = terms.where("kind = 'inside'").withColumn("_first", F.element_at(F.filter("polygons", lambda p: p["inside"]), 1))
-        own = own.select(_scope().alias("_scope"), "priority", "rule_no", "scalar", "low", "high", "polygons", "_first.xs", "_first.ys")
-        hits = _met(points, own).where(_holds(used)).groupBy(*ids).agg(F.min(F.struct("priority", "rule_no")).alias("_inside"))
-        out = out.join(_dealt(hits), ids, "left")
+        own = terms.where("kind = 'inside'").withColumn("_first", F.try_element_at(F.filter("polygons", lambda p: p["inside"]), F.lit(1)))
+        own = own.select(_scope().alias("_scope"), F.struct("priority", "rule_no").alias("rule"), "scalar", "low", "high", "polygons", "_first.xs", "_first.ys")
+        out = out.join(_dealt(_best_inside(points, own, ids, used)), ids, "left")
         found.append(F.col("_inside"))
     if "outside" in placed:
         own = terms.where("kind = 'outside'").select(_scope().alias("_scope"), "priority", "rule_no", "polygons")
         plan = plan_slices(own, "_scope", "priority")
         own = cut_lineage(Timeline(["_scope"], ["priority", "rule_no", "polygons"], plan).number(own, "_nth").drop("_slice", "_hot"))
-        shapes = own.select("_scope", "_nth", F.explode("polygons").alias("p")).select("_scope", "_nth", "p.xs", "p.ys")
-        broken = _met(points, shapes).groupBy(*ids).agg(F.array_sort(F.collect_set("_nth")).alias("_broken"))
-        # The first number that is missing among the broken ones.
-        gap = F.filter(F.sequence(F.lit(1), F.size("_broken")), lambda i: F.element_at("_broken", i) != i)
-        first = F.when(F.col("_broken").isNull(), 1).otherwise(F.coalesce(F.try_element_at(gap, F.lit(1)), F.size("_broken") + 1)).cast("long")
-        free = points.select(*ids, "_scope").join(_dealt(broken), ids, "left").withColumn("_nth", first).drop("_broken")
-        free = free.join(_dealt(own.select("_scope", "_nth", F.struct("priority", "rule_no").alias("_outside"))), ["_scope", "_nth"]).select(*ids, "_outside")
-        out = out.join(_dealt(free), ids, "left")
+        out = out.join(_dealt(_first_outside(points, own, ids)), ids, "left")
         found.append(F.col("_outside"))
     if any(k == "other" for k, _ in kinds):
         rows = terms.where("kind = 'other'").select("app", "section", "rule_no", "priority", "predicate").limit(most + 1).collect()
