@@ -351,3 +351,30 @@ def test_memory_of_candidate_sets_does_not_follow_the_batch(spark):
     part = choose(real[100:140].reset_index(drop=True), seed[100:140].reset_index(drop=True))
     assert [list(x) for x in part["ranks"]] == [list(x) for x in whole["ranks"][100:140]]
     assert part["entropy"].tolist() == whole["entropy"][100:140].tolist()
+
+
+def test_streamed_point_is_computed_once(spark):
+    """The fits of a point on a stream stand once in its expression, however often its error is used."""
+    import math
+
+    from veilstream.operators.pets.geo import adaptive_geo, displaced, prediction_error, privacy_level
+    pet = adaptive_geo("location", (3, 7.5, 22.0, 0.2, 0.25, 3.0, 4))
+    tracks = [[(0, 1.0, 2.0), (1500, 4.0, 2.5), (4000, 5.0, 9.0)], [(7, 3.0, 1.0), (7, 30.0, 2.0)], [(9, 5.0, 5.0)]]
+    rows = [(1, i, t, {"x": t[-1][1], "y": t[-1][2]}) for i, t in enumerate(tracks)]
+    df = spark.createDataFrame(rows, "vehicle_id long, event_id long, recent array<struct<generate_ms:long,x:double,y:double>>, location struct<x:double,y:double>")
+    value, ready = pet.of_recent(F.col("recent"))
+    found = {r.event_id: (r.value.x, r.value.y, r.ready) for r in df.select("event_id", value.alias("value"), ready.alias("ready")).collect()}
+    text = df.select(value.alias("value"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("aggregate(") == 8
+
+    def fit(track, c):
+        t = [(r[0] - track[0][0]) / 1000 for r in track]
+        mean_t, mean_v = sum(t) / len(t), sum(r[c] for r in track) / len(t)
+        spread = sum((a - mean_t) ** 2 for a in t)
+        return mean_v + (sum((a - mean_t) * (r[c] - mean_v) for a, r in zip(t, track)) / spread if spread else 0) * (t[-1] - mean_t)
+    fits = spark.createDataFrame([(i, fit(t, 1), fit(t, 2)) for i, t in enumerate(tracks)], "event_id long, px double, py double")
+    error = prediction_error(F.col("px"), F.col("py"))
+    moved = displaced(privacy_level(error, 7.5, 22.0, 0.2, 0.25, 3.0), error, 4, F.col("vehicle_id"), F.col("event_id"))
+    for r in df.join(fits, "event_id").select("event_id", moved.alias("m")).collect():
+        assert math.isclose(found[r.event_id][0], r.m.x, abs_tol=1e-9) and math.isclose(found[r.event_id][1], r.m.y, abs_tol=1e-9)
+        assert found[r.event_id][2] == (len(tracks[r.event_id]) == 3)

@@ -155,3 +155,23 @@ def test_problem_of_broken_documents(spark):
     assert [problem_of(t, ["speed"]) for t in (None, "", "[1]", "[", "3")] == ["not a JSON object"] * 5
     assert problem_of('{"scalar": [{"data section": "speed", "relation": "LESS", "value": "fast"}]}', ["speed"]) == "malformed predicate: ValueError"
     assert problem_of('{"scalar": [3]}', ["speed"]) == "malformed predicate: AttributeError"
+
+
+def test_functions_of_predicates():
+    """A description that was read once gives what reading it at every row gives, errors included."""
+    import random
+    from veilstream.functions.predicates import function_of, holds
+    r = random.Random(5)
+    leaves = [{"scalar": [{"data section": "speed", "relation": k, "value": v}]} for k in ("equal", "NOT_EQUAL", "LESS", "GREATER_EQUAL") for v in (1, "2.5")]
+    leaves += [{"location": [{"relation": k, "value": {"x": [0, 4, 4, 2, 0], "y": [0, 0, 4, 1, 4]}}]} for k in ("IN", "out_of")]
+    specs = [*leaves, *({"logic": r.choice(["and", "OR"]), "combined": r.sample(leaves, 2), **r.choice(leaves)} for _ in range(40)), {"combined": []}]
+    for spec in specs:
+        test = function_of(spec)
+        for _ in range(60):
+            row = {"speed": r.choice([None, 0.0, 1.0, 2.5, 9.0])}, r.choice([None, 0.0, 1.0, 2.0, 3.5, 4.0, 5.0]), r.choice([0.0, 0.5, 1.0, 3.0, 4.0])
+            assert test(*row) == holds(spec, *row)
+    for wrong in ({"scalar": [{"data section": "speed", "custom": "even"}]}, {"scalar": [{"data section": "fuel", "relation": "LESS", "value": 1}]},
+                  {"scalar": [{"data section": "speed", "relation": "LIKE", "value": 1}]}):
+        for test in (function_of(wrong), lambda *row: holds(wrong, *row)):
+            with pytest.raises((PredicateError, KeyError)):
+                test({"speed": 1.0}, None, None)

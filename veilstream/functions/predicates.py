@@ -148,6 +148,54 @@ def holds(spec: Mapping, scalars: Mapping[str, float | None], x: float | None, y
     return all(parts) if str(spec.get("logic", "AND")).upper() == "AND" else any(parts)
 
 
+def function_of(spec: Mapping):
+    """``holds`` of one predicate as a function of ``(scalars, x, y)`` that has read the description already. One that
+    cannot be read fails where it meets a row, as there."""
+    try:
+        return _function_of(spec)
+    except Exception:  # noqa: BLE001
+        return lambda scalars, x, y: holds(spec, scalars, x, y)
+
+
+def _function_of(spec: Mapping):
+    parts = [_leaf_test(leaf) for leaf in spec.get("scalar") or []]
+    parts += [_place_test(leaf) for leaf in spec.get("location") or []]
+    parts += [_function_of(nested) for nested in spec.get("combined") or []]
+    if len(parts) == 1:
+        return parts[0]
+    if str(spec.get("logic", "AND")).upper() == "AND":
+        return lambda scalars, x, y: all([part(scalars, x, y) for part in parts])
+    return lambda scalars, x, y: any([part(scalars, x, y) for part in parts])
+
+
+def _leaf_test(leaf: Mapping):
+    if "custom" in leaf:
+        raise PredicateError(f"{leaf['custom']!r} is a test on columns")
+    section, relation, bound = leaf["data section"], RELATIONS[str(leaf["relation"]).upper()], float(leaf["value"])
+
+    def test(scalars, x, y):
+        value = scalars[section]
+        return value is not None and bool(relation(value, bound))
+    return test
+
+
+def _place_test(leaf: Mapping):
+    corners = [(float(a), float(b)) for a, b in zip(leaf["value"]["x"], leaf["value"]["y"])]
+    wanted = str(leaf["relation"]).upper() == "IN"
+    edges = [(x0, y0, (x1 - x0) / (y1 - y0), min(y0, y1), max(y0, y1), min(x0, x1), max(x0, x1), 1 if y1 > y0 else -1)
+             for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1]) if y0 != y1]
+
+    def test(scalars, x, y):
+        if x is None or y is None:
+            return False
+        turns = 0
+        for x0, y0, rise, below, above, left, right, way in edges:
+            if below <= y < above and x < right and (x < left or x < (x0 if left == right else x0 + (y - y0) * rise)):
+                turns += way
+        return (turns != 0) == wanted
+    return test
+
+
 def _leaf_holds(leaf: Mapping, value: float | None) -> bool:
     if "custom" in leaf:
         raise PredicateError(f"{leaf['custom']!r} is a test on columns; whole policies on streams need plain tests")

@@ -38,21 +38,31 @@ def predict_positions(rows, ordered, whole, size: int, prefix: str = ""):
             .drop(*[f"{prefix}{c}" for c in ("origin", "t", "x", "y")]))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` where the value is computed once: inside a lambda or a branch Spark computes an expression again
+    wherever it occurs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fit_of_recent(recent: Column, value: str) -> Column:
     """The same straight-line fit over an array of the last rows, evaluated at the last one."""
     n, start = F.size(recent), recent[0]["generate_ms"]
 
-    def seconds(r: Column) -> Column:
-        return (r["generate_ms"] - start) / 1000.0
-
     def total(term) -> Column:
         return F.aggregate(recent, F.lit(0.0), lambda acc, r: acc + term(r))
 
-    mean_t, mean_v = total(seconds) / n, total(lambda r: r[value]) / n
-    spread = total(lambda r: (seconds(r) - mean_t) * (seconds(r) - mean_t))
-    joint = total(lambda r: (seconds(r) - mean_t) * (r[value] - mean_v))
-    slope = F.coalesce(F.try_divide(joint, spread), F.lit(0.0))
-    return mean_v + slope * (seconds(F.element_at(recent, -1)) - mean_t)
+    def seconds(r: Column, start: Column = start) -> Column:
+        return (r["generate_ms"] - start) / 1000.0
+
+    def fitted(m: Column) -> Column:
+        away = lambda r: seconds(r, m["start"]) - m["t"]
+        spread = total(lambda r: away(r) * away(r))
+        joint = total(lambda r: away(r) * (r[value] - m["v"]))
+        slope = F.coalesce(F.try_divide(joint, spread), F.lit(0.0))
+        return m["v"] + slope * away(F.element_at(recent, -1))
+
+    means = F.struct((total(seconds) / n).alias("t"), (total(lambda r: r[value]) / n).alias("v"), start.alias("start"))
+    return bound(means, fitted)
 
 
 def prediction_error(px: Column, py: Column) -> Column:
@@ -68,12 +78,21 @@ def privacy_level(error: Column, t1: float, t2: float, epsilon: float, alpha: fl
             .otherwise(F.lit(beta * epsilon)))
 
 
-def displaced(level: Column, error: Column, seed, *identity: Column) -> Column:
-    """The point moved by a Laplace radius (location ``level``, scale ``error``) at a uniform angle."""
+def turn(level: Column, error: Column, seed, *identity: Column) -> Column:
+    """A Laplace radius (location ``level``, scale ``error``) and a uniform angle."""
     radius = laplace_from_uniform(uniform(f"{seed}r", *identity), level, error)
     angle = uniform(f"{seed}a", *identity) * F.lit(2 * math.pi)
-    return F.struct((F.col("location.x") + radius * F.cos(angle)).alias("x"),
-                    (F.col("location.y") + radius * F.sin(angle)).alias("y"))
+    return F.struct(radius.alias("radius"), angle.alias("angle"))
+
+
+def turned(by: Column) -> Column:
+    """The point moved by a radius at an angle."""
+    return F.struct((F.col("location.x") + by["radius"] * F.cos(by["angle"])).alias("x"),
+                    (F.col("location.y") + by["radius"] * F.sin(by["angle"])).alias("y"))
+
+
+def displaced(level: Column, error: Column, seed, *identity: Column) -> Column:
+    return turned(turn(level, error, seed, *identity))
 
 
 def adaptive_geo(section: str, params: tuple):
@@ -93,7 +112,11 @@ def adaptive_geo(section: str, params: tuple):
         return rows, value, F.col(f"{prefix}n_points") == size
 
     def of_recent(recent):
-        value = moved(fit_of_recent(recent, "x"), fit_of_recent(recent, "y"))
+        identity = F.col("vehicle_id"), F.col("event_id")
+        value = bound(recent, lambda last: bound(
+            F.struct(*[fit_of_recent(last, c).alias(c) for c in "xy"]), lambda at: bound(
+                prediction_error(at["x"], at["y"]), lambda error: bound(
+                    turn(privacy_level(error, t1, t2, epsilon, alpha, beta), error, seed, *identity), turned))))
         return value, F.size(recent) == size
 
     return WindowPet(size, ("location", "vehicle_id"), compute, of_recent)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from veilstream.functions.petspec import PetSpec
-from veilstream.functions.predicates import holds
+from veilstream.functions.predicates import function_of
 from veilstream.operators.context import fan_out
 from veilstream.operators.enforce import processed_column
 from veilstream.operators.pets import SECTION_VALUE, StepPet, WindowPet, build_pet
@@ -89,7 +89,7 @@ class Policies(Held):
     @staticmethod
     def _tried(rules: Sequence[Rule]) -> list[tuple]:
         """Rules from the highest priority down, ready to be tried."""
-        return [(r.section, r.since_ms, r.until_ms, json.loads(r.predicate), r.spec.label, r.affected, rule_name(r))
+        return [(r.section, r.since_ms, r.until_ms, function_of(json.loads(r.predicate)), r.spec.label, r.affected, rule_name(r))
                 for r in sorted(rules, key=lambda r: (r.priority, r.rule_no))]
 
     def _published(self, app: str, since: int, text: str) -> list[tuple]:
@@ -104,9 +104,9 @@ class Policies(Held):
     def _winners(rules: list[tuple], ms: int, memory: dict) -> dict[str, tuple]:
         """The satisfied rule with the smallest (priority, rule_no) of each section."""
         found: dict[str, tuple] = {}
-        for section, since, until, predicate, label, affected, name in rules:
-            if section not in found and (since is None or ms >= since) and (until is None or ms < until) \
-                    and holds(predicate, {"speed": memory.get("speed")}, memory.get("x"), memory.get("y")):
+        scalars, x, y = {"speed": memory.get("speed")}, memory.get("x"), memory.get("y")
+        for section, since, until, test, label, affected, name in rules:
+            if section not in found and (since is None or ms >= since) and (until is None or ms < until) and test(scalars, x, y):
                 found[section] = name, label, affected
         return found
 
